@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, token_counts
+from . import bpe, chat, minhash, packing, quality, token_counts, toxicity, warc
+from .shared import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,12 +59,77 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], chr(10)) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), x AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), r AS (
+  SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a
+), c AS (
+  SELECT node, min(reached) AS c FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id,
+  coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+
+BASE32_SQL = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + list_sum(list_transform(range(5), lambda j: (16 >> j) * substr(bits, 5 * i + j + 1, 1)::INT))::INT, 1)), '')"""
+OP6_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''),
+    lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111',
+      4 * (instr('0123456789abcdef', c) - 1)::INT + 1, 4)), '') AS bits,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc.archive_and_read(pages, fresh_folder(spark, "warc"), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -109,9 +175,21 @@ FROM f
 """
 
 
+OPERATORS = (
+    op2_chat_format,
+    op3_bpe,
+    op4_toxicity,
+    op5_minhash,
+    op6_warc,
+    op7_token_counts,
+    op9_packing,
+    op10_quality_rules,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat_format, op3_bpe, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
