@@ -102,14 +102,11 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(*helpers)
 
 
-def plan_cascade(
-    featured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS
-) -> list[tuple[Rule, float, float]]:
-    """Rules with (cost in seconds, share rejected) on a sample of at most sample_rows, best rejection per cost first.
+def plan_cascade(sample: DataFrame, rules: Sequence[Rule] = RULES) -> list[tuple[Rule, float, float]]:
+    """Rules with (cost in seconds, share rejected) on a sample with features, best rejection per cost first.
 
     Column pruning leaves each timed job only the features its rule reads, so the time is that rule's own.
     """
-    sample = featured.limit(sample_rows)
     measured = []
     for rule in rules:
         one = sample.agg(F.count(F.lit(1)), F.count_if(F.expr(rule.sql)))
@@ -121,19 +118,29 @@ def plan_cascade(
 
 def apply_cascade(featured: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds failed_rule: the first rule in this order that rejects, null where none does."""
-    if not rules:
-        return featured.withColumn("failed_rule", F.lit(None).cast("string"))
     case: Column | None = None
     for rule in rules:
         cond = F.expr(rule.sql)
         case = F.when(cond, F.lit(rule.name)) if case is None else case.when(cond, F.lit(rule.name))
-    return featured.withColumn("failed_rule", case)
+    return featured.withColumn("failed_rule", F.lit(None).cast("string") if case is None else case)
 
 
 def quality_rules(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """docs with the features, failed_rule and kept."""
-    featured = with_features(docs, text)
-    order = [m[0] for m in plan_cascade(featured, rules, sample_rows)]
-    return apply_cascade(featured, order).withColumn("kept", F.col("failed_rule").isNull())
+    rows = docs.select(F.col(text).alias("text")).head(sample_rows)
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in rows], "text string")
+    order = [m[0] for m in plan_cascade(with_features(sample), rules)]
+    return apply_cascade(with_features(docs, text), order).withColumn("kept", F.col("failed_rule").isNull())
+
+
+def passing(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs, their own columns, that no rule rejects.
+
+    A plain filter on the verdict would be pushed below the features and take each of their expressions apart again,
+    inside its lambdas too. The row number, which isn't deterministic, holds it above them.
+    """
+    judged = quality_rules(docs, rules, text)
+    judged = judged.withColumns({"_verdict": F.col("failed_rule"), "_at": F.monotonically_increasing_id()})
+    return judged.where((F.col("_at") >= 0) & F.col("_verdict").isNull()).select(*docs.columns)
