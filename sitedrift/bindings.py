@@ -91,7 +91,7 @@ FROM {documents} WHERE doc_id % 3 = 0
 SNAP_HASHED = "SELECT *, sha256(payload) AS hash FROM {snap}"
 PRICE = """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 200 AS page, l_shipdate AS createdAt,
-  CASE WHEN l_linenumber <> 7 THEN floor(l_extendedprice / l_quantity) END AS price,
+  CASE WHEN l_linenumber <> 7 THEN CAST(floor(l_extendedprice / l_quantity) AS DOUBLE) END AS price,
   CASE l_returnflag WHEN 'A' THEN 'USD' WHEN 'N' THEN 'EUR' END AS currency, l_linestatus = 'O' AS is_product_page
 FROM {lineitem}
 """
