@@ -81,7 +81,7 @@ FROM {supplier}
 """
 SNAP = """
 SELECT CAST(2 * doc_id AS BIGINT) AS id, source AS websiteId, 'MARKDOWN' AS kind,
-  concat('https://', source, '.example.com/') AS targetUrl, coalesce(text, '') AS payload, 60 * doc_id AS at
+  concat('https://', source, '.example.com/') AS targetUrl, coalesce(text, '') AS payload, 60 * doc_id AS taken
 FROM {documents}
 UNION ALL
 SELECT CAST(2 * doc_id + 1 AS BIGINT), source, 'MARKDOWN', concat('https://', source, '.example.com/'),

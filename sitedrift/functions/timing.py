@@ -46,7 +46,7 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     text = F.trim(header)
     at = F.try_to_timestamp(F.regexp_extract(text, "^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.when(text.rlike("^[0-9]{1,15}$"), text.try_cast("long") * 1000).otherwise(
-        F.greatest(F.lit(0).cast("long"), _ms(at) - _ms(now))
+        F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), _ms(at) - _ms(now)))
     )
 
 

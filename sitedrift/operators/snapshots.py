@@ -11,18 +11,18 @@ from ..functions.text import diff_preview
 PAGE = ["websiteId", "kind", "targetUrl"]
 
 
-def _by_time(order: str = "at"):
+def _by_time(order: str = "taken"):
     return Window.partitionBy(*PAGE).orderBy(order, "id")
 
 
-def latest_snapshot(snap: DataFrame, order: str = "at") -> DataFrame:
+def latest_snapshot(snap: DataFrame, order: str = "taken") -> DataFrame:
     """The newest snapshot of each page, ties by id. Payloads join afterwards, so the window moves none."""
     w = Window.partitionBy(*PAGE).orderBy(F.desc(order), F.desc("id"))
     keys = snap.select(*PAGE, "id", order).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return snap.join(keys.select("id"), "id", "left_semi")
 
 
-def previous_snapshot(snap: DataFrame, order: str = "at") -> DataFrame:
+def previous_snapshot(snap: DataFrame, order: str = "taken") -> DataFrame:
     """id, previous_id, changed of each snapshot and the one before it of the same page; only hashes move."""
     w = _by_time(order)
     slim = snap.select(*PAGE, "id", order, "hash")
@@ -32,14 +32,14 @@ def previous_snapshot(snap: DataFrame, order: str = "at") -> DataFrame:
     )
 
 
-def fetch_history(snap: DataFrame, order: str = "at") -> DataFrame:
+def fetch_history(snap: DataFrame, order: str = "taken") -> DataFrame:
     """Each snapshot's short hash, whether it changed (null for the first), and its place, newest first."""
     newest = Window.partitionBy(*PAGE).orderBy(F.desc(order), F.desc("id"))
     rows = previous_snapshot(snap, order).withColumn("place", F.row_number().over(newest))
     return rows.select(*PAGE, "id", F.substring("hash", 1, 8).alias("short_hash"), "changed", "place")
 
 
-def changed_pairs(snap: DataFrame, order: str = "at") -> DataFrame:
+def changed_pairs(snap: DataFrame, order: str = "taken") -> DataFrame:
     """id, before, after: payloads of the snapshots that differ from their predecessor."""
     pairs = previous_snapshot(snap, order).where("changed").select("id", "previous_id")
     after = snap.select("id", F.col("payload").alias("after"))
@@ -47,7 +47,7 @@ def changed_pairs(snap: DataFrame, order: str = "at") -> DataFrame:
     return pairs.join(after, "id").join(before, "previous_id")
 
 
-def content_alerts(snap: DataFrame, order: str = "at") -> DataFrame:
+def content_alerts(snap: DataFrame, order: str = "taken") -> DataFrame:
     """PAGE_CONTENT alerts with a line preview; first snapshots never alert."""
     rows = changed_pairs(snap, order).withColumn("d", diff_preview(F.col("before"), F.col("after")))
     return rows.select("id", F.lit("PAGE_CONTENT").alias("kind"), "d.preview", "d.totalAdded", "d.totalRemoved")
