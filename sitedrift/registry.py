@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import base, inventory, scalars, views  # noqa: F401  importing a module registers its queries
+from .queries import base, inventory, plans, scalars, views  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict:
