@@ -5,8 +5,9 @@ draws a rank for each level of its own random permutation of the positions, and
 ranks can't lower any of its positions. Documents that share a band are candidates:
 
 1. Each document is verified against the bucket's end (smallest or largest id) with which it shares most bands.
-2. In buckets that still hold several components, all pairs of different components are judged in bounded blocks:
-   first by signature, and those that pass by their full sets. Pairs are never emitted, only links that join
+2. Its pairs with other ends go on where they would join two components and the signatures agree enough.
+3. In larger buckets that still hold several components, all pairs of different components are judged in bounded
+   blocks: first by signature, and those that pass by their full sets. Pairs are never emitted, only links that join
    components.
 
 Defined results: words are lower-cased (A-Z only); a text with fewer words than a shingle has is one shingle; null,
@@ -17,6 +18,7 @@ other columns pass through untouched; an empty table gives no rows. Shingles are
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -27,20 +29,18 @@ from pyspark.sql import functions as F
 
 from .components import UnionFind, connected_components
 from .shared import stored
+from .word_ids import lower_ascii
 
 POSITIONS = 128
-#: Bands of so many positions; 25 bands of 5 miss a pair of similarity 0.8 once in 20,000, one of 0.85 once in 2 million.
-BANDS, ROWS = 25, 5
 #: A pair whose signatures agree on this much less than the threshold isn't verified (four standard deviations).
 SLACK = 0.14
 #: Members of a block; a task holds two blocks at a time.
 BLOCK = 256
 #: Shingles whose signatures are computed together.
 CHUNK = 150_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +62,7 @@ _HASHES: list[_Hashes] = []
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles."""
-    words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+    words = WORD.findall(lower_ascii(text or ""))
     if not words:
         return np.zeros(0, np.uint64)
     if not _HASHES or len(_HASHES[0]) > CACHE_WORDS:
@@ -109,8 +109,14 @@ def superminhash(sets: list[np.ndarray], m: int = POSITIONS) -> np.ndarray:
     return sig.reshape(-1, m)
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Positions of a band. Of pairs just at the threshold, bands of 6 miss one in 20,000 at 0.85, bands of 5 at 0.8."""
+    return 6 if percent >= 85 else 5
+
+
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """(documents, bands) of int64: equal where the rows of that band are."""
+    bands = sig.shape[1] // rows
     out = np.empty((len(sig), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(sig), b + 1, np.uint64)
@@ -120,7 +126,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, k: int, doc_id: str, text: str, rows_of_band: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set), bands, sig (a byte for each position)."""
 
     def run(batches):
@@ -129,7 +135,7 @@ def sketches(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
 
             def flush(rows: list) -> pa.RecordBatch:
                 sig = superminhash([s for _, s in rows])
-                keys = band_keys(sig)
+                keys = band_keys(sig, rows_of_band)
                 small = mix(sig.astype(np.uint64)).astype(np.uint8)
                 return pa.RecordBatch.from_arrays(
                     [
@@ -157,40 +163,63 @@ def sketches(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents wanted (doc_id)."""
+def bodies(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, body (deflated text, a third of its hashed shingles) of the documents wanted (doc_id).
+
+    Texts are deflated where they are read, so that the join moves little; it is a merge join at every size, as the
+    wanted documents grow with the corpus.
+    """
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                sets = [shingles(t.as_py(), k).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"]
-                )
+            packed = [zlib.compress((t.as_py() or "").encode(), 1) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "body"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    packed = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, body binary")
+    return packed.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def body_shingles(body: bytes, k: int) -> np.ndarray:
+    return shingles(zlib.decompress(body).decode(), k)
 
 
 def similar(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; texts: doc_id, body."""
+    joined = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("ta")), "a")
+    joined = joined.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("tb")), "b")
 
     def run(batches):
         for t in batches:
             keep = []
-            for sa, sb in zip(t.column(2), t.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (sa, sb))
+            for ta, tb in zip(t.column(2), t.column(3), strict=True):
+                x, y = (body_shingles(s.as_py(), k) for s in (ta, tb))
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(similar(inter, len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough for their sets to be similar."""
+    sigs = reps.select("doc_id", "sig")
+    joined = pairs.hint("merge").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
+    joined = joined.hint("merge").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (
+                    np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in (2, 3)
+                )
+                good = pa.array((x == y).mean(1) >= percent / 100 - SLACK)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(good)
+
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -265,11 +294,12 @@ def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents with 100 * intersection >= percent * union are linked."""
-    sketch = stored(sketches(docs, k, doc_id, text), "sketches")
+    sketch = stored(sketches(docs, k, doc_id, text, band_rows(percent)), "sketches")
     classes = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
-    reps = sketch.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = reps.dropDuplicates(["doc_id"])
+    firsts = classes.select(F.col("rep").alias("doc_id")).hint("merge")
+    reps = sketch.where("n_shingles > 0").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = stored(reps.drop("set_key"), "reps")
 
     exploded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     ends = exploded.groupBy("key").agg(
@@ -277,7 +307,8 @@ def near_duplicates(
         F.max(F.struct("doc_id", "n_shingles")).alias("hi"),
         F.count(F.lit(1)).alias("n_members"),
     )
-    members = stored(exploded.join(ends.where("n_members > 1"), "key"), "members")
+    members = stored(exploded.join(ends.where("n_members > 1").hint("merge"), "key"), "members")
+    texts = stored(bodies(docs, members.select("doc_id").distinct(), doc_id, text), "bodies")
 
     def pair(end: str) -> DataFrame:
         fits = F.lit(100) * F.least("n_shingles", f"{end}.n_shingles") >= F.lit(percent) * F.greatest(
@@ -287,19 +318,28 @@ def near_duplicates(
             "doc_id", F.col(f"{end}.doc_id").alias("end")
         )
 
-    shared = pair("lo").unionAll(pair("hi")).groupBy("doc_id", "end").count()
+    shared = stored(pair("lo").unionAll(pair("hi")).groupBy("doc_id", "end").count(), "shared")
     best = shared.groupBy("doc_id").agg(F.max(F.struct("count", "end")).alias("best"))
     pairs = stored(best.select(F.col("doc_id").alias("a"), F.col("best.end").alias("b")), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    links = stored(verify(pairs, full_sets(docs, ids, k, doc_id, text), percent), "links")
+    links = stored(verify(pairs, texts, k, percent), "links")
+    found = connected_components(links)
+
+    later = shared.select(F.col("doc_id").alias("a"), F.col("end").alias("b"))
+    later = later.join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        later = later.hint("merge").join(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    later = later.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    later = stored(_alike(later, reps, percent), "later")
+    links = links.unionAll(stored(verify(later, texts, k, percent), "links"))
     found = connected_components(links)
 
-    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    large = members.where("n_members > 2").select("key", "doc_id", "n_members")
+    labelled = large.hint("merge").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", "n_members", F.coalesce("component", "doc_id").alias("component")
     )
     split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     rest = labelled.join(split.where("c0 <> c1").select("key"), "key", "left_semi")
-    rest = rest.join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id")
+    rest = rest.hint("merge").join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id")
     rest = stored(_blocks(rest), "rest")
 
     def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -309,14 +349,13 @@ def near_duplicates(
 
     alive = rest.groupBy("key", "i", "j").applyInPandas(survivors, "key long, i int, j int, doc_id long")
     alive = stored(alive, "alive")
-    sets = full_sets(docs, alive.select("doc_id").distinct(), k, doc_id, text)
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, at = _judge(pdf, percent)
         out, joined = [], UnionFind()
         if len(at):
-            a = [np.frombuffer(s, np.uint64) for s in x["shingles"]]
-            b = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
+            a = [body_shingles(s, k) for s in x["body"]]
+            b = a if y is x else [body_shingles(s, k) for s in y["body"]]
             table = _intersections(a, b) if len(at) > 400 else None
             cx, cy = x["component"].tolist(), y["component"].tolist()
             dx, dy = x["doc_id"].tolist(), y["doc_id"].tolist()
@@ -329,9 +368,9 @@ def near_duplicates(
                     out.append((dx[p], dy[q]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    last = rest.join(alive, ["key", "i", "j", "doc_id"]).join(sets, "doc_id")
-    late = last.groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long")
-    labels = connected_components(links.unionAll(stored(late, "late")))
+    last = rest.join(alive, ["key", "i", "j", "doc_id"]).hint("merge").join(texts, "doc_id")
+    late = stored(last.groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long"), "late")
+    labels = found if late.isEmpty() else connected_components(links.unionAll(late))
 
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")

@@ -1,38 +1,5 @@
 """The shared folder and small helpers that several operators use."""
 
-from __future__ import annotations
+from ..scratch import fresh_folder, partitions, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, set for checkpoint() too. Only where it is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:") else f"file://{folder}"
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there and lost executors don't matter."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["fresh_folder", "partitions", "shared_dir", "stored"]

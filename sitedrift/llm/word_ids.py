@@ -17,6 +17,11 @@ _CACHE: dict[int, WordIds] = {}
 _NONE = np.int32(2**31 - 1)
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, all other characters as they are."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
 class PairTable:
     """rank and merged id of pairs by a hash of 2^19 slots; the few pairs that share a slot are searched for."""
 
@@ -114,6 +119,14 @@ class WordIds:
                 flat[start[rows][:, None] + np.arange(sym.shape[1])] = sym
         return length, flat
 
+    def known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for pieces that may have been met before."""
+        if len(self.at) > CACHE_PIECES:
+            self.clear()
+        self.learn(pieces)
+        k = list(map(self.at.__getitem__, pieces))
+        return self.length[np.array(k, np.int64)], self.gather(k)
+
     def learn(self, pieces: list[str]) -> None:
         """Makes all these pieces known."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.at]
