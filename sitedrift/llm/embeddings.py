@@ -30,7 +30,7 @@ PASSES, HASHES, WINDOW = 24, 63, 96
 #: Passes that are sorted by one job; bounds the rows shuffled at a time.
 PASSES_AT_ONCE = 8
 #: Vectors of a block when links are counted; a task holds two.
-BLOCK = 512
+BLOCK = 128
 #: Rows of a sorted partition aimed at.
 PARTITION_ROWS = 20_000
 SEED = 20240101
