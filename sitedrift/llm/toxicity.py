@@ -152,7 +152,7 @@ def fit(
         )
 
     got = rows.select("_id", "_text", "_toxic").mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(got.weights, np.float32), got.bias)
+    return Model(np.frombuffer(got.weights, np.float32), got.bias) if got else train([], np.zeros(0))
 
 
 class _Logits(dict):
