@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, OVERLAP = 32, 6
+WINDOW, OVERLAP = 32, 8
 WIDTH, HIDDEN = 16, 32
 BUCKETS, CLASSES = 1024, 48
 #: Pseudo-counts behind pair counts, and of every subword within the shared bucket.
@@ -195,6 +195,20 @@ class Adam:
         self.flat -= self.rate * mean / (np.sqrt(var) + 1e-8)
 
 
+def cut(x: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Every parts-th window (WINDOW + 1 buckets), from number part on, of a stream x that starts with an end token.
+
+    The last window ends with the stream, and a stream shorter than a window gets more end tokens in front, so all parts
+    together predict each bucket at least once."""
+    n = len(x) - 1
+    if n < 1:
+        return np.zeros((0, WINDOW + 1), x.dtype)
+    if n < WINDOW:
+        x, n = np.concatenate([np.full(WINDOW - n, x[0]), x]), WINDOW
+    begin = np.minimum(np.arange(0, n, WINDOW), n - WINDOW)[part::parts]
+    return x[begin[:, None] + np.arange(WINDOW + 1)]
+
+
 def train_windows(
     flat: np.ndarray, t: Tables, windows: np.ndarray, rate: float, min_steps: int, batch: int = 64
 ) -> tuple[np.ndarray, float]:

@@ -4,9 +4,10 @@
    words (hashes, subword ids, counts in training documents) and each document as numbers of those words.
 2. Word counts are summed over all chunks by 64-bit word hash, subword and subword-pair counts likewise; the latter
    two have a fixed size and become the model's tables.
-3. Training is data-parallel: in each round every task takes every ``STRIDE``-th window of its training documents (set
-   aside by the first pass), at an offset of that round, and the tasks' parameters are averaged by their windows. Tasks with few windows go
-   through them several times.
+3. Training is data-parallel: in each round every task takes every ``ROUNDS``-th window of its training documents, at an
+   offset of that round, so the rounds together go through all of them; the tasks' parameters are averaged by their
+   windows. Tasks with few windows go through them several times. Windows are cut anew from the chunks in each round:
+   setting them aside would store the training documents twice.
 4. Each chunk gets its words' totals and scores its documents; the counts come back by chunk, never to the driver.
 
 Defined results: null text is the empty text, one end token; without training documents all counts are 0 and each base
@@ -34,7 +35,7 @@ from .word_ids import WordIds, lower_ascii
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters after which a chunk is closed; bounds a task's memory.
 CHUNK_CHARS = 9_000_000
-STRIDE, ROUNDS, RATE = 16, 2, 0.01
+ROUNDS, RATE = 3, 0.01
 #: Steps of a task in a round at least, where it has few windows (see train_windows).
 MIN_STEPS = 300
 #: Rows into which the tasks' parameters are summed before the driver adds them up.
@@ -42,7 +43,7 @@ SUMS = 16
 
 CHUNK_SCHEMA = (
     "chunk long, doc_ids array<long>, learnt binary, sizes binary, codes binary, word_sizes binary, word_ids binary,"
-    " hashes array<long>, counts array<int>, subwords array<long>, pairs binary, pair_counts binary, windows binary"
+    " hashes array<long>, counts array<int>, subwords array<long>, pairs binary, pair_counts binary"
 )
 
 
@@ -99,21 +100,13 @@ def _chunks(docs: DataFrame, learnt: Column, vocab_path: str, doc_id: str, text:
             subwords = np.bincount(mine, minlength=len(coder.v.token_bytes))
             before = np.concatenate([[end], mine[:-1]])[: len(mine)]
             pairs, pair_counts = np.unique(before.astype(np.int64) << 20 | mine, return_counts=True)
-            windows = [
-                np.lib.stride_tricks.sliding_window_view(np.concatenate([[end], mine]), attention.WINDOW + 1)[
-                    :: attention.WINDOW
-                ][r * STRIDE // ROUNDS :: STRIDE]
-                for r in range(ROUNDS if len(mine) >= attention.WINDOW else 0)
-            ]
-            taken = np.concatenate([[len(w) for w in windows], *(w.ravel() for w in windows)])
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
             values = [
                 (part << 32) + number, ids, _pack(is_train, "u1"), row["sizes"], row["codes"], row["word_sizes"],
                 row["word_ids"], hashes, counts, subwords, _pack(np.diff(pairs, prepend=0), "<i8"), _pack(pair_counts, "<i4"),
-                _pack(taken, "<i4"),
             ]
             longs, raw = pa.list_(pa.int64()), pa.binary()
-            kinds = [pa.int64(), longs, raw, raw, raw, raw, raw, longs, pa.list_(pa.int32()), longs, raw, raw, raw]
+            kinds = [pa.int64(), longs, raw, raw, raw, raw, raw, longs, pa.list_(pa.int32()), longs, raw, raw]
             names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names
@@ -171,6 +164,13 @@ def _tables(chunks: DataFrame, n_ids: int) -> attention.Tables:
     return attention.tables(counts, table.reshape(attention.BUCKETS, attention.BUCKETS))
 
 
+def training_windows(row, t: attention.Tables, end: int, round_: int) -> np.ndarray:
+    """The windows of a chunk's training documents that belong to a round, in buckets."""
+    s = _Streams(row, end)
+    mine = s.ids[np.repeat(_unpack(row.learnt, "u1") > 0, s.lengths)]
+    return attention.cut(t.bucket[np.concatenate([[end], mine])], round_, ROUNDS)
+
+
 def _train(chunks: DataFrame, tables: attention.Tables, end: int) -> np.ndarray:
     sc = chunks.sparkSession.sparkContext
     shipped = sc.broadcast(tables)
@@ -181,11 +181,7 @@ def _train(chunks: DataFrame, tables: attention.Tables, end: int) -> np.ndarray:
         def run(batches, round_=round_, now=now):
             t, found = shipped.value, []
             for b in batches:
-                for raw in b.column(0).to_pylist():
-                    x = _unpack(raw, "<i4")
-                    begin = ROUNDS + (attention.WINDOW + 1) * int(x[:round_].sum())
-                    mine = x[begin : begin + (attention.WINDOW + 1) * int(x[round_])] if len(x) > ROUNDS else x[:0]
-                    found.append(t.bucket[mine].astype(np.int64).reshape(-1, attention.WINDOW + 1))
+                found += [training_windows(row, t, end, round_) for row in b.to_pandas().itertuples()]
             windows = np.concatenate(found) if found else np.zeros((0, 0))
             if len(windows):
                 new, _ = attention.train_windows(now.value, t, windows, RATE / (1 + round_), MIN_STEPS)
@@ -208,7 +204,8 @@ def _train(chunks: DataFrame, tables: attention.Tables, end: int) -> np.ndarray:
                     [pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "flat"]
                 )
 
-        parts = chunks.select("windows").mapInArrow(run, "slot long, n long, flat binary")
+        columns = ["learnt", "sizes", "codes", "word_sizes", "word_ids"]
+        parts = chunks.select(*columns).mapInArrow(run, "slot long, n long, flat binary")
         sums = parts.repartition(SUMS, "slot").mapInArrow(add, "n long, flat binary").collect()
         if sums:
             flat = (sum(np.frombuffer(r.flat) for r in sums) / sum(r.n for r in sums)).astype(np.float32)
