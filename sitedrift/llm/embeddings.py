@@ -5,9 +5,11 @@ directions) and compares neighbours in a bounded window of that order, by cosine
 all passes are united. Equal vectors collapse first. Within the components found, links are then counted exactly in
 bounded blocks; pairs are never emitted.
 
-A pair of cosine 0.95 (0.9) shares a window in one pass of a few with a chance of about 0.5 (0.3) at 100,000 vectors;
-with 24 passes the chance to miss it is below 1e-7 (2e-4), and each doubling of the table costs about an eighth of the
-chance in one pass.
+A pair of cosine 0.9 shares a window in one pass with a chance of about 0.24 at 100,000 vectors, and each doubling of the
+table costs about a sixth of that (measured at 64 dimensions, 25,000 to 400,000 random vectors). The number of passes follows from the number of distinct vectors, so that the chance
+to miss such a pair stays at 2e-4 (24 passes at least, 32 at 100,000 vectors, 46 at 400,000). Then further passes are
+made, ``PASSES_AT_ONCE`` at a time, until those of a time join no components: where many vectors are near each other but
+not linked, a link's chance in a pass is much less than the formula has it.
 
 Defined results: null or zero vectors and those with null or non-finite components link with nothing, nor do vectors
 of different lengths; a window's ties are in order of ids; rows that repeat a vector are linked copies; other columns
@@ -16,6 +18,8 @@ are left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from .components import UnionFind, connected_components
 from .shared import partitions, stored
 
-PASSES, HASHES, WINDOW = 24, 63, 96
+#: PASSES at least; MISS: chance aimed at to miss a pair of cosine 0.9 in all passes.
+PASSES, HASHES, WINDOW, MISS = 24, 63, 96, 2e-4
 #: Passes that are sorted by one job; bounds the rows shuffled at a time.
 PASSES_AT_ONCE = 8
 #: Vectors of a block when links are counted; a task holds two.
@@ -43,6 +48,12 @@ def usable(vector: str) -> Column:
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def passes_for(n_vectors: int) -> int:
+    """Passes after which a pair of cosine 0.9 is missed with a chance of MISS; see the module's text."""
+    chance = min(0.3, 0.24 * 0.84 ** math.log2(max(n_vectors, 1) / 100_000))
+    return max(PASSES, math.ceil(math.log(MISS) / math.log1p(-chance)))
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -149,7 +160,8 @@ def _seam_batch(kind, seam, a, b, passes, vec) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["kind", "seam", "a", "b", "pass", "vec"])
 
 
-def _links(classes: DataFrame, n_classes: int, passes: int, window: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, n_classes: int, begin: int, passes: int, window: int, threshold: float) -> DataFrame:
+    """Links (a, b) found by so many passes from number begin on."""
     found = []
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,8 +175,8 @@ def _links(classes: DataFrame, n_classes: int, passes: int, window: int, thresho
                 out += [(names[i], names[j]) for i, j in pairs]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    for first in range(0, passes, PASSES_AT_ONCE):
-        count = min(PASSES_AT_ONCE, passes - first)
+    for first in range(begin, begin + passes, PASSES_AT_ONCE):
+        count = min(PASSES_AT_ONCE, begin + passes - first)
         total = n_classes * count
         n = max(-(-total // PARTITION_ROWS), min(partitions(classes.sparkSession), total // (8 * window)), 1)
         out = stored(_windows(_passes(classes, first, count), n, threshold, window), "windows")
@@ -176,6 +188,27 @@ def _links(classes: DataFrame, n_classes: int, passes: int, window: int, thresho
     return links
 
 
+def _components(classes: DataFrame, n_classes: int, passes: int, window: int, threshold: float) -> DataFrame:
+    """(rep, component) of linked vectors, after so many passes and then as many more as join components."""
+    links = stored(_links(classes, n_classes, 0, passes, window, threshold), "links")
+    found = stored(connected_components(links).withColumnRenamed("node", "rep"), "found")
+    while n_classes > 1:
+        links = _links(classes, n_classes, passes, PASSES_AT_ONCE, window, threshold)
+        passes += PASSES_AT_ONCE
+        for end in ("a", "b"):
+            of = found.select(F.col("rep").alias(end), F.col("component").alias("c"))
+            links = links.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        joined = stored(links.where("a <> b").distinct(), "links")
+        if joined.isEmpty():
+            break
+        moved = connected_components(joined)
+        labels = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        old = found.join(labels, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+        new = moved.withColumnRenamed("node", "rep").join(found.select("rep"), "rep", "left_anti")
+        found = stored(old.unionByName(new), "found")
+    return found
+
+
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     """rep, n: copies of other vectors linked to each of the members (component, n_members, rep, copies, vec)."""
     n = F.ceil(F.col("n_members") / BLOCK).cast("int")
@@ -202,12 +235,13 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.9,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     vec_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept; see the module's text."""
+    """vec_id, n_links, component_id, kept; see the module's text. passes: those before the further ones, by default
+    as many as the number of vectors asks for."""
     good = usable(vector)
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"),
@@ -227,8 +261,8 @@ def near_vectors(
             )
 
     classes = stored(copies.mapInArrow(pack, "v array<double>, rep long, copies long, vec binary"), "vectors")
-    links = stored(_links(classes, classes.count(), passes, window, threshold), "links")
-    found = stored(connected_components(links).withColumnRenamed("node", "rep"), "found")
+    n_classes = classes.count()
+    found = _components(classes, n_classes, passes_for(n_classes) if passes is None else passes, window, threshold)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
     members = found.join(sizes, "component").join(classes.select("rep", "copies", "vec"), "rep")
     counted = _count_links(members, threshold)

@@ -4,8 +4,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sitedrift.llm import attention, lm
+from sitedrift.llm import attention, embeddings, lm
 
 
 @pytest.mark.parametrize("n_words", [0, 5, 31, 32, 33, 400])
@@ -37,3 +38,33 @@ def test_rounds_and_shared_context():
 
 def test_no_training_documents_no_windows():
     assert attention.cut(np.zeros(1, np.int16), 0, 3).shape == (0, attention.WINDOW + 1)
+
+
+def test_passes_hold_the_miss_probability():
+    assert [embeddings.passes_for(n) for n in (1, 25_000, 100_000, 400_000)] == [24, 24, 32, 46]
+    for n in (200_000, 1_000_000, 10_000_000, 10**9):
+        chance = 0.24 * 0.84 ** np.log2(n / 100_000)
+        assert (1 - chance) ** embeddings.passes_for(n) <= embeddings.MISS
+        assert (1 - chance) ** (embeddings.passes_for(n) - 1) > embeddings.MISS
+
+
+def test_further_passes_while_they_join_components(spark):
+    """A dense group of near but mostly unlinked vectors: one pass alone loses links."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(32) + 0.55 * rng.standard_normal((400, 32))
+    x[200:] = x[:200] + 0.2 * rng.standard_normal((200, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    classes = embeddings.stored(df.select(F.col("vec_id").alias("rep"), F.udf(_bytes, "binary")("embedding").alias("vec")), "v")
+    few = embeddings.connected_components(embeddings._links(classes, 400, 0, 1, 4, 0.9))
+    whole = {r.rep: r.component for r in embeddings._components(classes, 400, 1, 4, 0.9).collect()}
+    once = {r.node: r.component for r in few.collect()}
+    parts = lambda d: len({d.get(i, i) for i in range(400)})
+    assert parts(whole) < parts(once)
+    assert set(once) <= set(whole)
+    pairs = df.sparkSession.createDataFrame([(a, b) for a, b in once.items()], "a long, b long").collect()
+    assert all(whole[r.a] == whole[r.b] for r in pairs)
+    assert all(whole[c] == c <= i for i, c in whole.items())
+
+
+def _bytes(v):
+    return np.asarray(v, np.float64).tobytes()
