@@ -1,146 +1,187 @@
 """Quality rules as a short-circuit cascade of DataFrame expressions.
 
-Features are columns derived once from the text. Each ``Rule`` rejects on a condition over them. ``plan_cascade``
-estimates every rule's cost (seconds to evaluate it alone) and selectivity (share rejected) on a bounded sample and
-orders the rules by rejection per cost; ``apply_cascade`` evaluates them as one CASE, which stops at the first that
-rejects. The order changes only which rule is named, never the verdict.
+A ``Feature`` is an expression over the text alone; a ``Rule`` rejects on a condition over features. ``plan_cascade``
+estimates every rule's cost and selectivity on a bounded random sample and orders the rules by rejection per cost.
+``apply_cascade`` and ``passing`` evaluate them one after the other: a feature is part of the condition of its rule
+and isn't derived below it, so it is computed only for rows that no earlier rule rejected. The order changes the work
+and which rule is named, never the verdict.
+
+Costs are wall times of the rule over the sample, the least of ``RUNS``, without that of a job that reads the sample
+only, rounded to a power of two, so that noise seldom changes the order; ties go by name.
 
 Defined results: null or empty text has no words and fails ``few_words``; windows that repeat are compared by 64-bit
-hash within one text; repeated rows are judged alike; an empty table gives no rows; other columns pass through, and a
-column that clashes with a feature's name is replaced by the feature.
+hash within one text; repeated rows are judged alike; an empty table gives no rows. ``passing`` returns the columns of
+its input, whatever their names. ``quality_rules`` adds the features asked for, failed_rule and kept; a column of one of
+these names is replaced.
 """
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 500
+#: Rows of the sample on which costs and selectivities are estimated, and its seed.
+SAMPLE_ROWS, SEED = 500, 17
+#: Timed runs of a rule.
+RUNS = 2
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE + "+", -1), lambda w: w != "")
+
+
+def lines(text: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+
+
+def repeated_words(text: Column) -> Column:
+    """Words inside windows of WINDOW words that the text holds more than once, the first one included."""
+
+    def grams(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+
+    def starts_of_repeats(ranked: Column) -> Column:
+        hit = lambda k: F.coalesce(F.get(ranked, k)["h"], F.lit(0))
+        last = F.size(ranked) - 1
+        twice = F.filter(
+            ranked, lambda e, k: ((k > 0) & (hit(k - 1) == e["h"])) | ((k < last) & (hit(k + 1) == e["h"]))
+        )
+        return F.array_sort(F.transform(twice, lambda e: e["p"]))
+
+    def covered(starts: Column) -> Column:
+        return F.aggregate(
+            starts,
+            F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+            lambda a, p: F.struct(
+                (p + WINDOW).alias("end"), (a["n"] + (p + WINDOW) - F.greatest(a["end"], p)).alias("n")
+            ),
+            lambda a: a["n"],
+        )
+
+    def count(g: Column) -> Column:
+        ranked = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        # only texts in which some window repeats pay for the sort
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(
+            let(ranked, lambda r: covered(starts_of_repeats(r)))
+        )
+
+    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: F.when(F.size(h) < WINDOW, F.lit(0)).otherwise(let(grams(h), count)))
+
+
+#: name: expression over a text that isn't null. All are longs.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.size(words(t)),
+    "word_chars": lambda t: F.length(t) - F.regexp_count(t, F.lit(SPACE)),
+    "n_lines": lambda t: F.size(lines(t)),
+    "n_dup_lines": lambda t: let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_symbols": lambda t: F.regexp_count(t, F.lit("[#*$%&|<>]")),
+    "n_upper": lambda t: F.regexp_count(t, F.lit("[A-Z]")),
+    "n_exclaims": lambda t: F.regexp_count(t, F.lit("[!?]{2,}")),
+    "n_repeat_words": repeated_words,
+}
+
+
+def feature(name: str, text: str) -> Column:
+    return FEATURES[name](F.coalesce(F.col(text), F.lit(""))).cast("long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``sql``, over the feature columns, is true."""
+    """Rejects where ``reject`` of the values of these features is true."""
 
     name: str
-    sql: str
+    features: tuple[str, ...]
+    reject: Callable[..., Column]
+
+    def on(self, value: Callable[[str], Column]) -> Column:
+        return F.coalesce(self.reject(*(value(f) for f in self.features)), F.lit(False))
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", "n_words < 20"),
-    Rule("repeats", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("long_words", "word_chars > 15 * n_words"),
-    Rule("shouting", "2 * n_upper > word_chars"),
-    Rule("exclaiming", "10 * n_exclaims > n_words"),
+    Rule("few_words", ("n_words",), lambda n: n < 20),
+    Rule("repeats", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 30 * n),
+    Rule("symbols", ("n_symbols", "n_words"), lambda s, n: 10 * s > n),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda d, n: 10 * d > 3 * n),
+    Rule("short_words", ("word_chars", "n_words"), lambda c, n: c < 2 * n),
+    Rule("long_words", ("word_chars", "n_words"), lambda c, n: c > 15 * n),
+    Rule("shouting", ("n_upper", "word_chars"), lambda u, c: 2 * u > c),
+    Rule("exclaiming", ("n_exclaims", "n_words"), lambda e, n: 10 * e > n),
 )
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper, n_exclaims, n_repeat_words (long)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    helpers = ["_words", "_lines", "_grams", "_ranked"]
-    base = docs.drop(*helpers).withColumns(
-        {
-            "_words": F.filter(F.split(body, SPACE + "+", -1), lambda w: w != ""),
-            "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)),
-        }
-    )
-    base = base.withColumns(
-        {
-            "_grams": F.when(
-                F.size("_words") >= WINDOW,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
-                    lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW)),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_upper": F.regexp_count(body, F.lit("[A-Z]")).cast("long"),
-            "n_exclaims": F.regexp_count(body, F.lit("[!?]{2,}")).cast("long"),
-        }
-    )
-    # only texts in which some window repeats pay for the sort
-    ranked = F.when(
-        F.size(F.array_distinct("_grams")) < F.size("_grams"),
-        F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
-    )
-    base = base.withColumn("_ranked", ranked)
-    hit = lambda k: F.coalesce(F.get(F.col("_ranked"), k)["h"], F.lit(0))
-    last = F.size("_ranked") - 1
-    repeated = F.array_sort(
-        F.transform(
-            F.filter(
-                "_ranked",
-                lambda e, k: ((k > 0) & (hit(k - 1) == e["h"])) | ((k < last) & (hit(k + 1) == e["h"])),
-            ),
-            lambda e: e["p"],
-        )
-    )
-    covered = F.aggregate(
-        repeated,
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda a, p: F.struct(
-            (p + WINDOW).alias("end"), (a["n"] + (p + WINDOW) - F.greatest(a["end"], p)).alias("n")
-        ),
-        lambda a: a["n"],
-    )
-    return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(*helpers)
-
-
-def plan_cascade(sample: DataFrame, rules: Sequence[Rule] = RULES) -> list[tuple[Rule, float, float]]:
-    """Rules with (cost in seconds, share rejected) on a sample with features, best rejection per cost first.
-
-    Column pruning leaves each timed job only the features its rule reads, so the time is that rule's own.
-    """
+def plan_cascade(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS
+) -> list[tuple[Rule, float, float]]:
+    """Rules with (cost in seconds, share rejected) on a sample of about sample_rows texts, best rejection per cost
+    first. The sample is drawn in all partitions and written to the shared folder; texts don't reach the driver."""
+    total = docs.count()
+    share = min(1.0, sample_rows / max(1, total))
+    sample = docs.select(F.col(text).alias("text"))
+    sample = stored(sample.sample(fraction=share, seed=SEED) if share < 1 else sample, "sample")
+
+    def timed(condition: Column) -> tuple[float, int, int]:
+        job, best = sample.agg(F.count(F.lit(1)), F.count_if(condition)), math.inf
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            n, hits = job.first()
+            best = min(best, time.perf_counter() - began)
+        return best, n, hits
+
+    idle, _, _ = timed(F.length("text") < 0)
     measured = []
     for rule in rules:
-        one = sample.agg(F.count(F.lit(1)), F.count_if(F.expr(rule.sql)))
-        began = time.perf_counter()
-        n, rejected = one.first()
-        measured.append((rule, time.perf_counter() - began, rejected / max(1, n)))
-    return sorted(measured, key=lambda m: (-m[2] / max(m[1], 1e-6), m[1], m[0].name))
+        seconds, n, rejected = timed(rule.on(lambda f: feature(f, "text")))
+        measured.append((rule, 2.0 ** round(math.log2(max(seconds - idle, 2**-6))), rejected / max(1, n)))
+    return sorted(measured, key=lambda m: (-m[2] / m[1], m[1], m[0].name))
 
 
-def apply_cascade(featured: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds failed_rule: the first rule in this order that rejects, null where none does."""
+def apply_cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", given: Sequence[str] = ()) -> DataFrame:
+    """Adds failed_rule: the first rule in this order that rejects, null where none does. Features named in given are
+    taken from columns of docs; the others are computed where their rule is reached."""
+    value = lambda f: F.col(f) if f in given else feature(f, text)
     case: Column | None = None
     for rule in rules:
-        cond = F.expr(rule.sql)
+        cond = rule.on(value)
         case = F.when(cond, F.lit(rule.name)) if case is None else case.when(cond, F.lit(rule.name))
-    return featured.withColumn("failed_rule", F.lit(None).cast("string") if case is None else case)
+    return docs.withColumn("failed_rule", F.lit(None).cast("string") if case is None else case)
 
 
 def quality_rules(
+    docs: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    text: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+    features: Sequence[str] = tuple(FEATURES),
+) -> DataFrame:
+    """docs with failed_rule, kept and the features asked for; these are computed for every row, the others by need."""
+    order = [m[0] for m in plan_cascade(docs, rules, text, sample_rows)]
+    featured = docs.withColumns({f: feature(f, text) for f in features})
+    return apply_cascade(featured, order, text, features).withColumn("kept", F.col("failed_rule").isNull())
+
+
+def passing(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """docs with the features, failed_rule and kept."""
-    rows = docs.select(F.col(text).alias("text")).head(sample_rows)
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in rows], "text string")
-    order = [m[0] for m in plan_cascade(with_features(sample), rules)]
-    return apply_cascade(with_features(docs, text), order).withColumn("kept", F.col("failed_rule").isNull())
-
-
-def passing(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs, their own columns, that no rule rejects.
-
-    A plain filter on the verdict would be pushed below the features and take each of their expressions apart again,
-    inside its lambdas too. The row number, which isn't deterministic, holds it above them.
-    """
-    judged = quality_rules(docs, rules, text)
-    judged = judged.withColumns({"_verdict": F.col("failed_rule"), "_at": F.monotonically_increasing_id()})
-    return judged.where((F.col("_at") >= 0) & F.col("_verdict").isNull()).select(*docs.columns)
+    """The rows of docs, their own columns, that no rule rejects: one filter whose terms stop at the first rejection."""
+    order = [m[0] for m in plan_cascade(docs, rules, text, sample_rows)]
+    terms = [~rule.on(lambda f: feature(f, text)) for rule in order]
+    return docs.where(reduce(Column.__and__, terms)) if terms else docs

@@ -166,18 +166,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), features=base)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return judged.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        "kept",
-    )
+    return judged.select("doc_id", *base, failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
 
 
 OP10_SQL = r"""

@@ -5,8 +5,9 @@ characters, which catch inflected and compounded forms). Noisy-or combines the s
 each of them is. Weights are learnt from document labels through that combination, and the sentences with high scores
 are the offending ones.
 
-Training uses at most ``sample_docs`` labelled documents, those with the smallest hash of their id, in one task; the
-weights have a fixed size. Scoring is a map over all documents.
+Training uses a bounded sample in one task: at most ``sample_docs`` labelled documents, those with the smallest hash of
+their id, whole, as long as they begin within ``sample_chars`` characters; the weights have a fixed size. Scoring is a
+map over all documents.
 
 Defined results: null or empty text is one empty sentence, whose score is the bias's; rows without a label, or with a
 null one, are not learnt from; of several labels of a document the largest counts; without any labelled document all
@@ -17,23 +18,25 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents learnt from at most.
-SAMPLE_DOCS = 8_000
+#: Documents learnt from at most, and characters after which no further one begins.
+SAMPLE_DOCS, SAMPLE_CHARS = 8_000, 40_000_000
 FEATURE_BITS = 20
 BEGINNINGS = (3, 4, 5, 6)
 #: Features of fewer training documents keep weight 0.
 MIN_DOCS = 3
-#: LASSO: the pull to 0 of a weight in each step that touches it.
-#: Few labelled documents are gone through more often, up to MIN_STEPS steps.
+#: LASSO: the pull to 0 of a weight in each step that touches it. Few labelled documents are gone through more often, up to MIN_STEPS steps.
 EPOCHS, BATCH, RATE, LASSO, MIN_STEPS = 12, 128, 0.5, 1e-4, 300
+#: Distinct words whose features are kept while texts are read for training.
+KNOWN_WORDS = 200_000
 #: Distinct words whose logits a worker keeps.
 CACHE_WORDS = 1_000_000
 
@@ -70,40 +73,52 @@ def sentences(text: str | None) -> list[list[str]]:
     return out if out[-1] or len(out) == 1 else out[:-1]
 
 
-def train(texts: list[str | None], toxic: np.ndarray) -> Model:
-    """AdaGrad on the noisy-or log loss. Sentences hold each feature once."""
+def train(texts: Iterable[str | None], toxic: Sequence[int]) -> Model:
+    """AdaGrad on the noisy-or log loss. Sentences hold each feature once. toxic is read after texts.
+
+    Memory: four bytes for each feature of a sentence, of all sentences, and once more while rare ones are dropped.
+    """
     size = 1 << FEATURE_BITS
-    if not len(texts):
-        return Model(np.zeros(size, np.float32), -np.inf)
     known: dict[str, list[int]] = {}
-    flat, sentence_at, doc_at = [], [0], [0]
-    n = 0
+    flat, sentence_at, doc_at = array("i"), array("q", [0]), array("q", [0])
+    docs_with = np.zeros(size, np.int32)
     for text in texts:
+        in_doc: set[int] = set()
         for words in sentences(text):
-            found = set()
+            found: set[int] = set()
             for w in words:
                 if w not in known:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
                     known[w] = features(w)
                 found.update(known[w])
-            flat.append(np.fromiter(sorted(found), np.int32, len(found)))
-            n += len(found)
-            sentence_at.append(n)
+            flat.extend(sorted(found))
+            sentence_at.append(len(flat))
+            in_doc |= found
+        docs_with[np.fromiter(in_doc, np.int64, len(in_doc))] += 1
         doc_at.append(len(sentence_at) - 1)
     known.clear()
-    feats = np.concatenate(flat)
+    n_docs = len(doc_at) - 1
+    if not n_docs:
+        return Model(np.zeros(size, np.float32), -np.inf)
+    common = np.flatnonzero(docs_with >= MIN_DOCS)
+    number = np.full(size, -1, np.int32)
+    number[common] = np.arange(len(common))
     sentence_at, doc_at = np.array(sentence_at), np.array(doc_at)
-    doc_of_feature = np.repeat(np.arange(len(texts)), sentence_at[doc_at[1:]] - sentence_at[doc_at[:-1]])
-    pairs = np.unique(doc_of_feature.astype(np.int64) << FEATURE_BITS | feats)
-    common = np.bincount(pairs & (size - 1), minlength=size) >= MIN_DOCS
-    del pairs, doc_of_feature
-    w, g2 = np.zeros(size, np.float64), np.full(size, 1e-2)
+    feats = number[np.frombuffer(flat, np.int32)] if len(flat) else np.zeros(0, np.int32)
+    del flat
+    kept = np.concatenate([[0], np.cumsum(feats >= 0)])
+    sentence_at, feats = kept[sentence_at], feats[feats >= 0]
+    del kept
+    w, g2 = np.zeros(len(common)), np.full(len(common), 1e-2)
+    toxic = np.asarray(toxic)
     rate_docs = min(max(toxic.mean(), 1e-3), 0.999)
     bias, bias_g2 = float(np.log(rate_docs / max(1.0, np.diff(doc_at).mean()))), 1e-2
     rng = np.random.default_rng(7)
-    batches = -(-len(texts) // BATCH)
+    batches = -(-n_docs // BATCH)
     for _ in range(max(EPOCHS, -(-MIN_STEPS // batches))):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
+        order = rng.permutation(n_docs)
+        for at in range(0, n_docs, BATCH):
             rows = np.sort(order[at : at + BATCH])
             s_rows = np.concatenate([np.arange(doc_at[d], doc_at[d + 1]) for d in rows])
             count = sentence_at[s_rows + 1] - sentence_at[s_rows]
@@ -116,20 +131,28 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
             p = -np.expm1(-total)
             push = np.where(toxic[rows] > 0, -(1 - p) / np.maximum(p, 1e-9), 1.0)
             g = push[doc] / (1 + np.exp(-z)) / len(rows)
-            grad = np.bincount(ids, g[owner], size) * common
+            grad = np.bincount(ids, g[owner], len(common))
             touched = np.flatnonzero(grad)
             g2[touched] += grad[touched] ** 2
             step = RATE / np.sqrt(g2[touched])
             w[touched] = np.maximum(0.0, w[touched] - step * (grad[touched] + LASSO))
             bias_g2 += g.sum() ** 2
             bias -= RATE * 0.3 * g.sum() / np.sqrt(bias_g2)
-    return Model(w.astype(np.float32), float(bias))
+    weights = np.zeros(size, np.float32)
+    weights[common] = w
+    return Model(weights, float(bias))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_chars: int = SAMPLE_CHARS,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> Model:
-    """A model from labels (doc_id, toxic) of docs."""
+    """A model from labels (doc_id, toxic) of docs: the first sample_docs of them by the hash of their id, and of those
+    the first whose texts together begin within sample_chars characters."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("_id"))
@@ -139,20 +162,25 @@ def fit(
     )
     # sample_docs bounds this side, so it is sent to all tasks; the limit after it bounds repeated document rows
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = rows.limit(2 * sample_docs).repartition(1).sortWithinPartitions("_id", "_text")
+    in_order = Window.orderBy(F.xxhash64("_id"), "_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(in_order), F.lit(0))
+    rows = rows.limit(2 * sample_docs).withColumn("_before", before).where(F.col("_before") < sample_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
-        for b in batches:
-            texts += b.column(1).to_pylist()
-            toxic += b.column(2).to_pylist()
-        m = train(texts, np.array(toxic))
+        toxic: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                toxic.extend(b.column(1).to_pylist())
+                yield from (t.as_py() for t in b.column(0))
+
+        m = train(texts(), toxic)
         yield pa.RecordBatch.from_arrays(
             [pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], names=["weights", "bias"]
         )
 
-    got = rows.select("_id", "_text", "_toxic").mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(got.weights, np.float32), got.bias) if got else train([], np.zeros(0))
+    got = rows.select("_text", "_toxic").mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(got.weights, np.float32), got.bias) if got else train([], [])
 
 
 class _Logits(dict):

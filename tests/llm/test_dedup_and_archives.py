@@ -5,6 +5,7 @@ import re
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitedrift.llm import components, embeddings, minhash, toxicity, warc, zipfmt
@@ -28,6 +29,21 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("finish", [0, 1000])
+def test_components_of_an_ordered_chain_in_few_rounds(spark, monkeypatch, finish):
+    n, rounds = 5000, []
+    keep = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    edges = spark.range(1, n).selectExpr("id AS a", "id - 1 AS b").union(spark.sql("SELECT 9000L, 9001L"))
+    edges = edges.union(spark.range(20_000, 20_500).selectExpr("id", "19999L"))
+    got = components.connected_components(edges, finish)
+    want = [(0, n), (9000, 2), (19999, 501)]
+    assert sorted(map(tuple, got.groupBy("component").count().collect())) == want
+    assert got.count() == n + 503
+    # at most 2 * log2(n) rounds
+    assert rounds.count("step") <= 25
+
+
 def family(rng, n, words, edits):
     base = [f"w{rng.randrange(5000)}" for _ in range(words)]
     for _ in range(n):

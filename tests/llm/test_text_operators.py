@@ -98,7 +98,40 @@ def test_quality_features_and_cascade(docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     reverse = quality.quality_rules(df, quality.RULES[::-1]).select("doc_id", "kept")
     assert {r.doc_id: r.kept for r in reverse.collect()} == {i: r.kept for i, r in got.items()}
-    assert quality.quality_rules(df.limit(0)).count() == 0
+    assert quality.quality_rules(df.limit(0)).count() == quality.passing(df.limit(0)).count() == 0
+
+
+def test_quality_keeps_columns_of_any_name(docs):
+    df = docs([(1, " ".join(f"word{i}" for i in range(40))), (1, None), (None, " ".join(f"x{i}" for i in range(40)))])
+    df = df.withColumns({"n_words": F.lit(777), "_words": F.lit("w"), "_verdict": F.lit(1), "failed_rule": F.lit("no")})
+    kept = quality.passing(df)
+    assert kept.columns == df.columns
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id or 0)
+    assert [(r.doc_id, r.n_words, r["_words"], r["_verdict"], r.failed_rule) for r in rows] == [
+        (None, 777, "w", 1, "no"), (1, 777, "w", 1, "no"),
+    ]
+
+
+def test_quality_short_circuits(docs, spark):
+    """A feature of a later rule isn't computed for a row that an earlier one rejects."""
+    df = docs([(1, "few words")])
+    never = quality.Rule("never", ("n_words",), lambda n: F.raise_error(F.lit("reached")).isNull() & (n > 0))
+    first = quality.RULES[0]
+    assert quality.apply_cascade(df, [first, never]).first().failed_rule == "few_words"
+    try:
+        quality.apply_cascade(df, [never, first]).collect()
+    except Exception as e:
+        assert "reached" in str(e)
+    else:
+        raise AssertionError("the first rule was passed over")
+
+
+def test_cascade_orders_by_rejection_per_cost(docs):
+    df = docs([*((i, "too short") for i in range(30)), *((100 + i, " ".join(f"w{j}" for j in range(30))) for i in range(30))])
+    plan = quality.plan_cascade(df)
+    assert plan[0][0].name == "few_words" and {m[2] for m in plan} == {0.0, 0.5}
+    ratio = [m[2] / m[1] for m in plan]
+    assert ratio == sorted(ratio, reverse=True) and len(plan) == len(quality.RULES)
 
 
 def test_packing_covers_each_token_once(docs):
