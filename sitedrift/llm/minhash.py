@@ -11,8 +11,10 @@ ranks can't lower any of its positions. Documents that share a band are candidat
    components.
 
 Defined results: words are lower-cased (A-Z only); a text with fewer words than a shingle has is one shingle; null,
-empty and wordless texts have no shingles and no links; ties and repeated rows of one id share that id's class;
-other columns pass through untouched; an empty table gives no rows. Shingles are held as 64-bit hashes.
+empty and wordless texts have no shingles and no links; each row counts by itself, so rows that repeat a text are
+copies, also under one id, and different texts under one id are different documents; rows without an id link like others,
+name no component (component_id is null if no row of it has an id) and aren't kept; other columns are left out; an
+empty table gives no rows. Shingles are held as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import UnionFind, connected_components
-from .shared import stored
+from .shared import stored, unused
 from .word_ids import lower_ascii
 
 POSITIONS = 128
@@ -127,30 +130,37 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, doc_id: str, text: str, rows_of_band: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set), bands, sig (a byte for each position)."""
+    """A row per document: node (its number), doc_id, n_shingles, set_key (128-bit hash of the set), bands, sig (a byte for
+    each position), body (deflated text, a third of its hashed shingles). node numbers hold once the rows are stored."""
 
     def run(batches):
+        node = TaskContext.get().partitionId() << 36
         for b in batches:
             rows, held = [], 0
 
             def flush(rows: list) -> pa.RecordBatch:
-                sig = superminhash([s for _, s in rows])
+                nonlocal node
+                sig = superminhash([s for _, s, _ in rows])
                 keys = band_keys(sig, rows_of_band)
                 small = mix(sig.astype(np.uint64)).astype(np.uint8)
+                node += len(rows)
                 return pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i for i, _ in rows], pa.int64()),
-                        pa.array([len(s) for _, s in rows], pa.int64()),
-                        pa.array([xxhash.xxh128_digest(s.tobytes()) for _, s in rows], pa.binary()),
+                        pa.array(range(node - len(rows), node), pa.int64()),
+                        pa.array([i for i, _, _ in rows], pa.int64()),
+                        pa.array([len(s) for _, s, _ in rows], pa.int64()),
+                        pa.array([xxhash.xxh128_digest(s.tobytes()) for _, s, _ in rows], pa.binary()),
                         pa.array(list(keys), pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in small], pa.binary()),
+                        pa.array([x for _, _, x in rows], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                    names=["node", "doc_id", "n_shingles", "set_key", "bands", "sig", "body"],
                 )
 
             for i, t in zip(b.column(0), b.column(1), strict=True):
-                s = shingles(t.as_py(), k)
-                rows.append((i.as_py(), s))
+                body = t.as_py() or ""
+                s = shingles(body, k)
+                rows.append((i.as_py(), s, zlib.compress(body.encode(), 1)))
                 held += len(s)
                 if held >= CHUNK:
                     yield flush(rows)
@@ -159,27 +169,10 @@ def sketches(docs: DataFrame, k: int, doc_id: str, text: str, rows_of_band: int)
                 yield flush(rows)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+        run, "node long, doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, body binary"
     )
 
 
-def bodies(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, body (deflated text, a third of its hashed shingles) of the documents wanted (doc_id).
-
-    Texts are deflated where they are read, so that the join moves little; it is a merge join at every size, as the
-    wanted documents grow with the corpus.
-    """
-
-    def run(batches):
-        for b in batches:
-            packed = [zlib.compress((t.as_py() or "").encode(), 1) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "body"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    packed = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, body binary")
-    return packed.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
 def body_shingles(body: bytes, k: int) -> np.ndarray:
     return shingles(zlib.decompress(body).decode(), k)
 
@@ -189,9 +182,9 @@ def similar(inter: int, a: int, b: int, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; texts: doc_id, body."""
-    joined = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("ta")), "a")
-    joined = joined.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("tb")), "b")
+    """The pairs (a, b) whose full sets are similar; texts: node, body."""
+    joined = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a")
+    joined = joined.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("body").alias("tb")), "b")
 
     def run(batches):
         for t in batches:
@@ -207,9 +200,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough for their sets to be similar."""
-    sigs = reps.select("doc_id", "sig")
-    joined = pairs.hint("merge").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-    joined = joined.hint("merge").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    sigs = reps.select("node", "sig")
+    joined = pairs.hint("merge").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+    joined = joined.hint("merge").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
 
     def run(batches):
         for t in batches:
@@ -270,9 +263,9 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Rows of a bucket (key, n_members) dealt over pairs of blocks (i <= j) by the hash of their id."""
+    """Rows of a bucket (key, n_members) dealt over pairs of blocks (i <= j) by the hash of their number."""
     n = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "key"), n.cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), n.cast("long")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")),
@@ -282,7 +275,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _judge(pdf: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("doc_id", kind="stable")
+    pdf = pdf.sort_values("node", kind="stable")
     x = pdf[pdf["own"] == i]
     y = x if i == j else pdf[pdf["own"] == j]
     key = pdf["key"].iloc[0]
@@ -295,36 +288,37 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents with 100 * intersection >= percent * union are linked."""
     sketch = stored(sketches(docs, k, doc_id, text, band_rows(percent)), "sketches")
-    classes = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"))
     classes = stored(classes, "classes")
-    firsts = classes.select(F.col("rep").alias("doc_id")).hint("merge")
-    reps = sketch.where("n_shingles > 0").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.drop("set_key"), "reps")
+    firsts = classes.select(F.col("rep").alias("node")).hint("merge")
+    reps = sketch.select("node", "n_shingles", "bands", "sig").where("n_shingles > 0").join(firsts, "node", "left_semi")
+    reps = stored(reps, "reps")
 
-    exploded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    exploded = reps.select("node", "n_shingles", F.explode("bands").alias("key"))
     ends = exploded.groupBy("key").agg(
-        F.min(F.struct("doc_id", "n_shingles")).alias("lo"),
-        F.max(F.struct("doc_id", "n_shingles")).alias("hi"),
+        F.min(F.struct("node", "n_shingles")).alias("lo"),
+        F.max(F.struct("node", "n_shingles")).alias("hi"),
         F.count(F.lit(1)).alias("n_members"),
     )
     members = stored(exploded.join(ends.where("n_members > 1").hint("merge"), "key"), "members")
-    texts = stored(bodies(docs, members.select("doc_id").distinct(), doc_id, text), "bodies")
+    wanted = members.select("node").distinct().hint("merge")
+    texts = stored(sketch.select("node", "body").join(wanted, "node", "left_semi"), "bodies")
 
     def pair(end: str) -> DataFrame:
         fits = F.lit(100) * F.least("n_shingles", f"{end}.n_shingles") >= F.lit(percent) * F.greatest(
             "n_shingles", f"{end}.n_shingles"
         )
-        return members.where(fits & (F.col("doc_id") != F.col(f"{end}.doc_id"))).select(
-            "doc_id", F.col(f"{end}.doc_id").alias("end")
+        return members.where(fits & (F.col("node") != F.col(f"{end}.node"))).select(
+            "node", F.col(f"{end}.node").alias("end")
         )
 
-    shared = stored(pair("lo").unionAll(pair("hi")).groupBy("doc_id", "end").count(), "shared")
-    best = shared.groupBy("doc_id").agg(F.max(F.struct("count", "end")).alias("best"))
-    pairs = stored(best.select(F.col("doc_id").alias("a"), F.col("best.end").alias("b")), "pairs")
+    shared = stored(pair("lo").unionAll(pair("hi")).groupBy("node", "end").count(), "shared")
+    best = shared.groupBy("node").agg(F.max(F.struct("count", "end")).alias("best"))
+    pairs = stored(best.select(F.col("node").alias("a"), F.col("best.end").alias("b")), "pairs")
     links = stored(verify(pairs, texts, k, percent), "links")
     found = connected_components(links)
 
-    later = shared.select(F.col("doc_id").alias("a"), F.col("end").alias("b"))
+    later = shared.select(F.col("node").alias("a"), F.col("end").alias("b"))
     later = later.join(pairs.hint("merge"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
         later = later.hint("merge").join(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
@@ -333,21 +327,21 @@ def near_duplicates(
     links = links.unionAll(stored(verify(later, texts, k, percent), "links"))
     found = connected_components(links)
 
-    large = members.where("n_members > 2").select("key", "doc_id", "n_members")
-    labelled = large.hint("merge").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n_members", F.coalesce("component", "doc_id").alias("component")
+    large = members.where("n_members > 2").select("key", "node", "n_members")
+    labelled = large.hint("merge").join(found, "node", "left").select(
+        "key", "node", "n_members", F.coalesce("component", "node").alias("component")
     )
     split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     rest = labelled.join(split.where("c0 <> c1").select("key"), "key", "left_semi")
-    rest = rest.hint("merge").join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id")
+    rest = rest.hint("merge").join(reps.select("node", "n_shingles", "bands", "sig"), "node")
     rest = stored(_blocks(rest), "rest")
 
     def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, at = _judge(pdf, percent)
-        ids = np.union1d(x["doc_id"].to_numpy()[at[:, 0]], y["doc_id"].to_numpy()[at[:, 1]])
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "i": pdf["i"].iloc[0], "j": pdf["j"].iloc[0], "doc_id": ids})
+        ids = np.union1d(x["node"].to_numpy()[at[:, 0]], y["node"].to_numpy()[at[:, 1]])
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "i": pdf["i"].iloc[0], "j": pdf["j"].iloc[0], "node": ids})
 
-    alive = rest.groupBy("key", "i", "j").applyInPandas(survivors, "key long, i int, j int, doc_id long")
+    alive = rest.groupBy("key", "i", "j").applyInPandas(survivors, "key long, i int, j int, node long")
     alive = stored(alive, "alive")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +352,7 @@ def near_duplicates(
             b = a if y is x else [body_shingles(s, k) for s in y["body"]]
             table = _intersections(a, b) if len(at) > 400 else None
             cx, cy = x["component"].tolist(), y["component"].tolist()
-            dx, dy = x["doc_id"].tolist(), y["doc_id"].tolist()
+            dx, dy = x["node"].tolist(), y["node"].tolist()
             for p, q in at.tolist():
                 if joined.find(cx[p]) == joined.find(cy[q]):
                     continue
@@ -368,19 +362,39 @@ def near_duplicates(
                     out.append((dx[p], dy[q]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    last = rest.join(alive, ["key", "i", "j", "doc_id"]).hint("merge").join(texts, "doc_id")
+    last = rest.join(alive, ["key", "i", "j", "node"]).hint("merge").join(texts, "node")
     late = stored(last.groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long"), "late")
     labels = found if late.isEmpty() else connected_components(links.unionAll(late))
 
-    of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
+    # a class's component by its representative's number, then the smallest id of each component
+    of_class = classes.hint("merge").join(labels, F.col("rep") == F.col("node"), "left").select(
+        "set_key", "least", F.coalesce("component", "rep").alias("component")
     )
+    of_class = stored(of_class, "classes")
+    named = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.hint("merge").join(named, "component").select("set_key", "component_id")
     return (
-        sketch.join(of_class, "set_key", "left")
+        sketch.select("set_key", "doc_id", "n_shingles")
+        .join(of_class, "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, their own columns, that are the first of their component: exactly one row of each.
+
+    First is the smallest id, rows without one after all others; of equal ids any one row. Rows without words are
+    components of their own. The rows are stored once with a number, so ids may repeat or be missing.
+    """
+    number = unused(docs, "row")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, k, percent, number, text).select(F.col("doc_id").alias("n"), F.col("component_id").alias("c"))
+    ids = rows.select(F.col(number).alias("n"), F.col(doc_id).alias("id")).hint("merge").join(found, "n")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "n")
+    first = ids.groupBy("c").agg(F.min(order).alias("m")).select(F.col("m.n").alias(number))
+    return rows.join(first.hint("merge"), number, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -77,6 +77,24 @@ def test_minhash_equals_brute_force(docs):
     assert minhash.near_duplicates(docs([]), 3, 85).count() == 0
 
 
+def test_minhash_repeats_and_missing_ids(docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (2, a + " tail"), (None, a), (7, b), (7, c), (7, c), (9, c), (None, b + " end"), (None, "q r"), (None, "q r"), (3, None), (4, "")]
+    got = minhash.near_duplicates(docs(rows), 5, 80).collect()
+    key = lambda r: (str(r.doc_id), r.n_shingles, r.component_id, r.kept)
+    assert sorted(map(key, got)) == sorted(
+        [("5", 56, 2, False), ("2", 57, 2, True), ("None", 56, 2, False), ("7", 56, 7, True), ("7", 56, 7, True), ("7", 56, 7, True),
+         ("9", 56, 7, False), ("None", 57, 7, False), ("None", 1, None, False), ("None", 1, None, False), ("3", 0, 3, True), ("4", 0, 4, True)]
+    )
+    df = docs(rows).withColumns({"_kept": F.lit(1), "row": F.lit("r")})
+    kept = minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted(
+        [("2", a + " tail"), ("7", b), ("7", c), ("None", "q r"), ("3", ""), ("4", "")]
+    )
+    assert minhash.one_of_each(docs([])).count() == 0
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(2)
     err = []
