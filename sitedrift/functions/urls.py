@@ -59,15 +59,16 @@ def _bare(host: Column) -> Column:
 
 
 def is_url_within_domain(url: Column, domain: Column) -> Column:
-    """Host equals the domain or is below it, both without www; a bad URL isn't."""
-    host, own = _bare(host_of(url)), _bare(domain)
-    return F.coalesce((host == own) | F.endswith(host, F.concat(F.lit("."), own)), F.lit(False))
+    """Host equals the domain or is below it, both without www; a bad URL isn't, and nothing is below a blank domain."""
+    host, own = _bare(host_of(url)), _bare(F.trim(domain))
+    return F.coalesce((own != "") & ((host == own) | F.endswith(host, F.concat(F.lit("."), own))), F.lit(False))
 
 
 def parse_domain(text: Column) -> Column:
-    """Host of a URL, or what stands before the first slash of a bare domain."""
+    """Host of a URL of any scheme, or what stands before the first slash of a bare domain."""
     bare = F.split_part(F.regexp_replace(text, "^https?://", ""), F.lit("/"), F.lit(1))
-    return F.coalesce(host_of(text), bare)
+    other = F.regexp_extract(F.trim(text), "^(?i)(?!https?:)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\\s]+)(?::[0-9]+)?(?:[/?#][^\\s]*)?$", 1)
+    return F.coalesce(host_of(text), F.when(other != "", other), bare)
 
 
 def normalize_domain(text: Column) -> Column:
@@ -77,7 +78,8 @@ def normalize_domain(text: Column) -> Column:
 
 
 def page_hosts(host: Column, configured: Column | None = None) -> Column:
-    """Configured hosts, or the host and its www twin (an address has none), distinct and sorted."""
+    """Configured hosts, or the host and its www twin (an address has none), distinct and sorted; null where a configured
+    one isn't a host name (see invalid_hosts)."""
     host = F.lower(host)
     twin = F.when(F.startswith(host, F.lit("www.")), F.substring(host, 5, 1 << 30)).otherwise(
         F.concat(F.lit("www."), host)
@@ -85,10 +87,19 @@ def page_hosts(host: Column, configured: Column | None = None) -> Column:
     address = host.rlike("^[0-9.]+$") | F.startswith(host, F.lit("["))
     both = F.when(address, F.array(host)).otherwise(F.array(host, twin))
     if configured is not None:
-        both = F.coalesce(F.transform(configured, lambda h: F.lower(h)), both)
+        own = F.transform(configured, lambda h: F.regexp_replace(F.lower(h), ":0*443$", ""))
+        both = F.when(configured.isNull(), both).when(invalid_hosts(configured).isNull(), own)
     return F.array_sort(F.array_distinct(both))
 
 
+def invalid_hosts(configured: Column) -> Column:
+    """INVALID_HOST where an entry is empty, has a path, query, fragment, user or another port than 443; else null."""
+    sound = F.forall(
+        configured, lambda h: F.coalesce((h != "") & ~h.rlike("[\\s/#?@\\\\]") & ~h.rlike("^[^\\[].*:(?!0*443$)"), F.lit(False))
+    )
+    return F.when(~sound, F.lit("INVALID_HOST"))
+
+
 def parse_website_input(raw: Column) -> Column:
     """struct(domainHost, pagePath) of what a user typed: a URL, a host, a host with a path or query."""
     t = F.trim(raw)
@@ -127,7 +138,8 @@ def build_page_url(domain: Column, path: Column) -> Column:
 
 
 def robots_sitemaps(body: Column) -> Column:
-    """Distinct sorted addresses of a robots file's Sitemap lines; null for an HTML body."""
-    found = F.regexp_extract_all(body, F.lit("(?im)^[ \\t]*sitemap[ \\t]*:[ \\t]*([^\\s#]+)"), F.lit(1))
-    html = F.ltrim(body).rlike("^(?i)<(!doctype html|html)")
+    """Distinct sorted addresses of a robots file's Sitemap lines, which hold nothing else but a comment after a space;
+    null for an HTML body."""
+    found = F.regexp_extract_all(body, F.lit("(?im)^\\s*sitemap\\s*:\\s*(\\S+)(?:\\s+#.*)?\\s*$"), F.lit(1))
+    html = body.rlike("^\\s*(?i)<(!doctype\\s+html|html)")
     return F.when(~html, F.array_sort(F.array_distinct(found)))

@@ -67,11 +67,23 @@ def test_tables_refuse_other_columns(spark, tmp_path):
 
 
 def test_source_graphs(spark):
-    edges = spark.createDataFrame([("d", "a", "b"), ("d", "a", "c"), ("d", "b", "c"), ("x", "a", "b"), ("x", "b", "a")], "run_id string, parent string, child string")
-    roots = spark.createDataFrame([("d", "a"), ("x", "a")], "run_id string, source string")
+    chain = lambda run, n, start=0: [(run, f"n{i}", f"n{i + 1}") for i in range(start, start + n)]
+    edges = [("d", "n0", "b"), ("d", "n0", "c"), ("d", "b", "c"), ("x", "n0", "b"), ("x", "b", "n0"), ("self", "n0", "n0")]
+    # a cycle of three among 26 files
+    edges += [("wide", "n0", f"w{i}") for i in range(24)] + [("wide", "w0", "y"), ("wide", "y", "w1"), ("wide", "w1", "w0")]
+    # ten levels are allowed, eleven are not, nor is a cycle behind them seen
+    edges += chain("ten", 10) + chain("eleven", 11) + chain("behind", 12) + [("behind", "n12", "n11")]
+    # near every source, but with one long way
+    edges += chain("long", 12) + [("long", "n0", f"n{i}") for i in range(2, 13)]
+    edges += [("many", "n0", f"m{i}") for i in range(500)] + [("many", "m0", "n0")]
+    edges = spark.createDataFrame(edges, "run_id string, parent string, child string")
+    roots = edges.select("run_id", F.lit("n0").alias("source")).distinct()
     depths = scan.source_depths(roots, edges)
-    assert {(r.source, r.depth) for r in depths.where("run_id = 'd'").collect()} == {("a", 0), ("b", 1), ("c", 2)}
-    assert {r.run_id: r.error for r in scan.graph_issues(depths).collect()} == {"x": "SOURCE_CYCLE"}
+    assert {(r.source, r.nearest, r.depth) for r in depths.where("run_id = 'd'").collect()} == {("n0", 0, 0), ("b", 1, 1), ("c", 1, 2)}
+    assert {r.run_id: r.error for r in scan.graph_issues(edges, depths).collect()} == {
+        "x": "SOURCE_CYCLE", "self": "SOURCE_CYCLE", "wide": "SOURCE_CYCLE", "eleven": "RESOURCE_LIMIT",
+        "behind": "RESOURCE_LIMIT", "long": "RESOURCE_LIMIT", "many": "RESOURCE_LIMIT",
+    }
 
 
 def test_pending_candidates_expire_in_event_time(spark, tmp_path):
