@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import suspicious
-from .inventory import HOUR, numbered_runs, replay_url_lifecycle
+from ..scratch import stored
+from .inventory import HOUR, numbered_runs
 
 SITE = ["website_id", "target_id", "scope_version"]
 STATE = [
@@ -19,9 +20,12 @@ STATE = [
 def decide(baseline: DataFrame, obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3) -> DataFrame:
     """runs (one per target and scope) with previous, missing and current counts and the decision.
 
-    baseline holds the URLs of the run in force. No baseline: the run becomes it. A suspicious loss: quarantined.
+    baseline: target_id, scope_version, url_hash of the run in force, an empty one as one row with a null url_hash. No
+    row: there is no baseline and the run becomes it. A suspicious loss: quarantined.
     """
     key = ["target_id", "scope_version"]
+    has = baseline.select(*key).distinct().withColumn("_has", F.lit(True))
+    baseline, obs = baseline.where("url_hash IS NOT NULL"), obs.where("url_hash IS NOT NULL")
     both = (
         baseline.select(*key, "url_hash").distinct().withColumn("_b", F.lit(1))
         .join(obs.select(*key, "url_hash").distinct().withColumn("_o", F.lit(1)), [*key, "url_hash"], "full")
@@ -32,13 +36,13 @@ def decide(baseline: DataFrame, obs: DataFrame, runs: DataFrame, least: int = 10
         F.count("_o").alias("current"),
     )
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("previous", "missing", "current")}
-    out = runs.join(counts, key, "left").withColumns(zero)
+    out = runs.join(counts, key, "left").withColumns(zero).join(has, key, "left")
     return out.withColumn(
         "decision",
-        F.when(F.col("previous") == 0, "baseline")
+        F.when(F.col("_has").isNull(), "baseline")
         .when(suspicious(F.col("previous"), F.col("missing"), F.col("current"), least, ratio), "quarantined")
         .otherwise("applied"),
-    )
+    ).drop("_has")
 
 
 def apply_observation(state: DataFrame, obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,88 +111,204 @@ def open_quarantined(decisions: DataFrame, baseline: DataFrame, obs: DataFrame)
     return lost.select(*key, "url", "url_hash").join(held, key)
 
 
-def replay_by_steps(obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The replay of all runs but each target's last, then that one by the apply step."""
-    numbered = numbered_runs(runs)
-    last = numbered.groupBy("target_id", "scope_version").agg(F.max("seq").alias("seq"))
-    final = numbered.join(last, ["target_id", "scope_version", "seq"])
-    before = numbered.join(final.select("target_id", "run_id"), ["target_id", "run_id"], "left_anti")
-    pick = lambda r: obs.join(r.select("target_id", "run_id"), ["target_id", "run_id"], "left_semi")
-    state, events = replay_url_lifecycle(pick(before), before.drop("seq"))
-    new, later = apply_observation(
-        state.select(*STATE), pick(final), final.withColumn("is_baseline", F.col("seq") == 0)
-    )
-    columns = [*SITE, "url", "url_hash", "kind", "run_id", "observed_at", "id"]
-    return new, events.select(*columns).unionByName(later.select(*columns))
+EVENTS = "array<struct<kind: string, run_id: string, observed_at: timestamp>>"
+STEPS = "array<struct<at: timestamp, run: string, is_baseline: boolean>>"
 
 
-def adopt_sequence(obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3) -> DataFrame:
-    """run_id, decision of every run in order, where a quarantine may be confirmed by a later equal loss.
+def apply_runs(state: DataFrame, obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new state, events) after any number of adopted runs per target, in order of time.
 
-    Decisions depend on each other, so a target's runs are folded in order; only targets with a suspicious step come
-    here (see decide_history), each with the hashes of its runs' sets.
+    One full outer join of the state and the observations by URL; the rules of apply_observation are then folded over the
+    target's runs in each URL's row, so there is no loop over runs and a giant site is spread by its URLs. runs: SITE,
+    run_id, observed_at, is_baseline; a run without observed URLs is an empty one.
     """
-    key = ["target_id", "scope_version"]
-    sets = obs.groupBy(*key, "run_id").agg(F.collect_set(F.xxhash64("url_hash")).alias("urls"))
-    rows = runs.select(*key, "run_id", "observed_at").join(sets, [*key, "run_id"], "left")
+    run = F.struct(F.col("observed_at").alias("at"), F.col("run_id").alias("run"), "is_baseline")
+    steps = runs.groupBy(*SITE).agg(F.array_sort(F.collect_list(run)).cast(STEPS).alias("_runs"))
+    seen = obs.where("url_hash IS NOT NULL").groupBy(*SITE, "url_hash")
+    seen = seen.agg(F.min("url").alias("_url"), F.collect_set("run_id").alias("_in"))
+    joined = state.select(*STATE).join(seen, [*SITE, "url_hash"], "full").join(steps, SITE, "left")
+    kinds = {f.name: f.dataType for f in state.select(*STATE[5:]).schema.fields}
+    start = F.struct(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.array().cast(EVENTS).alias("events"))
+
+    def step(s: Column, r: Column) -> Column:
+        here = F.coalesce(F.array_contains("_in", r["run"]), F.lit(False))
+        first = F.coalesce(s["status"] == "active", F.lit(False)) & ~here
+        second = (
+            ~here & (s["status"] == "pending_removed") & (s["first_missing_run_id"] != r["run"])
+            & (s["first_missing_observed_at"] + F.expr(HOUR) <= r["at"])
+        )
+        second = F.coalesce(second, F.lit(False))
+        kind = (
+            F.when(r["is_baseline"], F.lit(None).cast("string"))
+            .when(here & s["status"].isNull(), "added")
+            .when(here & (s["status"] == "removed"), "reappeared")
+            .when(second, "removed")
+        )
+        made = F.array(F.struct(kind.alias("kind"), r["run"].alias("run_id"), r["at"].alias("observed_at")))
+        now = {
+            "status": F.when(here, "active").when(first, "pending_removed").when(second, "removed"),
+            "first_seen_at": F.when(here & s["status"].isNull(), r["at"]),
+            "last_seen_at": F.when(here, r["at"]),
+            "first_missing_run_id": F.when(first, r["run"]),
+            "first_missing_observed_at": F.when(first, r["at"]),
+            "last_missing_run_id": F.when(first | second, r["run"]),
+            "missing_confirmations": F.when(here, 0).when(first, 1).when(second, 2),
+            "removed_at": F.when(second, r["at"]),
+        }
+        cleared = ("first_missing_run_id", "first_missing_observed_at", "last_missing_run_id", "removed_at")
+        fields = [
+            (F.when(here, None).otherwise(F.coalesce(v, s[c])) if c in cleared else F.coalesce(v, s[c])).cast(kinds[c]).alias(c)
+            for c, v in now.items()
+        ]
+        events = F.when(kind.isNull(), s["events"]).otherwise(F.concat(s["events"], made.cast(EVENTS)))
+        return F.struct(*fields, events.alias("events"))
+
+    folded = F.aggregate(F.coalesce("_runs", F.array().cast(STEPS)), start, step)
+    rows = joined.select(*SITE, F.coalesce("url", "_url").alias("url"), "url_hash", folded.alias("_s"))
+    new = rows.select(*SITE, "url", "url_hash", *(F.col(f"_s.{c}").alias(c) for c in STATE[5:]))
+    events = rows.select(*SITE, "url", "url_hash", F.explode("_s.events").alias("e")).select(*SITE, "url", "url_hash", "e.*")
+    return new, events.withColumn("id", F.concat_ws(":", "run_id", "url_hash", "kind"))
+
+
+DECIDED = (
+    "website_id string, target_id string, scope_version int, run_id string, observed_at timestamp, decision string,"
+    " baseline_run_id string, candidate_run_id string, outcome string"
+)
+#: Hours after which an unconfirmed candidate expires: the shortest that a target's interval can give.
+TTL_HOURS = 72.0
+
+
+def adopt_sequence(
+    obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS,
+    prior: DataFrame | None = None,
+) -> DataFrame:
+    """DECIDED rows, one for each run in order of time, where a quarantine may be confirmed by a later equal loss.
+
+    baseline_run_id is the one in force when the run came. candidate_run_id and outcome: the candidate that was open then
+    and what became of it: confirmed (decision of its own run turns to first_observation), quarantined (too soon),
+    missing_set_changed, expired. prior: the sets (SITE, run_id, observed_at, role, url_hash, null if empty) of the
+    baseline and of the open candidate that the target already has (role base, held).
+
+    Decisions depend on each other, so a target's runs are folded in order, each as the hashes of its set: a group
+    holds the URL sets of one target's runs. Whole histories come here only for targets with a suspicious step
+    (decide_history), streams batch by batch.
+    """
+    sets = obs.groupBy(*SITE, "run_id").agg(F.collect_set(F.xxhash64("url_hash")).alias("urls"))
+    sets = sets.select(*SITE, "run_id", "urls")
+    rows = runs.select(*SITE, "run_id", "observed_at").join(sets, [*SITE, "run_id"], "left")
+    rows = rows.withColumn("role", F.lit("run"))
+    if prior is not None:
+        hashes = F.collect_set(F.when(F.col("url_hash").isNotNull(), F.xxhash64("url_hash")))
+        old = prior.groupBy(*SITE, "run_id", "observed_at", "role").agg(hashes.alias("urls"))
+        rows = rows.unionByName(old.join(runs.select(*SITE).distinct(), SITE, "left_semi"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["observed_at", "run_id"])
-        base: set | None = None
+        as_set = lambda urls: frozenset(urls) if urls is not None else frozenset()
+        base: tuple[str, frozenset] | None = None
         held: tuple[str, pd.Timestamp, frozenset] | None = None
-        out: dict[str, str] = {}
-        for run, at, urls in zip(pdf["run_id"], pdf["observed_at"], pdf["urls"], strict=True):
-            now = set(urls) if urls is not None else set()
+        for r in pdf[pdf["role"] != "run"].sort_values("role").itertuples():
+            if r.role == "base":
+                base = (r.run_id, as_set(r.urls))
+            else:
+                held = (r.run_id, r.observed_at, base[1] - as_set(r.urls))
+        out: dict[str, list] = {}
+        for r in pdf[pdf["role"] == "run"].sort_values(["observed_at", "run_id"]).itertuples():
+            now, asked, outcome = as_set(r.urls), held, None
             if base is None:
-                base, out[run] = now, "baseline"
+                base = (r.run_id, now)
+                out[r.run_id] = [r.observed_at, "baseline", None, None, None]
                 continue
-            lost = frozenset(base - now)
-            odd = bool(base) and (not now or (len(lost) >= least and len(lost) / len(base) >= ratio))
-            if held and held[2] == lost:
-                if at - held[1] >= pd.Timedelta(hours=1):
-                    out[held[0]], out[run], base, held = "first_observation", "applied", now, None
+            before, lost = base[0], base[1] - now
+            odd = bool(base[1]) and (not now or (len(lost) >= least and len(lost) / len(base[1]) >= ratio))
+            if held and r.observed_at - held[1] >= pd.Timedelta(hours=ttl_hours):
+                outcome, held = "expired", None
+            elif held and held[2] != lost:
+                outcome, held = "missing_set_changed", None
+            elif held and r.observed_at - held[1] >= pd.Timedelta(hours=1):
+                outcome = "confirmed"
+            elif held:
+                outcome = "quarantined"
+            if outcome == "confirmed":
+                if held[0] in out:
+                    out[held[0]][1] = "first_observation"
                 else:
-                    out[run] = "quarantined"
-                continue
-            if held:
-                held = None
-            if odd:
-                out[run], held = "quarantined", (run, at, lost)
+                    out[held[0]] = [held[1], "first_observation", before, None, None]
+                base, held, decision = (r.run_id, now), None, "applied"
+            elif outcome == "quarantined":
+                decision = "quarantined"
+            elif odd:
+                decision, held = "quarantined", (r.run_id, r.observed_at, lost)
             else:
-                base, out[run] = now, "applied"
-        head = pdf[["target_id", "scope_version"]].iloc[0]
-        return pd.DataFrame(
-            {"target_id": head.iloc[0], "scope_version": head.iloc[1], "run_id": list(out), "decision": list(out.values())}
-        )
+                decision, base = "applied", (r.run_id, now)
+            out[r.run_id] = [r.observed_at, decision, before, asked[0] if asked else None, outcome]
+        names = ["observed_at", "decision", "baseline_run_id", "candidate_run_id", "outcome"]
+        made = pd.DataFrame(list(out.values()), columns=names)
+        made.insert(0, "run_id", list(out))
+        for k, c in enumerate(SITE):
+            made.insert(k, c, pdf[c].iloc[0])
+        return made
 
-    schema = "target_id string, scope_version int, run_id string, decision string"
-    return rows.groupBy(*key).applyInPandas(fold, schema)
+    return rows.groupBy(*SITE).applyInPandas(fold, DECIDED)
 
 
-def decide_history(obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3) -> DataFrame:
-    """run_id, decision of all runs: targets without a suspicious step are decided as sets, the others in order."""
-    key = ["target_id", "scope_version"]
+def adopted_runs(decisions: DataFrame) -> DataFrame:
+    """SITE, run_id, observed_at, is_baseline of the decided runs that change the inventory."""
+    taken = decisions.where(F.col("decision").isin("baseline", "applied", "first_observation"))
+    return taken.select(*SITE, "run_id", "observed_at", (F.col("decision") == "baseline").alias("is_baseline"))
+
+
+def adopt_history(
+    state: DataFrame, obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new state, events, decisions) of targets without a baseline: all their runs decided, then the adopted applied."""
+    decisions = stored(decide_history(obs, runs, least, ratio, ttl_hours), "decisions")
+    taken = adopted_runs(decisions)
+    seen = obs.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
+    return *apply_runs(state, seen, taken), decisions
+
+
+def empty_state(obs: DataFrame) -> DataFrame:
+    """A state table without rows, its keys typed as in obs."""
+    kinds = dict(obs.dtypes)
+    keys = ", ".join(f"{c} {kinds[c]}" for c in SITE)
+    rest = (
+        "url string, url_hash string, status string, first_seen_at timestamp, last_seen_at timestamp,"
+        " first_missing_run_id string, first_missing_observed_at timestamp, last_missing_run_id string,"
+        " missing_confirmations int, removed_at timestamp"
+    )
+    return obs.sparkSession.createDataFrame([], f"{keys}, {rest}")
+
+
+def decide_history(
+    obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS
+) -> DataFrame:
+    """DECIDED rows of all runs: targets without a suspicious step are decided as sets, the others in order."""
     numbered = numbered_runs(runs)
-    seen = obs.select(*key, "run_id", "url_hash").join(numbered.select(*key, "run_id", "seq"), [*key, "run_id"])
-    n = seen.groupBy(*key, "seq").agg(F.count(F.lit(1)).alias("n"))
-    stayed = seen.select(*key, "url_hash", F.col("seq")).join(
-        seen.select(*key, "url_hash", (F.col("seq") + 1).alias("seq")), [*key, "url_hash", "seq"]
+    seen = obs.select(*SITE, "run_id", "url_hash").join(numbered.select(*SITE, "run_id", "seq"), [*SITE, "run_id"])
+    n = seen.groupBy(*SITE, "seq").agg(F.count(F.lit(1)).alias("n"))
+    stayed = seen.select(*SITE, "url_hash", F.col("seq")).join(
+        seen.select(*SITE, "url_hash", (F.col("seq") + 1).alias("seq")), [*SITE, "url_hash", "seq"]
     )
-    common = stayed.groupBy(*key, "seq").agg(F.count(F.lit(1)).alias("common"))
+    common = stayed.groupBy(*SITE, "seq").agg(F.count(F.lit(1)).alias("common"))
+    before = numbered.select(*SITE, (F.col("seq") + 1).alias("seq"), F.col("run_id").alias("baseline_run_id"))
     steps = (
-        numbered.select(*key, "run_id", "seq")
-        .join(n.select(*key, (F.col("seq") + 1).alias("seq"), F.col("n").alias("previous")), [*key, "seq"], "left")
-        .join(n, [*key, "seq"], "left")
-        .join(common, [*key, "seq"], "left")
+        numbered.select(*SITE, "run_id", "observed_at", "seq")
+        .join(before, [*SITE, "seq"], "left")
+        .join(n.select(*SITE, (F.col("seq") + 1).alias("seq"), F.col("n").alias("previous")), [*SITE, "seq"], "left")
+        .join(n, [*SITE, "seq"], "left")
+        .join(common, [*SITE, "seq"], "left")
         .fillna(0, ["previous", "n", "common"])
     )
     odd = suspicious(F.col("previous"), F.col("previous") - F.col("common"), F.col("n"), least, ratio)
-    slow = steps.where((F.col("seq") > 0) & odd).select(*key).distinct()
-    fast = steps.join(slow, key, "left_anti").select(
-        *key, "run_id", F.when(F.col("seq") == 0, "baseline").otherwise("applied").alias("decision")
-    )
-    some = lambda df: df.join(slow, key, "left_semi")
-    return fast.unionByName(adopt_sequence(some(obs), some(runs), least, ratio))
+    steps = stored(steps.withColumn("odd", (F.col("seq") > 0) & odd), "steps")
+    slow = steps.where("odd").select(*SITE).distinct()
+    none = F.lit(None).cast("string")
+    fast = steps.join(slow, SITE, "left_anti").select(
+        *SITE, "run_id", "observed_at", F.when(F.col("seq") == 0, "baseline").otherwise("applied").alias("decision"),
+        "baseline_run_id", none.alias("candidate_run_id"), none.alias("outcome"),
+    )
+    some = lambda df: df.join(slow, SITE, "left_semi")
+    return fast.unionByName(adopt_sequence(some(obs), some(runs), least, ratio, ttl_hours))
 
 
 def candidate_resolution(candidates: DataFrame, missing: DataFrame, state: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def write_events(events: DataFrame, path: str) -> None:
     spark = events.sparkSession
     rows = events.dropDuplicates(["id"])
     if _exists(spark, path):
-        rows = new_rows(events, spark.read.parquet(path))
+        rows = new_rows(events, spark.read.schema(events.select("id").schema).parquet(path))
     day = F.to_date("observed_at")
     rows.withColumn("observed_date", day).write.mode("append").partitionBy("observed_date").parquet(path)
 
@@ -82,18 +82,22 @@ def write_state(df: DataFrame, path: str, batch_id: int) -> None:
     pointer.coalesce(1).write.mode("append").json(f"{path}/_pointer")
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last published version, None before the first."""
+def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last published version, or the last before a batch, so that a repeated batch starts from the same one; None
+    if there is none."""
     if not _exists(spark, f"{path}/_pointer"):
         return None
-    last = spark.read.schema("batch_id long, path string").json(f"{path}/_pointer").agg(F.max("batch_id")).first()[0]
-    return spark.read.parquet(f"{path}/v={last}")
+    versions = spark.read.schema("batch_id long, path string").json(f"{path}/_pointer")
+    if before is not None:
+        versions = versions.where(F.col("batch_id") < before)
+    last = versions.agg(F.max("batch_id")).first()[0]
+    return None if last is None else spark.read.parquet(f"{path}/v={last}")
 
 
 def append_revisions(new: DataFrame, path: str) -> None:
     """Immutable revisions: only ids that aren't there yet."""
     spark = new.sparkSession
-    rows = new_rows(new, spark.read.parquet(path)) if _exists(spark, path) else new.dropDuplicates(["id"])
+    rows = new_rows(new, spark.read.schema(new.select("id").schema).parquet(path)) if _exists(spark, path) else new.dropDuplicates(["id"])
     rows.write.mode("append").parquet(path)
 
 

@@ -10,56 +10,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.adopt import SITE, STATE, apply_observation
+from ..operators import adopt
+from ..operators.adopt import SITE
+from ..scratch import stored
 from ..sources.tables import read_state, write_events, write_state
 
 
+def stream_adopt(
+    obs: DataFrame, folder: str, checkpoint: str, least: int = 100, ratio: float = 0.3, ttl_hours: float = adopt.TTL_HOURS
+) -> StreamingQuery:
+    """Adopts complete observations (SITE, run_id, observed_at, url, url_hash) as they come; a run that found no URL is one
+    row with a null url_hash.
 
-def stream_adopt(obs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Adopts complete observations (SITE, run_id, observed_at, url, url_hash) as they come.
-
-    A micro-batch's runs of a target apply one at a time in order of time; a run not later than the target's last one
-    goes to the stale side output and changes nothing. State is published by batch id and events are appended by
-    id, so a repeated batch is harmless.
+    Below folder: state, heads (of each target the baseline, the open candidate and the moment of the last run), held
+    (the candidates' URLs), events, decisions, and stale: runs not later than their target's last one, which change
+    nothing. A micro-batch's runs are decided in order and applied in one pass (adopt.apply_runs). Tables are versions
+    by batch id, each made from the version before it, and events are appended by id, so a repeated batch is harmless.
     """
 
-    def adopt(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        runs = batch.select(*SITE, "run_id", "observed_at").distinct()
-        state = read_state(spark, f"{folder}/state")
-        if state is None:
-            state = spark.createDataFrame([], _state_schema(batch))
-        last = state.groupBy(*SITE).agg(F.max("last_seen_at").alias("_last"), F.max("first_missing_observed_at").alias("_gone"))
-        runs = runs.join(last, SITE, "left").withColumn("_seen", F.greatest("_last", "_gone"))
-        late = F.coalesce(F.col("observed_at") <= F.col("_seen"), F.lit(False))
-        runs.where(late).select(*SITE, "run_id", "observed_at").write.mode("append").parquet(f"{folder}/stale")
-        fresh = runs.where(~late).withColumn("is_baseline", F.col("_seen").isNull())
-        rank = F.expr("row_number() OVER (PARTITION BY website_id, target_id, scope_version ORDER BY observed_at, run_id)")
-        fresh = fresh.withColumn("_k", rank).drop("_last", "_gone", "_seen").persist()
-        steps = fresh.agg(F.coalesce(F.max("_k"), F.lit(0))).first()[0]
-        for k in range(1, steps + 1):
-            now = fresh.where(F.col("_k") == k).withColumn("is_baseline", F.col("is_baseline") & (F.col("_k") == 1))
-            seen = batch.join(now.select("run_id", *SITE), [*SITE, "run_id"], "left_semi")
-            state, events = apply_observation(state.select(*STATE), seen, now)
-            events.withColumn("step", F.lit(k)).write.mode("append" if k > 1 else "overwrite").parquet(
-                f"{folder}/events_of_batch/b={batch_id}"
-            )
-        if steps:
-            write_state(state, f"{folder}/state", batch_id)
-            made = spark.read.parquet(f"{folder}/events_of_batch/b={batch_id}").drop("step")
-            write_events(made, f"{folder}/events")
-        fresh.unpersist()
-
-    return obs.writeStream.foreachBatch(adopt).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _state_schema(batch: DataFrame) -> str:
-    kinds = dict(batch.dtypes)
-    site = ", ".join(f"{c} {kinds[c]}" for c in SITE)
-    return (
-        f"{site}, url string, url_hash string, status string, first_seen_at timestamp, last_seen_at timestamp,"
-        " first_missing_run_id string, first_missing_observed_at timestamp, last_missing_run_id string,"
-        " missing_confirmations int, removed_at timestamp"
+        old = lambda name, empty: (
+            found if (found := read_state(spark, f"{folder}/{name}", batch_id)) is not None else spark.createDataFrame([], empty)
+        )
+        state = old("state", adopt.empty_state(batch).schema)
+        heads = old("heads", HEADS)
+        held = old("held", "website_id string, target_id string, scope_version int, run_id string, observed_at timestamp, url string, url_hash string")
+        runs = batch.select(*SITE, "run_id", "observed_at").distinct().join(heads.select(*SITE, "last_at"), SITE, "left")
+        late = F.coalesce(F.col("observed_at") <= F.col("last_at"), F.lit(False))
+        runs.where(late).drop("last_at").write.mode("overwrite").parquet(f"{folder}/stale/b={batch_id}")
+        runs = stored(runs.where(~late).drop("last_at"), "runs")
+        rows = batch.join(runs.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi").where("url_hash IS NOT NULL")
+        # the baseline's URLs are those last seen by it; one that found none is a row without a URL
+        base = heads.where("baseline_run_id IS NOT NULL").select(*SITE, F.col("baseline_run_id").alias("run_id"), F.col("baseline_at").alias("observed_at"))
+        there = state.select(*SITE, "url_hash", F.col("last_seen_at").alias("observed_at"))
+        base = base.join(there, [*SITE, "observed_at"], "left").withColumn("role", F.lit("base"))
+        open_ = heads.where("candidate_run_id IS NOT NULL").select(*SITE, F.col("candidate_run_id").alias("run_id"), F.col("candidate_at").alias("observed_at"))
+        mine = open_.join(held.select(*SITE, "run_id", "url_hash"), [*SITE, "run_id"], "left").withColumn("role", F.lit("held"))
+        decided = adopt.adopt_sequence(rows, runs, least, ratio, ttl_hours, base.unionByName(mine))
+        decided = stored(decided, "decisions")
+        decided.write.mode("overwrite").parquet(f"{folder}/decisions/b={batch_id}")
+        taken = adopt.adopted_runs(decided)
+        both = rows.select(*held.columns).unionByName(held)
+        seen = both.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
+        new, events = adopt.apply_runs(state, seen, taken)
+        write_state(new, f"{folder}/state", batch_id)
+        write_events(events, f"{folder}/events")
+        after = _heads(heads, decided, runs)
+        write_state(after, f"{folder}/heads", batch_id)
+        named = after.select(*SITE, F.col("candidate_run_id").alias("run_id")).where("run_id IS NOT NULL")
+        write_state(both.join(named, [*SITE, "run_id"], "left_semi"), f"{folder}/held", batch_id)
+
+    return obs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+HEADS = (
+    "website_id string, target_id string, scope_version int, baseline_run_id string, baseline_at timestamp,"
+    " candidate_run_id string, candidate_at timestamp, last_at timestamp"
+)
+
+
+def _heads(heads: DataFrame, decided: DataFrame, runs: DataFrame) -> DataFrame:
+    """The targets' heads after a batch: the last run that moved the baseline, and the candidate still open."""
+    moved = F.col("decision").isin("baseline", "applied")
+    at = F.struct("observed_at", "run_id")
+    # a candidate that opened is still open unless its target's later runs met it otherwise than too soon
+    opened = (F.col("decision") == "quarantined") & ~F.coalesce(F.col("outcome") == "quarantined", F.lit(False))
+    last = decided.groupBy(*SITE).agg(
+        F.max(F.when(moved, at)).alias("_base"),
+        F.max(F.when(opened, at)).alias("_open"),
+        F.max(F.when(F.col("outcome").isin("confirmed", "missing_set_changed", "expired"), F.col("observed_at"))).alias("_closed"),
+        F.max("observed_at").alias("_last"),
+    )
+    both = heads.join(last, SITE, "full")
+    fresh = F.col("_open.observed_at").isNotNull() & ~F.coalesce(F.col("_open.observed_at") < F.col("_closed"), F.lit(False))
+    kept = F.col("_closed").isNull()
+    choose = lambda new, old: F.when(fresh, F.col(new)).when(kept, F.col(old))
+    return both.select(
+        *SITE,
+        F.coalesce("_base.run_id", "baseline_run_id").alias("baseline_run_id"),
+        F.coalesce("_base.observed_at", "baseline_at").alias("baseline_at"),
+        choose("_open.run_id", "candidate_run_id").alias("candidate_run_id"),
+        choose("_open.observed_at", "candidate_at").alias("candidate_at"),
+        F.greatest("_last", "last_at").alias("last_at"),
     )
 
 

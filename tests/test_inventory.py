@@ -9,6 +9,9 @@ from sitedrift.functions.timing import next_due_catch_up, suspicious
 from sitedrift.operators import adopt
 from sitedrift.operators import inventory as inv
 from sitedrift.plans.upkeep import check_invariants
+from sitedrift.scratch import stored
+from sitedrift.sources import tables
+from sitedrift.streaming import jobs
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -60,7 +63,27 @@ def test_replay_steps_and_fold_agree(spark):
         s, e = fold(h)
         want_state |= {(t, u): x for u, x in s.items()}
         want_events |= {(t, *x) for x in e}
-    for form in (inv.replay_url_lifecycle, adopt.replay_by_steps):
+    marked = inv.numbered_runs(runs).withColumn("is_baseline", F.col("seq") == 0)
+
+    def at_once(obs, runs):
+        return adopt.apply_runs(adopt.empty_state(obs), obs, marked)
+
+    def in_two_parts(obs, runs):
+        state, early = adopt.apply_runs(adopt.empty_state(obs), obs, marked.where("seq < 2"))
+        state, late = adopt.apply_runs(state, obs, marked.where("seq >= 2"))
+        return state, early.unionByName(late)
+
+    def one_by_one(obs, runs):
+        state, made = adopt.empty_state(obs), None
+        for k in range(7):
+            now = marked.where(F.col("seq") == k)
+            seen = obs.join(now.select("run_id"), "run_id", "left_semi")
+            state, events = adopt.apply_observation(state.select(*adopt.STATE), seen, now)
+            state, events = stored(state, "state"), stored(events, "events")
+            made = events if made is None else made.unionByName(events)
+        return state, made
+
+    for form in (inv.replay_url_lifecycle, at_once, in_two_parts, one_by_one):
         state, events = form(obs, runs)
         assert {(r.target_id, r.url): r.status for r in state.collect()} == want_state
         assert {(r.target_id, r.url, r.kind, r.run_id) for r in events.collect()} == want_events
@@ -74,12 +97,102 @@ def test_suspicious_thresholds(spark):
     assert got == len(cases)
 
 
-def test_equal_missing_set_confirms(spark):
-    full, half = {f"u{i}" for i in range(400)}, {f"u{i}" for i in range(200)}
-    hour = datetime.timedelta(hours=1)
-    hist = {"t": [("r0", T0, full), ("r1", T0 + hour, half), ("r2", T0 + 1.5 * hour, half), ("r3", T0 + 2.5 * hour, half)]}
-    got = {r.run_id: r.decision for r in adopt.decide_history(*frames(spark, hist)).collect()}
-    assert got == {"r0": "baseline", "r1": "first_observation", "r2": "quarantined", "r3": "applied"}
+HOUR = datetime.timedelta(hours=1)
+
+
+def some(n, *more):
+    return {f"u{i}" for i in range(n)} | set(more)
+
+
+#: history: (run, hours after the first, URLs), what is decided, the removed URLs in the end, what became of candidates.
+SCENARIOS = {
+    "equal": ([(0, some(400)), (1, some(200)), (1.5, some(200, "new")), (2.5, some(200, "newer"))],
+              ["baseline", "first_observation", "quarantined", "applied"], 200, [None, None, "quarantined", "confirmed"]),
+    "changed": ([(0, some(400)), (1, some(200)), (3, some(201)), (5, some(201))],
+                ["baseline", "quarantined", "first_observation", "applied"], 199, [None, None, "missing_set_changed", "confirmed"]),
+    "below": ([(0, some(400)), (1, some(200)), (3, some(301))],
+              ["baseline", "quarantined", "applied"], 0, [None, None, "missing_set_changed"]),
+    "empty": ([(0, some(3)), (1, set()), (2, set())], ["baseline", "first_observation", "applied"], 3, [None, None, "confirmed"]),
+    "expired": ([(0, some(3)), (1, set()), (80, set()), (81, set())],
+                ["baseline", "quarantined", "first_observation", "applied"], 3, [None, None, "expired", "confirmed"]),
+    "nothing": ([(0, set()), (1, some(2)), (2, some(2))], ["baseline", "applied", "applied"], 0, [None] * 3),
+    "calm": ([(0, some(300)), (1, some(250)), (2, some(250)), (3, some(300))], ["baseline"] + ["applied"] * 3, 0, [None] * 4),
+}
+
+
+def scenario_frames(spark):
+    hist = {t: [(f"{t}-{k}", T0 + h * HOUR, urls) for k, (h, urls) in enumerate(runs)] for t, (runs, *_) in SCENARIOS.items()}
+    return hist, *frames(spark, hist)
+
+
+def check_scenarios(state, decisions, events):
+    found = {r.run_id: (r.decision, r.outcome) for r in decisions.collect()}
+    removed = {r.target_id: r["count"] for r in state.where("status = 'removed'").groupBy("target_id").count().collect()}
+    kinds = {(r.target_id, r.kind): r["count"] for r in events.groupBy("target_id", "kind").count().collect()}
+    for t, (_, decided, gone, outcomes) in SCENARIOS.items():
+        assert [found[f"{t}-{k}"] for k in range(len(decided))] == list(zip(decided, outcomes, strict=True)), t
+        assert removed.get(t, 0) == gone, t
+        # calm loses 50 and gets them back
+        assert kinds.get((t, "removed"), 0) == (50 if t == "calm" else gone), t
+    assert kinds["nothing", "added"] == 2 and kinds["equal", "added"] == 1 and kinds["calm", "reappeared"] == 50
+
+
+def test_adoption_with_quarantine(spark):
+    _, obs, runs = scenario_frames(spark)
+    state, events, decisions = adopt.adopt_history(adopt.empty_state(obs), obs, runs)
+    check_scenarios(state, decisions, events)
+
+
+def test_adoption_by_micro_batches(spark, tmp_path):
+    """The same, a run of each target at a time; a late run changes nothing."""
+    hist, obs, runs = scenario_frames(spark)
+    rows = runs.join(obs.select("run_id", "url", "url_hash"), "run_id", "left").select(*obs.columns)
+    late = rows.where("run_id = 'calm-1'").withColumn("run_id", F.lit("late"))
+    for k in range(4):
+        part = rows.where(F.col("run_id").endswith(f"-{k}")).unionByName(late.limit(1 if k == 3 else 0))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), obs.schema, files=1)
+    out = str(tmp_path / "out")
+    jobs.stream_adopt(stream, out, str(tmp_path / "c")).awaitTermination()
+    batches = sorted(p.name for p in (tmp_path / "out" / "decisions").iterdir())
+    assert len(batches) == 4
+    decided = {}
+    for name in batches:
+        decided |= {r.run_id: r for r in spark.read.parquet(f"{out}/decisions/{name}").collect()}
+    decisions = spark.createDataFrame(
+        [(i, r.decision, r.outcome) for i, r in decided.items()], "run_id string, decision string, outcome string"
+    )
+    # a first observation comes to be when its candidate is confirmed, and has its own row then
+    decisions = decisions.withColumn("outcome", F.when(F.col("decision") != "first_observation", F.col("outcome")))
+    events = spark.read.parquet(f"{out}/events")
+    state = tables.read_state(spark, f"{out}/state")
+    found = {r.run_id: r.decision for r in decisions.collect()}
+    assert "late" not in found
+    assert [r.run_id for r in spark.read.parquet(f"{out}/stale/*").collect()] == ["late"]
+    for t, (_, want, gone, _) in SCENARIOS.items():
+        assert [found[f"{t}-{k}"] for k in range(len(want))] == want, t
+        assert state.where((F.col("target_id") == t) & (F.col("status") == "removed")).count() == gone
+    closed, made, _ = adopt.adopt_history(adopt.empty_state(obs), obs, runs)
+    columns = [c for c in adopt.STATE if c != "website_id"]
+    assert sorted(map(repr, state.select(*columns).collect())) == sorted(map(repr, closed.select(*columns).collect()))
+    assert {r.id for r in events.collect()} == {r.id for r in made.collect()}
+
+
+def test_one_run_with_its_baseline(spark):
+    """decide and adopt_observation: a baseline that found nothing is still one."""
+    _, obs, runs = scenario_frames(spark)
+    base = obs.where("run_id IN ('equal-0', 'calm-0')").unionByName(
+        runs.where("run_id = 'nothing-0'").withColumns({"url": F.lit(None).cast("string"), "url_hash": F.lit(None).cast("string")})
+    )
+    now = runs.where("run_id IN ('equal-1', 'calm-1', 'nothing-1', 'below-0')")
+    state, _ = adopt.apply_runs(adopt.empty_state(obs), base, runs.where("run_id IN ('equal-0', 'calm-0')").withColumn("is_baseline", F.lit(True)))
+    seen = obs.join(now.select("run_id"), "run_id", "left_semi")
+    new, events, decisions = adopt.adopt_observation(state, base, seen, now)
+    assert {r.run_id: (r.decision, r.previous, r.missing) for r in decisions.collect()} == {
+        "equal-1": ("quarantined", 400, 200), "calm-1": ("applied", 300, 50), "nothing-1": ("applied", 0, 0), "below-0": ("baseline", 0, 0),
+    }
+    assert adopt.open_quarantined(decisions, base.where("url IS NOT NULL"), seen).count() == 200
+    assert new.where("status = 'pending_removed'").count() == 50 and events.where("kind = 'added'").count() == 2
 
 
 def test_cadence_catches_up(spark):
