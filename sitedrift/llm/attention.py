@@ -1,236 +1,333 @@
-"""A one-layer causal self-attention model over subword buckets, in numpy: scoring, gradients and Adam.
-
-The commonest subwords have buckets of their own, all others share one. Attention predicts the next bucket's class from
-the window; the bucket within its class comes from smoothed pair counts, the subword within the shared bucket from
-counts. The three factors multiply to the probability of each subword, so those of all subwords sum to one.
+"""A one-layer causal self-attention model over subwords, in numpy: scoring, gradients and Adam.
+
+Every subword seen in training is a bucket of its own; those never seen share one, evenly. Buckets are grouped into
+about as many classes as each has members (the square root of the vocabulary), by the contexts they follow. A
+bucket's probability is that of its class times that of the bucket within its class. Both are softmaxes over what
+attention makes of the window, added to log probabilities given the one subword before (pair counts with absolute
+discounting, where the commonest ``CONTEXTS - 1`` subwords are contexts of their own and all others share one). So the
+probabilities of all subwords sum to one. Cost per token grows with the square root of the vocabulary seen.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
 from dataclasses import dataclass
 
 import numpy as np
 
 WINDOW, OVERLAP = 32, 8
-WIDTH, HIDDEN = 16, 32
-BUCKETS, CLASSES = 1024, 48
-#: Pseudo-counts behind pair counts, and of every subword within the shared bucket.
-PAIR_PRIOR, SHARED_PRIOR = 4.0, 0.05
-BATCH = 256
+WIDTH, HIDDEN = 24, 48
+CONTEXTS = 1024
+#: Taken from each pair count and given to what the context wasn't seen with.
+DISCOUNT = 0.75
+#: Windows of a step in training, and of a batch in scoring.
+STEP, BATCH = 128, 64
+#: Times that few windows are gone through at most.
 MAX_EPOCHS = 6
+#: Logits above this count as this: exp stays finite without looking for the largest.
+TOP = np.float32(40)
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps numpy's linear algebra to one thread: a task has one core, and more threads would only wait for each other."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(ctypes.c_int(1))
+
+
 @dataclass
 class Tables:
-    """Counts as the model uses them. bucket: of each subword; own_logp: of a subword within its bucket; class_of: of
-    each bucket; inside[previous, bucket]: log probability within the class; before[previous, class]: log
-    probability of the class, to which attention adds. Natural logarithms."""
+    """Counts as the model uses them. bucket: of each subword, numbered class by class; own_logp: of a subword within
+    its bucket; context: of each bucket; edges: first bucket of each class, and the end; before[context, class] and
+    inside[context, bucket]: log probabilities of a class, and of a bucket within its class. Natural logarithms."""
 
     bucket: np.ndarray
     own_logp: np.ndarray
-    class_of: np.ndarray
-    inside: np.ndarray
+    context: np.ndarray
+    edges: np.ndarray
     before: np.ndarray
+    inside: np.ndarray
 
+    @property
+    def size(self) -> int:
+        """Buckets."""
+        return int(self.edges[-1])
 
-def bucket_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each subword, log probability within it): the commonest have their own, ties by number."""
-    top = np.argsort(-counts, kind="stable")[: BUCKETS - 1]
-    bucket = np.full(len(counts), BUCKETS - 1, np.int16)
-    bucket[top] = np.arange(len(top))
-    shared = bucket == BUCKETS - 1
-    own = np.zeros(len(counts))
-    weight = counts[shared] + SHARED_PRIOR
-    own[shared] = np.log(weight / weight.sum())
-    return bucket, own.astype(np.float32)
+    @functools.cached_property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges)).astype(np.int16)
+
+
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rank of each subword by count, ties by number; those unseen share the last rank, number of ranks)."""
+    n = int((counts > 0).sum())
+    order = np.argsort(-counts, kind="stable")[:n]
+    rank = np.full(len(counts), n, np.int32)
+    rank[order] = np.arange(n)
+    return rank, n + 1
 
 
 def tables(counts: np.ndarray, pairs: np.ndarray) -> Tables:
-    """From subword counts and the pair counts of their buckets (previous, next)."""
-    bucket, own = bucket_of(counts)
-    uni = pairs.sum(0) + 0.5
-    class_of = _classes(pairs, uni)
-    one = np.zeros((BUCKETS, CLASSES))
-    one[np.arange(BUCKETS), class_of] = 1
-    in_class = uni / (uni @ one)[class_of]
-    by_class = pairs @ one
-    inside = (pairs + PAIR_PRIOR * in_class) / (by_class[:, class_of] + PAIR_PRIOR)
-    share = uni @ one / uni.sum()
-    before = (by_class + PAIR_PRIOR * share) / (by_class.sum(1, keepdims=True) + PAIR_PRIOR)
-    before = np.log(np.maximum(before, 1e-9)).astype(np.float32)
-    return Tables(bucket, own, class_of, np.log(inside).astype(np.float32), before)
-
-
-def _classes(pairs: np.ndarray, uni: np.ndarray) -> np.ndarray:
-    """Buckets with like neighbours share a class: k-means on the leading directions of the pair statistics."""
-    total = pairs.sum() + 1.0
-    lift = pairs * total / np.maximum(1e-9, np.outer(pairs.sum(1) + 1, pairs.sum(0) + 1))
-    x = np.log1p(lift)
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    feats = np.concatenate([u[:, :12] * s[:12], vt[:12].T * s[:12]], 1)
+    """From subword counts and pair counts (context: rank of the subword before, at most CONTEXTS - 1; rank of the next)."""
+    rank, n = ranked(counts)
+    follows = (pairs > 0).sum(0) + 0.5
+    total, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
+    p = np.maximum(pairs - DISCOUNT, 0)
+    p = (p + np.where(total > 0, DISCOUNT * kinds + 0.5, 1.0) * (follows / follows.sum())) / np.where(total > 0, total + 0.5, 1.0)
+    order, edges = _classes(pairs)
+    number = np.empty(n, np.int32)
+    number[order] = np.arange(n)
+    p = p[:, order]
+    by_class = np.add.reduceat(p, edges[:-1], axis=1)
+    inside = np.log(p / np.repeat(by_class, np.diff(edges), axis=1)).astype(np.float32)
+    context = np.minimum(order, CONTEXTS - 1).astype(np.int16)
+    own = np.where(counts > 0, 0.0, -np.log(max(1, (counts == 0).sum())))
+    before = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
+    return Tables(number[rank], own.astype(np.float32), context, edges, before, inside)
+
+
+def _classes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks class by class, first place of each class and the end): classes of even size with like contexts.
+
+    The ranks are halved again and again along the direction in which their contexts differ most.
+    """
+    n = pairs.shape[1]
+    share = pairs.sum(1, keepdims=True) + 1
+    x = np.log1p(pairs * (pairs.sum() + 1) / (share * (pairs.sum(0) + 1)))
+    # leading directions from the small square matrix of contexts
+    values, vectors = np.linalg.eigh(x @ x.T)
+    feats = (x.T @ vectors[:, -16:]).astype(np.float64)
     feats /= np.maximum(1e-9, np.linalg.norm(feats, axis=1, keepdims=True))
-    order = np.argsort(-uni, kind="stable")
-    centre = feats[order[: CLASSES - 1]].copy()
-    label = np.zeros(BUCKETS, np.int64)
-    for _ in range(15):
-        label = np.argmax(feats @ centre.T, 1)
-        for c in range(CLASSES - 1):
-            if (mine := label == c).any():
-                mean = (feats[mine] * np.sqrt(uni[mine])[:, None]).sum(0)
-                centre[c] = mean / max(1e-9, np.linalg.norm(mean))
-    label[BUCKETS - 1] = CLASSES - 1
-    return label
-
-
-SHAPES = {
-    "emb": (BUCKETS, WIDTH),
-    "pos": (WINDOW, WIDTH),
-    "qkv": (WIDTH, 3 * WIDTH),
-    "mix": (WIDTH, WIDTH),
-    "up": (WIDTH, HIDDEN),
-    "bias": (HIDDEN,),
-    "down": (HIDDEN, WIDTH),
-    "out": (WIDTH, CLASSES),
-}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def initial() -> np.ndarray:
+    groups = [np.arange(n)]
+    for _ in range(max(0, round(np.log2(max(1, n)) / 2))):
+        halves = []
+        for g in groups:
+            f = feats[g] - feats[g].mean(0)
+            _, v = np.linalg.eigh(f.T @ f)
+            at = np.argsort(f @ v[:, -1], kind="stable")
+            halves += [np.sort(g[at[: len(g) // 2]]), np.sort(g[at[len(g) // 2 :]])]
+        groups = [h for h in halves if len(h)]
+    return np.concatenate(groups), np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+
+
+def shapes(t: Tables) -> dict[str, tuple[int, ...]]:
+    return {
+        "emb": (t.size, WIDTH),
+        "own": (t.size, WIDTH),
+        "pos": (WINDOW, WIDTH),
+        "qkv": (WIDTH, 3 * WIDTH),
+        "mix": (WIDTH, WIDTH),
+        "up": (WIDTH, HIDDEN),
+        "bias": (HIDDEN,),
+        "down": (HIDDEN, WIDTH),
+        "out": (WIDTH, len(t.edges) - 1),
+    }
+
+
+def initial(t: Tables) -> np.ndarray:
     rng = np.random.default_rng(11)
     parts = []
-    for name, shape in SHAPES.items():
-        scale = {"emb": 0.5, "pos": 0.1, "bias": 0.0, "out": 0.02}.get(name, shape[0] ** -0.5)
+    for name, shape in shapes(t).items():
+        scale = {"emb": 0.5, "own": 0.02, "pos": 0.1, "bias": 0.0, "out": 0.02}.get(name, shape[0] ** -0.5)
         parts.append((rng.standard_normal(shape) * scale).ravel())
     return np.concatenate(parts).astype(np.float32)
 
 
-def named(flat: np.ndarray) -> dict[str, np.ndarray]:
+def named(flat: np.ndarray, t: Tables) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(t).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
-    """Hidden states of buckets x (windows, WINDOW), a row for each position, and what gradients need if keep."""
+def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden states of buckets x (windows, WINDOW), a row for each position, and what gradients need."""
     n = len(x)
-    e = p["emb"][x] + p["pos"]
-    qkv = (e.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
+    e = p["emb"][x]
+    e += p["pos"]
+    flat = e.reshape(-1, WIDTH)
+    qkv = (flat @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
     q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= WIDTH**-0.5
-    np.minimum(a, 30, out=a)
+    a *= np.float32(WIDTH**-0.5)
+    np.minimum(a, TOP, out=a)
     np.exp(a, out=a)
     a *= _MASK
-    if keep:
-        a /= a.sum(2, keepdims=True)
-        o = np.matmul(a, v)
-    else:
-        o = np.matmul(a, v)
-        o /= a.sum(2, keepdims=True)
-    h = e.reshape(-1, WIDTH) + o.reshape(-1, WIDTH) @ p["mix"]
-    f = np.maximum(h @ p["up"] + p["bias"], 0)
-    z = h + f @ p["down"]
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, WINDOW, 1)
+    o = np.matmul(a, v)
+    h = o.reshape(-1, WIDTH) @ p["mix"]
+    h += flat
+    f = h @ p["up"]
+    f += p["bias"]
+    np.maximum(f, 0, out=f)
+    z = f @ p["down"]
+    z += h
     return z, (e, q, k, v, a, o, h, f)
 
 
-def class_logp(z: np.ndarray, out: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-    s = z @ out
-    s += before
-    own = s[np.arange(len(s)), target].copy()
+def _softmax(s: np.ndarray) -> np.ndarray:
+    """The sums of exp of the rows of s, which becomes exp(s)."""
+    np.minimum(s, TOP, out=s)
     np.exp(s, out=s)
-    return own - np.log(s.sum(1))
+    return s @ np.ones(s.shape[1], s.dtype)
+
+
+def _by_class(t: Tables, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(order of y by class, (first row, last row, first bucket, last bucket) of each class in it)."""
+    of = t.class_of[y]
+    order = np.argsort(of, kind="stable")
+    found, begin = np.unique(of[order], return_index=True)
+    ends = [*begin[1:].tolist(), len(y)]
+    spans = zip(begin.tolist(), ends, t.edges[found].tolist(), t.edges[found + 1].tolist(), strict=True)
+    return order, list(spans)
+
+
+def log_probability(p: dict[str, np.ndarray], t: Tables, z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of buckets y after buckets x, given hidden states z."""
+    context = t.context[x]
+    s = z @ p["out"]
+    s += t.before[context]
+    rows = np.arange(len(y))
+    out = np.minimum(s[rows, t.class_of[y]], TOP)
+    out -= np.log(_softmax(s))
+    order, spans = _by_class(t, y)
+    zs, cs, ys = z[order], context[order], y[order]
+    within = np.empty(len(y), z.dtype)
+    for lo, hi, first, last in spans:
+        s = zs[lo:hi] @ p["own"][first:last].T
+        s += t.inside[cs[lo:hi], first:last]
+        own = np.minimum(s[np.arange(hi - lo), ys[lo:hi] - first], TOP)
+        within[lo:hi] = own - np.log(_softmax(s))
+    out[order] += within
+    return out
 
 
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, target: np.ndarray, weight: np.ndarray):
-    """(loss, flat gradient) of the mean negative log probability of target classes (windows, WINDOW)."""
-    n = len(x)
+def gradient(p: dict[str, np.ndarray], t: Tables, windows: np.ndarray) -> tuple[float, np.ndarray]:
+    """(loss, flat gradient) of the mean negative log probability of the last WINDOW buckets of windows (rows of WINDOW + 1)."""
+    x, y = windows[:, :-1], windows[:, 1:].ravel()
+    n, size = len(x), y.size
     z, (e, q, k, v, a, o, h, f) = forward(p, x)
-    s = z @ p["out"] + before
-    s -= s.max(1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(1, keepdims=True)
-    rows = np.arange(len(s))
-    w = (weight / max(1.0, weight.sum())).astype(np.float32)
-    loss = -(np.log(np.maximum(s[rows, target], 1e-20)) * w).sum()
-    s[rows, target] -= 1
-    s *= w[:, None]
+    context = t.context[x.ravel()]
+    share = z.dtype.type(1 / size)
+
+    s = z @ p["out"]
+    s += t.before[context]
+    total = _softmax(s)
+    rows, of = np.arange(size), t.class_of[y]
+    loss = np.log(total).sum() - np.log(s[rows, of]).sum()
+    s *= (share / total)[:, None]
+    s[rows, of] -= share
     g = {"out": z.T @ s}
     dz = s @ p["out"].T
+
+    order, spans = _by_class(t, y)
+    zs, cs, ys = z[order], context[order], y[order]
+    ds, g["own"] = np.empty_like(zs), np.zeros_like(p["own"])
+    for lo, hi, first, last in spans:
+        s = zs[lo:hi] @ p["own"][first:last].T
+        s += t.inside[cs[lo:hi], first:last]
+        total = _softmax(s)
+        at = (np.arange(hi - lo), ys[lo:hi] - first)
+        loss += np.log(total).sum() - np.log(s[at]).sum()
+        s *= (share / total)[:, None]
+        s[at] -= share
+        g["own"][first:last] = s.T @ zs[lo:hi]
+        ds[lo:hi] = s @ p["own"][first:last]
+    dz[order] += ds
+
     df = dz @ p["down"].T
     df *= f > 0
     g["down"], g["up"], g["bias"] = f.T @ dz, h.T @ df, df.sum(0)
-    dh = dz + df @ p["up"].T
+    dh = df @ p["up"].T
+    dh += dz
     g["mix"] = o.reshape(-1, WIDTH).T @ dh
     do = (dh @ p["mix"].T).reshape(n, WINDOW, WIDTH)
     da = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do)
-    da -= (da * a).sum(2, keepdims=True)
+    dqkv = np.empty((n, WINDOW, 3 * WIDTH), z.dtype)
+    dqkv[:, :, 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), do)
     da *= a
-    da *= WIDTH**-0.5
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    dqkv = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * WIDTH)
+    da -= a * (da.reshape(-1, WINDOW) @ np.ones(WINDOW, da.dtype)).reshape(n, WINDOW, 1)
+    da *= np.float32(WIDTH**-0.5)
+    dqkv[:, :, :WIDTH] = np.matmul(da, k)
+    dqkv[:, :, WIDTH : 2 * WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
     g["qkv"] = e.reshape(-1, WIDTH).T @ dqkv
-    de = dh + dqkv @ p["qkv"].T
-    g["pos"] = de.reshape(n, WINDOW, WIDTH).sum(0)
-    emb = np.zeros((BUCKETS, WIDTH), np.float32)
-    np.add.at(emb, x.ravel(), de)
-    g["emb"] = emb
-    return float(loss), np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
+    dh += dqkv @ p["qkv"].T
+    g["pos"] = dh.reshape(n, -1).sum(0).reshape(WINDOW, WIDTH)
+    g["emb"] = _sum_by(x.ravel(), dh, t.size)
+    return float(loss) / size, np.concatenate([g[name].ravel() for name in shapes(t)])
+
+
+def _sum_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by key, one row for each of n keys."""
+    order = np.argsort(key, kind="stable")
+    found, begin = np.unique(key[order], return_index=True)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[found] = np.add.reduceat(rows[order], begin, axis=0)
+    return out
 
 
 class Adam:
-    def __init__(self, flat: np.ndarray, rate: float):
-        self.flat, self.rate, self.t = flat.copy(), rate, 0
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.t = flat.copy(), 0
         self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
 
-    def step(self, g: np.ndarray) -> None:
+    def step(self, g: np.ndarray, rate: float) -> None:
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        mean, var = self.m / (1 - 0.9**self.t), self.v / (1 - 0.99**self.t)
-        self.flat -= self.rate * mean / (np.sqrt(var) + 1e-8)
-
-
-def cut(x: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """Every parts-th window (WINDOW + 1 buckets), from number part on, of a stream x that starts with an end token.
-
-    The last window ends with the stream, and a stream shorter than a window gets more end tokens in front, so all parts
-    together predict each bucket at least once."""
+        self.m += np.float32(0.1) * (g - self.m)
+        np.square(g, out=g)
+        g -= self.v
+        g *= np.float32(0.01)
+        self.v += g
+        scale = np.sqrt(self.v)
+        scale *= np.float32((1 - 0.99**self.t) ** -0.5)
+        scale += np.float32(1e-8)
+        np.divide(self.m, scale, out=scale)
+        scale *= np.float32(rate / (1 - 0.9**self.t))
+        self.flat -= scale
+
+
+def cut(x: np.ndarray) -> np.ndarray:
+    """Windows (WINDOW + 1 buckets) of a stream x that starts with an end token.
+
+    The last window ends with the stream, and a stream shorter than a window gets more end tokens in front, so together they
+    predict each bucket at least once."""
     n = len(x) - 1
     if n < 1:
         return np.zeros((0, WINDOW + 1), x.dtype)
     if n < WINDOW:
-        x, n = np.concatenate([np.full(WINDOW - n, x[0]), x]), WINDOW
-    begin = np.minimum(np.arange(0, n, WINDOW), n - WINDOW)[part::parts]
+        x, n = np.concatenate([np.full(WINDOW - n, x[0], x.dtype), x]), WINDOW
+    begin = np.minimum(np.arange(0, n, WINDOW), n - WINDOW)
     return x[begin[:, None] + np.arange(WINDOW + 1)]
 
 
 def train_windows(
-    flat: np.ndarray, t: Tables, windows: np.ndarray, rate: float, min_steps: int, batch: int = 64
+    flat: np.ndarray, t: Tables, windows: np.ndarray, rate: float, min_steps: int, step: int = STEP
 ) -> tuple[np.ndarray, float]:
-    """Steps over all windows (rows of WINDOW + 1 buckets); few windows are gone through up to MAX_EPOCHS times to make
-    min_steps. Returns (parameters, loss)."""
+    """Steps over all windows (rows of WINDOW + 1 buckets), in a fixed shuffled order; few windows are gone through up to
+    MAX_EPOCHS times to make min_steps. Returns (parameters, mean loss)."""
     if not len(windows):
         return flat, 0.0
-    opt, loss, seen = Adam(flat, rate), 0.0, 0
+    one_thread()
+    opt, loss = Adam(flat), 0.0
     order = np.random.default_rng(3).permutation(len(windows))
-    once = -(-len(order) // batch)
+    once = -(-len(order) // step)
     steps = max(once, min(min_steps, MAX_EPOCHS * once))
     for k in range(steps):
-        at = (k * batch) % len(order)
-        w = windows[order[at : at + batch]]
-        x, y = w[:, :-1], w[:, 1:]
-        one, g = gradient(
-            named(opt.flat), x, t.before[x.ravel()], t.class_of[y.ravel()], np.ones(x.size, np.float32)
-        )
-        opt.rate = rate * min(1.0, 1.5 * (steps - k) / steps)
-        loss, seen = loss + one, seen + 1
-        opt.step(g)
-    return opt.flat, loss / seen
+        at = k % once * step
+        one, g = gradient(named(opt.flat, t), t, windows[order[at : at + step]])
+        opt.step(g, rate * min(1.0, 1.5 * (steps - k) / steps))
+        loss += one
+    return opt.flat, loss / steps
 
 
 def score_streams(flat: np.ndarray, t: Tables, ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -241,24 +338,26 @@ def score_streams(flat: np.ndarray, t: Tables, ids: np.ndarray, sizes: np.ndarra
     out = np.zeros(len(sizes))
     if not len(ids):
         return out
+    one_thread()
     begin = np.cumsum(sizes) - sizes
-    target = t.bucket[ids].astype(np.int64)
-    given = np.concatenate([t.bucket[[end]].astype(np.int64), target[:-1]])
+    target = t.bucket[ids]
+    given = np.empty_like(target)
+    given[1:] = target[:-1]
     given[begin] = t.bucket[end]
     step = WINDOW - OVERLAP
     count = 1 + np.maximum(0, -(-(sizes - WINDOW) // step))
     owner = np.repeat(np.arange(len(sizes)), count)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start, left = begin[owner] + k * step, sizes[owner] - k * step
-    p = named(flat)
+    p = named(flat, t)
     logp = np.zeros(len(ids), np.float64)
     span = np.arange(WINDOW)
     for at in range(0, len(owner), BATCH):
         s, n, first = start[at : at + BATCH], left[at : at + BATCH], k[at : at + BATCH] == 0
         place = np.minimum(s[:, None] + span, len(ids) - 1)
-        z, _ = forward(p, given[place], keep=False)
+        z, _ = forward(p, given[place])
         use = ((span < n[:, None]) & (first[:, None] | (span >= OVERLAP))).ravel()
         where = place.ravel()[use]
-        y, x = target[where], given[where]
-        logp[where] = class_logp(z[use], p["out"], t.before[x], t.class_of[y]) + t.inside[x, y] + t.own_logp[ids[where]]
+        logp[where] = log_probability(p, t, z[use], given[where], target[where])
+    logp += t.own_logp[ids]
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logp, len(sizes))
