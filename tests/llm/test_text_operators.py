@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitedrift.llm import attention, bpe, chat, lm, packing, quality, token_counts, vocab
+from sitedrift.llm import bpe, chat, lm, packing, quality, token_counts, vocab
 from sitedrift.llm.word_ids import WordIds
 
 TEXTS = [
@@ -166,22 +166,6 @@ def test_neighbours_share_words():
     assert packing.Bm25(topics).ask(0).tolist()[:3] == [0, 2, 4]
 
 
-def test_attention_gradient():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    flat = attention.initial().astype(np.float64)
-    x = rng.integers(0, attention.BUCKETS, (2, attention.WINDOW))
-    before, y = rng.standard_normal((x.size, attention.CLASSES)), rng.integers(0, attention.CLASSES, x.size)
-    loss = lambda f: attention.gradient(attention.named(f), x, before, y, np.ones(x.size, np.float32))
-    _, g = loss(flat)
-    for i in np.argsort(-np.abs(g))[::4000]:
-        up, down = flat.copy(), flat.copy()
-        up[i] += 1e-4
-        down[i] -= 1e-4
-        assert abs((loss(up)[0] - loss(down)[0]) / 2e-4 - g[i]) < 1e-4
-
-
 def test_lm_base_scores_equal_brute_force(docs):
     import collections
     import math
@@ -199,4 +183,16 @@ def test_lm_base_scores_equal_brute_force(docs):
         assert abs(got[i].base_score - want) < 1e-8 and got[i].n_tokens == len(ws) and got[i].train_tokens == n
         assert got[i].n_known == sum(c[w] > 0 for w in ws) and got[i].score < 0
     assert got[6].score == pytest.approx(got[7].score)
+    again = {r.doc_id: r.score for r in lm.lm_scores(df.repartition(7), learnt, BYTE).collect()}
+    assert all(again[i] == pytest.approx(r.score, abs=1e-3) for i, r in got.items())
+    untaught = lm.lm_scores(df, F.lit(False), BYTE).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in untaught} == {(0, 0, 0.0)} and all(r.score < 0 for r in untaught)
     assert lm.lm_scores(df.limit(0), learnt, BYTE).count() == 0
+
+
+def test_lm_beats_its_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    scored = lm.lm_scores(docs, ~held_out, BYTE).where(held_out)
+    sums = scored.agg(F.sum("base_score").alias("base"), F.sum("score").alias("model")).first()
+    assert sums.model > 0.985 * sums.base
