@@ -50,7 +50,7 @@ SUMS = 16
 
 def _pack(x: np.ndarray, dtype: str) -> bytes:
     """Compressed by planes of bytes: the high ones of small numbers cost next to nothing."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(x, dtype).view("u1").reshape(len(x), -1).T)
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, dtype).view("u1").reshape(len(x), np.dtype(dtype).itemsize).T)
     return zstandard.compress(planes.tobytes(), 1)
 
 
