@@ -3,8 +3,10 @@
 Each task cuts its rows into shards of a bounded number of tokens and indexes a shard's open documents by BM25 (term:
 documents and weights). A seed document opens a window; the index returns its unused neighbours in falling score, and
 they fill the window greedily. The one that doesn't fit whole is cut: its rest seeds the next window. Documents of a
-window or more give whole windows first. So only the last window of a shard is padded. There is no shuffle, a shard's
-memory is bounded, and the same input split always packs alike.
+window or more give whole windows first. So only the last window of a shard is part-filled. These remainders, one
+for each shard, are then put together, the longest first, each into the first window with room for it, so padding doesn't
+grow with the number of tasks. Nothing else is shuffled, a shard's memory is bounded, and the same input split always
+packs alike.
 
 Defined results: null text is the empty text, one end token; empty texts are packed like others; repeated rows are
 separate documents; no rows give no pieces; other columns are left out.
@@ -16,30 +18,34 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .vocab import parsed, ship
 from .word_ids import WordIds
 
 WINDOW = 2048
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1_500_000
-#: A seed asks with its terms of highest weight, so many of them.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 BATCH_ROWS = 256
 
+#: Remainders that are put together by one task.
+GROUP = 512
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
+FILLED = f"{SCHEMA}, filled long"
 Piece = tuple[int, int, int]  # document, start, length
 
 
 class Bm25:
-    """Postings of a shard by term; ask() scores documents against one of them."""
+    """Postings of a shard by term; ask() scores documents against one of them, by all of its terms."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
@@ -51,24 +57,27 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.n, self.df = n, df
-        self.term, self.own_weight = term, weight
+        self.n, self.term = n, term.astype(np.int32)
         self.own = np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
-        self.begin = np.concatenate([[0], np.cumsum(df)])
+        self._postings(doc[order].astype(np.int32), self.term[order], weight[order], len(df))
+
+    def _postings(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
+        self.doc, self.of, self.weight = doc, term, weight
+        self.df = np.bincount(term, minlength=n_terms)
+        self.begin = np.cumsum(self.df) - self.df
+
+    def keep(self, is_open: np.ndarray) -> None:
+        """Forgets the postings of closed documents; weights stay those of the whole shard."""
+        left = is_open[self.doc]
+        self._postings(self.doc[left], self.of[left], self.weight[left], len(self.df))
 
     def ask(self, seed: int) -> np.ndarray:
-        """Documents that share a chosen term with the seed, best first, ties in order of rows."""
-        lo, hi = self.own[seed], self.own[seed + 1]
-        terms, w = self.term[lo:hi], self.own_weight[lo:hi]
-        shared = self.df[terms] > 1
-        terms, w = terms[shared], w[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-w, kind="stable")[:QUERY_TERMS]]
-        if not len(terms):
-            return terms
-        at = np.concatenate([np.arange(self.begin[t], self.begin[t + 1]) for t in terms])
+        """Documents that share a term with the seed, best first, ties in order of rows."""
+        terms = self.term[self.own[seed] : self.own[seed + 1]]
+        size = self.df[terms]
+        first = np.cumsum(size) - size
+        at = np.repeat(self.begin[terms] - first, size) + np.arange(int(size.sum()))
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -86,6 +95,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[Piece]]:
     if not is_open.any():
         return
     index = Bm25([ids[s:] for s, ids in zip(start, docs, strict=True)])
+    held = int(is_open.sum())
     queue = iter(range(len(docs)))
     seed, sequence, room = None, [], window
 
@@ -122,6 +132,9 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[Piece]]:
         if room:
             break
         yield sequence
+        if (left := int(is_open.sum())) < 0.8 * held:
+            index.keep(is_open)
+            held = left
         seed, sequence, room = (rest if rest is not None else first if cut else None), [], window
     if sequence:
         yield sequence
@@ -149,14 +162,14 @@ def pack_documents(
             nonlocal base
             out = []
             for sequence in pack(ids, window):
-                offset = 0
+                offset, filled = 0, sum(n for _, _, n in sequence)
                 for d, s, n in sequence:
                     crc = zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes())
-                    out.append((keys[d], s, n, crc, len(ids[d]), base, offset))
+                    out.append((keys[d], s, n, crc, len(ids[d]), base, offset, filled))
                     offset += n
                 base += 1
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            names = [x.split()[0] for x in FILLED.split(", ")]
             keys.clear()
             ids.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
@@ -175,4 +188,28 @@ def pack_documents(
         if ids:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, FILLED)
+    pieces = stored(rows, "pieces")
+    whole = pieces.where(F.col("filled") == window).drop("filled")
+    rest = pieces.where(F.col("filled") < window)
+    groups = max(1, -(-rest.where("offset = 0").count() // GROUP))
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = put_together(pdf.drop_duplicates("sequence_id").set_index("sequence_id")["filled"].to_dict(), window)
+        pdf["offset"] += pdf["sequence_id"].map(lambda i: at[i][1])
+        pdf["sequence_id"] = pdf["sequence_id"].map(lambda i: at[i][0])
+        return pdf.drop(columns=["filled", "group"])
+
+    dealt = rest.withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+    return whole.unionByName(dealt.groupBy("group").applyInPandas(together, SCHEMA))
+
+
+def put_together(filled: dict[int, int], window: int) -> dict[int, tuple[int, int]]:
+    """(sequence, offset) for each part-filled sequence: the longest first, into the first with room for it."""
+    out, room = {}, {}
+    for i, n in sorted(filled.items(), key=lambda x: (-x[1], x[0])):
+        home = next((k for k, free in room.items() if free >= n), i)
+        free = room.get(home, window)
+        out[i] = (home, window - free)
+        room[home] = free - n
+    return out
