@@ -1,7 +1,10 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -155,15 +158,52 @@ def test_packing_covers_each_token_once(docs):
         spans.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
         fills.append(sum(spans[-1]))
-    assert max(fills) <= 2048 and sum(f < 2048 for f in fills) <= 4
+    assert max(fills) <= 2048 and sum(f < 2048 for f in fills) <= 3
+    many = packing.pack_documents(df.repartition(40), WORD, shard_tokens=20_000)
+    padding = many.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    sizes = padding.collect()
+    assert all(r.n == r.end <= 2048 for r in sizes) and sum(r.n for r in sizes) == sum(map(len, ids.values()))
+    # each task leaves a remainder, and no two that would fit into one window are left apart
+    left = sorted(r.n for r in sizes if r.n < 2048)
+    assert len(left) < 30 and (len(left) < 2 or left[0] + left[1] > 2048)
     assert packing.pack_documents(df.limit(0), WORD).count() == 0
 
 
-def test_neighbours_share_words():
-    import numpy as np
-
+def plain_bm25(docs, seed):
+    """Scores of all documents against one, by its definition, over all terms of it."""
+    n, mean, out = len(docs), sum(map(len, docs)) / len(docs), []
+    for d in docs:
+        score = 0.0
+        for term in set(docs[seed]):
+            df = sum(term in x for x in docs)
+            tf = d.count(term)
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            score += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        out.append(score)
+    return out
+
+
+def test_retrieval_equals_plain_bm25():
+    rng = random.Random(3)
+    docs = [[min(200, int(rng.expovariate(0.03))) for _ in range(rng.randint(1, 120))] for _ in range(60)]
+    index = packing.Bm25([np.array(d, np.int32) for d in docs])
+    closed = np.array([k % 3 == 0 for k in range(60)])
+    for again in range(2):
+        for seed in range(60):
+            want = plain_bm25(docs, seed)
+            found = [k for k in range(60) if want[k] > 0 and not (again and closed[k])]
+            got = index.ask(seed).tolist()
+            assert sorted(got) == found
+            assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+        index.keep(~closed)
+
+
+def test_windows_are_filled_with_the_nearest_unused():
     topics = [np.array([k * 100 + j for j in range(40)] * 5, np.int32) for k in (1, 2, 1, 2, 1, 2)]
     assert packing.Bm25(topics).ask(0).tolist()[:3] == [0, 2, 4]
+    assert [[d for d, _, _ in x] for x in packing.pack(topics, 600)] == [[0, 2, 4], [1, 3, 5]]
+    # the one that doesn't fit is cut, and its rest seeds the next window
+    assert [x for x in packing.pack(topics[:4], 300)] == [[(0, 0, 200), (2, 0, 100)], [(2, 100, 100), (1, 0, 200)], [(3, 0, 200)]]
 
 
 def test_lm_base_scores_equal_brute_force(docs):
