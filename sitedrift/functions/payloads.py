@@ -67,6 +67,16 @@ def price_change_text(
     )
 
 
+def content_change_text(page: Column, preview: Column, added: Column, removed: Column) -> Column:
+    """Of a content alert whose texts aren't at hand: its page, totals and preview."""
+    shown = F.trim(F.coalesce(preview, F.lit("")))
+    return F.concat(
+        F.lit("Page: "), F.coalesce(page, F.lit("unknown page")), F.lit("\nLines added: "), F.coalesce(added, F.lit(0)),
+        F.lit(", removed: "), F.coalesce(removed, F.lit(0)), F.lit("\n\nDiff:\n"),
+        F.when(shown == "", F.lit("(diff preview unavailable)")).otherwise(shown),
+    )
+
+
 def merge_details(details: Column, summary: Column) -> Column:
     """The details object with aiChangeSummary set; anything but an object counts as an empty one."""
     base = F.try_parse_json(details)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 HOUR = "INTERVAL 1 HOUR"
 SITE = ["website_id", "scope_version"]
+TARGET = ["target_id", "scope_version"]
 
 
 def explode_run_urls(runs: DataFrame) -> DataFrame:
@@ -40,18 +41,17 @@ def set_common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).distinct().join(b.select(*keys), keys, "left_semi")
 
 
-def added_urls(obs: DataFrame, site_url: DataFrame) -> DataFrame:
+def added_urls(obs: DataFrame, site_url: DataFrame, keys: list[str] = SITE) -> DataFrame:
     """Observed URLs that the inventory lacks (added) or holds as removed (reappeared)."""
-    known = site_url.select(*SITE, F.col("normalized_url_hash").alias("url_hash"), "status")
-    joined = obs.join(known, [*SITE, "url_hash"], "left").where("status IS NULL OR status = 'removed'")
+    known = site_url.select(*keys, F.col("normalized_url_hash").alias("url_hash"), "status")
+    joined = obs.join(known, [*keys, "url_hash"], "left").where("status IS NULL OR status = 'removed'")
     kind = F.when(F.col("status").isNull(), "added").otherwise("reappeared")
     return joined.withColumn("kind", kind).drop("status")
 
 
-def missing_urls(baseline: DataFrame, obs: DataFrame) -> DataFrame:
-    """Rows of the baseline runs whose URL the new run of the same target lacks."""
-    keys = ["target_id", "scope_version", "url_hash"]
-    return baseline.join(obs.select(*keys), keys, "left_anti")
+def missing_urls(baseline: DataFrame, obs: DataFrame, keys: list[str] = TARGET) -> DataFrame:
+    """Rows of the baseline whose URL the new run of the same key lacks."""
+    return baseline.join(obs.select(*keys, "url_hash"), [*keys, "url_hash"], "left_anti")
 
 
 def link_diff(prev: DataFrame, curr: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,9 +76,9 @@ def same_missing_set(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(missing_set_hash(b, keys), [*keys, "n_urls", "set_hash"]).select(*keys)
 
 
-def recovered_candidate_urls(missing: DataFrame, obs: DataFrame) -> DataFrame:
-    keys = ["target_id", "scope_version", "url_hash"]
-    return missing.join(obs.select(*keys), keys, "left_semi")
+def recovered_candidate_urls(missing: DataFrame, obs: DataFrame, keys: list[str] = TARGET) -> DataFrame:
+    """The missing URLs of a candidate that the observation of the same key has again."""
+    return missing.join(obs.select(*keys, "url_hash"), [*keys, "url_hash"], "left_semi")
 
 
 def numbered_runs(runs: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.payloads import link_alert_details, link_alert_title, price_change_key
+from ..functions.payloads import format_price, link_alert_details, link_alert_title, number_text, price_change_key
 from ..functions.text import diff_preview
 
 PAGE = ["websiteId", "kind", "targetUrl"]
@@ -85,6 +85,26 @@ def price_changes(series: DataFrame, page: str = "page") -> DataFrame:
     )
 
 
+def price_alert_title(name: Column, old: Column, old_currency: Column, new: Column, new_currency: Column) -> Column:
+    was, now = format_price(old, old_currency), format_price(new, new_currency)
+    return F.concat(F.lit("Price change: "), name, F.lit(" ("), was, F.lit(" → "), now, F.lit(")"))
+
+
+def price_alerts(changes: DataFrame, page: str = "page", name: str | None = None) -> DataFrame:
+    """id, kind, title, details of PRODUCT_PRICE alerts from price_changes; name: a column with the product's name."""
+    number = lambda c: F.try_parse_json(number_text(F.col(c)))
+    product = F.lit(None).cast("string") if name is None else F.col(name)
+    details = F.struct(
+        F.col(page).alias("pageUrl"), product.alias("productName"), number("previous_price").alias("previousPrice"),
+        F.col("previous_currency").alias("previousCurrency"), number("price").alias("newPrice"), F.col("currency").alias("newCurrency"),
+    )
+    title = price_alert_title(
+        F.coalesce(F.when(product != "", product), F.col(page)), F.col("previous_price"), F.col("previous_currency"), F.col("price"), F.col("currency")
+    )
+    shown = F.to_json(details, {"ignoreNullFields": "false"})
+    return changes.select("id", F.lit("PRODUCT_PRICE").alias("kind"), title.alias("title"), shown.alias("details"))
+
+
 def price_series(series: DataFrame, page: str = "page") -> DataFrame:
     """Points of each page numbered oldest first."""
     w = Window.partitionBy(page).orderBy("createdAt", "id")

@@ -125,6 +125,12 @@ def page_total(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return n.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)))
 
 
+def candidate_urls_page(missing: DataFrame, candidate_id: str | None, limit: int, offset: int = 0) -> DataFrame:
+    """url, resolution of a page of a candidate's missing URLs, in order of their hash."""
+    rows = missing.where(F.col("candidate_id") == F.lit(candidate_id))
+    return page_offset(rows, [F.col("normalized_url_hash")], limit, offset).select("url", "resolution")
+
+
 def page_keyset(events: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
     """The newest limit + 1 events before the cursor (observed_at, id); the extra one tells that there are more."""
     if before:

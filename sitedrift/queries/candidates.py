@@ -15,9 +15,9 @@ from ..operators import views as vi
 from ..plans import scan, upkeep
 from ..sources import tables as src
 from ..streaming import jobs
-from .base import query
+from ..scratch import fresh_folder as work_folder
+from .base import as_stream, query
 from .inventory import GAPS
-from .plans import _as_stream, work_folder
 from .scalars import LINES
 from .views import INV, MOMENT, as_of, facts, named, target_of
 
@@ -159,26 +159,18 @@ def j10_a11_candidate_counts(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}),
-s AS (SELECT o.target_id, n.seq, list_sort(list(DISTINCT o.url)) AS u, any_value(n.observed_at) AS at0 FROM {obs} o JOIN n USING (target_id, run_id) GROUP BY ALL)
-SELECT a.target_id AS candidate_id, CASE WHEN a.u <> b.u THEN 'missing_set_changed' WHEN b.at0 >= a.at0 + INTERVAL 1 HOUR THEN 'confirmed' ELSE 'quarantined' END AS decision
-FROM s a JOIN s b ON a.target_id = b.target_id AND a.seq = 2 AND b.seq = 3"""
+    LINES
+    + """, k AS (SELECT id, len(a) AS n_a, len(r) AS n_r, list_transform(a[1:40], lambda x: CASE WHEN length(x) > 160 THEN concat(substr(x, 1, 157), '…') ELSE x END) AS a,
+  list_transform(r[1:40], lambda x: CASE WHEN length(x) > 160 THEN concat(substr(x, 1, 157), '…') ELSE x END) AS r FROM d),
+w AS (SELECT id, n_a, n_r, concat_ws(chr(10), CASE WHEN n_a > 0 THEN concat('+ ', array_to_string(a, concat(chr(10), '+ '))) END,
+  CASE WHEN n_r > 0 THEN concat('- ', array_to_string(r, concat(chr(10), '- '))) END) AS preview FROM k)
+SELECT id, sha256(CASE WHEN preview = '' THEN '(no line-level diff available)' ELSE concat('Total lines added: ', n_a, ', removed: ', n_r,
+  chr(10), chr(10), preview) END) AS text_hash FROM w"""
 )
-def p3_confirm_candidates(spark, sf_dir):
-    obs = table(spark, sf_dir, "obs_hashed")
-    runs = inv.numbered_runs(table(spark, sf_dir, "runs"))
-    of = lambda k: runs.where(F.col("seq") == k).select(F.col("target_id").alias("candidate_id"), "run_id", "observed_at")
-    sets = lambda k: of(k).join(obs.select("run_id", "url"), "run_id").select("candidate_id", "url")
-    cand = of(2).select(F.col("candidate_id").alias("id"), "observed_at", F.lit("pending").alias("status"))
-    return upkeep.confirm_candidates(cand, sets(2), sets(3), of(3))
-
-
-@query(LINES + "SELECT id, n_a AS added, n_r AS removed FROM c")
 @named("snap_hashed")
 def x11_diff_for_prompt(snap):
     rows = sn.changed_pairs(snap).withColumn("text", tx.diff_for_prompt(F.col("before"), F.col("after")))
-    number = lambda p: F.regexp_extract("text", p, 1).cast("long")
-    return rows.select("id", number("^Total lines added: ([0-9]+)").alias("added"), number("removed: ([0-9]+)\n").alias("removed"))
+    return rows.select("id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query(
@@ -269,15 +261,5 @@ def r2_stream_url_lifecycle(spark, sf_dir):
     here = obs.select("run_id", "url_hash", F.lit(True).alias("present"))
     looks = looks.join(here, ["run_id", "url_hash"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
     looks = looks.select("website_id", "scope_version", "url_hash", "url", "present", (F.col("seq") == 0).alias("is_baseline"), "run_id", "observed_at")
-    stream, folder = _as_stream(looks, spark, "r2", 1)
+    stream, folder = as_stream(looks, spark, "r2", ["website_id", "url_hash"], F.unix_seconds("observed_at"))
     return jobs.run_to_table(jobs.stream_url_lifecycle(stream), folder).select("website_id", "url", "kind")
-
-
-@query(GAPS + "SELECT e.website_id, url, kind, n.run_id FROM events e JOIN n ON n.target_id = e.target_id AND n.seq = e.at WHERE n.seq <= 3")
-def r1_stream_adopt(spark, sf_dir):
-    """The first four runs of every target, as one micro-batch of four steps."""
-    obs, runs = table(spark, sf_dir, "obs_hashed"), inv.numbered_runs(table(spark, sf_dir, "runs"))
-    early = obs.join(runs.where("seq <= 3").select("run_id"), "run_id", "left_semi")
-    stream, folder = _as_stream(early, spark, "r1", 1)
-    jobs.stream_adopt(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/events").select("website_id", "url", "kind", "run_id")

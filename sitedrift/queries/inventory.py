@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..bindings import table
-from ..operators import inventory as inv
 from ..operators import adopt
-from .base import query
+from ..operators import inventory as inv
+from ..plans import upkeep
+from ..scratch import stored
+from ..streaming import jobs
+from .base import as_stream, query
 
 GAPS = """
 WITH n AS (
@@ -115,61 +119,91 @@ def a13_url_set_hash(spark, sf_dir):
     return inv.missing_set_hash(table(spark, sf_dir, "obs"), ["target_id", "run_id"])
 
 
-def _two_runs(spark, sf_dir):
+PAIR = ["target_id", "scope_version", "run_id"]
+
+
+def pairs_of_runs(spark, sf_dir):
+    """(before, after): the URLs of every run but the first, as run_id, and of the run before it, under the same run_id."""
     obs, runs = _obs(spark, sf_dir)
-    seq = inv.numbered_runs(runs).select("target_id", "run_id", "seq")
-    both = obs.join(seq, ["target_id", "run_id"])
-    return both.where("seq = 0").drop("seq"), both.where("seq = 1").drop("seq")
+    w = Window.partitionBy("target_id", "scope_version").orderBy("observed_at", "run_id")
+    runs = runs.select(*PAIR, F.lead("run_id").over(w).alias("next"), F.lag("run_id").over(w).alias("previous"))
+    rows = obs.select(*PAIR, "url", "url_hash").join(runs, PAIR)
+    before = rows.where("next IS NOT NULL").select("target_id", "scope_version", F.col("next").alias("run_id"), "url", "url_hash")
+    return before, rows.where("previous IS NOT NULL").select(*PAIR, "url", "url_hash")
 
 
-TWO = """
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}),
-a AS (SELECT o.* FROM {obs_hashed} o JOIN n USING (target_id, run_id) WHERE seq = 0),
-b AS (SELECT o.* FROM {obs_hashed} o JOIN n USING (target_id, run_id) WHERE seq = 1)
+PAIRS = """
+WITH n AS (SELECT *, row_number() OVER w - 1 AS seq, lead(run_id) OVER w AS next FROM {runs} WINDOW w AS (PARTITION BY target_id ORDER BY observed_at, run_id)),
+a AS (SELECT o.target_id, n.next AS run_id, o.url, o.url_hash FROM {obs_hashed} o JOIN n USING (target_id, run_id) WHERE n.next IS NOT NULL),
+b AS (SELECT o.target_id, o.run_id, o.url, o.url_hash FROM {obs_hashed} o JOIN n USING (target_id, run_id) WHERE seq > 0)
 """
 
 
-@query(TWO + "SELECT target_id, url FROM a WHERE (target_id, url) NOT IN (SELECT target_id, url FROM b)")
+@query(PAIRS + "SELECT target_id, run_id, url FROM a ANTI JOIN b USING (target_id, run_id, url)")
 def j5_missing_urls(spark, sf_dir):
-    return inv.missing_urls(*_two_runs(spark, sf_dir)).select("target_id", "url")
+    """Every run against the one before it."""
+    return inv.missing_urls(*pairs_of_runs(spark, sf_dir), PAIR).select("target_id", "run_id", "url")
 
 
 @query(
-    TWO
-    + """SELECT target_id, url, CASE WHEN x.url_hash IS NULL THEN 'added' ELSE 'removed' END AS change
-FROM (SELECT target_id, url, url_hash FROM a) x FULL JOIN (SELECT target_id, url, url_hash AS h FROM b) y USING (target_id, url)
-WHERE x.url_hash IS NULL OR y.h IS NULL"""
+    PAIRS
+    + """SELECT target_id, run_id, url, CASE WHEN x.url_hash IS NULL THEN 'added' ELSE 'removed' END AS change
+FROM (SELECT target_id, run_id, url, url_hash FROM a) x
+FULL JOIN (SELECT target_id, run_id, url, url_hash AS h FROM b) y USING (target_id, run_id, url) WHERE x.url_hash IS NULL OR y.h IS NULL"""
 )
 def j6_link_diff(spark, sf_dir):
-    return inv.link_diff(*_two_runs(spark, sf_dir), ["target_id"])
+    return inv.link_diff(*pairs_of_runs(spark, sf_dir), ["target_id", "run_id"])
 
 
-@query(TWO + "SELECT target_id, url FROM b EXCEPT SELECT target_id, url FROM a")
+@query(PAIRS + "SELECT target_id, run_id, url FROM b EXCEPT SELECT target_id, run_id, url FROM a")
 def u2_set_difference(spark, sf_dir):
-    a, b = _two_runs(spark, sf_dir)
-    return inv.set_difference(b, a, ["target_id", "url"])
+    a, b = pairs_of_runs(spark, sf_dir)
+    return inv.set_difference(b, a, ["target_id", "run_id", "url"])
 
 
-@query(TWO + "SELECT target_id, url FROM b INTERSECT SELECT target_id, url FROM a")
+@query(PAIRS + "SELECT target_id, run_id, url FROM b INTERSECT SELECT target_id, run_id, url FROM a")
 def u3_set_common(spark, sf_dir):
-    a, b = _two_runs(spark, sf_dir)
-    return inv.set_common(b, a, ["target_id", "url"])
+    a, b = pairs_of_runs(spark, sf_dir)
+    return inv.set_common(b, a, ["target_id", "run_id", "url"])
+
+
+def _missing_and_next(spark, sf_dir):
+    """(what each run misses of the one before it, under the run after it; what that one misses of the same one)."""
+    obs, runs = _obs(spark, sf_dir)
+    a, b = pairs_of_runs(spark, sf_dir)
+    w = Window.partitionBy("target_id", "scope_version").orderBy("observed_at", "run_id")
+    runs = runs.select(*PAIR, F.lead("run_id").over(w).alias("next")).where("next IS NOT NULL")
+    later = lambda df: df.join(runs, PAIR).drop("run_id").withColumnRenamed("next", "run_id")
+    return later(inv.missing_urls(a, b, PAIR)), inv.missing_urls(later(a), b, PAIR)
+
+
+NEXT_MISSING = (
+    PAIRS
+    + """, m AS (SELECT x.target_id, n.next AS run_id, x.url FROM (SELECT * FROM a ANTI JOIN b USING (target_id, run_id, url)) x
+  JOIN n USING (target_id, run_id) WHERE n.next IS NOT NULL),
+later AS (SELECT a.target_id, n.next AS run_id, a.url FROM a JOIN n USING (target_id, run_id) WHERE n.next IS NOT NULL)
+"""
+)
 
 
-@query(TWO + "SELECT target_id, run_id, url FROM a WHERE (target_id, url) IN (SELECT target_id, url FROM b)")
+@query(NEXT_MISSING + "SELECT target_id, run_id, url FROM m SEMI JOIN b USING (target_id, run_id, url)")
 def j16_recovered_candidate_urls(spark, sf_dir):
-    a, b = _two_runs(spark, sf_dir)
-    return inv.recovered_candidate_urls(a, b).select("target_id", "run_id", "url")
+    """What each run missed and the next one has again."""
+    missing, _ = _missing_and_next(spark, sf_dir)
+    after = pairs_of_runs(spark, sf_dir)[1]
+    return inv.recovered_candidate_urls(missing, after, PAIR).select("target_id", "run_id", "url")
 
 
 @query(
-    TWO
-    + """, s AS (SELECT target_id, list_sort(list(DISTINCT url)) AS u FROM a GROUP BY 1),
-t AS (SELECT target_id, list_sort(list(DISTINCT url)) AS u FROM b GROUP BY 1)
-SELECT s.target_id FROM s JOIN t ON s.target_id = t.target_id AND s.u = t.u"""
+    NEXT_MISSING
+    + """, s AS (SELECT target_id, run_id, list_sort(list(DISTINCT url)) AS u FROM m GROUP BY ALL),
+t AS (SELECT target_id, run_id, list_sort(list(DISTINCT url)) AS u FROM (SELECT * FROM later ANTI JOIN b USING (target_id, run_id, url)) GROUP BY ALL)
+SELECT s.target_id, s.run_id FROM s JOIN t ON s.target_id = t.target_id AND s.run_id = t.run_id AND s.u = t.u"""
 )
 def j11_same_missing_set(spark, sf_dir):
-    return inv.same_missing_set(*_two_runs(spark, sf_dir), ["target_id"])
+    """Runs that miss the same URLs, at least one, of the run before last as the last run did."""
+    first, second = _missing_and_next(spark, sf_dir)
+    return inv.same_missing_set(first, second, ["target_id", "run_id"])
 
 
 @query("SELECT DISTINCT target_id, run_id, url FROM {obs}")
@@ -190,27 +224,120 @@ def s2_explode_run_urls(spark, sf_dir):
 
 @query(
     GAPS
-    + """, final AS (SELECT website_id, target_id, url, CASE WHEN confirmed_seq IS NOT NULL THEN 'removed' ELSE 'held' END AS status
-  FROM g WHERE next_seq IS NULL),
-latest AS (SELECT o.target_id, o.url FROM {obs} o WHERE o.url LIKE '%7' OR o.url LIKE '%3')
-SELECT DISTINCT o.target_id, o.url, CASE WHEN f.status IS NULL THEN 'added' ELSE 'reappeared' END AS kind
-FROM latest o LEFT JOIN final f USING (target_id, url) WHERE f.status IS NULL OR f.status = 'removed'"""
+    + """SELECT g.target_id, n.run_id, g.url, 'added' AS kind FROM g JOIN n USING (target_id, seq) WHERE prev_seq IS NULL
+UNION ALL SELECT g.target_id, n.run_id, g.url, 'reappeared' FROM g JOIN n ON n.target_id = g.target_id AND n.seq = g.next_seq
+WHERE confirmed_seq IS NOT NULL"""
 )
 def j4_added_urls(spark, sf_dir):
+    """Every run against the inventory just before it, the first run's too."""
     obs, runs = _obs(spark, sf_dir)
-    state, _ = inv.replay_url_lifecycle(obs, runs)
-    known = state.withColumnRenamed("url_hash", "normalized_url_hash")
-    new = obs.where(F.col("url").rlike("[37]$"))
-    return inv.added_urls(new, known).select("target_id", "url", "kind").distinct()
+    before = inv.url_gaps(obs, runs).where("next_seq IS NOT NULL").select(
+        "website_id", "scope_version", F.get("runs", F.col("next_seq"))["run"].alias("run_id"),
+        F.col("url_hash").alias("normalized_url_hash"), F.when(F.col("confirmed_seq").isNotNull(), "removed").otherwise("active").alias("status"),
+    )
+    found = inv.added_urls(obs, before, ["website_id", "scope_version", "run_id"])
+    return found.select("target_id", "run_id", "url", "kind")
 
 
 @query(STATE_SQL)
 def p2_adopt_step_by_step(spark, sf_dir):
-    """The first runs as a baseline, then all later ones folded by the adoption step: equals the replay."""
-    state, _ = adopt.replay_by_steps(*_obs(spark, sf_dir))
+    """All runs folded by the adoption rules in each URL's row: equals the closed form."""
+    obs, runs = _obs(spark, sf_dir)
+    marked = inv.numbered_runs(runs).withColumn("is_baseline", F.col("seq") == 0)
+    state, _ = adopt.apply_runs(adopt.empty_state(obs), obs, marked)
     return state.select(*STATE_COLUMNS)
 
 
+#: Quarantine thresholds and candidate life for sites of a dozen URLs scanned monthly.
+LEAST, RATIO, TTL_DAYS = 3, 0.3, 70
+SUSP = f"""
+WITH RECURSIVE all_runs AS (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {{runs}}
+), sets AS (
+  SELECT r.website_id, r.target_id, r.run_id, r.seq, r.observed_at AS seen, list_sort(list(o.url)) AS u
+  FROM all_runs r JOIN {{obs}} o USING (target_id, run_id) GROUP BY ALL
+), fold AS (
+  SELECT target_id, seq, run_id, seen, u AS base, NULL::VARCHAR AS base_run, run_id AS base_now, NULL::VARCHAR AS held_run,
+    NULL::TIMESTAMP AS held_at, NULL::VARCHAR[] AS held, 'baseline' AS decision, NULL::VARCHAR AS met, NULL::VARCHAR AS outcome
+  FROM sets WHERE seq = 0
+  UNION ALL
+  SELECT target_id, seq, run_id, seen, CASE WHEN decision = 'applied' THEN u ELSE base END, base_now,
+    CASE WHEN decision = 'applied' THEN run_id ELSE base_now END,
+    CASE WHEN decision = 'applied' THEN NULL WHEN outcome = 'quarantined' THEN held_run ELSE run_id END,
+    CASE WHEN decision = 'applied' THEN NULL WHEN outcome = 'quarantined' THEN held_at ELSE seen END,
+    CASE WHEN decision = 'applied' THEN NULL WHEN outcome = 'quarantined' THEN held ELSE m END,
+    decision, held_run, outcome
+  FROM (SELECT *, CASE WHEN outcome = 'confirmed' THEN 'applied' WHEN outcome = 'quarantined' THEN 'quarantined'
+      WHEN len(base) > 0 AND len(m) >= {LEAST} AND len(m) / len(base) >= {RATIO} THEN 'quarantined' ELSE 'applied' END AS decision
+    FROM (SELECT *, CASE WHEN held_run IS NULL THEN NULL WHEN seen >= held_at + INTERVAL {TTL_DAYS} DAY THEN 'expired'
+        WHEN m <> held THEN 'missing_set_changed' WHEN seen >= held_at + INTERVAL 1 HOUR THEN 'confirmed' ELSE 'quarantined' END AS outcome
+      FROM (SELECT s.*, f.base, f.base_now, f.held_run, f.held_at, f.held, list_filter(f.base, lambda x: NOT list_contains(s.u, x)) AS m
+        FROM fold f JOIN sets s ON s.target_id = f.target_id AND s.seq = f.seq + 1)))
+), decided AS (
+  SELECT target_id, run_id, CASE WHEN run_id IN (SELECT met FROM fold WHERE outcome = 'confirmed') THEN 'first_observation' ELSE decision END AS decision,
+    base_run AS baseline_run_id, met AS candidate_run_id, outcome FROM fold
+)
+"""
+#: The closed form over the adopted runs alone.
+ADOPTED = SUSP + "," + GAPS.strip().removeprefix("WITH ").replace(
+    "FROM {runs}", "FROM {runs} WHERE run_id IN (SELECT run_id FROM decided WHERE decision <> 'quarantined')"
+) + "\n"
+
+
+def _adopted(spark, sf_dir):
+    obs, runs = _obs(spark, sf_dir)
+    return adopt.adopt_history(adopt.empty_state(obs), obs, runs, LEAST, RATIO, 24 * TTL_DAYS)
+
+
+@query(SUSP + "SELECT * FROM decided")
+def h5_adopt_sequence(spark, sf_dir):
+    obs, runs = _obs(spark, sf_dir)
+    decided = adopt.decide_history(obs, runs, LEAST, RATIO, 24 * TTL_DAYS)
+    return decided.drop("website_id", "scope_version", "observed_at")
+
+
+@query(
+    STATE_SQL.replace(GAPS, ADOPTED).replace("FROM {obs} GROUP BY ALL) f", "FROM {obs} WHERE run_id IN (SELECT run_id FROM n) GROUP BY ALL) f")
+)
+def p2_adopt_observation(spark, sf_dir):
+    """All histories with quarantine: state after baselines, applied runs and confirmed candidates."""
+    return _adopted(spark, sf_dir)[0].select(*STATE_COLUMNS)
+
+
+@query(
+    SUSP
+    + """SELECT f.met AS candidate_id, f.run_id, CASE WHEN f.outcome = 'confirmed' THEN 'confirmed' ELSE f.outcome END AS decision
+FROM fold f WHERE f.outcome IN ('confirmed', 'quarantined', 'missing_set_changed')"""
+)
+def p3_confirm_candidates(spark, sf_dir):
+    """Every candidate against each later run that found it open, by their missing sets of the baseline in force."""
+    obs, runs = _obs(spark, sf_dir)
+    decided = stored(adopt.decide_history(obs, runs, LEAST, RATIO, 24 * TTL_DAYS), "decided")
+    met = decided.where("outcome IS NOT NULL AND outcome <> 'expired'")
+    met = met.select(F.concat_ws("|", "candidate_run_id", "run_id").alias("candidate_id"), "run_id", "observed_at", "candidate_run_id", "baseline_run_id")
+    urls = obs.select("run_id", "url")
+    of = lambda c: met.select("candidate_id", F.col(c).alias("run_id")).join(urls, "run_id").select("candidate_id", "url")
+    base = of("baseline_run_id")
+    cand = met.select(F.col("candidate_run_id").alias("run_id"), F.col("candidate_id").alias("id")).join(runs.select("run_id", "observed_at"), "run_id")
+    cand = cand.withColumn("status", F.lit("pending"))
+    lost = lambda c: inv.set_difference(base, of(c), ["candidate_id", "url"])
+    out = upkeep.confirm_candidates(cand, lost("candidate_run_id"), lost("run_id"), met.select("candidate_id", "observed_at"))
+    part = lambda k: F.split_part("candidate_id", F.lit("|"), F.lit(k))
+    return out.select(part(1).alias("candidate_id"), part(2).alias("run_id"), "decision")
+
+
+@query(
+    ADOPTED
+    + """SELECT e.website_id, url, kind, n.run_id FROM events e JOIN n ON n.target_id = e.target_id AND n.seq = e.at"""
+)
+def r1_stream_adopt(spark, sf_dir):
+    """All runs, in micro-batches by time, with quarantine."""
+    obs = table(spark, sf_dir, "obs_hashed").select(*adopt.SITE, "run_id", "observed_at", "url", "url_hash")
+    stream, folder = as_stream(obs, spark, "r1", ["target_id"], F.unix_seconds("observed_at"))
+    jobs.stream_adopt(stream, f"{folder}/out", f"{folder}/checkpoint", LEAST, RATIO, 24 * TTL_DAYS).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/events").select("website_id", "url", "kind", "run_id")
+
+
 @query(
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}),
 p AS (SELECT o.target_id, o.url, n.seq FROM {obs} o JOIN n USING (target_id, run_id)),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bindings import table
+from ..functions import text as tx
 from ..functions import web
 from ..operators import inventory as inv
 from ..operators import snapshots as sn
@@ -14,32 +16,56 @@ from ..operators import views as vi
 from ..plans import notify, scan, upkeep
 from ..sources import tables as src
 from ..streaming import jobs
-from .base import query
-from .scalars import LINES, SERIES
-from .views import ROUTED, facts, named
+from .base import as_stream, query
+from .scalars import SERIES
+from .views import INV, ROUTED, facts, named
 
 
-def work_folder(spark, name: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT page_id, split_part(url, '#', 1) AS normal_url, NULL::VARCHAR AS url_error FROM pages")
+@query(
+    """SELECT page_id, CASE WHEN page_id % 7 < 4 THEN split_part(url, '#', 1) END AS normal_url,
+  CASE WHEN page_id % 7 >= 4 THEN 'INVALID_URL' END AS url_error FROM pages"""
+)
 @named("pages")
 def x1_normalize_http_url(pages):
-    return web.with_normal_url(pages.select("page_id", "url")).select("page_id", "normal_url", "url_error")
+    """Every page's URL, as it is or in a form that comes to the same, or in one that no scan may follow."""
+    k, url = F.col("page_id") % 7, F.col("url")
+    form = (
+        F.when(k == 0, url)
+        .when(k == 1, F.regexp_replace(url, "^http", "HTTP"))
+        .when(k == 2, F.concat(F.lit(" "), F.regexp_replace(url, "^(https?://[^/?#]*)/", "$1/./x/../")))
+        .when(k == 3, F.regexp_replace(F.regexp_replace(url, "^(https://[^/?#]*)", "$1:443"), "^(http://[^/?#]*)", "$1:80"))
+        .when(k == 4, F.regexp_replace(url, "^http", "ftp"))
+        .when(k == 5, F.regexp_replace(url, "://", "://user@"))
+        .otherwise(F.concat(url, F.lit(" x")))
+    )
+    return web.with_normal_url(pages.select("page_id", form.alias("url"))).select("page_id", "normal_url", "url_error")
+
+
+#: First and last addresses of the ranges that aren't public, fixed values.
+CLOSED = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"),
+    ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.88.99.0", "192.88.99.255"),
+    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
+    ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "255.255.255.255"),
+)
+
+
+def _number(address: str) -> int:
+    return int.from_bytes(bytes(map(int, address.split("."))))
 
 
 @query(
-    """SELECT s_suppkey, s_suppkey % 5 < 2 AS public FROM supplier"""
+    f"""SELECT o_orderkey, NOT ({' OR '.join(f'n BETWEEN {_number(a)} AND {_number(b)}' for a, b in CLOSED)}) AS public
+FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS n FROM orders)"""
 )
-@named("supplier")
-def x6_public_address(supplier):
-    k = F.col("s_suppkey") % 5
-    text = F.when(k == 0, F.lit("8.8.8.8")).when(k == 1, F.lit("2606:4700::1111")).when(k == 2, F.lit("10.0.0.1"))
-    text = text.when(k == 3, F.lit("2001:db8::1")).otherwise(F.lit("::ffff:127.0.0.1"))
-    return supplier.select("s_suppkey", web.public_address(text).alias("public"))
+@named("orders")
+def x6_public_address(orders):
+    """An address for every order, spread over all of IPv4; each third one mapped into IPv6."""
+    n = F.col("o_orderkey") * F.lit(2654435761) % F.lit(4294967296)
+    text = F.concat_ws(".", *(F.shiftright(n, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("::ffff:"), text)).otherwise(text)
+    return orders.select("o_orderkey", web.public_address(text).alias("public"))
 
 
 def _scan_files(spark, sf_dir):
@@ -72,28 +98,39 @@ def p1_consolidate_scan(spark, sf_dir):
     return urls
 
 
+FILES = """WITH n AS (SELECT *, row_number() OVER w - 1 AS seq, lead(run_id) OVER w AS next FROM {runs} WINDOW w AS (PARTITION BY target_id ORDER BY observed_at, run_id)),
+f AS (SELECT target_id, run_id, ('0x' || substr(url_hash, 1, 4))::BIGINT % 3 AS shard, list_sort(list(url)) AS urls FROM {obs_hashed} GROUP BY ALL)
+"""
+
+
 @query(
-    """SELECT run_id, 'urlset' AS kind, count(*) AS locations, NULL::VARCHAR AS error FROM {obs} GROUP BY run_id
-UNION ALL SELECT DISTINCT run_id, 'index', 1, NULL FROM {obs}"""
+    FILES
+    + """SELECT run_id, concat('https://s', target_id, '.example.com/m', shard, '.xml') AS source_url, 'urlset' AS kind,
+  array_to_string(urls, ' ') AS locations, NULL::VARCHAR AS error FROM f
+UNION ALL SELECT run_id, concat('https://s', target_id, '.example.com/sitemap.xml'), 'index',
+  string_agg(concat('https://s', target_id, '.example.com/m', shard, '.xml'), ' ' ORDER BY shard), NULL FROM f GROUP BY run_id, target_id"""
 )
 def h1_parse_sitemap(spark, sf_dir):
     files, _ = _scan_files(spark, sf_dir)
     parsed = web.parse_sitemaps(files)
-    many = parsed.groupBy("run_id", "kind", "error").agg(F.sum(F.size("locations")).cast("long").alias("locations"))
-    index = F.col("kind") == "index"
-    return many.select("run_id", "kind", F.when(index, 1).otherwise(F.col("locations")).cast("long").alias("locations"), "error")
+    return parsed.select("run_id", "source_url", "kind", F.array_join(F.array_sort("locations"), " ").alias("locations"), "error")
 
 
 @query(
-    """WITH a AS (SELECT target_id, run_id, lead(run_id) OVER (PARTITION BY target_id ORDER BY observed_at, run_id) AS nxt FROM {runs})
-SELECT run_id AS source, nxt AS gone FROM a WHERE nxt IS NOT NULL AND false"""
+    FILES
+    + """SELECT n.next AS run_id, concat('https://s', f.target_id, '.example.com/m', shard, '.xml') AS source_url
+FROM f JOIN n USING (target_id, run_id) WHERE n.next IS NOT NULL AND (n.seq + 1) % 5 <> 0
+  AND NOT EXISTS (SELECT 1 FROM f g WHERE g.target_id = f.target_id AND g.run_id = n.next AND g.shard = f.shard)"""
 )
 def j15_retired_sources(spark, sf_dir):
-    """Sources of each target's graph that the new one lacks: none here, as every run names all its files."""
+    """Files of each run's graph that the next run's lacks, as far as that one is complete: each fifth is not."""
     files, _ = _scan_files(spark, sf_dir)
-    live = files.select("target_id", "source_url").distinct()
-    scans = files.select("target_id").distinct().withColumn("completeness", F.lit("complete"))
-    return vi.retired_sources(live, live, scans).select(F.col("source_url").alias("source"), F.lit(None).cast("string").alias("gone"))
+    w = Window.partitionBy("target_id", "scope_version").orderBy("observed_at", "run_id")
+    runs = inv.numbered_runs(table(spark, sf_dir, "runs")).select("target_id", "run_id", "seq", F.lead("run_id").over(w).alias("next"))
+    named = files.select("target_id", "run_id", "source_url").join(runs, ["target_id", "run_id"])
+    graph = lambda run: named.where(F.col(run).isNotNull()).select(F.col(run).alias("target_id"), "source_url")
+    scans = runs.select(F.col("run_id").alias("target_id"), F.when(F.col("seq") % 5 == 0, "partial").otherwise("complete").alias("completeness"))
+    return vi.retired_sources(graph("next"), graph("run_id"), scans).select(F.col("target_id").alias("run_id"), "source_url")
 
 
 @query(
@@ -169,22 +206,43 @@ def p10_build_notifications(alert, target, website, destination):
     return out.select("destination_id", "websiteId", "n_alerts", "message")
 
 
-@query("WITH " + ROUTED + "SELECT destination_id, websiteId, count(*) AS n_alerts, max(id) AS newest FROM (SELECT destination_id, websiteId, id, createdAt FROM routed) GROUP BY ALL HAVING false")
+@query(
+    MESSAGES.replace("SELECT destination_id, websiteId, count(*) AS n_alerts, concat(", "SELECT destination_id, websiteId, domain, 'alerts.new' AS type, 1::BIGINT AS version,"
+    " string_agg(concat(id, ' ', kind, ' ', replace(title, 'https://', ''), ' https://app/alerts/', id), chr(10) ORDER BY k) AS alerts, concat(")
+    .replace("AS message", "AS summary")
+)
 @named("alert", "target", "website", "destination")
-def s8_webhook_bodies_broken(alert, target, website, destination):
-    """Bodies that don't parse or whose alert list isn't the message's count: none."""
-    routed = _routed(alert, target, website, destination)
-    bodies = notify.webhook_bodies(routed, "https://app")
-    n = F.size(F.from_json("body", "struct<alerts: array<struct<id: bigint>>>")["alerts"])
-    want = routed.groupBy("destination_id", "websiteId").agg(F.count(F.lit(1)).alias("n_alerts"), F.max("id").alias("newest"))
-    bad = bodies.withColumn("n", n).join(want, ["destination_id", "websiteId"], "full")
-    return bad.where("n IS NULL OR n_alerts IS NULL OR n <> n_alerts").select("destination_id", "websiteId", "n_alerts", "newest")
+def s8_webhook_bodies(alert, target, website, destination):
+    """Each body, read back."""
+    bodies = notify.webhook_bodies(_routed(alert, target, website, destination), "https://app")
+    one = "struct<id: bigint, kind: string, title: string, dashboardUrl: string>"
+    schema = f"type string, version bigint, site struct<id: string, domain: string>, alerts array<{one}>, summaryText string"
+    rows = bodies.select("destination_id", F.from_json("body", schema).alias("b"))
+    line = lambda a: F.concat_ws(" ", a["id"].cast("string"), a["kind"], a["title"], a["dashboardUrl"])
+    return rows.select(
+        "destination_id", F.col("b.site.id").alias("websiteId"), "b.site.domain", "b.type", "b.version",
+        F.array_join(F.transform("b.alerts", line), "\n").alias("alerts"), F.col("b.summaryText").alias("summary"),
+    )
 
 
-@query("SELECT 'x' AS rule, 'x' AS key WHERE false")
+@query(
+    INV
+    + """SELECT 'site_url_evidence' AS rule, concat(website_id, '/1/', url) AS key FROM s0 WHERE url LIKE '%7'
+UNION ALL SELECT 'attempt_range', id FROM {run} WHERE attempt + 2 > 4
+UNION ALL SELECT 'one_active_run', target_id FROM {run} WHERE execution_status IN ('queued', 'failed') GROUP BY target_id HAVING count(*) > 1"""
+)
 def q1_check_invariants(spark, sf_dir):
-    """The replayed state breaks no rule."""
-    return upkeep.check_invariants(facts(spark, sf_dir)[0])
+    """The replayed state with a missing confirmation too many for some URLs, and runs with too many attempts or, taking the
+    failed ones as running, more than one active for a target: these are found and nothing else."""
+    site_url = facts(spark, sf_dir)[0]
+    broken = site_url.withColumn("missing_confirmations", F.col("missing_confirmations") + F.endswith("url", F.lit("7")).cast("int"))
+    runs = table(spark, sf_dir, "run").withColumns(
+        {
+            "attempt": F.col("attempt") + 2,
+            "execution_status": F.when(F.col("execution_status") == "failed", "running").otherwise(F.col("execution_status")),
+        }
+    )
+    return upkeep.check_invariants(broken, runs=runs)
 
 
 @query("SELECT id FROM {run} WHERE adoption_status = 'baseline' OR (adoption_status = 'quarantined' AND attempt > 1)")
@@ -205,46 +263,55 @@ def s7_price_csv_rows(price):
     return src.price_csv_rows(price)
 
 
-@query(
-    "SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR AS digest_a, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR AS digest_b"
-    """ FROM (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation)"""
-)
-@named("nation")
-def a14_table_fingerprint(nation):
-    return inv.table_fingerprint(nation)
-
-
-@query(LINES + "SELECT id, r[1] AS before, a[1] AS after FROM c WHERE n_a > 0 AND n_r > 0 AND false")
-@named("snap_hashed")
-def x13_token_diff_broken(snap):
-    """Changed lines whose segments don't spell the line again: none."""
-    lines = sn.changed_pairs(snap).select(
-        "id", F.substring(F.split_part("before", F.lit("\n"), F.lit(1)), 1, 160).alias("before"),
-        F.substring(F.split_part("after", F.lit("\n"), F.lit(1)), 1, 160).alias("after"),
-    )
-    d = lines.withColumn("d", web.token_diff(F.col("before"), F.col("after")))
-    spelled = lambda side: F.array_join(F.col(f"d.{side}.text"), "")
-    return d.where((spelled("del") != F.col("before")) | (spelled("add") != F.col("after"))).select("id", "before", "after")
+#: table: columns whose JSON text is the same in every engine, in order of names.
+PRINTED = {
+    "documents": ("doc_id", "lang", "n_chars", "source"),
+    "lineitem": ("l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey"),
+    "nation": ("n_name", "n_nationkey", "n_regionkey"),
+    "orders": ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"),
+}
+
+
+def _print_sql(name: str, columns: tuple[str, ...]) -> str:
+    pairs = ", ".join(f"'{c}', {c}" for c in columns)
+    half = lambda at: f"sum(('0x' || substr(h, {at}, 8))::BIGINT)::VARCHAR"
+    return (
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows, {half(1)} AS digest_a, {half(9)} AS digest_b"
+        f" FROM (SELECT sha256(json_object({pairs})::VARCHAR) AS h FROM {name})"
+    )
+
+
+@query(" UNION ALL ".join(_print_sql(n, c) for n, c in PRINTED.items()))
+def a14_table_fingerprint(spark, sf_dir):
+    rows = [
+        inv.table_fingerprint(table(spark, sf_dir, n).select(*c)).withColumn("table_name", F.lit(n)) for n, c in PRINTED.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
-def _as_stream(df, spark, name: str, parts: int = 4):
-    """df as files of a folder, read as a stream."""
-    folder = work_folder(spark, name)
-    df.repartition(parts).write.parquet(f"{folder}/in")
-    return jobs.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema), folder
+@query()
+def x13_token_diff(spark, sf_dir):
+    """The k-th removed beside the k-th added line of every changed snapshot's preview, in segments. No SQL: the longest
+    common sequence is a recursion; a test holds it against a plain version."""
+    snap = table(spark, sf_dir, "snap_hashed")
+    rows = sn.content_alerts(snap).select("id", F.posexplode(tx.parse_diff(F.col("preview"))).alias("pos", "l"))
+    pairs = sn.pair_diff_lines(rows.select("id", "pos", "l.kind", "l.text"), "id").where("removed IS NOT NULL AND added IS NOT NULL")
+    side = lambda c: F.transform(c, lambda x: F.concat(F.when(x["changed"], "*").otherwise("="), x["text"]))
+    d = pairs.withColumn("d", web.token_diff(F.col("removed"), F.col("added")))
+    return d.select("id", "place", side(F.col("d.del")).alias("removed"), side(F.col("d.add")).alias("added"))
 
 
 @query(f"SELECT event_type AS website_id, date_trunc('day', ts)::TIMESTAMP AS window_start, 'view' AS kind, count(*) AS n FROM events GROUP BY ALL")
 def r4_stream_event_counts(spark, sf_dir):
+    """Windows are written once the watermark closes them: a last row, 90 days on, closes those of all others."""
     events = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_type").alias("website_id"), F.lit("view").alias("kind")
     )
-    stream, folder = _as_stream(events, spark, "r4")
-    counted = jobs.stream_event_counts(stream, delay="60 days")
-    sink = f"r4_{uuid.uuid4().hex}"
-    q = counted.writeStream.format("memory").queryName(sink).outputMode("complete").option("checkpointLocation", f"{folder}/c")
-    q.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(sink)
+    last = events.agg(F.max("observed_at")).first()[0]
+    closing = spark.range(1).select((F.lit(last) + F.expr("INTERVAL 90 DAYS")).alias("observed_at"), F.lit("").alias("website_id"), F.lit("view").alias("kind"))
+    both = events.unionByName(closing)
+    stream, folder = as_stream(both, spark, "r4", ["website_id"], F.unix_seconds("observed_at"))
+    return jobs.run_to_table(jobs.stream_event_counts(stream, delay="60 days"), folder)
 
 
 @query("SELECT event_id::VARCHAR AS id FROM events")
@@ -252,7 +319,7 @@ def r5_stream_dedupe_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("observed_at")
     )
-    stream, folder = _as_stream(events.unionAll(events), spark, "r5")
+    stream, folder = as_stream(events.unionAll(events), spark, "r5", ["id"], F.unix_seconds("observed_at"))
     return jobs.run_to_table(jobs.stream_dedupe_events(stream, "60 days"), folder).select("id")
 
 
@@ -265,7 +332,7 @@ def r7_stream_price_changes(spark, sf_dir):
         F.col("page").cast("string").alias("page"), "id", F.unix_seconds(F.col("createdAt").cast("timestamp")).alias("taken"),
         "is_product_page", "currency", "price",
     )
-    stream, folder = _as_stream(rows, spark, "r7", 1)
+    stream, folder = as_stream(rows, spark, "r7", ["page"], F.col("taken"))
     return jobs.run_to_table(jobs.stream_price_changes(stream), folder)
 
 
@@ -275,7 +342,7 @@ SELECT page, id FROM s WHERE h IS NOT NULL AND h <> hash"""
 )
 def r6_stream_content_changes(spark, sf_dir):
     rows = table(spark, sf_dir, "snap_hashed").select(F.col("websiteId").alias("page"), "id", "taken", "hash")
-    stream, folder = _as_stream(rows, spark, "r6", 1)
+    stream, folder = as_stream(rows, spark, "r6", ["page"], F.col("taken"))
     return jobs.run_to_table(jobs.stream_content_changes(stream), folder)
 
 

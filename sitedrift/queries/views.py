@@ -10,6 +10,7 @@ from ..bindings import table
 from ..operators import inventory as inv
 from ..operators import summaries as su
 from ..operators import views as vi
+from ..scratch import fresh_folder, partitions
 from .base import query
 from .inventory import GAPS
 
@@ -43,11 +44,26 @@ def target_of(spark, sf_dir):
     return t.withColumns({"include_paths": rule("include_path"), "exclude_paths": rule("exclude_path")})
 
 
+#: Folder of the inventory of (application, tables).
+_INVENTORY: dict[tuple[str, str], str] = {}
+
+
 def facts(spark, sf_dir):
-    """site_url and url_event of the catalogue's websites."""
-    state, events = inv.replay_url_lifecycle(table(spark, sf_dir, "obs_hashed"), table(spark, sf_dir, "runs"))
-    site = lambda df: df.withColumn("website_id", F.concat(F.lit("web_"), "website_id"))
-    return site(state).withColumnRenamed("url_hash", "normalized_url_hash"), site(events)
+    """site_url and url_event of the catalogue's websites, replayed and written once for an application and its tables.
+
+    Views and summaries read what a scan left behind, they don't replay it: events lie in order of time, so a window
+    reaches the scan as a filter and skips files, and each view reads only its columns.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INVENTORY:
+        folder = fresh_folder(spark, "inventory")
+        state, events = inv.replay_url_lifecycle(table(spark, sf_dir, "obs_hashed"), table(spark, sf_dir, "runs"))
+        site = lambda df: df.withColumn("website_id", F.concat(F.lit("web_"), "website_id"))
+        site(state).withColumnRenamed("url_hash", "normalized_url_hash").write.parquet(f"{folder}/site_url")
+        in_time = site(events).repartitionByRange(partitions(spark), "observed_at", "id").sortWithinPartitions("observed_at", "id")
+        in_time.write.parquet(f"{folder}/url_event")
+        _INVENTORY[key] = folder
+    return tuple(spark.read.parquet(f"{_INVENTORY[key]}/{t}") for t in ("site_url", "url_event"))
 
 
 def as_of():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import base, candidates, inventory, plans, scalars, views  # noqa: F401  importing a module registers its queries
+from .queries import base, candidates, inventory, plans, reports, scalars, views  # noqa: F401  importing registers
 
 
 def queries() -> dict:

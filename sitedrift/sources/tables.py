@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.payloads import number_text
+from ..functions.web import MAX_FILE_BYTES, inflate
 
 #: Fixed schemas of the monitor's tables.
 SCHEMAS = {
@@ -47,12 +51,22 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     return spark.read.schema(want).format(fmt).load(path)
 
 
-def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, body of the files below a folder; bodies beyond the limit aren't read (null)."""
-    from ..functions.web import MAX_FILE_BYTES
+def read_sitemap_files(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """path, length, body, error of the files below a folder, plain, gzipped or gzipped twice.
 
+    error: RESOURCE_LIMIT of files larger than allowed, which aren't read, or that inflate to more; DECOMPRESSION_ERROR of
+    broken ones. Their body is null.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).alias("body"))
+    files = files.select("path", "length", F.when(F.col("length") <= max_file_bytes, F.col("content")).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(None, "RESOURCE_LIMIT") if raw is None else inflate(raw, max_file_bytes) for raw in b.column(2).to_pylist()]
+            columns = [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["path", "length", "body", "error"])
+
+    return files.mapInArrow(run, "path string, length long, body binary, error string")
 
 
 def new_rows(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
