@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW, OVERLAP = 32, 8
-WIDTH, HIDDEN = 24, 48
+WIDTH, HIDDEN = 16, 32
 CONTEXTS = 1024
 #: Taken from each pair count and given to what the context wasn't seen with.
 DISCOUNT = 0.75
-#: Windows of a step in training, and of a batch in scoring.
-STEP, BATCH = 128, 64
+#: Windows of a step in training, and of a block in scoring, of which BATCH at a time go through attention.
+STEP, BLOCK, BATCH = 256, 1024, 64
 #: Times that few windows are gone through at most.
 MAX_EPOCHS = 6
 #: Logits above this count as this: exp stays finite without looking for the largest.
@@ -193,12 +193,13 @@ def _by_class(t: Tables, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int
 
 def log_probability(p: dict[str, np.ndarray], t: Tables, z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of buckets y after buckets x, given hidden states z."""
-    context = t.context[x]
-    s = z @ p["out"]
-    s += t.before[context]
-    rows = np.arange(len(y))
-    out = np.minimum(s[rows, t.class_of[y]], TOP)
-    out -= np.log(_softmax(s))
+    context, of, out = t.context[x], t.class_of[y], np.empty(len(y), z.dtype)
+    for lo in range(0, len(y), WINDOW * BATCH):
+        hi = min(lo + WINDOW * BATCH, len(y))
+        s = z[lo:hi] @ p["out"]
+        s += t.before[context[lo:hi]]
+        out[lo:hi] = np.minimum(s[np.arange(hi - lo), of[lo:hi]], TOP)
+        out[lo:hi] -= np.log(_softmax(s))
     order, spans = _by_class(t, y)
     zs, cs, ys = z[order], context[order], y[order]
     within = np.empty(len(y), z.dtype)
@@ -211,8 +212,9 @@ def log_probability(p: dict[str, np.ndarray], t: Tables, z: np.ndarray, x: np.nd
     return out
 
 
-def gradient(p: dict[str, np.ndarray], t: Tables, windows: np.ndarray) -> tuple[float, np.ndarray]:
-    """(loss, flat gradient) of the mean negative log probability of the last WINDOW buckets of windows (rows of WINDOW + 1)."""
+def gradient(p: dict[str, np.ndarray], t: Tables, windows: np.ndarray, tell: bool = True) -> tuple[float, np.ndarray]:
+    """(loss if tell, flat gradient) of the mean negative log probability of the last WINDOW buckets of windows (rows of
+    WINDOW + 1)."""
     x, y = windows[:, :-1], windows[:, 1:].ravel()
     n, size = len(x), y.size
     z, (e, q, k, v, a, o, h, f) = forward(p, x)
@@ -223,7 +225,7 @@ def gradient(p: dict[str, np.ndarray], t: Tables, windows: np.ndarray) -> tuple[
     s += t.before[context]
     total = _softmax(s)
     rows, of = np.arange(size), t.class_of[y]
-    loss = np.log(total).sum() - np.log(s[rows, of]).sum()
+    loss = np.log(total).sum() - np.log(s[rows, of]).sum() if tell else 0.0
     s *= (share / total)[:, None]
     s[rows, of] -= share
     g = {"out": z.T @ s}
@@ -236,10 +238,11 @@ def gradient(p: dict[str, np.ndarray], t: Tables, windows: np.ndarray) -> tuple[
         s = zs[lo:hi] @ p["own"][first:last].T
         s += t.inside[cs[lo:hi], first:last]
         total = _softmax(s)
-        at = (np.arange(hi - lo), ys[lo:hi] - first)
-        loss += np.log(total).sum() - np.log(s[at]).sum()
+        at = rows[: hi - lo] * (last - first) + (ys[lo:hi] - first)
+        if tell:
+            loss += np.log(total).sum() - np.log(s.ravel()[at]).sum()
         s *= (share / total)[:, None]
-        s[at] -= share
+        s.ravel()[at] -= share
         g["own"][first:last] = s.T @ zs[lo:hi]
         ds[lo:hi] = s @ p["own"][first:last]
     dz[order] += ds
@@ -312,22 +315,21 @@ def cut(x: np.ndarray) -> np.ndarray:
 
 def train_windows(
     flat: np.ndarray, t: Tables, windows: np.ndarray, rate: float, min_steps: int, step: int = STEP
-) -> tuple[np.ndarray, float]:
-    """Steps over all windows (rows of WINDOW + 1 buckets), in a fixed shuffled order; few windows are gone through up to
-    MAX_EPOCHS times to make min_steps. Returns (parameters, mean loss)."""
+) -> np.ndarray:
+    """The parameters after steps over all windows (rows of WINDOW + 1 buckets), in a fixed shuffled order; few windows are
+    gone through up to MAX_EPOCHS times to make min_steps."""
     if not len(windows):
-        return flat, 0.0
+        return flat
     one_thread()
-    opt, loss = Adam(flat), 0.0
+    opt = Adam(flat)
     order = np.random.default_rng(3).permutation(len(windows))
     once = -(-len(order) // step)
     steps = max(once, min(min_steps, MAX_EPOCHS * once))
     for k in range(steps):
         at = k % once * step
-        one, g = gradient(named(opt.flat, t), t, windows[order[at : at + step]])
+        _, g = gradient(named(opt.flat, t), t, windows[order[at : at + step]], tell=False)
         opt.step(g, rate * min(1.0, 1.5 * (steps - k) / steps))
-        loss += one
-    return opt.flat, loss / steps
+    return opt.flat
 
 
 def score_streams(flat: np.ndarray, t: Tables, ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -352,12 +354,16 @@ def score_streams(flat: np.ndarray, t: Tables, ids: np.ndarray, sizes: np.ndarra
     p = named(flat, t)
     logp = np.zeros(len(ids), np.float64)
     span = np.arange(WINDOW)
-    for at in range(0, len(owner), BATCH):
-        s, n, first = start[at : at + BATCH], left[at : at + BATCH], k[at : at + BATCH] == 0
-        place = np.minimum(s[:, None] + span, len(ids) - 1)
-        z, _ = forward(p, given[place])
-        use = ((span < n[:, None]) & (first[:, None] | (span >= OVERLAP))).ravel()
-        where = place.ravel()[use]
-        logp[where] = log_probability(p, t, z[use], given[where], target[where])
+    for at in range(0, len(owner), BLOCK):
+        hidden, wanted = [], []
+        for lo in range(at, min(at + BLOCK, len(owner)), BATCH):
+            hi = min(lo + BATCH, at + BLOCK)
+            place = np.minimum(start[lo:hi, None] + span, len(ids) - 1)
+            z, _ = forward(p, given[place])
+            use = ((span < left[lo:hi, None]) & ((k[lo:hi, None] == 0) | (span >= OVERLAP))).ravel()
+            hidden.append(z[use])
+            wanted.append(place.ravel()[use])
+        where = np.concatenate(wanted)
+        logp[where] = log_probability(p, t, np.concatenate(hidden), given[where], target[where])
     logp += t.own_logp[ids]
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logp, len(sizes))

@@ -43,7 +43,7 @@ CHUNK_BYTES = 9_000_000
 RANGE_WORDS, SHARD_TOKENS = 2_000_000, 4_000_000
 ROUNDS, RATE = 3, 0.01
 #: Steps of a shard in a round at least, where it has few windows.
-MIN_STEPS = 300
+MIN_STEPS = 150
 #: Rows into which the tasks' parameters are summed before the driver adds them up.
 SUMS = 16
 
@@ -150,6 +150,8 @@ def _chunks(docs: DataFrame, learnt: Column, vocab_path: str, doc_id: str, text:
                     ids, train, texts = [], [], []
         if ids:
             yield _chunk(number, ids, np.array(train, bool), pa.array(texts, pa.large_string()), coder)
+        # the worker lives on, and training needs the memory
+        coder.clear()
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text), F.coalesce(learnt, F.lit(False)).alias("_learnt")
@@ -289,7 +291,7 @@ def _train(shards: DataFrame, tables: attention.Tables) -> np.ndarray:
             for b in batches:
                 for raw in b.column(0):
                     windows = round_windows(_unpack(raw.as_py(), "<i4"), round_)
-                    new, _ = attention.train_windows(now.value, shipped.value, windows, RATE / (1 + round_), MIN_STEPS)
+                    new = attention.train_windows(now.value, shipped.value, windows, RATE / (1 + round_), MIN_STEPS)
                     n, total = n + len(windows), total + new.astype(np.float64) * len(windows)
             if n:
                 yield _batch("slot long, n long, flat binary", [[TaskContext.get().partitionId() % SUMS], [n], [total.tobytes()]])
