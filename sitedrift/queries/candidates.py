@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..bindings import table
@@ -174,53 +175,93 @@ def x11_diff_for_prompt(snap):
 
 
 @query(
-    """SELECT id AS site, CASE WHEN n % 3 = 0 THEN ['https://r/1.xml', 'https://r/2.xml'] WHEN n % 3 = 1 THEN ['https://c/sitemap.xml'] ELSE [] END AS roots,
-  n % 5 <> 0 AS complete FROM {target}"""
+    """SELECT id AS site, CASE WHEN n % 3 = 0 AND n % 7 <> 0 THEN list_sort(['https://r' || n || '/1.xml', 'https://r' || n || '/2.xml'])
+  WHEN n % 3 = 1 AND n % 2 = 0 AND n % 5 <> 0 THEN ['https://c' || n || '/sitemap.xml', 'https://c' || n || '/sitemap_index.xml']
+  WHEN n % 3 = 1 THEN ['https://c' || n || '/sitemap.xml'] ELSE [] END AS roots,
+  n % 5 <> 0 AND NOT (n % 3 = 0 AND n % 7 = 0) AS complete FROM {target}"""
 )
 @named("target")
 def p13_discover_roots(target):
-    k = F.col("n") % 3
-    robots = F.struct(
-        F.lit("https://c/robots.txt").alias("url"), F.when(k == 0, 200).otherwise(404).alias("status"),
-        F.lit("Sitemap: https://r/2.xml\nsitemap: https://r/1.xml").alias("body"), F.lit(None).cast("string").alias("kind"),
-    )
-    usual = F.struct(
-        F.lit("https://c/sitemap.xml").alias("url"), F.when(F.col("n") % 5 == 0, 503).when(k == 1, 200).otherwise(410).alias("status"),
-        F.lit(None).cast("string").alias("body"), F.when(k == 1, "urlset").alias("kind"),
-    )
-    spare = F.struct(
-        F.lit("https://c/sitemap.xml").alias("url"), F.when(k == 1, 200).otherwise(404).alias("status"),
-        F.lit(None).cast("string").alias("body"), F.when(k == 1, "urlset").alias("kind"),
-    )
-    probes = target.select(F.col("id").alias("site"), F.explode(F.array(robots, usual, spare)).alias("p")).select("site", "p.*")
+    """Sites of all kinds by number: roots in robots.txt, some of it HTML; conventional files; failing and absent ones."""
+    k, n = F.col("n") % 3, F.col("n").cast("string")
+    host = lambda c: F.concat(F.lit(f"https://{c}"), n)
+    text = F.concat(F.lit("User-agent: *\nSitemap: "), host("r"), F.lit("/2.xml\n sitemap: "), host("r"), F.lit("/1.xml # old\nsitemap: "), host("r"), F.lit("/3.xml and more"))
+
+    def probe(path, status, body, kind):
+        return F.struct(
+            F.concat(host("c"), F.lit(path)).alias("url"), status.alias("status"), body.cast("string").alias("body"), kind.cast("string").alias("kind")
+        )
+
+    html = F.lit("<!doctype html><p>Sitemap: https://x/")
+    robots = probe("/robots.txt", F.when(k == 0, 200).when(F.col("n") % 5 == 0, 503).otherwise(404), F.when(F.col("n") % 7 == 0, html).otherwise(text), F.lit(None))
+    usual = probe("/sitemap.xml", F.when(k == 1, 200).otherwise(410), F.lit(None), F.when(k == 1, "urlset"))
+    index = probe("/sitemap_index.xml", F.when(F.col("n") % 5 == 0, 500).otherwise(200), F.lit(None), F.when((k == 1) & (F.col("n") % 2 == 0), "index"))
+    probes = target.select(F.col("id").alias("site"), F.explode(F.array(robots, usual, index)).alias("p")).select("site", "p.*")
     return scan.discover_roots(probes)
 
 
+#: The files of every run's graph beside its number and the run before it; each fifth run wasn't scanned.
+GRAPHS = """WITH n AS (SELECT *, row_number() OVER w - 1 AS seq, lag(run_id) OVER w AS previous FROM {runs} WINDOW w AS (PARTITION BY target_id ORDER BY observed_at, run_id)),
+f AS (SELECT DISTINCT target_id, run_id, concat('https://s', target_id, '/m', ('0x' || substr(url_hash, 1, 4))::BIGINT % 3, '.xml') AS source_url FROM {obs_hashed})
+"""
+
+
+def _graphs(spark, sf_dir):
+    obs = table(spark, sf_dir, "obs_hashed")
+    shard = F.pmod(F.conv(F.substring("url_hash", 1, 4), 16, 10).cast("int"), F.lit(3))
+    files = obs.select("target_id", "run_id", F.concat(F.lit("https://s"), "target_id", F.lit("/m"), shard, F.lit(".xml")).alias("source_url")).distinct()
+    w = Window.partitionBy("target_id", "scope_version").orderBy("observed_at", "run_id")
+    runs = inv.numbered_runs(table(spark, sf_dir, "runs")).select("target_id", "run_id", "seq", F.lag("run_id").over(w).alias("previous"))
+    return files, runs
+
+
 @query(
-    """SELECT c.target_id, c.source_url, CASE WHEN c.n % 4 = 0 THEN 'new' ELSE 'old' END AS revision_id
-FROM (SELECT id AS target_id, 'https://x/s.xml' AS source_url, n FROM {target}) c WHERE n % 2 = 0 OR n % 2 = 1
-UNION ALL SELECT id, 'https://x/live.xml', 'old' FROM {target} WHERE n % 4 <> 0 OR n % 8 = 0"""
+    GRAPHS
+    + """SELECT n.run_id AS target_id, source_url, n.run_id AS revision_id FROM f JOIN n USING (target_id, run_id) WHERE seq > 0 AND seq % 5 <> 0
+UNION ALL SELECT n.run_id, source_url, n.previous FROM f JOIN n ON n.target_id = f.target_id AND n.previous = f.run_id WHERE seq % 5 = 0"""
 )
-@named("target")
-def p14_update_source_cache(target):
-    rest = [F.lit("f").alias("final_url"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified")]
-    row = lambda df, url, rev: df.select(F.col("id").alias("target_id"), "scope_version", F.lit(url).alias("source_url"), *rest, F.lit(rev).alias("revision_id"))
-    cache = row(target, "https://x/s.xml", "old").unionAll(row(target, "https://x/live.xml", "old"))
-    fetched = row(target.where("n % 4 = 0"), "https://x/s.xml", "new")
-    live = row(target.where("n % 8 = 0"), "https://x/live.xml", "old")
+def p14_update_source_cache(spark, sf_dir):
+    """Every run's cache after it, from that of the run before: changed files replaced, retired ones gone, those of runs
+    that weren't scanned kept."""
+    files, runs = _graphs(spark, sf_dir)
+    later = runs.where("previous IS NOT NULL")
+    columns = lambda run, revision: [
+        F.col(run).alias("target_id"), F.lit(1).alias("scope_version"), "source_url", F.col("source_url").alias("final_url"),
+        F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.col(revision).alias("revision_id"),
+    ]
+    before = files.withColumnRenamed("run_id", "previous").join(later, ["target_id", "previous"])
+    cache = before.select(*columns("run_id", "previous"))
+    fetched = files.join(later.where("seq % 5 <> 0"), ["target_id", "run_id"]).select(*columns("run_id", "run_id"))
+    live = fetched.select("target_id", "scope_version", "source_url")
     return scan.update_source_cache(cache, fetched, live, live.limit(0)).select("target_id", "source_url", "revision_id")
 
 
-@query("SELECT id AS target_id, CASE WHEN n % 3 = 0 THEN 'INVALID_304' END AS error FROM {target}")
-@named("target")
-def j17_resolve_not_modified(target):
-    locations = F.array(F.lit("https://x/a"), F.lit("https://x/b"))
-    ident = pa.revision_id(F.lit("urlset"), locations, F.lit(10))
-    base = target.select(F.col("id").alias("target_id"), "scope_version", F.lit("https://x/s.xml").alias("source_url"), "n")
-    files = base.withColumn("final_url", F.lit("https://x/s.xml"))
-    cache = base.withColumns({"final_url": F.when(F.col("n") % 3 == 0, "https://elsewhere/").otherwise("https://x/s.xml"), "revision_id": ident})
-    revisions = target.limit(1).select(ident.alias("id"), F.lit("urlset").alias("kind"), locations.alias("locations"), F.lit(10).alias("body_bytes"))
-    return scan.resolve_not_modified(files.drop("n"), cache.drop("n"), revisions).select("target_id", "error")
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}),
+s AS (SELECT run_id, seq, list_sort(list(url)) AS u FROM n JOIN {obs} USING (target_id, run_id) GROUP BY ALL)
+SELECT run_id AS target_id, CASE WHEN NOT bad THEN 'urlset' END AS kind, CASE WHEN NOT bad THEN array_to_string(u, ' ') END AS locations,
+  CASE WHEN bad THEN 'INVALID_304' END AS error FROM (SELECT *, seq % 3 = 0 OR seq % 4 = 1 OR seq % 5 = 2 AS bad FROM s)"""
+)
+def j17_resolve_not_modified(spark, sf_dir):
+    """Every run's URLs as a cached file that hasn't changed: some were fetched from elsewhere, some revisions are missing,
+    and some aren't what their hash says."""
+    runs = inv.numbered_runs(table(spark, sf_dir, "runs")).select("run_id", "seq")
+    sets = table(spark, sf_dir, "obs").groupBy("run_id").agg(F.array_sort(F.collect_list("url")).alias("locations")).join(runs, "run_id")
+    # sizes of their own, so that no two runs share a revision
+    size, kind, seq = F.crc32("run_id"), F.lit("urlset"), F.col("seq")
+    rows = sets.select(
+        F.col("run_id").alias("target_id"), F.lit(1).alias("scope_version"), F.lit("https://x/s.xml").alias("source_url"), "seq", "locations",
+        kind.alias("kind"), size.alias("body_bytes"), pa.revision_id(kind, F.col("locations"), size).alias("revision_id"),
+    )
+    key = ["target_id", "scope_version", "source_url"]
+    files = rows.select(*key, F.lit("https://x/s.xml").alias("final_url"))
+    cache = rows.select(*key, F.when(seq % 3 == 0, "https://elsewhere/").otherwise("https://x/s.xml").alias("final_url"), "revision_id")
+    revisions = rows.where(seq % 4 != 1).select(
+        F.col("revision_id").alias("id"), "kind", F.when(seq % 5 == 2, F.concat("locations", F.array(F.lit("https://x/more")))).otherwise(F.col("locations")).alias("locations"),
+        "body_bytes",
+    ).dropDuplicates(["id"])
+    out = scan.resolve_not_modified(files, cache, revisions)
+    return out.select("target_id", "kind", F.array_join("locations", " ").alias("locations"), "error")
 
 
 @query(INV + "SELECT kind, count(*) AS n FROM ev0 GROUP BY 1")
