@@ -263,14 +263,20 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Rows of a bucket (key, n_members) dealt over pairs of blocks (i <= j) by the hash of their number."""
-    n = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), n.cast("long")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")),
-    )
-    return members.withColumn("own", own).withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p")
+    """Rows of a bucket (key, component, n_members, top: size and name of its largest component) dealt over pairs of
+    blocks (i <= j) by the hash of their number.
+
+    Only different components are to meet, so members of the largest one aren't dealt against each other: blocks of the
+    others (numbered from 0) meet all blocks, those of the largest (numbered after them) only these.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    of_top = F.col("component") == F.col("top.component")
+    others, top = blocks(F.col("n_members") - F.col("top.n")), blocks(F.col("top.n"))
+    place = lambda n: F.pmod(F.xxhash64("node", "key"), n.cast("long")).cast("int")
+    own = F.when(of_top, others + place(top)).otherwise(place(others))
+    met = F.sequence(F.lit(0), F.when(of_top, others - 1).otherwise(others + top - 1))
+    pairs = F.transform(met, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    return members.withColumn("own", own).withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "top")
 
 
 def _judge(pdf: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
@@ -328,11 +334,14 @@ def near_duplicates(
     found = connected_components(links)
 
     large = members.where("n_members > 2").select("key", "node", "n_members")
-    labelled = large.hint("merge").join(found, "node", "left").select(
-        "key", "node", "n_members", F.coalesce("component", "node").alias("component")
+    labelled = large.hint("merge").join(found.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
+    )
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_members"), F.max(F.struct("n", "component")).alias("top")
     )
-    split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    rest = labelled.join(split.where("c0 <> c1").select("key"), "key", "left_semi")
+    rest = labelled.join(split.where("parts > 1").drop("parts"), "key")
     rest = rest.hint("merge").join(reps.select("node", "n_shingles", "bands", "sig"), "node")
     rest = stored(_blocks(rest), "rest")
 
