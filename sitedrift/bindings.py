@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import fresh_folder
+
 OBS = """
 SELECT DISTINCT CAST(l_suppkey AS STRING) AS website_id, CAST(l_suppkey AS STRING) AS target_id, 1 AS scope_version,
   concat(CAST(l_suppkey AS STRING), '-', CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING)) AS run_id,
@@ -103,10 +105,26 @@ BINDINGS = {
 }
 
 
+#: Bindings that are written once for an application and its tables: what a monitor stores rather than derives.
+KEPT = {"obs"}
+_FOLDERS: dict[tuple[str, str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding, or a given table."""
     if name not in BINDINGS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in KEPT:
+        return _derived(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FOLDERS:
+        folder = fresh_folder(spark, name)
+        _derived(spark, sf_dir, name).write.parquet(folder)
+        _FOLDERS[key] = folder
+    return spark.read.parquet(_FOLDERS[key])
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", BINDINGS[name])
     needs = {n: table(spark, sf_dir, n) for n in re.findall(r"\{(\w+)\}", sql)}
     return spark.sql(sql, **needs)
