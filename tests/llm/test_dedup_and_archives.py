@@ -77,6 +77,23 @@ def test_minhash_equals_brute_force(docs):
     assert minhash.near_duplicates(docs([]), 3, 85).count() == 0
 
 
+def test_minhash_blocks_of_large_buckets(docs, monkeypatch):
+    """Buckets with one large component and others, in blocks of four members."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for step in range(70):
+        w = list(base)
+        for at in rng.sample(range(100), 1 if step < 45 else rng.randint(2, 9)):
+            w[at] = f"x{step}-{at}"
+        texts.append(" ".join(w))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(98)} for i, t in enumerate(texts)}
+    want = brute_components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    found = minhash.near_duplicates(docs(enumerate(texts)), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and len(set(want.values())) > 5
+
+
 def test_minhash_repeats_and_missing_ids(docs):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(5, a), (2, a + " tail"), (None, a), (7, b), (7, c), (7, c), (9, c), (None, b + " end"), (None, "q r"), (None, "q r"), (3, None), (4, "")]
@@ -193,3 +210,27 @@ def test_toxicity_learns_sentences(spark, docs):
     kept = toxicity.keep_below(df, model, 0.7)
     assert kept.columns == df.columns and kept.count() == sum(r.score < 0.7 for r in got.values())
     assert toxicity.fit(df, labels.limit(0)).weights.sum() == 0
+
+
+def test_near_vectors_recall_on_planted_pairs(spark):
+    """Pairs of cosine 0.9 to 0.92 among random vectors, a third of them in one dense group: at least 0.9 are found (the
+    aim is all), and no link that isn't one."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, d, pairs = 6000, 64, 300
+    x = unit(rng.standard_normal((n, d)))
+    x[: n // 3] = unit(x[0] + 0.5 * x[: n // 3])
+    a = rng.choice(n, pairs, replace=False)
+    away = rng.standard_normal((pairs, d))
+    away = unit(away - (away * x[a]).sum(1, keepdims=True) * x[a])
+    c = rng.uniform(0.901, 0.92, (pairs, 1))
+    y = c * x[a] + np.sqrt(1 - c**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df).collect()}
+    every = np.concatenate([x, y])
+    exact = (every @ every.T >= 0.9).sum(1) - 1
+    found = sum(got[n + k].component_id == got[int(i)].component_id for k, i in enumerate(a))
+    assert found >= 0.99 * pairs
+    counted, there = sum(r.n_links for r in got.values()), int(exact.sum())
+    assert 0.99 * there <= counted <= there and all(got[i].n_links <= exact[i] for i in got)
