@@ -164,7 +164,7 @@ def test_further_passes_while_they_join_components(spark):
     x[200:] = x[:200] + 0.2 * rng.standard_normal((200, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     classes = embeddings.stored(df.select(F.col("vec_id").alias("rep"), F.udf(_bytes, "binary")("embedding").alias("vec")), "v")
-    few = embeddings.connected_components(embeddings._links(classes, 400, 0, 1, 4, 0.9))
+    few = embeddings.connected_components(embeddings._links(classes, 400, 0, 1, 4, 0.9).where(F.col("kind") == embeddings.LINK))
     whole = {r.rep: r.component for r in embeddings._components(classes, 400, 1, 4, 0.9).collect()}
     once = {r.node: r.component for r in few.collect()}
     parts = lambda d: len({d.get(i, i) for i in range(400)})
@@ -175,5 +175,28 @@ def test_further_passes_while_they_join_components(spark):
     assert all(whole[c] == c <= i for i, c in whole.items())
 
 
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 48))
+    x[100:] = x[:100] + 0.48 * rng.standard_normal((100, 48))
+    x[0] = [1.0] + [0.0] * 47
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = embeddings._codes(x)
+    assert {len(c) for c in codes} == {8 + 48}
+    back, rest = embeddings._decode(codes)
+    exact = x @ x.T
+    slack = rest[:, None] + rest + 3 * rest[:, None] * rest + 1e-5
+    assert (np.abs(back @ back.T - exact) <= slack).all() and rest.max() < 0.02
+    edges, doubts = embeddings._near((back, rest), None, 0.9)
+    sets = embeddings.UnionFind()
+    for i, j in edges:
+        sets.union(i, j)
+    sure = {(i, j) for i in range(200) for j in range(i) if sets.find(i) == sets.find(j)}
+    linked = {(i, j) for i in range(200) for j in range(i) if exact[i, j] >= 0.9}
+    doubtful = {(max(p), min(p)) for p in doubts}
+    assert len(linked) > 20 and doubtful and linked <= sure | doubtful
+    assert all(exact[i, j] >= 0.9 for i, j in sure if (i, j) in linked or len(sure) == 0)
+
+
 def _bytes(v):
     return np.asarray(v, np.float64).tobytes()
