@@ -122,24 +122,28 @@ def a22_attempt_history(run):
 
 
 @query(
-    """WITH s AS (SELECT target_id AS run_id, id, execution_status, id::BIGINT % 7 = 0 AS broken, o.url_count FROM {run} o)
-SELECT run_id, count(*) FILTER (NOT broken AND execution_status = 'succeeded') AS n_fetched, count(*) FILTER (broken) AS n_failed,
+    """WITH s AS (SELECT target_id AS run_id, id, execution_status, id::BIGINT % 7 = 0 AS broken, id::BIGINT AS n, o.url_count FROM {run} o)
+SELECT run_id, count(*) FILTER (NOT broken AND execution_status = 'succeeded') AS n_fetched,
+  count(*) FILTER (NOT broken AND execution_status = 'failed') AS n_not_modified, count(*) FILTER (broken) AS n_failed,
   sum(coalesce(url_count, 0))::BIGINT AS bytes, CASE WHEN count(*) FILTER (broken) = 0 THEN 'complete'
-  WHEN count(*) FILTER (NOT broken AND execution_status = 'succeeded') > 0 THEN 'partial' ELSE 'unusable' END AS completeness,
-  min(id) FILTER (broken) AS first_issue FROM s GROUP BY 1"""
+  WHEN count(*) FILTER (NOT broken AND execution_status IN ('succeeded', 'failed')) > 0 THEN 'partial' ELSE 'unusable' END AS completeness,
+  arg_min(id, (n % 4) * 1000000000000 + n) FILTER (broken) AS first_issue, bool_and(n % 2 = 0 OR n % 3 = 0) FILTER (broken) AS all_retryable,
+  max(CASE WHEN n % 5 > 0 THEN n % 5 * 1000 END)::BIGINT AS retry_after_ms,
+  count(DISTINCT n % 100) FILTER (n % 3 <> 0) AS observed, count(DISTINCT n % 100) FILTER (n % 3 = 0) AS out_of_scope FROM s GROUP BY 1"""
 )
 @named("run")
 def a19_scan_report(run):
-    broken = F.col("id").cast("long") % 7 == 0
+    n = F.col("id").cast("long")
+    broken = n % 7 == 0
     sources = run.select(
-        F.col("target_id").alias("run_id"), F.col("id").alias("source_url"), F.lit(0).alias("depth"),
-        F.when(broken, "failed").when(F.col("execution_status") == "succeeded", "fetched").otherwise("skipped").alias("status"),
-        F.col("url_count").alias("bytes"), F.when(broken, F.col("id")).alias("error"), F.lit(True).alias("retryable"),
-        F.lit(None).cast("long").alias("retry_after_ms"),
+        F.col("target_id").alias("run_id"), F.lpad("id", 12, "0").alias("source_url"), (n % 4).alias("depth"),
+        F.when(broken, "failed").when(F.col("execution_status") == "succeeded", "fetched")
+        .when(F.col("execution_status") == "failed", "not_modified").otherwise("skipped").alias("status"),
+        F.col("url_count").alias("bytes"), F.when(broken, F.col("id")).alias("error"), ((n % 2 == 0) | (n % 3 == 0)).alias("retryable"),
+        F.when(n % 5 > 0, n % 5 * 1000).alias("retry_after_ms"),
     )
-    urls = sources.select("run_id", F.col("source_url").alias("url"), F.lit(True).alias("in_scope"))
-    out = su.scan_report(sources, urls)
-    return out.select("run_id", "n_fetched", "n_failed", F.col("bytes").cast("long").alias("bytes"), "completeness", "first_issue")
+    urls = run.select(F.col("target_id").alias("run_id"), (n % 100).alias("url"), (n % 3 != 0).alias("in_scope"))
+    return su.scan_report(sources, urls).withColumn("bytes", F.col("bytes").cast("long"))
 
 
 @query(

@@ -14,6 +14,7 @@ from ..operators import inventory as inv
 from ..operators import snapshots as sn
 from ..operators import views as vi
 from ..plans import notify, scan, upkeep
+from ..scratch import fresh_folder
 from ..sources import tables as src
 from ..streaming import jobs
 from .base import as_stream, query
@@ -68,8 +69,23 @@ def x6_public_address(orders):
     return orders.select("o_orderkey", web.public_address(text).alias("public"))
 
 
-def _scan_files(spark, sf_dir):
-    """An index and three files of URLs for each run of the first observations."""
+#: Folders of the files of (application, tables).
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def scan_files(spark, sf_dir):
+    """(files, roots): an index and up to three files of URLs for each run. What a scan fetches, so written once for an
+    application and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        folder = fresh_folder(spark, "scan")
+        for name, df in zip(("files", "roots"), _made_files(spark, sf_dir), strict=True):
+            df.write.parquet(f"{folder}/{name}")
+        _FILES[key] = folder
+    return tuple(spark.read.parquet(f"{_FILES[key]}/{n}") for n in ("files", "roots"))
+
+
+def _made_files(spark, sf_dir):
     obs = table(spark, sf_dir, "obs_hashed")
     base = F.concat(F.lit("https://s"), "target_id", F.lit(".example.com/"))
     shard = F.pmod(F.conv(F.substring("url_hash", 1, 4), 16, 10).cast("int"), F.lit(3))
@@ -92,7 +108,7 @@ def _scan_files(spark, sf_dir):
 
 @query("SELECT target_id, run_id, url FROM {obs}")
 def p1_consolidate_scan(spark, sf_dir):
-    files, roots = _scan_files(spark, sf_dir)
+    files, roots = scan_files(spark, sf_dir)
     hosts = F.array(F.concat(F.lit("s"), "target_id", F.lit(".example.com")))
     _, urls = scan.consolidate_scan(files, roots, hosts)
     return urls
@@ -111,7 +127,7 @@ UNION ALL SELECT run_id, concat('https://s', target_id, '.example.com/sitemap.xm
   string_agg(concat('https://s', target_id, '.example.com/m', shard, '.xml'), ' ' ORDER BY shard), NULL FROM f GROUP BY run_id, target_id"""
 )
 def h1_parse_sitemap(spark, sf_dir):
-    files, _ = _scan_files(spark, sf_dir)
+    files, _ = scan_files(spark, sf_dir)
     parsed = web.parse_sitemaps(files)
     return parsed.select("run_id", "source_url", "kind", F.array_join(F.array_sort("locations"), " ").alias("locations"), "error")
 
@@ -124,7 +140,7 @@ FROM f JOIN n USING (target_id, run_id) WHERE n.next IS NOT NULL AND (n.seq + 1)
 )
 def j15_retired_sources(spark, sf_dir):
     """Files of each run's graph that the next run's lacks, as far as that one is complete: each fifth is not."""
-    files, _ = _scan_files(spark, sf_dir)
+    files, _ = scan_files(spark, sf_dir)
     w = Window.partitionBy("target_id", "scope_version").orderBy("observed_at", "run_id")
     runs = inv.numbered_runs(table(spark, sf_dir, "runs")).select("target_id", "run_id", "seq", F.lead("run_id").over(w).alias("next"))
     named = files.select("target_id", "run_id", "source_url").join(runs, ["target_id", "run_id"])
