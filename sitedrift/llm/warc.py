@@ -99,8 +99,8 @@ def parse_record(raw: bytes) -> dict:
 def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (binary), refers_to: the largest page id of an equal payload, null for that page itself.
 
-    Only digests that occur twice or more are joined to the pages; equal payloads are pre-aggregated, so a payload
-    that many pages share moves as one row.
+    Payloads are never dealt by their digest: ids and digests alone find the pages that repeat one, and what these refer
+    to joins the pages by page id and digest. So a payload that many pages share meets in no task but as ids.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -114,9 +114,9 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("_n > 1")
         .drop("_n")
     )
-    joined = rows.join(repeated, "_key", "left")
-    refers = F.when(F.col("_last") != F.col("page_id"), F.col("_last"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    again = rows.select("page_id", "_key").join(repeated, "_key").where(F.col("_last") != F.col("page_id")).distinct()
+    joined = rows.join(again, ["page_id", "_key"], "left")
+    return joined.select("page_id", "url", "payload", F.col("_last").alias("refers_to"))
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
