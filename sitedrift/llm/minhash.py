@@ -39,6 +39,8 @@ POSITIONS = 128
 SLACK = 0.14
 #: Members of a block; a task holds two blocks at a time.
 BLOCK = 256
+#: Rows of blocks that a task is to judge.
+TASK_ROWS = 4_000
 #: Shingles whose signatures are computed together.
 CHUNK = 150_000
 CACHE_WORDS = 250_000
@@ -344,13 +346,15 @@ def near_duplicates(
     rest = labelled.join(split.where("parts > 1").drop("parts"), "key")
     rest = rest.hint("merge").join(reps.select("node", "n_shingles", "bands", "sig"), "node")
     rest = stored(_blocks(rest), "rest")
+    # dealt by rows: their bytes are few, but comparing blocks takes time
+    dealt = max(1, -(-rest.count() // TASK_ROWS)), "key", "i", "j"
 
     def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, at = _judge(pdf, percent)
         ids = np.union1d(x["node"].to_numpy()[at[:, 0]], y["node"].to_numpy()[at[:, 1]])
         return pd.DataFrame({"key": pdf["key"].iloc[0], "i": pdf["i"].iloc[0], "j": pdf["j"].iloc[0], "node": ids})
 
-    alive = rest.groupBy("key", "i", "j").applyInPandas(survivors, "key long, i int, j int, node long")
+    alive = rest.repartition(*dealt).groupBy("key", "i", "j").applyInPandas(survivors, "key long, i int, j int, node long")
     alive = stored(alive, "alive")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -372,7 +376,7 @@ def near_duplicates(
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     last = rest.join(alive, ["key", "i", "j", "node"]).hint("merge").join(texts, "node")
-    late = stored(last.groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long"), "late")
+    late = stored(last.repartition(*dealt).groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long"), "late")
     labels = found if late.isEmpty() else connected_components(links.unionAll(late))
 
     # a class's component by its representative's number, then the smallest id of each component
