@@ -38,7 +38,7 @@ EPOCHS, BATCH, RATE, LASSO, MIN_STEPS = 12, 128, 0.5, 1e-4, 300
 #: Distinct words whose features are kept while texts are read for training.
 KNOWN_WORDS = 200_000
 #: Distinct words whose logits a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 TOKENS = re.compile(r"\w+|[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
