@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, lm, minhash, packing, quality, token_counts, toxicity, warc
+from . import (
+    bitslices, bpe, chat, embeddings, kmeans, langid, lm, minhash, packing, quality, token_counts, toxicity, warc,
+)
 from .shared import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +204,90 @@ FROM f
 """
 
 
+def op11_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), count=10)
+
+
+def terms_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, len(t)::BIGINT AS n, t FROM (SELECT doc_id, {terms_sql("text")} AS t FROM documents) WHERE len(t) > 0
+), c AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest({terms_sql("text")}) AS term FROM benchmark
+), f AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), learn=~held_out)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, seed="3")
+
+
+def _rounds_sql(k: int, rounds: int, size: int, seed: str) -> str:
+    """Plain search over all centroids, one table for each round."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = {size}
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, x FROM v
+  ORDER BY sha256('{seed}:' || vec_id) LIMIT {k}
+)"""]
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, x, c, d FROM (
+    SELECT row, vec_id, v.x, c.c, {distance} AS d, row_number() OVER (PARTITION BY row ORDER BY d, c.c) AS place FROM v, c{r} c
+  ) WHERE place = 1
+)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (
+  SELECT c, i, sum(y)::HUGEINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range({size})) AS i FROM a{r}) GROUP BY c, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c
+  ) m ON m.c = c.c
+)""")
+    return f"""
+WITH {",".join(parts)}
+SELECT a.vec_id, a.c::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+  sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+OP13_SQL = _rounds_sql(8, 10, 64, "3")
+
+
 OPERATORS = (
     op1_near_vectors,
     op2_chat_format,
@@ -213,6 +299,9 @@ OPERATORS = (
     op8_lm_scores,
     op9_packing,
     op10_quality_rules,
+    op11_bit_slices,
+    op12_langid,
+    op13_pivot_clusters,
 )
 
 
@@ -221,4 +310,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_minhash": OP5_SQL, "op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {
+        "op1_near_vectors": OP1_SQL,
+        "op2_chat_format": OP2_SQL,
+        "op5_minhash": OP5_SQL,
+        "op6_warc": OP6_SQL,
+        "op10_quality_rules": OP10_SQL,
+        "op11_bit_slices": OP11_SQL,
+        "op13_pivot_clusters": OP13_SQL,
+    }
