@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
 A sentence's logit is a bias plus the weights, never negative, of its words' features (the word, and its beginnings of 3 to 6
-characters, which catch inflected and compounded forms). Noisy-or combines the sentences: a document is clean only if
+characters, which catch inflected and compounded forms), each feature once however often the sentence has it. Noisy-or combines the sentences: a document is clean only if
 each of them is. Weights are learnt from document labels through that combination, and the sentences with high scores
 are the offending ones.
 
@@ -10,7 +10,8 @@ their id, whole, as long as they begin within ``sample_chars`` characters; the w
 map over all documents.
 
 Defined results: null or empty text is one empty sentence, whose score is the bias's; rows without a label, or with a
-null one, are not learnt from; of several labels of a document the largest counts; without any labelled document all
+null one, are not learnt from; of several labels of a document the largest counts, and of several texts of one id the
+smallest is learnt from, so that sample_docs bounds the rows; without any labelled document all
 scores are 0.0; repeated rows score alike; an empty table gives no rows; other columns are left out.
 """
 
@@ -37,7 +38,7 @@ MIN_DOCS = 3
 EPOCHS, BATCH, RATE, LASSO, MIN_STEPS = 12, 128, 0.5, 1e-4, 300
 #: Distinct words whose features are kept while texts are read for training.
 KNOWN_WORDS = 200_000
-#: Distinct words whose logits a worker keeps.
+#: Distinct words whose weighted features a worker keeps.
 CACHE_WORDS = 300_000
 
 TOKENS = re.compile(r"\w+|[.!?\n]+")
@@ -160,11 +161,12 @@ def fit(
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample_docs)
     )
-    # sample_docs bounds this side, so it is sent to all tasks; the limit after it bounds repeated document rows
+    # sample_docs bounds this side, so it is sent to all tasks
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    in_order = Window.orderBy(F.xxhash64("_id"), "_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    in_order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(in_order), F.lit(0))
-    rows = rows.limit(2 * sample_docs).withColumn("_before", before).where(F.col("_before") < sample_chars)
+    rows = rows.withColumn("_before", before).where(F.col("_before") < sample_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: list[int] = []
@@ -183,29 +185,34 @@ def fit(
     return Model(np.frombuffer(got.weights, np.float32), got.bias) if got else train([], [])
 
 
-class _Logits(dict):
-    """word: the sum of its features' weights."""
+class _Weighted(dict):
+    """word: those of its features that have a weight."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def __missing__(self, word: str) -> float:
-        self[word] = x = float(sum(self.weights[f] for f in features(word)))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self[word] = x = tuple(f for f in features(word) if self.weights[f])
         return x
 
 
-def sentence_scores(text: str | None, logits: _Logits, bias: float) -> np.ndarray:
+def sentence_scores(text: str | None, weighted: _Weighted, bias: float) -> np.ndarray:
     """softplus(logit), that is -log(1 - probability), of each sentence."""
     tokens = TOKENS.findall((text or "").lower())
     if not tokens:
         return np.logaddexp(0.0, np.array([bias]))
     ends = np.fromiter((t[0] in ".!?\n" for t in tokens), bool, len(tokens))
-    values = np.fromiter((0.0 if e else logits[t] for t, e in zip(tokens, ends, strict=True)), float, len(tokens))
     group = np.cumsum(ends)
     has = np.bincount(group[~ends], minlength=group[-1] + 1) > 0
     if not has.any():
         return np.logaddexp(0.0, np.array([bias]))
-    return np.logaddexp(0.0, bias + np.bincount(group, values)[has])
+    # a token that ends a sentence has no feature, as training knows words only
+    found = map(weighted.__getitem__, tokens)
+    once = dict.fromkeys((g, f) for g, fs, end in zip(group.tolist(), found, ends.tolist(), strict=True) if fs and not end for f in fs)
+    logits = np.full(len(has), bias)
+    for g, f in once:
+        logits[g] += weighted.weights[f]
+    return np.logaddexp(0.0, logits[has])
 
 
 def score(
@@ -214,18 +221,18 @@ def score(
     """doc_id, score, offending: array of (begin, end, score) of the sentences of that score or more, in code points."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     least = -np.log1p(-min(offending, 1 - 1e-12))
-    held: dict[str, _Logits] = {}
+    held: dict[str, _Weighted] = {}
 
     def run(batches):
         weights, bias = shipped.value
         for b in batches:
             scores, spans = [], []
             for t in b.column(1):
-                logits = held.get("logits")
-                if logits is None or len(logits) > CACHE_WORDS:
-                    logits = held["logits"] = _Logits(weights)
+                weighted = held.get("weighted")
+                if weighted is None or len(weighted) > CACHE_WORDS:
+                    weighted = held["weighted"] = _Weighted(weights)
                 text = t.as_py()
-                s = sentence_scores(text, logits, bias)
+                s = sentence_scores(text, weighted, bias)
                 scores.append(float(-np.expm1(-s.sum())))
                 found = []
                 if s.max() >= least:
@@ -248,16 +255,16 @@ def score(
 def keep_below(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores below threshold: a filter in one pass."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    held: dict[str, _Logits] = {}
+    held: dict[str, _Weighted] = {}
     at = docs.columns.index(text)
 
     def run(batches):
         weights, bias = shipped.value
         for b in batches:
-            logits = held.get("logits")
-            if logits is None or len(logits) > CACHE_WORDS:
-                logits = held["logits"] = _Logits(weights)
-            clean = [-np.expm1(-sentence_scores(t.as_py(), logits, bias).sum()) < threshold for t in b.column(at)]
+            weighted = held.get("weighted")
+            if weighted is None or len(weighted) > CACHE_WORDS:
+                weighted = held["weighted"] = _Weighted(weights)
+            clean = [-np.expm1(-sentence_scores(t.as_py(), weighted, bias).sum()) < threshold for t in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,32 +104,86 @@ def test_stages_of_an_empty_table(spark, table):
         assert stage(spark, docs, table).count() == 0
 
 
+def plain_logits(text, weights, bias):
+    """Logits of a text's sentences, a feature once for each: {feature: weight} by loops."""
+    out = []
+    for s in re.split(r"[.!?\n]+", (text or "").lower()):
+        if found := re.findall(r"\w+", s):
+            once = {f for w in found for f in toxicity.features(w)}
+            out.append(bias + sum(float(weights[f]) for f in once))
+    return np.array(out or [bias])
+
+
+def plain_score(text, weights, bias):
+    return 1 - np.prod(1 / (1 + np.exp(plain_logits(text, weights, bias))))
+
+
 def test_toxicity_equals_plain_noisy_or(spark, table):
     """Scores from the model's weights by a loop over sentences and words."""
     docs = spark.read.parquet(f"{table}/documents.parquet").where("doc_id IS NOT NULL")
+    repeated = spark.createDataFrame([(9_000, "awful " * 50), (9_001, "awful awfully. awful")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(repeated)
     model = toxicity.fit(docs, spark.read.parquet(f"{table}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in toxicity.score(docs, model).collect():
-        clean = 1.0
-        for s in re.split(r"[.!?\n]+", (texts[r.doc_id] or "").lower()):
-            if found := re.findall(r"\w+", s):
-                z = model.bias + sum(float(model.weights[f]) for w in found for f in toxicity.features(w))
-                clean *= 1 - 1 / (1 + np.exp(-z))
-        if not re.findall(r"\w", texts[r.doc_id] or ""):
-            clean = 1 - 1 / (1 + np.exp(-model.bias))
-        assert abs(r.score - (1 - clean)) < 1e-5
-
-
-def test_toxicity_training_is_bounded_and_equals_plain_gradients():
-    texts = ["bad word. fine day", "fine day", "bad bad", "calm words here. fine", None, "x" * 50] * 4
-    toxic = [1, 0, 1, 0, 0, 0] * 4
-    model = toxicity.train(iter(texts), toxic)
-    bad = model.bias + sum(float(model.weights[f]) for f in toxicity.features("bad"))
-    fine = model.bias + sum(float(model.weights[f]) for f in toxicity.features("fine"))
-    assert bad > 0 > fine and (model.weights >= 0).all()
+        assert abs(r.score - plain_score(texts[r.doc_id], model.weights, model.bias)) < 1e-5
+
+
+TRAINED = ["bad word. fine day", "fine day fine day", "bad bad bad", "calm words calm. fine\nbad", None, "x" * 50, "word. word. word"] * 4
+TOXIC = [1, 0, 1, 1, 0, 0, 0] * 4
+
+
+def plain_fit(steps):
+    """AdaGrad with derivatives of the plain noisy-or loss by finite differences; all documents make one batch."""
+    holding = Counter(f for t in TRAINED for f in {f for w in re.findall(r"\w+", t or "") for f in toxicity.features(w)})
+    weights = dict.fromkeys(holding, 0.0)
+    rate = np.mean(TOXIC)
+    sentences = sum(len(plain_logits(t, weights, 0.0)) for t in TRAINED)
+    bias = np.log(rate / max(1.0, sentences / len(TRAINED)))
+    g2, bias_g2 = dict.fromkeys(holding, 1e-2), 1e-2
+
+    def loss(weights, bias):
+        p = np.array([plain_score(t, weights, bias) for t in TRAINED])
+        return -np.mean(np.where(TOXIC, np.log(p), np.log1p(-p)))
+
+    for _ in range(steps):
+        grad, h = {}, 1e-6
+        for f in weights:
+            up, down = weights | {f: weights[f] + h}, weights | {f: weights[f] - h}
+            grad[f] = (loss(up, bias) - loss(down, bias)) / (2 * h)
+        of_bias = (loss(weights, bias + h) - loss(weights, bias - h)) / (2 * h)
+        for f, g in grad.items():
+            g2[f] += g * g
+            weights[f] = max(0.0, weights[f] - toxicity.RATE / np.sqrt(g2[f]) * (g + toxicity.LASSO))
+        bias_g2 += of_bias**2
+        bias -= toxicity.RATE * 0.3 * of_bias / np.sqrt(bias_g2)
+    return weights, bias
+
+
+def test_toxicity_training_equals_plain_gradients(spark, monkeypatch):
+    """Words repeat within sentences; the model that is trained is the one that scores."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 4)
+    weights, bias = plain_fit(4)
+    model = toxicity.train(iter(TRAINED), TOXIC)
+    assert abs(model.bias - bias) < 1e-4 and np.count_nonzero(model.weights) > 3
+    for f, w in weights.items():
+        assert abs(model.weights[f] - w) < 1e-4
+    texts = [*TRAINED[:7], "bad " * 500, "fine bad fine bad. bad"]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    for r in scored.collect():
+        assert abs(r.score - plain_score(texts[r.doc_id], weights, bias)) < 1e-3
     assert toxicity.train(iter([]), []).bias == -np.inf
 
 
+def test_toxicity_learns_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i, f"bad w{i}") for i in range(9)] + [(0, "also")] * 50 + [(None, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] * 3, "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, f"bad w{i}") for i in range(1, 9)] + [(0, "also")], "doc_id long, text string")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(once, labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
 def test_toxicity_sample_is_bounded_by_characters(spark):
     docs = spark.createDataFrame([(i, "x " * 500) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
@@ -141,11 +196,12 @@ def test_toxicity_sample_is_bounded_by_characters(spark):
 
 @pytest.mark.parametrize("name", [q.__name__ for q in queries.OPERATORS])
 def test_registered_queries_run_over_their_tables(spark, name):
-    """Each query gives a row for each row (op2: conversation, op9: at least one piece) of its table."""
+    """Each query gives a row for each row (op2: conversation, op9, op11: at least one row) of its table."""
     of = {"op1": ("embeddings", "vec_id"), "op2": ("conversations", "conv_id"), "op6": ("pages", "page_id")}
+    of |= {"op11": ("benchmark", "item_id"), "op13": ("embeddings", "vec_id")}
     table, key = of.get(name.split("_")[0], ("documents", "doc_id"))
     want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().collect()}
     got = [r[0] for r in queries.queries()[name](spark, SF).select(key).collect()]
     assert set(got) == want | ({-1} if table == "conversations" else set())
-    if name != "op9_packing":
+    if name not in ("op9_packing", "op11_bit_slices"):
         assert len(got) == len(set(got))
