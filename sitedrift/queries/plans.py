@@ -274,9 +274,11 @@ def p12_protected_runs(run):
 
 
 @query("SELECT strftime(createdAt, '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp_iso, price::BIGINT::VARCHAR AS price, coalesce(currency, '') AS currency FROM {price} WHERE is_product_page AND price IS NOT NULL")
-@named("price")
-def s7_price_csv_rows(price):
-    return src.price_csv_rows(price)
+def s7_price_csv_rows(spark, sf_dir):
+    """Written as csv with every field quoted, and read back as text."""
+    folder = fresh_folder(spark, "s7")
+    src.export_price_csv(table(spark, sf_dir, "price"), folder)
+    return spark.read.csv(folder, header=True, escape='"', schema="timestamp_iso string, price string, currency string", nullValue="\\N", emptyValue="")
 
 
 #: table: columns whose JSON text is the same in every engine, in order of names.

@@ -194,28 +194,69 @@ def p12_retention(run):
     return whole
 
 
-@query("SELECT ownerUserId, memberUserId, TIMESTAMP '2024-01-01' AS createdAt FROM {membership}")
+@query(
+    """SELECT fmt, id::VARCHAR AS id, CASE WHEN id % 10 NOT IN (3, 4, 5) THEN websiteId END AS websiteId,
+  CASE WHEN id % 10 NOT IN (3, 4, 5) THEN is_read END AS is_read, CASE WHEN id % 10 NOT IN (3, 4, 5) THEN createdAt::TIMESTAMP END AS createdAt,
+  id % 10 NOT IN (3, 4, 5) AS sound FROM {alert}, (VALUES ('parquet'), ('json'), ('csv')) f(fmt) WHERE fmt <> 'parquet' OR id % 10 NOT IN (3, 4, 5)"""
+)
 def s1_read_table(spark, sf_dir):
-    path = f"{fresh_folder(spark, 's1')}/account_membership"
-    rows = table(spark, sf_dir, "membership").withColumn("createdAt", F.lit("2024-01-01").cast("timestamp"))
-    rows.write.parquet(path)
-    return src.read_table(spark, path, "account_membership")
+    """All alerts as Parquet, json and csv. Of the text records one in ten has a value of another type, a further one a field
+    too many or too few, and a third isn't a whole record: those come back as they are, the others with their types."""
+    folder = fresh_folder(spark, "s1")
+    names = src.schema_of("alert").names
+    empty = {c: F.lit(None).cast("string") for c in ("details", "suppressionReason")}
+    rows = table(spark, sf_dir, "alert").withColumnRenamed("is_read", "read").withColumns(empty)
+    n = F.col("id") % 10
+    rows = rows.withColumns({"n": n, "id": F.col("id").cast("string"), "createdAt": F.col("createdAt").cast("timestamp")})
+    rows.where("n NOT IN (3, 4, 5)").select(*names).write.parquet(f"{folder}/parquet")
+    loose = rows.withColumn("read", F.when(F.col("n") == 3, "maybe").otherwise(F.col("read").cast("string")))
+    record = F.to_json(F.struct(*names))
+    record = F.when(F.col("n") == 3, record).otherwise(F.regexp_replace(record, '"read":"(true|false)"', '"read":$1'))
+    record = F.when(F.col("n") == 4, F.regexp_replace(record, "}$", ',"surplus":1}')).when(F.col("n") == 5, F.substring(record, 1, 30)).otherwise(record)
+    loose.select(record.alias("value")).write.text(f"{folder}/json")
+    texts = loose.withColumn("createdAt", F.date_format("createdAt", "yyyy-MM-dd'T'HH:mm:ss"))
+    line = F.array_join(F.array(*(F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in names)), ",")
+    line = F.when(F.col("n") == 4, F.concat(line, F.lit(',"surplus"'))).when(F.col("n") == 5, F.substring(line, 1, 30)).otherwise(line)
+    # a header for each file: the first of a partition's lines
+    lines = texts.select(line.alias("value"), F.lit(1).alias("k")).repartition(4).withColumn("p", F.spark_partition_id())
+    heads = lines.select("p").distinct().select(F.lit(",".join(names)).alias("value"), F.lit(0).alias("k"), "p")
+    both = lines.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k").withColumn("file", F.col("p"))
+    both.select("value", "file").write.partitionBy("file").text(f"{folder}/csv")
+    out = None
+    for fmt in ("parquet", "json", "csv"):
+        good, bad = src.read_checked(spark, folder + f"/{fmt}" + ("/*" if fmt == "csv" else ""), "alert", fmt)
+        good = good.select("id", "websiteId", F.col("read").alias("is_read"), "createdAt", F.lit(True).alias("sound"))
+        lost = bad.select(
+            F.regexp_extract("record", '^[^0-9]*([0-9]+)', 1).alias("id"), F.lit(None).cast("string").alias("websiteId"),
+            F.lit(None).cast("boolean").alias("is_read"), F.lit(None).cast("timestamp").alias("createdAt"), F.lit(False).alias("sound"),
+        )
+        both = good.unionByName(lost).withColumn("fmt", F.lit(fmt))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
-@query("SELECT DISTINCT target_id, url FROM {obs}")
+@query(
+    """SELECT target_id, url, CASE WHEN n > 11 THEN 'RESOURCE_LIMIT' END AS error FROM (
+  SELECT DISTINCT target_id, CASE WHEN n <= 11 THEN url END AS url, n FROM (SELECT target_id, url, max(CASE WHEN url LIKE '%/11' THEN 12 ELSE 1 END)
+    OVER (PARTITION BY target_id) * CASE WHEN target_id::BIGINT % 5 = 0 THEN 1 ELSE 0 END AS n FROM {obs}))"""
+)
 def s3_read_sitemap_files(spark, sf_dir):
-    """A file of all URLs of each target, each second one gzipped, read back and parsed."""
+    """A file of all URLs of each target, each second one gzipped, read back and parsed. Each fifth target that has the URL of
+    number 11 gets a file blown up beyond the limit, which isn't read."""
     obs = table(spark, sf_dir, "obs")
     entries = F.transform(F.collect_set("url"), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>")))
-    body = F.concat(F.lit("<urlset>"), F.array_join(entries, ""), F.lit("</urlset>"))
+    large = (F.col("target_id").cast("long") % 5 == 0) & F.array_contains(F.collect_set(F.split_part("url", F.lit("/p/"), F.lit(2))), "11")
+    # of random digits, so that gzip can't make it small
+    blown = F.when(large, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.sha2(F.concat("target_id", k.cast("string")), 256)), ""))
+    body = F.concat(F.lit("<urlset>"), F.array_join(entries, ""), F.lit("<!--"), F.coalesce(blown, F.lit("")), F.lit("--></urlset>"))
     files = obs.groupBy("target_id").agg(body.alias("body")).repartition("target_id")
     folder, odd = fresh_folder(spark, "s3"), F.col("target_id").cast("long") % 2 == 1
     for name, half, kind in (("plain", ~odd, "none"), ("packed", odd, "gzip")):
         files.where(half).write.partitionBy("target_id").option("compression", kind).text(f"{folder}/{name}")
-    found = src.read_sitemap_files(spark, folder)
+    found = src.read_sitemap_files(spark, folder, max_file_bytes=4_000)
     target = F.regexp_extract("path", "target_id=([0-9]+)/", 1)
     parsed = web.parse_sitemaps(found.select(target.alias("target_id"), F.lit("r").alias("run_id"), F.col("path").alias("source_url"), "body", "error"))
-    return parsed.select("target_id", F.explode("locations").alias("url"))
+    return parsed.select("target_id", F.explode_outer("locations").alias("url"), "error")
 
 
 @query("WITH " + CANDIDATES + "SELECT id, CASE status WHEN 'pending' THEN 'expired' ELSE status END AS status FROM cand")

@@ -41,32 +41,76 @@ def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _check_columns(name: str, have: list[str], want: list[str]) -> None:
+    if set(have) != set(want) or len(have) != len(want):
+        raise ValueError(f"{name}: missing {sorted(set(want) - set(have))}, unknown {sorted(set(have) - set(want))}")
+
+
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """A table with its fixed schema; a file with other columns is refused."""
+    """A table with its fixed schema; files with other columns, or Parquet columns of another type, are refused. Rows of
+    csv and json files that don't fit the schema are left out: read_checked returns them beside the others."""
+    return read_checked(spark, path, name, fmt)[0]
+
+
+def read_checked(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the table's schema, texts of those that don't as column record) of parquet, csv (with a header) or
+    json files.
+
+    Names of Parquet files and of the first csv header are checked before anything is read, those of each further header
+    when its file is. A csv or json record is set aside if a value isn't of its column's type, if it has too few or too many
+    fields or one of another name, or isn't a record at all. All that takes one pass.
+    """
     want = schema_of(name)
     if fmt == "parquet":
-        have = set(spark.read.parquet(path).columns)
-        if have != set(want.names):
-            raise ValueError(f"{name}: missing {sorted(set(want.names) - have)}, unknown {sorted(have - set(want.names))}")
-    return spark.read.schema(want).format(fmt).load(path)
+        have = spark.read.parquet(path).schema
+        _check_columns(name, have.names, want.names)
+        other = [f"{f.name} {have[f.name].dataType.simpleString()}" for f in want if have[f.name].dataType != f.dataType]
+        if other:
+            raise ValueError(f"{name}: of another type: {', '.join(other)}")
+        return spark.read.schema(want).parquet(path), spark.createDataFrame([], "record string")
+    full = T.StructType([*want.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if fmt == "csv":
+        _check_columns(name, spark.read.csv(path, header=True).columns, want.names)
+        rows = spark.read.schema(full).csv(path, header=True, enforceSchema=False, escape='"', **options)
+        # tied to all columns: a reader that parses some of them only sees some of the faults
+        rows = rows.withColumn("_record", F.when(F.pmod(F.hash(*want.names), F.lit(2)) < 2, F.col(CORRUPT)))
+    elif fmt == "json":
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        rows = lines.select("value", F.from_json("value", full, options).alias("r")).select(
+            *(F.col(f"r.{c}").alias(c) for c in want.names),
+            F.when(F.col(f"r.{CORRUPT}").isNotNull() | (F.size(F.array_except(F.json_object_keys("value"), F.lit(want.names))) > 0), F.col("value")).alias("_record"),
+        )
+    else:
+        raise ValueError(f"{fmt} isn't one of parquet, csv, json")
+    return rows.where(F.col("_record").isNull()).select(*want.names), rows.where(F.col("_record").isNotNull()).select(F.col("_record").alias("record"))
 
 
 def read_sitemap_files(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """path, length, body, error of the files below a folder, plain, gzipped or gzipped twice.
 
-    error: RESOURCE_LIMIT of files larger than allowed, which aren't read, or that inflate to more; DECOMPRESSION_ERROR of
-    broken ones. Their body is null.
+    error: RESOURCE_LIMIT of files larger than allowed (or than Spark's reader takes), which are listed but never read, and
+    of those that inflate to more; DECOMPRESSION_ERROR of broken ones. Their body is null.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", "length", F.when(F.col("length") <= max_file_bytes, F.col("content")).alias("content"))
+    most = min(max_file_bytes, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1))))
+    # the reader is told this filter, and opens no file that fails it
+    small = files.where(F.col("length") <= most).select("path", "length", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(None, "RESOURCE_LIMIT") if raw is None else inflate(raw, max_file_bytes) for raw in b.column(2).to_pylist()]
+            found = [inflate(raw, max_file_bytes) for raw in b.column(2).to_pylist()]
             columns = [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["path", "length", "body", "error"])
 
-    return files.mapInArrow(run, "path string, length long, body binary, error string")
+    read = small.mapInArrow(run, "path string, length long, body binary, error string")
+    large = files.where(F.col("length") > most).select(
+        "path", "length", F.lit(None).cast("binary").alias("body"), F.lit("RESOURCE_LIMIT").alias("error")
+    )
+    return read.unionByName(large)
 
 
 def new_rows(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -80,13 +124,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Appends events by day; an event id already there is skipped, so a repeated batch changes nothing."""
+    """Appends events by day; an event id already there is skipped, so a repeated batch changes nothing.
+
+    An id names its run and with it its moment, so it can only lie among the events of its own day: ids are compared with
+    those of the batch's days, whose folders alone are read.
+    """
     spark = events.sparkSession
-    rows = events.dropDuplicates(["id"])
-    if _exists(spark, path):
-        rows = new_rows(events, spark.read.schema(events.select("id").schema).parquet(path))
     day = F.to_date("observed_at")
-    rows.withColumn("observed_date", day).write.mode("append").partitionBy("observed_date").parquet(path)
+    rows = events.dropDuplicates(["id"]).withColumn("observed_date", day)
+    if _exists(spark, path):
+        stored_ids = T.StructType([*events.select("id").schema.fields, T.StructField("observed_date", T.DateType())])
+        days = rows.select("observed_date").distinct()
+        # joined with a small table of days, a scan reads their partitions only
+        there = spark.read.schema(stored_ids).parquet(path).join(F.broadcast(days), "observed_date", "left_semi")
+        rows = rows.join(there, ["observed_date", "id"], "left_anti")
+    rows.write.mode("append").partitionBy("observed_date").parquet(path)
 
 
 def write_state(df: DataFrame, path: str, batch_id: int) -> None:
