@@ -134,7 +134,3 @@ def policy_key(policy: Column, origin: Column, hosts: Column) -> Column:
 def scope_fingerprint(key: Column, roots: Column) -> Column:
     return F.sha2(F.concat(F.regexp_replace(F.to_json(F.array(key)), "\\]$", ","), json_list(roots), F.lit("]")), 256)
 
-
-def url_set_hash(urls: Column) -> Column:
-    """Digest of a set of URLs, whatever their order: SHA-256 of the JSON array of the sorted distinct ones."""
-    return F.sha2(F.to_json(F.array_sort(F.array_distinct(urls))), 256)

@@ -16,7 +16,7 @@ def _ms(ts: Column) -> Column:
 
 def next_due_after_success(due: Column, hours: Column, now: Column) -> Column:
     """The first deadline after now in the phase of the stored one (or of now, where there is none)."""
-    step = (hours * HOUR_MS).cast("long")
+    step = (hours.cast("double") * HOUR_MS).cast("long")
     prev = F.coalesce(_ms(due), _ms(now))
     n = F.greatest(F.lit(0), F.floor((_ms(now) - prev) / step)) + 1
     return F.timestamp_millis(prev + n * step)
@@ -24,14 +24,14 @@ def next_due_after_success(due: Column, hours: Column, now: Column) -> Column:
 
 def next_due_catch_up(due: Column, hours: Column, now: Column) -> Column:
     """At scheduling: whole intervals from the due moment until it lies after now."""
-    step = (hours * HOUR_MS).cast("long")
+    step = (hours.cast("double") * HOUR_MS).cast("long")
     late = F.floor(F.greatest(F.lit(0), _ms(now) - _ms(due)) / step)
     return F.timestamp_millis(_ms(due) + (late + 1) * step)
 
 
 def candidate_expiry(observed: Column, hours: Column) -> Column:
     """Three intervals, but at least 72 hours and at most 14 days."""
-    stay = F.least(F.lit(14 * DAY_MS), F.greatest(F.lit(3 * DAY_MS), (hours * (3 * HOUR_MS)).cast("long")))
+    stay = F.least(F.lit(14 * DAY_MS), F.greatest(F.lit(3 * DAY_MS), (hours.cast("double") * (3 * HOUR_MS)).cast("long")))
     return F.timestamp_millis(_ms(observed) + stay)
 
 

@@ -1,14 +1,14 @@
-"""Adopting observations: the decision, the apply step, candidates, and the sequential form for whole histories."""
+"""Adopting observations: the decision, the apply step, candidates, and whole histories by their changes."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import suspicious
+from ..functions.timing import candidate_expiry, suspicious
 from ..scratch import stored
-from .inventory import HOUR, numbered_runs
+from .inventory import HOUR, numbered_runs, replay_url_lifecycle
 
 SITE = ["website_id", "target_id", "scope_version"]
 STATE = [
@@ -172,83 +172,190 @@ def apply_runs(state: DataFrame, obs: DataFrame, runs: DataFrame) -> tuple[DataF
 
 DECIDED = (
     "website_id string, target_id string, scope_version int, run_id string, observed_at timestamp, decision string,"
-    " baseline_run_id string, candidate_run_id string, outcome string"
+    " baseline_run_id string, candidate_run_id string, outcome string, candidate_status string, original_missing_count long,"
+    " pending_count long, recovered_count long, removed_count long, expires_at timestamp, last_confirmation_run_id string"
 )
+FIELDS = [tuple(f.split()) for f in DECIDED.split(", ")]
+CANDIDATE = (
+    "candidate_status", "original_missing_count", "pending_count", "recovered_count", "removed_count", "expires_at", "last_confirmation_run_id",
+)
 #: Hours after which an unconfirmed candidate expires: the shortest that a target's interval can give.
 TTL_HOURS = 72.0
 
 
-def adopt_sequence(
-    obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS,
-    prior: DataFrame | None = None,
+def with_expiry(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """runs with expires_at, the end of a candidate that each of them would open: by the interval of its target
+    (target_id, checkIntervalHours)."""
+    hours = targets.select("target_id", F.col("checkIntervalHours").alias("_hours"))
+    return runs.join(hours, "target_id", "left").withColumn("expires_at", candidate_expiry(F.col("observed_at"), F.col("_hours"))).drop("_hours")
+
+
+def change_log(obs: DataFrame, runs: DataFrame) -> DataFrame:
+    """SITE, seq, u, added: what each run after the first of its target has that the one before it lacks (added), or lacks.
+    u: 64 bits of a URL's hash. runs: SITE, run_id, seq.
+
+    One window over presences by URL. What stays is nowhere in the log, so it is as large as the changes are.
+    """
+    seen = obs.where("url_hash IS NOT NULL").select(*SITE, "run_id", "url_hash")
+    seen = seen.join(runs.select(*SITE, "run_id", "seq"), [*SITE, "run_id"])
+    w = Window.partitionBy(*SITE, "url_hash").orderBy("seq")
+    came = (F.col("seq") > 0) & F.coalesce(F.lag("seq").over(w) < F.col("seq") - 1, F.lit(True))
+    went = F.coalesce(F.lead("seq").over(w) > F.col("seq") + 1, F.lit(True))
+    marked = seen.select(*SITE, "seq", "url_hash", came.alias("came"), went.alias("went")).where("came OR went")
+    change = lambda seq, added: F.struct(seq.alias("seq"), F.lit(added).alias("added"))
+    both = F.array_compact(F.array(F.when(F.col("came"), change(F.col("seq"), True)), F.when(F.col("went"), change(F.col("seq") + 1, False))))
+    return marked.select(*SITE, F.xxhash64("url_hash").alias("u"), F.explode(both).alias("c")).select(*SITE, "c.seq", "u", "c.added")
+
+
+def decide_history(
+    obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS, prior: DataFrame | None = None
 ) -> DataFrame:
     """DECIDED rows, one for each run in order of time, where a quarantine may be confirmed by a later equal loss.
 
     baseline_run_id is the one in force when the run came. candidate_run_id and outcome: the candidate that was open then
     and what became of it: confirmed (decision of its own run turns to first_observation), quarantined (too soon),
-    missing_set_changed, expired. prior: the sets (SITE, run_id, observed_at, role, url_hash, null if empty) of the
-    baseline and of the open candidate that the target already has (role base, held).
-
-    Decisions depend on each other, so a target's runs are folded in order, each as the hashes of its set: a group
-    holds the URL sets of one target's runs. Whole histories come here only for targets with a suspicious step
-    (decide_history), streams batch by batch.
+    missing_set_changed, expired. A run that opened a candidate also tells how that ended (CANDIDATE, see
+    candidate_rows). runs may have expires_at, the end of a candidate that the run would open; else ttl_hours count.
+    prior: the sets (SITE, run_id, observed_at, role, url_hash, null if empty, perhaps expires_at) of the baseline and of
+    the open candidate that targets already have (role base, held).
+
+    Each run is compared with the one before it by the log of changes. Targets without a suspicious step and without an
+    open candidate adopt every run, and are done as sets. The runs of the others are folded in order: a group holds the
+    changes of one target's runs, not their sets, and the fold keeps counts and the URLs that differ from the baseline.
     """
-    sets = obs.groupBy(*SITE, "run_id").agg(F.collect_set(F.xxhash64("url_hash")).alias("urls"))
-    sets = sets.select(*SITE, "run_id", "urls")
-    rows = runs.select(*SITE, "run_id", "observed_at").join(sets, [*SITE, "run_id"], "left")
-    rows = rows.withColumn("role", F.lit("run"))
+    ends = "expires_at" if "expires_at" in runs.columns else None
+    until = F.col(ends) if ends else F.timestamp_millis(F.unix_millis("observed_at") + F.lit(int(ttl_hours * 3_600_000)))
+    asked = runs.select(*SITE, "run_id", "observed_at", until.alias("expires_at"), F.lit(False).alias("known"))
+    rows = obs.select(*SITE, "run_id", "url_hash")
+    held = None
     if prior is not None:
-        hashes = F.collect_set(F.when(F.col("url_hash").isNotNull(), F.xxhash64("url_hash")))
-        old = prior.groupBy(*SITE, "run_id", "observed_at", "role").agg(hashes.alias("urls"))
-        rows = rows.unionByName(old.join(runs.select(*SITE).distinct(), SITE, "left_semi"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        as_set = lambda urls: frozenset(urls) if urls is not None else frozenset()
-        base: tuple[str, frozenset] | None = None
-        held: tuple[str, pd.Timestamp, frozenset] | None = None
-        for r in pdf[pdf["role"] != "run"].sort_values("role").itertuples():
-            if r.role == "base":
-                base = (r.run_id, as_set(r.urls))
-            else:
-                held = (r.run_id, r.observed_at, base[1] - as_set(r.urls))
-        out: dict[str, list] = {}
-        for r in pdf[pdf["role"] == "run"].sort_values(["observed_at", "run_id"]).itertuples():
-            now, asked, outcome = as_set(r.urls), held, None
-            if base is None:
-                base = (r.run_id, now)
-                out[r.run_id] = [r.observed_at, "baseline", None, None, None]
-                continue
-            before, lost = base[0], base[1] - now
-            odd = bool(base[1]) and (not now or (len(lost) >= least and len(lost) / len(base[1]) >= ratio))
-            if held and r.observed_at - held[1] >= pd.Timedelta(hours=ttl_hours):
-                outcome, held = "expired", None
-            elif held and held[2] != lost:
-                outcome, held = "missing_set_changed", None
-            elif held and r.observed_at - held[1] >= pd.Timedelta(hours=1):
-                outcome = "confirmed"
-            elif held:
-                outcome = "quarantined"
-            if outcome == "confirmed":
-                if held[0] in out:
-                    out[held[0]][1] = "first_observation"
-                else:
-                    out[held[0]] = [held[1], "first_observation", before, None, None]
-                base, held, decision = (r.run_id, now), None, "applied"
-            elif outcome == "quarantined":
-                decision = "quarantined"
-            elif odd:
-                decision, held = "quarantined", (r.run_id, r.observed_at, lost)
-            else:
-                decision, base = "applied", (r.run_id, now)
-            out[r.run_id] = [r.observed_at, decision, before, asked[0] if asked else None, outcome]
-        names = ["observed_at", "decision", "baseline_run_id", "candidate_run_id", "outcome"]
-        made = pd.DataFrame(list(out.values()), columns=names)
-        made.insert(0, "run_id", list(out))
-        for k, c in enumerate(SITE):
-            made.insert(k, c, pdf[c].iloc[0])
-        return made
-
-    return rows.groupBy(*SITE).applyInPandas(fold, DECIDED)
+        prior = prior.join(runs.select(*SITE).distinct(), SITE, "left_semi")
+        base = prior.where("role = 'base'")
+        none = F.lit(None).cast("timestamp").alias("expires_at")
+        asked = asked.unionByName(base.select(*SITE, "run_id", "observed_at", none, F.lit(True).alias("known")).distinct())
+        rows = rows.unionByName(base.select(*SITE, "run_id", "url_hash"))
+        held = _held_losses(prior, until)
+    numbered = numbered_runs(asked)
+    changes = stored(change_log(rows, numbered), "changes")
+    sizes = rows.where("url_hash IS NOT NULL").groupBy(*SITE, "run_id").agg(F.count(F.lit(1)).alias("n"))
+    moved = changes.groupBy(*SITE, "seq").agg(F.count_if(~F.col("added")).alias("missing"))
+    steps = numbered.join(sizes, [*SITE, "run_id"], "left").join(moved, [*SITE, "seq"], "left").fillna(0, ["n", "missing"])
+    w = Window.partitionBy(*SITE).orderBy("seq")
+    steps = steps.withColumns({"previous": F.lag("n").over(w), "before": F.lag("run_id").over(w)})
+    odd = F.coalesce(suspicious(F.col("previous"), F.col("missing"), F.col("n"), least, ratio), F.lit(False))
+    steps = stored(steps.withColumn("odd", odd), "steps")
+    slow = steps.where("odd").select(*SITE)
+    slow = (slow if held is None else slow.unionAll(held.select(*SITE))).distinct()
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in FIELDS[7:]]
+    fast = steps.where("NOT known").join(slow, SITE, "left_anti").select(
+        *SITE, "run_id", "observed_at", F.when(F.col("seq") == 0, "baseline").otherwise("applied").alias("decision"),
+        F.col("before").alias("baseline_run_id"), *empty,
+    )
+    return fast.unionByName(_in_order(steps.join(slow, SITE, "left_semi"), changes, held, least, ratio))
+
+
+def _held_losses(prior: DataFrame, until: Column) -> DataFrame:
+    """SITE, held_run, held_at, held_until, held_lost: the open candidate of each target, and the hashes of what it misses of the
+    baseline."""
+    open_ = prior.where("role = 'held'")
+    stay = F.col("expires_at") if "expires_at" in prior.columns else until
+    head = open_.select(*SITE, F.col("run_id").alias("held_run"), F.col("observed_at").alias("held_at"), stay.alias("held_until")).distinct()
+    base = prior.where("role = 'base' AND url_hash IS NOT NULL").select(*SITE, "url_hash")
+    lost = base.join(head.select(*SITE), SITE, "left_semi").join(open_.select(*SITE, "url_hash"), [*SITE, "url_hash"], "left_anti")
+    lost = lost.groupBy(*SITE).agg(F.collect_set(F.xxhash64("url_hash")).alias("held_lost"))
+    return head.join(lost, SITE, "left")
+
+
+def _in_order(steps: DataFrame, changes: DataFrame, held: DataFrame | None, least: int, ratio: float) -> DataFrame:
+    """DECIDED rows of the runs of steps, folded by target."""
+    of = lambda added: F.collect_list(F.when(F.col("added") == F.lit(added), F.col("u")))
+    moved = changes.groupBy(*SITE, "seq").agg(of(True).alias("came"), of(False).alias("went"))
+    rows = steps.select(*SITE, "run_id", "observed_at", "expires_at", "known", "seq", "n").join(moved, [*SITE, "seq"], "left")
+    if held is None:
+        kinds = "struct<held_run: string, held_at: timestamp, held_until: timestamp, held_lost: array<bigint>>"
+        rows = rows.select("*", F.lit(None).cast(kinds).alias("h")).select(*rows.columns, "h.*")
+    else:
+        rows = rows.join(held, SITE, "left")
+    return rows.groupBy(*SITE).applyInPandas(lambda pdf: _fold_runs(pdf, least, ratio), DECIDED)
+
+
+def _fold_runs(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
+    """The decisions on one target's runs. lost and gained: what the run at hand lacks of the baseline, and has beyond it."""
+    names = [name for name, _ in FIELDS[3:]]
+    made: dict[str, dict] = {}
+    base, base_size = None, 0
+    lost: set[int] = set()
+    gained: set[int] = set()
+    open_: dict | None = None
+
+    def close(status: str, run: str | None, now: set[int]) -> None:
+        """Of the candidate's URLs, those that the run at hand lacks too are pending, or removed with its confirmation."""
+        nonlocal open_
+        still = len(open_["lost"] & now)
+        if (row := made.get(open_["run_id"])) is not None:
+            row |= {
+                "candidate_status": status, "last_confirmation_run_id": run, "recovered_count": len(open_["lost"]) - still,
+                "pending_count": 0 if status == "confirmed" else still, "removed_count": still if status == "confirmed" else 0,
+            }
+        open_ = None
+
+    for r in pdf.sort_values("seq").itertuples():
+        for u in r.went if r.went is not None else ():
+            gained.remove(u) if u in gained else lost.add(u)
+        for u in r.came if r.came is not None else ():
+            lost.remove(u) if u in lost else gained.add(u)
+        if base is None:
+            base, base_size, lost, gained = r.run_id, r.n, set(), set()
+            if not r.known:
+                made[r.run_id] = {"observed_at": r.observed_at, "decision": "baseline"}
+            elif r.held_run is not None:
+                held_lost = set(r.held_lost) if r.held_lost is not None else set()
+                open_ = {"run_id": r.held_run, "at": r.held_at, "until": r.held_until, "lost": held_lost}
+            continue
+        row = made[r.run_id] = {"observed_at": r.observed_at, "baseline_run_id": base, "candidate_run_id": open_ and open_["run_id"]}
+        odd = base_size > 0 and (r.n == 0 or (len(lost) >= least and len(lost) / base_size >= ratio))
+        if open_ and r.observed_at >= open_["until"]:
+            row["outcome"] = "expired"
+            close("expired", None, open_["lost"])
+        elif open_ and open_["lost"] != lost:
+            row["outcome"] = "missing_set_changed"
+            close("rejected", r.run_id, lost)
+        elif open_:
+            row["outcome"] = "confirmed" if r.observed_at - open_["at"] >= pd.Timedelta(hours=1) else "quarantined"
+        if row.get("outcome") == "confirmed":
+            first = made.setdefault(open_["run_id"], {"observed_at": open_["at"], "baseline_run_id": base})
+            first["decision"] = "first_observation"
+            close("confirmed", r.run_id, lost)
+            row["decision"] = "applied"
+        elif row.get("outcome") == "quarantined":
+            row["decision"] = "quarantined"
+        elif odd:
+            row["decision"] = "quarantined"
+            open_ = {"run_id": r.run_id, "at": r.observed_at, "until": r.expires_at, "lost": set(lost)}
+            row |= {
+                "candidate_status": "pending", "original_missing_count": len(lost), "pending_count": len(lost), "recovered_count": 0,
+                "removed_count": 0, "expires_at": r.expires_at,
+            }
+        else:
+            row["decision"] = "applied"
+        if row["decision"] == "applied":
+            base, base_size, lost, gained = r.run_id, r.n, set(), set()
+    rows = [{"run_id": run, **row} for run, row in made.items()]
+    kinds = {"long": "Int64", "timestamp": "datetime64[us]"}
+    out = {c: [pdf[c].iloc[0]] * len(rows) for c in SITE} | {name: [row.get(name) for row in rows] for name in names}
+    return pd.DataFrame({name: pd.Series(out[name], dtype=kinds.get(kind, "object")) for name, kind in FIELDS})
+
+
+def candidate_rows(decisions: DataFrame) -> DataFrame:
+    """removal_candidate rows of the runs that opened one: status pending, confirmed, rejected or expired, with counts of the
+    URLs that are still missing, came back or were removed. A confirmed one was adopted with its own run and removed
+    by the run that confirmed it, which misses the same URLs an hour later."""
+    c = decisions.where("candidate_status IS NOT NULL")
+    return c.select(
+        "website_id", "target_id", "scope_version", F.col("run_id").alias("candidate_run_id"), F.col("baseline_run_id").alias("origin_baseline_run_id"),
+        F.col("candidate_status").alias("status"), F.when(F.col("candidate_status") == "rejected", "missing_set_changed").alias("reason"),
+        "original_missing_count", "pending_count", "recovered_count", "removed_count", "observed_at", "expires_at", "last_confirmation_run_id",
+    )
 
 
 def adopted_runs(decisions: DataFrame) -> DataFrame:
@@ -260,11 +367,14 @@ def adopted_runs(decisions: DataFrame) -> DataFrame:
 def adopt_history(
     state: DataFrame, obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new state, events, decisions) of targets without a baseline: all their runs decided, then the adopted applied."""
+    """(new state, events, decisions) of targets without a baseline: all their runs decided, then the adopted replayed in closed
+    form. Rows of other targets stay as they are."""
     decisions = stored(decide_history(obs, runs, least, ratio, ttl_hours), "decisions")
     taken = adopted_runs(decisions)
-    seen = obs.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
-    return *apply_runs(state, seen, taken), decisions
+    seen = obs.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi").where("url_hash IS NOT NULL")
+    new, events = replay_url_lifecycle(seen, taken)
+    others = state.join(runs.select(*SITE).distinct(), SITE, "left_anti")
+    return new.select(*STATE).unionByName(others.select(*STATE)), events, decisions
 
 
 def empty_state(obs: DataFrame) -> DataFrame:
@@ -279,38 +389,6 @@ def empty_state(obs: DataFrame) -> DataFrame:
     return obs.sparkSession.createDataFrame([], f"{keys}, {rest}")
 
 
-def decide_history(
-    obs: DataFrame, runs: DataFrame, least: int = 100, ratio: float = 0.3, ttl_hours: float = TTL_HOURS
-) -> DataFrame:
-    """DECIDED rows of all runs: targets without a suspicious step are decided as sets, the others in order."""
-    numbered = numbered_runs(runs)
-    seen = obs.select(*SITE, "run_id", "url_hash").join(numbered.select(*SITE, "run_id", "seq"), [*SITE, "run_id"])
-    n = seen.groupBy(*SITE, "seq").agg(F.count(F.lit(1)).alias("n"))
-    stayed = seen.select(*SITE, "url_hash", F.col("seq")).join(
-        seen.select(*SITE, "url_hash", (F.col("seq") + 1).alias("seq")), [*SITE, "url_hash", "seq"]
-    )
-    common = stayed.groupBy(*SITE, "seq").agg(F.count(F.lit(1)).alias("common"))
-    before = numbered.select(*SITE, (F.col("seq") + 1).alias("seq"), F.col("run_id").alias("baseline_run_id"))
-    steps = (
-        numbered.select(*SITE, "run_id", "observed_at", "seq")
-        .join(before, [*SITE, "seq"], "left")
-        .join(n.select(*SITE, (F.col("seq") + 1).alias("seq"), F.col("n").alias("previous")), [*SITE, "seq"], "left")
-        .join(n, [*SITE, "seq"], "left")
-        .join(common, [*SITE, "seq"], "left")
-        .fillna(0, ["previous", "n", "common"])
-    )
-    odd = suspicious(F.col("previous"), F.col("previous") - F.col("common"), F.col("n"), least, ratio)
-    steps = stored(steps.withColumn("odd", (F.col("seq") > 0) & odd), "steps")
-    slow = steps.where("odd").select(*SITE).distinct()
-    none = F.lit(None).cast("string")
-    fast = steps.join(slow, SITE, "left_anti").select(
-        *SITE, "run_id", "observed_at", F.when(F.col("seq") == 0, "baseline").otherwise("applied").alias("decision"),
-        "baseline_run_id", none.alias("candidate_run_id"), none.alias("outcome"),
-    )
-    some = lambda df: df.join(slow, SITE, "left_semi")
-    return fast.unionByName(adopt_sequence(some(obs), some(runs), least, ratio, ttl_hours))
-
-
 def candidate_resolution(candidates: DataFrame, missing: DataFrame, state: DataFrame) -> DataFrame:
     """Missing rows of adopted candidates with what the inventory says of them now."""
     held = candidates.where("status = 'adopted'").select(F.col("id").alias("candidate_id"), "target_id", "scope_version")

@@ -63,17 +63,40 @@ def link_diff(prev: DataFrame, curr: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_set_hash(urls: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_urls, set_hash of the distinct URLs of each key."""
+    """keys, n_urls, set_hash of the distinct URLs of each key: the canonical digest, which names a set in stored candidates.
+    It takes the sorted URLs of a key together; sets are compared by set_digest."""
     return urls.groupBy(*keys).agg(
         F.count_distinct("url").alias("n_urls"),
         F.sha2(F.to_json(F.array_sort(F.collect_set("url"))), 256).alias("set_hash"),
     )
 
 
+DIGEST = ("n_urls", "digest_a", "digest_b")
+
+
+def set_digest(urls: DataFrame, keys: list[str], url_hash: str = "url_hash") -> DataFrame:
+    """keys, n_urls, digest_a, digest_b of distinct rows: the count of URLs and the sums of two 60-bit parts of their hashes.
+
+    Digests don't depend on order and add up, so tasks combine theirs first, no URLs are gathered, and the digest of a
+    difference or a union of disjoint sets follows from those of its parts (see combined).
+    """
+    part = lambda at: F.conv(F.substring(url_hash, at, 15), 16, 10).cast("decimal(38,0)")
+    return urls.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_urls"), F.sum(part(1)).alias("digest_a"), F.sum(part(16)).alias("digest_b"))
+
+
+def combined(plus: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
+    """Digests of plus less those of minus, which are parts of theirs: what a run misses is its baseline less what both have."""
+    other = minus.select(*keys, *(F.col(c).alias(f"_{c}") for c in DIGEST))
+    rest = lambda c: (F.col(c) - F.coalesce(f"_{c}", F.lit(0))).cast("long" if c == "n_urls" else "decimal(38,0)").alias(c)
+    return plus.join(other, keys, "left").select(*keys, *map(rest, DIGEST))
+
+
 def same_missing_set(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys whose two sets are equal, by digest and size."""
-    left = missing_set_hash(a, keys)
-    return left.join(missing_set_hash(b, keys), [*keys, "n_urls", "set_hash"]).select(*keys)
+    """keys whose two sets of (keys, url_hash) rows, neither empty, are equal: by digest, and for those by looking for a URL of
+    a that b lacks."""
+    alike = set_digest(a, keys).join(set_digest(b, keys), [*keys, *DIGEST]).select(*keys)
+    outside = a.join(alike, keys, "left_semi").join(b.select(*keys, "url_hash"), [*keys, "url_hash"], "left_anti")
+    return alike.join(outside.select(*keys).distinct(), keys, "left_anti")
 
 
 def recovered_candidate_urls(missing: DataFrame, obs: DataFrame, keys: list[str] = TARGET) -> DataFrame:
@@ -87,38 +110,53 @@ def numbered_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("seq", (F.row_number().over(w) - 1).cast("int"))
 
 
+def successors(runs: DataFrame) -> DataFrame:
+    """Runs of each target and scope with seq and what comes after: the next run (first_missing_run_id, first_missing_at), and
+    the first run at least an hour after that one (confirmed_seq, confirmed_run_id, confirmed_at); null where there is none.
+
+    A run and the moment an hour after it are two marks on a line of time; read from its end, the last run met before a
+    moment is the first one after it. So this takes one sort of the runs, and no run meets another.
+    """
+    numbered = numbered_runs(runs)
+    moment = F.unix_micros("observed_at")
+    run = F.struct("seq", "run_id", "observed_at")
+    marks = numbered.select(*TARGET, "seq", moment.alias("_at"), F.lit(0).alias("_probe"), run.alias("_run"))
+    none = F.lit(None).cast(marks.schema["_run"].dataType)
+    probes = numbered.select(*TARGET, "seq", (moment + 3_600_000_000).alias("_at"), F.lit(1).alias("_probe"), none.alias("_run"))
+    backwards = Window.partitionBy(*TARGET).orderBy(F.desc("_at"), "_probe", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    later = marks.unionByName(probes).withColumn("_later", F.last("_run", ignorenulls=True).over(backwards)).where("_probe = 1")
+    # what a run is for the one before it
+    missing = numbered.join(later.select(*TARGET, "seq", "_later"), [*TARGET, "seq"]).select(
+        *TARGET, (F.col("seq") - 1).alias("seq"), F.col("run_id").alias("first_missing_run_id"), F.col("observed_at").alias("first_missing_at"),
+        F.col("_later.seq").alias("confirmed_seq"), F.col("_later.run_id").alias("confirmed_run_id"), F.col("_later.observed_at").alias("confirmed_at"),
+    )
+    return numbered.join(missing, [*TARGET, "seq"], "left")
+
+
 def url_gaps(obs: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per presence of a URL and what follows it.
 
-    seq: of this presence; next_seq: of the next, null for the last; first_missing_at and confirmed_seq describe the gap
-    after it, null where there is none. The second look is found in the target's sorted run times, one array per
-    target, so histories are never multiplied with runs.
+    seq, at: of this presence; prev_seq, first_seen_at: of the one before and of the first; next_seq, next_run_id, next_at: of
+    the next, null for the last; first_missing_run_id, first_missing_at and confirmed_seq, confirmed_run_id, confirmed_at
+    describe the gap after it, null where there is none or no second look. What follows a run is a row of a small table
+    (successors), so rows of URLs carry no lists of runs.
     """
-    key = ["target_id", "scope_version"]
-    numbered = numbered_runs(runs)
-    times = numbered.groupBy(*key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "observed_at", "run_id"))),
-            lambda r: F.struct(r["observed_at"].alias("at"), r["run_id"].alias("run")),
-        ).alias("runs")
+    after = successors(runs).withColumnRenamed("observed_at", "at").drop("website_id")
+    seen = obs.select(*TARGET, "website_id", "run_id", "url", "url_hash").join(after, [*TARGET, "run_id"])
+    w = Window.partitionBy(*TARGET, "url_hash").orderBy("seq")
+    seen = seen.withColumns(
+        {
+            "prev_seq": F.lag("seq").over(w),
+            "first_seen_at": F.first("at").over(w),
+            "next_seq": F.lead("seq").over(w),
+            "next_run_id": F.lead("run_id").over(w),
+            "next_at": F.lead("at").over(w),
+        }
     )
-    seen = obs.select(*key, "website_id", "run_id", "url", "url_hash").join(
-        numbered.select(*key, "run_id", "seq"), [*key, "run_id"]
-    )
-    w = Window.partitionBy(*key, "url_hash").orderBy("seq")
-    seen = seen.withColumns({"next_seq": F.lead("seq").over(w), "prev_seq": F.lag("seq").over(w)})
-    rows = seen.join(times, key)
-    end = F.coalesce("next_seq", F.size("runs"))
-    gap = end > F.col("seq") + 1
-    rows = rows.withColumn("first_missing_at", F.when(gap, F.get("runs", F.col("seq") + 1)["at"]))
-    second = F.get(
-        F.filter(
-            F.sequence(F.col("seq") + 2, F.greatest(end - 1, F.col("seq") + 2)),
-            lambda k: (k < end) & (F.get("runs", k)["at"] >= F.col("first_missing_at") + F.expr(HOUR)),
-        ),
-        0,
-    )
-    return rows.withColumn("confirmed_seq", F.when(gap, second))
+    gap = F.coalesce(F.col("next_seq") > F.col("seq") + 1, F.col("first_missing_at").isNotNull())
+    sure = gap & F.coalesce(F.col("confirmed_seq") < F.col("next_seq"), F.col("confirmed_seq").isNotNull())
+    of_gap = {c: F.when(gap, F.col(c)) for c in ("first_missing_run_id", "first_missing_at")}
+    return seen.withColumns({**of_gap, **{c: F.when(sure, F.col(c)) for c in ("confirmed_seq", "confirmed_run_id", "confirmed_at")}})
 
 
 def replay_url_lifecycle(obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,49 +167,42 @@ def replay_url_lifecycle(obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, Da
     silent recovery.
     """
     g = url_gaps(obs, runs)
-    run = lambda k: F.get("runs", k)
     keys = ["website_id", "target_id", "scope_version", "url", "url_hash"]
 
-    def event(kind: str, k: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), run(k)["run"].alias("run_id"), run(k)["at"].alias("observed_at"))
+    def event(kind: str, run: str, at: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(run).alias("run_id"), F.col(at).alias("observed_at"))
 
+    sure = F.col("confirmed_seq").isNotNull()
     found = F.array_compact(
         F.array(
-            F.when(F.col("prev_seq").isNull() & (F.col("seq") > 0), event("added", F.col("seq"))),
-            F.when(F.col("confirmed_seq").isNotNull(), event("removed", F.col("confirmed_seq"))),
-            F.when(
-                F.col("confirmed_seq").isNotNull() & F.col("next_seq").isNotNull(),
-                event("reappeared", F.col("next_seq")),
-            ),
+            F.when(F.col("prev_seq").isNull() & (F.col("seq") > 0), event("added", "run_id", "at")),
+            F.when(sure, event("removed", "confirmed_run_id", "confirmed_at")),
+            F.when(sure & F.col("next_seq").isNotNull(), event("reappeared", "next_run_id", "next_at")),
         )
     )
     events = g.select(*keys, F.explode(found).alias("e")).select(*keys, "e.*")
     events = events.withColumn("id", F.concat_ws(":", "run_id", "url_hash", "kind"))
 
-    last = g.where("next_seq IS NULL")
-    first = g.where("prev_seq IS NULL").select("target_id", "scope_version", "url_hash", run(F.col("seq"))["at"].alias("first_seen_at"))
-    gone, sure = F.col("first_missing_at").isNotNull(), F.col("confirmed_seq").isNotNull()
-    state = last.join(first, ["target_id", "scope_version", "url_hash"]).select(
+    gone = F.col("first_missing_at").isNotNull()
+    state = g.where("next_seq IS NULL").select(
         *keys,
         F.when(sure, "removed").when(gone, "pending_removed").otherwise("active").alias("status"),
         "first_seen_at",
-        run(F.col("seq"))["at"].alias("last_seen_at"),
-        F.when(gone, run(F.col("seq") + 1)["run"]).alias("first_missing_run_id"),
+        F.col("at").alias("last_seen_at"),
+        "first_missing_run_id",
         F.col("first_missing_at").alias("first_missing_observed_at"),
-        F.when(sure, run(F.col("confirmed_seq"))["run"]).when(gone, run(F.col("seq") + 1)["run"]).alias("last_missing_run_id"),
+        F.coalesce("confirmed_run_id", "first_missing_run_id").alias("last_missing_run_id"),
         F.when(sure, 2).when(gone, 1).otherwise(0).alias("missing_confirmations"),
-        F.when(sure, run(F.col("confirmed_seq"))["at"]).alias("removed_at"),
+        F.col("confirmed_at").alias("removed_at"),
     )
     return state, events
 
 
 def confirm_second_missing(gaps: DataFrame) -> DataFrame:
     """Gaps with the first run at least an hour after their first missing one, if any (see url_gaps)."""
-    at = F.get("runs", F.col("confirmed_seq"))
     return gaps.where("first_missing_at IS NOT NULL").select(
-        "target_id", "scope_version", "url", "seq", "next_seq", "first_missing_at", at["run"].alias("confirming_run"),
-        at["at"].alias("confirmed_at"),
-    )
+        "target_id", "scope_version", "url", "seq", "next_seq", "first_missing_at", F.col("confirmed_run_id").alias("confirming_run"), "confirmed_at"
+    )
 
 
 def run_deltas(obs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import retry_delay_ms
 from ..functions.urls import normalize_path_rules
 from ..operators.adopt import SITE, apply_observation
-from ..operators.inventory import missing_set_hash
+from ..operators.inventory import same_missing_set
 
 OPEN = ("pending", "adopted")
 
@@ -91,21 +91,34 @@ def approve_candidates(
 
 
 def confirm_candidates(candidates: DataFrame, held: DataFrame, missing: DataFrame, runs: DataFrame) -> DataFrame:
-    """id, decision of pending candidates against a later complete run of their target.
+    """candidate_id, decision of pending candidates against a later complete run of their target, and what is left of them.
 
-    held: candidate_id, url of each candidate; missing: candidate_id, url of the new run's missing set; runs:
-    candidate_id, observed_at of the new run. Equal sets an hour apart confirm, sooner they stay; others are rejected.
+    held: candidate_id, url_hash of each candidate; missing: candidate_id, url_hash of the new run's missing set; runs:
+    candidate_id, observed_at of the new run. Equal sets an hour apart confirm, sooner they stay; others are rejected, and
+    what the new run has of them is recovered.
     """
-    a = missing_set_hash(held, ["candidate_id"]).select("candidate_id", F.col("n_urls").alias("n_a"), F.col("set_hash").alias("h_a"))
-    b = missing_set_hash(missing, ["candidate_id"]).select("candidate_id", F.col("n_urls").alias("n_b"), F.col("set_hash").alias("h_b"))
+    key = ["candidate_id"]
     later = runs.select("candidate_id", F.col("observed_at").alias("_later"))
     c = candidates.where("status = 'pending'").select(F.col("id").alias("candidate_id"), "observed_at")
-    joined = c.join(later, "candidate_id").join(a, "candidate_id", "left").join(b, "candidate_id", "left")
-    same = F.col("h_a").eqNullSafe(F.col("h_b")) & F.col("n_a").eqNullSafe(F.col("n_b"))
+    equal = same_missing_set(held, missing, key).withColumn("_equal", F.lit(True))
+    some = held.unionByName(missing).select(*key).distinct().withColumn("_some", F.lit(True))
+    both = held.join(missing.select(*key, "url_hash"), [*key, "url_hash"], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("still"))
+    size = held.groupBy(*key).agg(F.count(F.lit(1)).alias("original_missing_count"))
+    joined = c.join(later, "candidate_id")
+    for part in (equal, some, size, both):
+        joined = joined.join(part, "candidate_id", "left")
+    joined = joined.fillna(0, ["original_missing_count", "still"])
+    same = F.coalesce("_equal", F.lit(False)) | F.col("_some").isNull()
     decision = F.when(~same, "missing_set_changed").when(
         F.col("_later") >= F.col("observed_at") + F.expr("INTERVAL 1 HOUR"), "confirmed"
     ).otherwise("quarantined")
-    return joined.select("candidate_id", decision.alias("decision"))
+    joined = joined.withColumn("decision", decision)
+    confirmed = F.col("decision") == "confirmed"
+    return joined.select(
+        "candidate_id", "decision", "original_missing_count", F.when(confirmed, 0).otherwise(F.col("still")).cast("long").alias("pending_count"),
+        (F.col("original_missing_count") - F.col("still")).alias("recovered_count"),
+        F.when(confirmed, F.col("still")).otherwise(0).cast("long").alias("removed_count"),
+    )
 
 
 def settle_runs(reports: DataFrame, now: Column) -> DataFrame:

@@ -111,14 +111,6 @@ def w9_baseline_timeline(spark, sf_dir):
     )
 
 
-@query(
-    "SELECT target_id, run_id, count(DISTINCT url) AS n_urls, sha256(to_json(list_sort(list(DISTINCT url)))::VARCHAR) AS set_hash"
-    " FROM {obs} GROUP BY ALL"
-)
-def a13_url_set_hash(spark, sf_dir):
-    return inv.missing_set_hash(table(spark, sf_dir, "obs"), ["target_id", "run_id"])
-
-
 PAIR = ["target_id", "scope_version", "run_id"]
 
 
@@ -186,6 +178,39 @@ later AS (SELECT a.target_id, n.next AS run_id, a.url FROM a JOIN n USING (targe
 )
 
 
+@query(
+    PAIRS
+    + """SELECT target_id, run_id, count(*) AS n_urls, sha256(to_json(list_sort(list(url)))::VARCHAR) AS set_hash
+FROM (SELECT * FROM a ANTI JOIN b USING (target_id, run_id, url)) GROUP BY ALL"""
+)
+def a12_missing_set_hash(spark, sf_dir):
+    """What every run misses of the one before it, by its canonical name."""
+    missing = inv.missing_urls(*pairs_of_runs(spark, sf_dir), PAIR)
+    return inv.missing_set_hash(missing, ["target_id", "run_id"])
+
+
+def _digest_sql(rows: str) -> str:
+    part = lambda at, name: f"sum(('0x' || substr(url_hash, {at}, 15))::BIGINT::HUGEINT)::VARCHAR AS {name}"
+    return f"SELECT target_id, run_id, count(*) AS n_urls, {part(1, 'digest_a')}, {part(16, 'digest_b')} FROM {rows} GROUP BY ALL"
+
+
+@query(
+    PAIRS
+    + f"""SELECT 'all' AS kind, * FROM ({_digest_sql("{obs_hashed}")})
+UNION ALL SELECT 'missing', * FROM ({_digest_sql("(SELECT * FROM a ANTI JOIN b USING (target_id, run_id, url))")})"""
+)
+def a13_url_set_hash(spark, sf_dir):
+    """Digests of every run's URLs, and of those it misses of the run before it: the digest of that one less the digest of what
+    both have, from counts and sums alone."""
+    key = ["target_id", "run_id"]
+    obs, _ = _obs(spark, sf_dir)
+    before, after = pairs_of_runs(spark, sf_dir)
+    both = before.join(after.select(*PAIR, "url_hash"), [*PAIR, "url_hash"], "left_semi")
+    missing = inv.combined(inv.set_digest(before, key), inv.set_digest(both, key), key).where("n_urls > 0")
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), *key, "n_urls", *(F.col(c).cast("string") for c in inv.DIGEST[1:]))
+    return named(inv.set_digest(obs, key), "all").unionByName(named(missing, "missing"))
+
+
 @query(NEXT_MISSING + "SELECT target_id, run_id, url FROM m SEMI JOIN b USING (target_id, run_id, url)")
 def j16_recovered_candidate_urls(spark, sf_dir):
     """What each run missed and the next one has again."""
@@ -232,7 +257,7 @@ def j4_added_urls(spark, sf_dir):
     """Every run against the inventory just before it, the first run's too."""
     obs, runs = _obs(spark, sf_dir)
     before = inv.url_gaps(obs, runs).where("next_seq IS NOT NULL").select(
-        "website_id", "scope_version", F.get("runs", F.col("next_seq"))["run"].alias("run_id"),
+        "website_id", "scope_version", F.col("next_run_id").alias("run_id"),
         F.col("url_hash").alias("normalized_url_hash"), F.when(F.col("confirmed_seq").isNotNull(), "removed").otherwise("active").alias("status"),
     )
     found = inv.added_urls(obs, before, ["website_id", "scope_version", "run_id"])
@@ -293,7 +318,7 @@ def _adopted(spark, sf_dir):
 def h5_adopt_sequence(spark, sf_dir):
     obs, runs = _obs(spark, sf_dir)
     decided = adopt.decide_history(obs, runs, LEAST, RATIO, 24 * TTL_DAYS)
-    return decided.drop("website_id", "scope_version", "observed_at")
+    return decided.select("target_id", "run_id", "decision", "baseline_run_id", "candidate_run_id", "outcome")
 
 
 @query(
@@ -306,8 +331,13 @@ def p2_adopt_observation(spark, sf_dir):
 
 @query(
     SUSP
-    + """SELECT f.met AS candidate_id, f.run_id, CASE WHEN f.outcome = 'confirmed' THEN 'confirmed' ELSE f.outcome END AS decision
-FROM fold f WHERE f.outcome IN ('confirmed', 'quarantined', 'missing_set_changed')"""
+    + """SELECT f.met AS candidate_id, f.run_id, f.outcome AS decision, len(c.held) AS original_missing_count,
+  CASE f.outcome WHEN 'confirmed' THEN 0 ELSE len(list_intersect(c.held, x.m)) END AS pending_count,
+  len(c.held) - len(list_intersect(c.held, x.m)) AS recovered_count, CASE f.outcome WHEN 'confirmed' THEN len(c.held) ELSE 0 END AS removed_count
+FROM fold f JOIN fold c ON c.target_id = f.target_id AND c.run_id = f.met
+JOIN (SELECT f2.run_id, list_filter(b.u, lambda y: NOT list_contains(s.u, y)) AS m FROM fold f2 JOIN sets s USING (run_id) JOIN sets b ON b.run_id = f2.base_run) x
+  ON x.run_id = f.run_id
+WHERE f.outcome IN ('confirmed', 'quarantined', 'missing_set_changed')"""
 )
 def p3_confirm_candidates(spark, sf_dir):
     """Every candidate against each later run that found it open, by their missing sets of the baseline in force."""
@@ -315,15 +345,52 @@ def p3_confirm_candidates(spark, sf_dir):
     decided = stored(adopt.decide_history(obs, runs, LEAST, RATIO, 24 * TTL_DAYS), "decided")
     met = decided.where("outcome IS NOT NULL AND outcome <> 'expired'")
     met = met.select(F.concat_ws("|", "candidate_run_id", "run_id").alias("candidate_id"), "run_id", "observed_at", "candidate_run_id", "baseline_run_id")
-    urls = obs.select("run_id", "url")
-    of = lambda c: met.select("candidate_id", F.col(c).alias("run_id")).join(urls, "run_id").select("candidate_id", "url")
+    urls = obs.select("run_id", "url_hash")
+    of = lambda c: met.select("candidate_id", F.col(c).alias("run_id")).join(urls, "run_id").select("candidate_id", "url_hash")
     base = of("baseline_run_id")
     cand = met.select(F.col("candidate_run_id").alias("run_id"), F.col("candidate_id").alias("id")).join(runs.select("run_id", "observed_at"), "run_id")
     cand = cand.withColumn("status", F.lit("pending"))
-    lost = lambda c: inv.set_difference(base, of(c), ["candidate_id", "url"])
+    lost = lambda c: inv.set_difference(base, of(c), ["candidate_id", "url_hash"])
     out = upkeep.confirm_candidates(cand, lost("candidate_run_id"), lost("run_id"), met.select("candidate_id", "observed_at"))
     part = lambda k: F.split_part("candidate_id", F.lit("|"), F.lit(k))
-    return out.select(part(1).alias("candidate_id"), part(2).alias("run_id"), "decision")
+    counts = [c for c in out.columns if c.endswith("_count")]
+    return out.select(part(1).alias("candidate_id"), part(2).alias("run_id"), "decision", *counts)
+
+
+#: Times of the runs pressed together: twenty hours for a month, so that candidates outlive some runs by their target's interval.
+PRESSED = "TIMESTAMP '2024-01-01' + to_hours((20 * ((year(observed_at) - 1990) * 12 + month(observed_at)))::BIGINT)"
+INTERVAL = "CASE target_id::BIGINT % 4 WHEN 0 THEN 6 WHEN 1 THEN 40 WHEN 2 THEN 60 ELSE 500 END"
+#: SUSP over pressed times, with the expiry of each target's own interval.
+OWN_EXPIRY = SUSP.replace(
+    "SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}",
+    f"SELECT website_id, target_id, run_id, {PRESSED} AS observed_at, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {{runs}}",
+).replace(f"INTERVAL {TTL_DAYS} DAY", f"to_hours(least(336, greatest(72, 3 * ({INTERVAL})))::BIGINT)")
+
+
+@query(
+    OWN_EXPIRY
+    + f""", met AS (SELECT f.*, list_filter(b.u, lambda y: NOT list_contains(s.u, y)) AS m FROM fold f JOIN sets s USING (run_id) JOIN sets b ON b.run_id = f.base_run),
+ended AS (SELECT met AS run_id, outcome, run_id AS by_run, m FROM met WHERE outcome IN ('confirmed', 'expired', 'missing_set_changed')),
+opened AS (SELECT * FROM fold WHERE held_run = run_id)
+SELECT o.run_id AS candidate_run_id, o.base_run AS origin_baseline_run_id, o.seen AS observed_at,
+  o.seen + to_hours(least(336, greatest(72, 3 * ({INTERVAL})))::BIGINT) AS expires_at,
+  CASE e.outcome WHEN 'missing_set_changed' THEN 'rejected' ELSE coalesce(e.outcome, 'pending') END AS status,
+  CASE e.outcome WHEN 'missing_set_changed' THEN e.outcome END AS reason, len(o.held) AS original_missing_count,
+  CASE e.outcome WHEN 'confirmed' THEN 0 WHEN 'missing_set_changed' THEN len(list_intersect(o.held, e.m)) ELSE len(o.held) END AS pending_count,
+  CASE e.outcome WHEN 'missing_set_changed' THEN len(o.held) - len(list_intersect(o.held, e.m)) ELSE 0 END AS recovered_count,
+  CASE e.outcome WHEN 'confirmed' THEN len(o.held) ELSE 0 END AS removed_count,
+  CASE WHEN e.outcome IN ('confirmed', 'missing_set_changed') THEN e.by_run END AS last_confirmation_run_id
+FROM opened o LEFT JOIN ended e USING (run_id)""".replace("target_id::", "o.target_id::")
+)
+def p3_candidate_rows(spark, sf_dir):
+    """The candidates of all histories as rows, each target's expiring by its own interval (6, 40, 60 or 500 hours)."""
+    obs, runs = _obs(spark, sf_dir)
+    n = F.col("target_id").cast("long") % 4
+    targets = runs.select("target_id").distinct().withColumn("checkIntervalHours", F.when(n == 0, 6).when(n == 1, 40).when(n == 2, 60).otherwise(500))
+    month = (F.year("observed_at") - 1990) * 12 + F.month("observed_at")
+    pressed = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + month * 72_000)
+    timed = adopt.with_expiry(runs.withColumn("observed_at", pressed), targets)
+    return adopt.candidate_rows(adopt.decide_history(obs, timed, LEAST, RATIO)).drop("website_id", "target_id", "scope_version")
 
 
 @query(

@@ -47,7 +47,7 @@ def stream_adopt(
         base = base.join(there, [*SITE, "observed_at"], "left").withColumn("role", F.lit("base"))
         open_ = heads.where("candidate_run_id IS NOT NULL").select(*SITE, F.col("candidate_run_id").alias("run_id"), F.col("candidate_at").alias("observed_at"))
         mine = open_.join(held.select(*SITE, "run_id", "url_hash"), [*SITE, "run_id"], "left").withColumn("role", F.lit("held"))
-        decided = adopt.adopt_sequence(rows, runs, least, ratio, ttl_hours, base.unionByName(mine))
+        decided = adopt.decide_history(rows, runs, least, ratio, ttl_hours, base.unionByName(mine))
         decided = stored(decided, "decisions")
         decided.write.mode("overwrite").parquet(f"{folder}/decisions/b={batch_id}")
         taken = adopt.adopted_runs(decided)

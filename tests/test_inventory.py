@@ -201,3 +201,97 @@ def test_cadence_catches_up(spark):
     row = spark.createDataFrame([(due, now)], "due timestamp, now timestamp")
     got = row.select(next_due_catch_up(F.col("due"), F.lit(6), F.col("now"))).first()[0]
     assert got == due + datetime.timedelta(hours=18)
+
+
+def plain_decisions(runs, least, ratio, ttl):
+    """The rules over whole sets: {run: (decision, outcome)}, {candidate run: (status, original, pending, recovered, removed)}."""
+    base, held, made, cands = None, None, {}, {}
+    for run, at, urls in runs:
+        if base is None:
+            base, made[run] = urls, ("baseline", None)
+            continue
+        lost, outcome = base - urls, None
+        if held and at - held[1] >= ttl:
+            outcome, cands[held[0]], held = "expired", ("expired", len(held[2]), len(held[2]), 0, 0), None
+        elif held and held[2] != lost:
+            still = len(held[2] & lost)
+            outcome, cands[held[0]], held = "missing_set_changed", ("rejected", len(held[2]), still, len(held[2]) - still, 0), None
+        elif held:
+            outcome = "confirmed" if at - held[1] >= HOUR else "quarantined"
+        if outcome == "confirmed":
+            made[held[0]] = ("first_observation", made[held[0]][1])
+            cands[held[0]], held, base, made[run] = ("confirmed", len(lost), 0, 0, len(lost)), None, urls, ("applied", outcome)
+        elif outcome == "quarantined":
+            made[run] = ("quarantined", outcome)
+        elif base and (not urls or (len(lost) >= least and len(lost) / len(base) >= ratio)):
+            held, made[run] = (run, at, lost), ("quarantined", outcome)
+            cands[run] = ("pending", len(lost), len(lost), 0, 0)
+        else:
+            base, made[run] = urls, ("applied", outcome)
+    return made, cands
+
+
+def random_histories(n, seed):
+    rng = random.Random(seed)
+    out = {}
+    for t in range(n):
+        at, runs, now = T0, [], {u for u in "abcdefghij" if rng.random() < 0.8}
+        for k in range(rng.randint(2, 12)):
+            at += datetime.timedelta(minutes=rng.choice([10, 59, 60, 61, 300, 2000]))
+            now = rng.choice([now, now, {u for u in now if rng.random() < 0.6}, {u for u in "abcdefghij" if rng.random() < 0.8}, set()])
+            runs.append((f"t{t}-{k}", at, set(now)))
+        out[f"t{t}"] = runs
+    return out
+
+
+def test_decisions_by_changes_equal_those_by_sets(spark):
+    """Log of changes and fold against whole sets, at once and with a prior baseline and candidate from the first runs."""
+    hist, ttl = random_histories(60, 9), datetime.timedelta(hours=30)
+    obs, runs = frames(spark, hist)
+    want, cands = {}, {}
+    for h in hist.values():
+        made, found = plain_decisions(h, 2, 0.3, ttl)
+        want, cands = want | made, cands | found
+    decided = adopt.decide_history(obs, runs, 2, 0.3, 30)
+    assert {r.run_id: (r.decision, r.outcome) for r in decided.collect()} == want
+    rows = {r.candidate_run_id: (r.status, r.original_missing_count, r.pending_count, r.recovered_count, r.removed_count) for r in adopt.candidate_rows(decided).collect()}
+    assert rows == cands and {c[0] for c in cands.values()} == {"pending", "confirmed", "rejected", "expired"}
+    state, events, _ = adopt.adopt_history(adopt.empty_state(obs), obs, runs, 2, 0.3, 30)
+    taken = adopt.adopted_runs(decided)
+    other, made = adopt.apply_runs(adopt.empty_state(obs), obs.join(taken.select("run_id"), "run_id", "left_semi"), taken)
+    assert sorted(map(repr, state.select(*adopt.STATE).collect())) == sorted(map(repr, other.select(*adopt.STATE).collect()))
+    assert {r.id for r in events.collect()} == {r.id for r in made.collect()}
+
+
+def test_expiry_is_the_targets_own(spark):
+    hist = {t: [(f"{t}-{k}", T0 + h * HOUR, urls) for k, (h, urls) in enumerate([(0, some(3)), (1, set()), (100, set())])] for t in ("daily", "weekly")}
+    obs, runs = frames(spark, hist)
+    targets = spark.createDataFrame([("daily", 24.0), ("weekly", 168.0)], "target_id string, checkIntervalHours double")
+    decided = adopt.decide_history(obs, adopt.with_expiry(runs, targets))
+    got = {r.run_id: (r.decision, r.outcome) for r in decided.where("run_id LIKE '%-2'").collect()}
+    assert got == {"daily-2": ("quarantined", "expired"), "weekly-2": ("applied", "confirmed")}
+    ends = {r.target_id: r.expires_at for r in adopt.candidate_rows(decided).where("candidate_run_id LIKE '%-1'").collect()}
+    assert ends == {"daily": T0 + 73 * HOUR, "weekly": T0 + HOUR + datetime.timedelta(days=14)}
+
+
+def test_plans_carry_no_lists_of_runs(spark):
+    """Neither the replay nor the log of changes gathers URLs or runs into arrays."""
+    obs, runs = frames(spark, histories(3))
+    state, events = inv.replay_url_lifecycle(obs, runs)
+    log = adopt.change_log(obs, inv.numbered_runs(runs))
+    for df in (state, events, log, inv.set_digest(obs, ["run_id"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_" not in plan and "array_contains" not in plan
+
+
+def test_digests_add_up(spark):
+    obs, _ = frames(spark, histories(8))
+    key = ["run_id"]
+    some_of = obs.where("url IN ('a', 'c')")
+    rest = {tuple(r) for r in inv.set_digest(obs.where("url NOT IN ('a', 'c')"), key).collect()}
+    got = {tuple(r) for r in inv.combined(inv.set_digest(obs, key), inv.set_digest(some_of, key), key).where("n_urls > 0").collect()}
+    assert got == rest
+    moved = obs.where("url <> 'a'").unionByName(obs.where("url = 'a'"))
+    assert inv.same_missing_set(obs, moved, key).count() == obs.select("run_id").distinct().count()
+    less = inv.same_missing_set(obs, obs.where("url <> 'a'"), key)
+    assert less.join(obs.where("url = 'a'"), "run_id", "left_semi").count() == 0
