@@ -13,7 +13,7 @@ from ..functions import web
 from ..operators import inventory as inv
 from ..operators import snapshots as sn
 from ..operators import views as vi
-from ..plans import notify, scan, upkeep
+from ..plans import notify, rescan, scan, upkeep
 from ..scratch import fresh_folder
 from ..sources import tables as src
 from ..streaming import jobs
@@ -106,14 +106,88 @@ def _made_files(spark, sf_dir):
     return files, index.select("run_id", F.col("source_url").alias("source"))
 
 
+def _own_hosts():
+    return F.array(F.concat(F.lit("s"), "target_id", F.lit(".example.com")))
+
+
 @query("SELECT target_id, run_id, url FROM {obs}")
 def p1_consolidate_scan(spark, sf_dir):
     files, roots = scan_files(spark, sf_dir)
-    hosts = F.array(F.concat(F.lit("s"), "target_id", F.lit(".example.com")))
-    _, urls = scan.consolidate_scan(files, roots, hosts)
+    _, urls = scan.consolidate_scan(files, roots, _own_hosts())
     return urls
 
 
+def rescan_files(spark, sf_dir):
+    """(files, roots, runs) of every run, as a site answers that knows what was fetched: a file that is as the last good answer
+    had it comes as 304 without a body. Each fifth run's file of shard 1 fails. In even months a further file repeats some
+    URLs, so that they are in two files."""
+    obs = table(spark, sf_dir, "obs_hashed")
+    runs = inv.numbered_runs(table(spark, sf_dir, "runs")).select("target_id", "run_id", "seq")
+    base = F.concat(F.lit("https://s"), "target_id", F.lit(".example.com/"))
+    shard = F.pmod(F.conv(F.substring("url_hash", 1, 4), 16, 10).cast("int"), F.lit(3))
+    again = obs.where((F.month("observed_at") % 2 == 0) & F.col("url").rlike("[27]$")).select("target_id", "run_id", "url", F.lit(9).alias("shard"))
+    rows = obs.select("target_id", "run_id", "url", shard.alias("shard")).unionByName(again)
+    leaf = rows.groupBy("target_id", "run_id", "shard").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    entry = lambda tag: lambda u: F.concat(F.lit(f"<{tag}><loc>"), u, F.lit(f"</loc></{tag}>"))
+    text = lambda root, tag, urls: F.concat(F.lit(f"<{root}>"), F.array_join(F.transform(urls, entry(tag)), ""), F.lit(f"</{root}>"))
+    name = F.concat(base, F.lit("m"), "shard", F.lit(".xml"))
+    urls = leaf.select("target_id", "run_id", name.alias("source_url"), text("urlset", "url", F.col("urls")).alias("text"))
+    index = urls.groupBy("target_id", "run_id").agg(F.array_sort(F.collect_list("source_url")).alias("files"))
+    index = index.select("target_id", "run_id", F.concat(base, F.lit("sitemap.xml")).alias("source_url"), text("sitemapindex", "sitemap", F.col("files")).alias("text"))
+    files = urls.unionByName(index).join(runs, ["target_id", "run_id"])
+    failed = (F.col("seq") % 5 == 4) & F.endswith("source_url", F.lit("/m1.xml"))
+    before = Window.partitionBy("target_id", "source_url").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.last(F.when(~failed, F.col("text")), ignorenulls=True).over(before) == F.col("text")
+    status = F.when(failed, 500).when(same, 304).otherwise(200)
+    files = files.withColumn("status", status).select(
+        "target_id", "run_id", "source_url", F.col("source_url").alias("final_url"), "status",
+        F.when(F.col("status") == 200, F.encode("text", "UTF-8")).alias("body"),
+    )
+    return files, index.select("run_id", F.col("source_url").alias("source")), runs
+
+
+RESCAN = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY observed_at, run_id) - 1 AS seq FROM {runs}),
+f AS (SELECT target_id, run_id, ('0x' || substr(url_hash, 1, 4))::BIGINT % 3 AS shard, list_sort(list(url)) AS urls FROM {obs_hashed} GROUP BY ALL
+  UNION ALL SELECT target_id, run_id, 9, list_sort(list(url)) FROM {obs} WHERE month(observed_at) % 2 = 0 AND regexp_matches(url, '[27]$') GROUP BY ALL),
+c AS (SELECT n.*, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS step FROM n
+  WHERE seq % 5 <> 4 OR NOT EXISTS (SELECT 1 FROM f WHERE f.target_id = n.target_id AND f.run_id = n.run_id AND f.shard = 1)),
+p AS (SELECT o.target_id, c.step, o.url FROM {obs} o JOIN c USING (target_id, run_id)),
+s AS (SELECT f.target_id, c.step, concat('https://s', f.target_id, '.example.com/m', shard, '.xml') AS url FROM f JOIN c USING (target_id, run_id))
+"""
+
+
+@query(
+    RESCAN
+    + """SELECT c.run_id, x.url, x.change FROM (
+  SELECT target_id, step, url, 'added' AS change FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.target_id = p.target_id AND q.step = p.step - 1 AND q.url = p.url)
+  UNION ALL SELECT target_id, step + 1, url, 'dropped' FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.target_id = p.target_id AND q.step = p.step + 1 AND q.url = p.url)
+  UNION ALL SELECT target_id, step + 1, url, 'retired' FROM s WHERE NOT EXISTS (SELECT 1 FROM s q WHERE q.target_id = s.target_id AND q.step = s.step + 1 AND q.url = s.url)
+) x JOIN c ON c.target_id = x.target_id AND c.step = x.step"""
+)
+def p1_rescan_changes(spark, sf_dir):
+    """What every complete run adds, drops and retires, from changed files and kept revisions: equals comparing whole scans."""
+    out = rescan.rescan(*rescan_files(spark, sf_dir), _own_hosts())
+    urls = out.changes.select("run_id", "url", F.when(F.col("added"), "added").otherwise("dropped").alias("change"))
+    return urls.unionByName(out.retired.select("run_id", F.col("source_url").alias("url"), F.lit("retired").alias("change")))
+
+
+@query(
+    RESCAN
+    + """, t AS (SELECT f.target_id, f.run_id, n.seq, f.shard, array_to_string(urls, ' ') AS text FROM f JOIN n USING (target_id, run_id)
+  UNION ALL SELECT f.target_id, f.run_id, n.seq, -1, string_agg(f.shard::VARCHAR, ' ' ORDER BY f.shard) FROM f JOIN n USING (target_id, run_id) GROUP BY ALL),
+w AS (SELECT *, seq % 5 = 4 AND shard = 1 AS failed, last_value(CASE WHEN seq % 5 <> 4 OR shard <> 1 THEN text END IGNORE NULLS)
+  OVER (PARTITION BY target_id, shard ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
+SELECT w.run_id, CASE WHEN bool_or(failed) THEN 'partial' ELSE 'complete' END AS completeness, count(*) FILTER (NOT failed) AS n_good,
+  count(*) FILTER (failed) AS n_failed, count(*) FILTER (failed OR before IS DISTINCT FROM text) AS n_parsed, max(CASE WHEN failed THEN 'HTTP_500' END) AS first_error,
+  max(CASE WHEN NOT EXISTS (SELECT 1 FROM t x WHERE x.target_id = w.target_id AND x.run_id = w.run_id AND x.shard = 1 AND x.seq % 5 = 4) THEN o.n END) AS observed
+FROM w JOIN (SELECT target_id, run_id, count(*) AS n FROM {obs} GROUP BY ALL) o ON o.target_id = w.target_id AND o.run_id = w.run_id GROUP BY w.run_id"""
+)
+def p1_rescan_report(spark, sf_dir):
+    """How each run went: files that were good, failed or parsed anew, and the size of its set, carried on by changes alone."""
+    report = rescan.rescan(*rescan_files(spark, sf_dir), _own_hosts()).report
+    return report.select("run_id", "completeness", "n_good", "n_failed", "n_parsed", "first_error", "observed")
+
+
 FILES = """WITH n AS (SELECT *, row_number() OVER w - 1 AS seq, lead(run_id) OVER w AS next FROM {runs} WINDOW w AS (PARTITION BY target_id ORDER BY observed_at, run_id)),
 f AS (SELECT target_id, run_id, ('0x' || substr(url_hash, 1, 4))::BIGINT % 3 AS shard, list_sort(list(url)) AS urls FROM {obs_hashed} GROUP BY ALL)
 """
