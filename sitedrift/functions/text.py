@@ -11,32 +11,38 @@ LINE_CHARS, CHANGE_CHARS = 160, 8000
 
 
 def lines_not_in(left: Column, right: Column) -> Column:
-    """Lines of the left text that the right lacks, in order and with repeats."""
+    """Lines of the left text that the right lacks, in order and with repeats. Each line is looked for in all of the other
+    side, so this is for short texts; snapshots.line_diffs takes any."""
     other = F.split(right, "\n", -1)
     return F.filter(F.split(left, "\n", -1), lambda x: ~F.array_contains(other, x))
 
 
-def diff_preview(before: Column, after: Column, lines: int = PREVIEW_LINES) -> Column:
-    """struct(preview, totalAdded, totalRemoved); a line over 160 characters is cut to 157 and an ellipsis."""
-    added, removed = lines_not_in(after, before), lines_not_in(before, after)
+def preview_of(added: Column, n_added: Column, removed: Column, n_removed: Column, lines: int = PREVIEW_LINES) -> Column:
+    """struct(preview, totalAdded, totalRemoved) of the first lines of both sides and how many there are; a line over 160
+    characters is cut to 157 and an ellipsis."""
 
-    def side(rows: Column, sign: str) -> Column:
+    def side(rows: Column, n: Column, sign: str) -> Column:
         cut = F.transform(
             F.slice(rows, 1, lines),
             lambda x: F.when(F.length(x) > LINE_CHARS, F.concat(F.substring(x, 1, LINE_CHARS - 3), F.lit("…"))).otherwise(x),
         )
-        return F.when(F.size(rows) > 0, F.concat(F.lit(f"{sign} "), F.array_join(cut, f"\n{sign} ")))
+        return F.when(n > 0, F.concat(F.lit(f"{sign} "), F.array_join(cut, f"\n{sign} ")))
 
     return F.struct(
-        F.concat_ws("\n", side(added, "+"), side(removed, "-")).alias("preview"),
-        F.size(added).cast("long").alias("totalAdded"),
-        F.size(removed).cast("long").alias("totalRemoved"),
+        F.concat_ws("\n", side(added, n_added, "+"), side(removed, n_removed, "-")).alias("preview"),
+        n_added.cast("long").alias("totalAdded"),
+        n_removed.cast("long").alias("totalRemoved"),
     )
 
 
-def diff_for_prompt(before: Column, after: Column) -> Column:
-    """A longer preview under a line of totals; a placeholder where no line differs."""
-    d = diff_preview(before, after, PROMPT_LINES)
+def diff_preview(before: Column, after: Column, lines: int = PREVIEW_LINES) -> Column:
+    """struct(preview, totalAdded, totalRemoved) of two short texts (see lines_not_in)."""
+    added, removed = lines_not_in(after, before), lines_not_in(before, after)
+    return preview_of(added, F.size(added), removed, F.size(removed), lines)
+
+
+def prompt_text(d: Column) -> Column:
+    """A preview (struct) under a line of totals; a placeholder where no line differs."""
     head = F.concat(
         F.lit("Total lines added: "), d["totalAdded"], F.lit(", removed: "), d["totalRemoved"], F.lit("\n\n")
     )
@@ -45,6 +51,10 @@ def diff_for_prompt(before: Column, after: Column) -> Column:
     )
 
 
+def diff_for_prompt(before: Column, after: Column) -> Column:
+    return prompt_text(diff_preview(before, after, PROMPT_LINES))
+
+
 def parse_diff(preview: Column) -> Column:
     """array of struct(kind add, del or ctx, text) of a preview's lines."""
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.payloads import format_price, link_alert_details, link_alert_title, number_text, price_change_key
-from ..functions.text import diff_preview
+from ..functions.text import PREVIEW_LINES, PROMPT_LINES, diff_preview, preview_of, prompt_text
+from ..scratch import stored
 
 PAGE = ["websiteId", "kind", "targetUrl"]
 
@@ -47,12 +48,49 @@ def changed_pairs(snap: DataFrame, order: str = "taken") -> DataFrame:
     return pairs.join(after, "id").join(before, "previous_id")
 
 
+#: Lines of both sides together up to which a pair is compared in its row.
+SHORT = 200
+
+
+def line_diffs(pairs: DataFrame, lines: int = PREVIEW_LINES) -> DataFrame:
+    """id, d: struct(preview, totalAdded, totalRemoved) of pairs (id, before, after; ids are distinct): the lines of each side that
+    the other lacks, in order and with repeats.
+
+    Short pairs are compared in their row. The lines of the others become rows, keyed by pair and line, and what has no
+    equal on the other side is left by an anti-join: linear in lines, and one huge pair is many keys. Only the first lines
+    of a side are gathered back.
+    """
+    count = lambda c: F.length(c) - F.length(F.regexp_replace(c, "\n", "")) + 1
+    sized = pairs.select("id", "before", "after", (count(F.col("before")) + count(F.col("after")) <= SHORT).alias("short"))
+    near = sized.where("short").select("id", diff_preview(F.col("before"), F.col("after"), lines).alias("d"))
+    long = sized.where("NOT short")
+    exploded = lambda c: long.select("id", F.posexplode(F.split(c, "\n", -1)).alias("pos", "line"))
+    old, new = exploded("before"), exploded("after")
+    lacking = lambda a, b: a.join(b.select("id", "line").distinct(), ["id", "line"], "left_anti")
+    side = lacking(new, old).withColumn("added", F.lit(True)).unionByName(lacking(old, new).withColumn("added", F.lit(False)))
+    side = stored(side, "lines")
+    counts = side.groupBy("id").agg(F.count_if("added").alias("n_added"), F.count_if(~F.col("added")).alias("n_removed"))
+    w = Window.partitionBy("id", "added").orderBy("pos")
+    first = side.withColumn("k", F.row_number().over(w)).where(F.col("k") <= lines)
+    of = lambda added: F.array_sort(F.collect_list(F.when(F.col("added") == F.lit(added), F.struct("k", "line"))))["line"]
+    tops = first.groupBy("id").agg(of(True).alias("new"), of(False).alias("gone"))
+    whole = long.select("id").join(counts, "id", "left").join(tops, "id", "left").fillna(0, ["n_added", "n_removed"])
+    none = F.array().cast("array<string>")
+    d = preview_of(F.coalesce("new", none), F.col("n_added"), F.coalesce("gone", none), F.col("n_removed"), lines)
+    return near.unionByName(whole.select("id", d.alias("d")))
+
+
 def content_alerts(snap: DataFrame, order: str = "taken") -> DataFrame:
     """PAGE_CONTENT alerts with a line preview; first snapshots never alert."""
-    rows = changed_pairs(snap, order).withColumn("d", diff_preview(F.col("before"), F.col("after")))
+    rows = line_diffs(changed_pairs(snap, order))
     return rows.select("id", F.lit("PAGE_CONTENT").alias("kind"), "d.preview", "d.totalAdded", "d.totalRemoved")
 
 
+def prompts(snap: DataFrame, order: str = "taken") -> DataFrame:
+    """id, text: the longer preview of each changed snapshot for a model's prompt."""
+    return line_diffs(changed_pairs(snap, order), PROMPT_LINES).select("id", prompt_text(F.col("d")).alias("text"))
+
+
 def link_alerts(diff: DataFrame, domain: str = "domain") -> DataFrame:
     """NEW_LINK and REMOVED_LINK alerts of (run_id, domain, url, change): title counting all URLs, details the first
     hundred in order."""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..bindings import table
 from ..functions import payloads as pa
-from ..functions import text as tx
 from ..operators import adopt
 from ..operators import inventory as inv
 from ..operators import snapshots as sn
@@ -174,8 +173,7 @@ SELECT id, sha256(CASE WHEN preview = '' THEN '(no line-level diff available)' E
 )
 @named("snap_hashed")
 def x11_diff_for_prompt(snap):
-    rows = sn.changed_pairs(snap).withColumn("text", tx.diff_for_prompt(F.col("before"), F.col("after")))
-    return rows.select("id", F.sha2("text", 256).alias("text_hash"))
+    return sn.prompts(snap).select("id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query(
