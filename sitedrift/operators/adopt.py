@@ -175,6 +175,8 @@ DECIDED = (
     " baseline_run_id string, candidate_run_id string, outcome string, candidate_status string, original_missing_count long,"
     " pending_count long, recovered_count long, removed_count long, expires_at timestamp, last_confirmation_run_id string"
 )
+#: Stands for any baseline, where runs don't tell theirs.
+ANY = "*"
 FIELDS = [tuple(f.split()) for f in DECIDED.split(", ")]
 CANDIDATE = (
     "candidate_status", "original_missing_count", "pending_count", "recovered_count", "removed_count", "expires_at", "last_confirmation_run_id",
@@ -215,7 +217,9 @@ def decide_history(
     baseline_run_id is the one in force when the run came. candidate_run_id and outcome: the candidate that was open then
     and what became of it: confirmed (decision of its own run turns to first_observation), quarantined (too soon),
     missing_set_changed, expired. A run that opened a candidate also tells how that ended (CANDIDATE, see
-    candidate_rows). runs may have expires_at, the end of a candidate that the run would open; else ttl_hours count.
+    candidate_rows). runs may have expires_at, the end of a candidate that the run would open; else ttl_hours count. They may
+    have origin_baseline_run_id, the baseline they were made from: a run for which another one is in force by then is
+    stale and changes nothing.
     prior: the sets (SITE, run_id, observed_at, role, url_hash, null if empty, perhaps expires_at) of the baseline and of
     the open candidate that targets already have (role base, held).
 
@@ -225,14 +229,15 @@ def decide_history(
     """
     ends = "expires_at" if "expires_at" in runs.columns else None
     until = F.col(ends) if ends else F.timestamp_millis(F.unix_millis("observed_at") + F.lit(int(ttl_hours * 3_600_000)))
-    asked = runs.select(*SITE, "run_id", "observed_at", until.alias("expires_at"), F.lit(False).alias("known"))
+    made_from = F.col("origin_baseline_run_id") if "origin_baseline_run_id" in runs.columns else F.lit(ANY)
+    asked = runs.select(*SITE, "run_id", "observed_at", until.alias("expires_at"), F.lit(False).alias("known"), made_from.alias("made_from"))
     rows = obs.select(*SITE, "run_id", "url_hash")
     held = None
     if prior is not None:
         prior = prior.join(runs.select(*SITE).distinct(), SITE, "left_semi")
         base = prior.where("role = 'base'")
         none = F.lit(None).cast("timestamp").alias("expires_at")
-        asked = asked.unionByName(base.select(*SITE, "run_id", "observed_at", none, F.lit(True).alias("known")).distinct())
+        asked = asked.unionByName(base.select(*SITE, "run_id", "observed_at", none, F.lit(True).alias("known"), F.lit(ANY).alias("made_from")).distinct())
         rows = rows.unionByName(base.select(*SITE, "run_id", "url_hash"))
         held = _held_losses(prior, until)
     numbered = numbered_runs(asked)
@@ -243,6 +248,7 @@ def decide_history(
     w = Window.partitionBy(*SITE).orderBy("seq")
     steps = steps.withColumns({"previous": F.lag("n").over(w), "before": F.lag("run_id").over(w)})
     odd = F.coalesce(suspicious(F.col("previous"), F.col("missing"), F.col("n"), least, ratio), F.lit(False))
+    odd = odd | ~(F.coalesce(F.col("made_from") == ANY, F.lit(False)) | F.col("made_from").eqNullSafe(F.col("before")))
     steps = stored(steps.withColumn("odd", odd), "steps")
     slow = steps.where("odd").select(*SITE)
     slow = (slow if held is None else slow.unionAll(held.select(*SITE))).distinct()
@@ -270,7 +276,7 @@ def _in_order(steps: DataFrame, changes: DataFrame, held: DataFrame | None, leas
     """DECIDED rows of the runs of steps, folded by target."""
     of = lambda added: F.collect_list(F.when(F.col("added") == F.lit(added), F.col("u")))
     moved = changes.groupBy(*SITE, "seq").agg(of(True).alias("came"), of(False).alias("went"))
-    rows = steps.select(*SITE, "run_id", "observed_at", "expires_at", "known", "seq", "n").join(moved, [*SITE, "seq"], "left")
+    rows = steps.select(*SITE, "run_id", "observed_at", "expires_at", "known", "made_from", "seq", "n").join(moved, [*SITE, "seq"], "left")
     if held is None:
         kinds = "struct<held_run: string, held_at: timestamp, held_until: timestamp, held_lost: array<bigint>>"
         rows = rows.select("*", F.lit(None).cast(kinds).alias("h")).select(*rows.columns, "h.*")
@@ -304,6 +310,9 @@ def _fold_runs(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
             gained.remove(u) if u in gained else lost.add(u)
         for u in r.came if r.came is not None else ():
             lost.remove(u) if u in lost else gained.add(u)
+        if r.made_from not in (ANY, base):
+            made[r.run_id] = {"observed_at": r.observed_at, "decision": "stale", "baseline_run_id": base}
+            continue
         if base is None:
             base, base_size, lost, gained = r.run_id, r.n, set(), set()
             if not r.known:

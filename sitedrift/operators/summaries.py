@@ -95,28 +95,41 @@ def website_chip(target: DataFrame, alert: DataFrame) -> DataFrame:
     return out.withColumn("label", label)
 
 
+#: Configuration that a summary shows.
+CONFIGURED = (
+    "id", "websiteId", "enabled", "archived_at", "checkIntervalHours", "scope_version", "filter_version", "baseline_run_id",
+    "nextCheckDueAt", "sitemap_roots", "allowed_page_hosts", "include_paths", "exclude_paths", "lastError",
+)
+
+
+def open_counts(candidates: DataFrame, as_of: Column) -> DataFrame:
+    """target_id, scope_version, open_candidates."""
+    return open_candidates(candidates, as_of).groupBy("target_id", "scope_version").agg(F.count(F.lit(1)).alias("open_candidates"))
+
+
 def monitor_summaries(
     target: DataFrame, site_url: DataFrame, events: DataFrame, runs: DataFrame, candidates: DataFrame, as_of: Column
 ) -> DataFrame:
-    """One row per monitor: its counts, the last day's events, last success, active run and open candidates."""
-    out = target.select("id", "websiteId", "scope_version", "enabled", "archived_at")
+    """One row per monitor: its configuration, its counts, the last day's events, last success, active run, open candidates, and
+    the scopes of its history, latest first."""
+    out = target.select(*(c for c in CONFIGURED if c in target.columns))
     counts = inventory_counts(target, site_url).withColumnRenamed("website_id", "websiteId")
     recent = event_counts(target, events, as_of, 1, upper=False).withColumnRenamed("website_id", "websiteId")
     success = last_success(runs).withColumnRenamed("target_id", "id")
-    open_n = open_candidates(candidates, as_of).groupBy(F.col("target_id").alias("id"), "scope_version").agg(
-        F.count(F.lit(1)).alias("open_candidates")
-    )
+    open_n = open_counts(candidates, as_of).withColumnRenamed("target_id", "id")
+    scopes = scopes_of_target(target, runs).withColumnRenamed("target_id", "id")
     out = out.join(counts, "websiteId", "left").join(recent, "websiteId", "left")
     out = out.join(success, ["id", "scope_version"], "left").join(open_n, ["id", "scope_version"], "left")
-    out = out.join(active_run(runs).withColumnRenamed("target_id", "id"), "id", "left")
+    out = out.join(active_run(runs).withColumnRenamed("target_id", "id"), "id", "left").join(scopes, "id", "left")
     return out.fillna(0, ["total", "current", "pending", "removed", *(f"n_{k}" for k in KINDS), "open_candidates"])
 
 
 def group_websites(
     groups: DataFrame, website: DataFrame, target: DataFrame, site_url: DataFrame, events: DataFrame, runs: DataFrame,
-    as_of: Column, days: int, include_archived: bool = False,
+    candidates: DataFrame, as_of: Column, days: int, include_archived: bool = False,
 ) -> DataFrame:
-    """One row per member website of a group: counts, events in the window, and its status."""
+    """One row per member website of a group: counts, events in the window, its status, and of its monitor the open candidates
+    and the last success at its scope."""
     members = group_members(groups, website)
     rows = website_monitors(members, target)
     if not include_archived:
@@ -124,20 +137,24 @@ def group_websites(
     run = active_run(runs).withColumnRenamed("target_id", "t_id")
     counts = inventory_counts(target, site_url).withColumnRenamed("website_id", "id")
     recent = event_counts(target, events, as_of, days).withColumnRenamed("website_id", "id")
+    of_monitor = lambda df: df.withColumnsRenamed({"target_id": "t_id", "scope_version": "t_scope_version"})
     rows = rows.join(run, "t_id", "left").join(counts, "id", "left").join(recent, "id", "left")
+    for part in (of_monitor(last_success(runs)), of_monitor(open_counts(candidates, as_of))):
+        rows = rows.join(part, ["t_id", "t_scope_version"], "left")
     status = website_status(
         F.col("t_id"), F.col("t_archived_at"), F.col("t_enabled"), F.col("active_run"), F.col("t_lastError"),
         F.col("t_baseline_run_id"),
     )
     return rows.select(
-        "group_id", "id", "name", status.alias("status"), F.col("t_baseline_run_id").isNotNull().alias("has_baseline"),
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("current", "pending", "removed", *(f"n_{k}" for k in KINDS))),
+        "group_id", "id", "name", "domain", F.col("t_id").alias("target_id"), F.col("t_archived_at").alias("archived_at"), "last_success_at",
+        status.alias("status"), F.col("t_baseline_run_id").isNotNull().alias("has_baseline"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("current", "pending", "removed", *(f"n_{k}" for k in KINDS), "open_candidates")),
     )
 
 
 def group_overviews(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """Groups with their websites' roll-up (rows of group_websites): URL counts over websites with a baseline only,
-    current null if none has one; events over all; groups without websites appear."""
+    current null if none has one; events, open candidates and the latest scan over all; groups without websites appear."""
     base = F.col("has_baseline")
     agg = rows.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("websites"),
@@ -146,9 +163,11 @@ def group_overviews(groups: DataFrame, rows: DataFrame) -> DataFrame:
         F.sum(F.when(base, F.col("pending"))).alias("pending"),
         F.sum(F.when(base, F.col("removed"))).alias("removed"),
         *(F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS),
+        F.sum("open_candidates").alias("open_candidates"),
+        F.max("last_success_at").alias("latest_scan_at"),
     )
     out = groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name")).join(agg, "group_id", "left")
-    return out.fillna(0, ["websites", "baseline_websites", "pending", "removed", *(f"n_{k}" for k in KINDS)])
+    return out.fillna(0, ["websites", "baseline_websites", "pending", "removed", *(f"n_{k}" for k in KINDS), "open_candidates"])
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

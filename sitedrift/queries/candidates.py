@@ -19,31 +19,7 @@ from ..scratch import fresh_folder as work_folder
 from .base import as_stream, query
 from .inventory import GAPS
 from .scalars import LINES
-from .views import INV, MOMENT, as_of, facts, named, target_of
-
-#: Candidates made of runs: one each, by number.
-CANDIDATES = """
-cand AS (SELECT id, concat('t_', target_id) AS target_id, 1 + id::BIGINT % 2 AS scope_version,
-  CASE id::BIGINT % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'adopted' ELSE 'confirmed' END AS status, observed_at,
-  observed_at + to_days((id::BIGINT % 400)::INT) AS expires_at, observed_at + to_hours((id::BIGINT % 30)::BIGINT) AS next_confirmation_at,
-  CASE WHEN id::BIGINT % 5 <> 0 THEN concat('t_', target_id, '-base') END AS origin_baseline_run_id FROM {run})
-"""
-
-
-def candidates_of(spark, sf_dir):
-    n, at = F.col("id").cast("long"), F.col("observed_at").cast("timestamp")
-    status = F.when(n % 3 == 0, "pending").when(n % 3 == 1, "adopted").otherwise("confirmed")
-    target = F.concat(F.lit("t_"), "target_id")
-    return table(spark, sf_dir, "run").select(
-        "id", target.alias("target_id"), (n % 2 + 1).cast("int").alias("scope_version"), status.alias("status"),
-        at.alias("observed_at"), F.timestamp_seconds(F.unix_seconds(at) + n % 400 * 86400).alias("expires_at"),
-        F.timestamp_seconds(F.unix_seconds(at) + n % 30 * 3600).alias("next_confirmation_at"),
-        F.when(n % 5 != 0, F.concat(target, F.lit("-base"))).alias("origin_baseline_run_id"),
-    )
-
-
-OPEN = f"(status = 'adopted' OR (status = 'pending' AND expires_at > {MOMENT}))"
-
+from .views import CANDIDATES, INV, MOMENT, OPEN, OPEN_AND_LAST, as_of, candidates_of, facts, named, target_of
 
 @query("WITH " + CANDIDATES + f"SELECT id, status FROM cand WHERE {OPEN}")
 def f12_open_candidates(spark, sf_dir):
@@ -93,24 +69,27 @@ def f14_link_scope_emits(target):
 @query(
     INV
     + ", "
-    + CANDIDATES.strip()
+    + OPEN_AND_LAST.strip()
     + f""", d1 AS (SELECT website_id, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (kind = 'removed') AS n_removed,
   count(*) FILTER (kind = 'reappeared') AS n_reappeared FROM ev WHERE observed_at >= {MOMENT} - INTERVAL 1 DAY GROUP BY 1),
-o1 AS (SELECT target_id, count(*) AS n FROM cand WHERE scope_version = 1 AND {OPEN} GROUP BY 1),
-r1 AS (SELECT concat('t_', target_id) AS target_id, max(observed_at) FILTER (scope_version = 1 AND execution_status = 'succeeded'
-  AND completeness = 'complete') AS last_success_at, max(execution_status) FILTER (execution_status = 'queued') AS active_run FROM {{run}} GROUP BY 1)
-SELECT t.id, coalesce(c.total, 0) AS total, coalesce(c.current, 0) AS current, coalesce(c.pending, 0) AS pending,
+z AS (SELECT concat('t_', target_id) AS target_id, scope_version AS scope FROM {{run}} UNION SELECT id, scope_version FROM {{target}}),
+scopes AS (SELECT target_id, string_agg(scope::INT::VARCHAR, ',' ORDER BY scope DESC) AS scopes FROM z GROUP BY 1)
+SELECT t.id, t.websiteId, t.scope_version, t.enabled, t.archived_at, t.checkIntervalHours, t.baseline_run_id, t.nextCheckDueAt, t.lastError,
+  t.include_path AS include_paths, t.exclude_path AS exclude_paths,
+  coalesce(c.total, 0) AS total, coalesce(c.current, 0) AS current, coalesce(c.pending, 0) AS pending,
   coalesce(c.removed, 0) AS removed, coalesce(d1.n_added, 0) AS n_added, coalesce(d1.n_removed, 0) AS n_removed,
-  coalesce(d1.n_reappeared, 0) AS n_reappeared, coalesce(o1.n, 0) AS open_candidates, r1.last_success_at, r1.active_run
+  coalesce(d1.n_reappeared, 0) AS n_reappeared, coalesce(o1.n, 0) AS open_candidates, r1.last_success_at, r1.active_run, scopes.scopes
 FROM {{target}} t LEFT JOIN c ON c.website_id = t.websiteId LEFT JOIN d1 ON d1.website_id = t.websiteId
-LEFT JOIN o1 ON o1.target_id = t.id LEFT JOIN r1 ON r1.target_id = t.id""".replace("{{", "{").replace("}}", "}")
+LEFT JOIN o1 ON o1.target_id = t.id LEFT JOIN r1 ON r1.target_id = t.id LEFT JOIN scopes ON scopes.target_id = t.id""".replace("{{", "{").replace("}}", "}")
 )
 def a3_monitor_summaries(spark, sf_dir):
     site_url, events = facts(spark, sf_dir)
     runs = table(spark, sf_dir, "run").withColumn("target_id", F.concat(F.lit("t_"), "target_id"))
     runs = runs.withColumn("scope_version", F.col("scope_version").cast("int"))
     out = su.monitor_summaries(target_of(spark, sf_dir), site_url, events, runs, candidates_of(spark, sf_dir), as_of())
-    return out.drop("websiteId", "scope_version", "enabled", "archived_at")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    lists = ("scopes", "include_paths", "exclude_paths")
+    return out.select(*(joined(c) if c in lists else F.col(c) for c in out.columns))
 
 
 @query("SELECT target_id AS run_id, count(*) AS attempts, count(*) FILTER (execution_status = 'succeeded') AS n_succeeded, count(*) FILTER (execution_status = 'failed') AS n_failed FROM {run} GROUP BY 1")
@@ -294,15 +273,12 @@ def s6_append_revisions(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query(GAPS + "SELECT website_id, url, kind FROM events")
+@query(GAPS + "SELECT e.website_id, url, kind, n.run_id FROM events e JOIN n ON n.target_id = e.target_id AND n.seq = e.at")
 def r2_stream_url_lifecycle(spark, sf_dir):
-    """Looks at every URL of a target in each of its runs from the URL's first presence on."""
-    obs, runs = table(spark, sf_dir, "obs_hashed"), inv.numbered_runs(table(spark, sf_dir, "runs"))
-    runs = runs.select("website_id", "target_id", "scope_version", "run_id", "observed_at", "seq")
-    first = obs.join(runs.select("run_id", "seq"), "run_id").groupBy("target_id", "url", "url_hash").agg(F.min("seq").alias("first"))
-    looks = runs.join(first, "target_id").where("seq >= first")
-    here = obs.select("run_id", "url_hash", F.lit(True).alias("present"))
-    looks = looks.join(here, ["run_id", "url_hash"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    looks = looks.select("website_id", "scope_version", "url_hash", "url", "present", (F.col("seq") == 0).alias("is_baseline"), "run_id", "observed_at")
-    stream, folder = as_stream(looks, spark, "r2", ["website_id", "url_hash"], F.unix_seconds("observed_at"))
-    return jobs.run_to_table(jobs.stream_url_lifecycle(stream), folder).select("website_id", "url", "kind")
+    """Observations as they are, each run with a row for its end: absences are found by the stream."""
+    columns = ("website_id", "scope_version", "run_id", "observed_at", "url", "url_hash")
+    obs, none = table(spark, sf_dir, "obs_hashed").select(*columns), F.lit(None).cast("string")
+    ends = table(spark, sf_dir, "runs").select(*columns[:4], none.alias("url"), none.alias("url_hash"))
+    stream, folder = as_stream(obs.unionByName(ends), spark, "r2", ["website_id"], F.unix_seconds("observed_at"))
+    out = jobs.run_to_table(jobs.stream_url_lifecycle(stream, buckets=4), folder, provider=jobs.ROCKSDB)
+    return out.select("website_id", "url", "kind", "run_id")

@@ -393,16 +393,39 @@ def p3_candidate_rows(spark, sf_dir):
     return adopt.candidate_rows(adopt.decide_history(obs, timed, LEAST, RATIO)).drop("website_id", "target_id", "scope_version")
 
 
+#: Each third target's scope moves on in the middle of 1995. Each fourth month's runs after that still come with the old one.
+MOVED = "target_id::BIGINT % 3 = 0 AND observed_at >= TIMESTAMP '1995-06-15'"
+SCOPED = f"""
+mine AS (SELECT *, {MOVED} AS moved, {MOVED} AND month(observed_at) % 4 = 0 AS stale FROM {{obs_hashed}}),
+scoped_obs AS (SELECT website_id, concat(target_id, '/', CASE WHEN moved THEN 2 ELSE 1 END) AS target_id, run_id, observed_at, url, url_hash FROM mine WHERE NOT stale),
+scoped_runs AS (SELECT DISTINCT website_id, target_id, run_id, observed_at FROM scoped_obs),
+"""
+IN_SCOPE = ADOPTED.replace("{obs_hashed}", "scoped_obs").replace("{obs}", "scoped_obs").replace("{runs}", "scoped_runs").replace("WITH RECURSIVE ", "WITH RECURSIVE " + SCOPED).replace(
+    "target_id::", "split_part(target_id, '/', 1)::"
+).replace("split_part(target_id, '/', 1)::BIGINT % 3 = 0", "target_id::BIGINT % 3 = 0")
+
+
 @query(
-    ADOPTED
-    + """SELECT e.website_id, url, kind, n.run_id FROM events e JOIN n ON n.target_id = e.target_id AND n.seq = e.at"""
+    IN_SCOPE
+    + """SELECT e.website_id, url, kind, n.run_id FROM events e JOIN n ON n.target_id = e.target_id AND n.seq = e.at
+UNION ALL SELECT DISTINCT website_id, NULL, 'stale: scope', run_id FROM mine WHERE stale"""
 )
 def r1_stream_adopt(spark, sf_dir):
-    """All runs, in micro-batches by time, with quarantine."""
+    """All runs, in micro-batches by time, with quarantine. Some targets' scope moves on: they start anew with a baseline, and
+    runs that still come with the old scope are stale."""
     obs = table(spark, sf_dir, "obs_hashed").select(*adopt.SITE, "run_id", "observed_at", "url", "url_hash")
+    third, since = F.col("target_id").cast("long") % 3 == 0, F.lit("1995-06-15").cast("timestamp")
+    moved = third & (F.col("observed_at") >= since) & (F.month("observed_at") % 4 != 0)
+    obs = obs.withColumn("scope_version", F.when(moved, 2).otherwise(1).cast("int"))
+    targets = table(spark, sf_dir, "runs").select("target_id").distinct()
+    first = targets.select("target_id", F.lit(1).alias("scope_version"), F.lit("1990-01-01").cast("timestamp").alias("valid_from"))
+    scopes = stored(first.unionByName(targets.where(third).select("target_id", F.lit(2).alias("scope_version"), since.alias("valid_from"))), "scopes")
     stream, folder = as_stream(obs, spark, "r1", ["target_id"], F.unix_seconds("observed_at"))
-    jobs.stream_adopt(stream, f"{folder}/out", f"{folder}/checkpoint", LEAST, RATIO, 24 * TTL_DAYS).awaitTermination()
-    return spark.read.parquet(f"{folder}/out/events").select("website_id", "url", "kind", "run_id")
+    jobs.stream_adopt(stream, f"{folder}/out", f"{folder}/checkpoint", LEAST, RATIO, 24 * TTL_DAYS, scopes).awaitTermination()
+    events = spark.read.parquet(f"{folder}/out/events").select("website_id", "url", "kind", "run_id")
+    stale = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out/stale")
+    reason = F.concat(F.lit("stale: "), "reason").alias("kind")
+    return events.unionByName(stale.select("website_id", F.lit(None).cast("string").alias("url"), reason, "run_id"))
 
 
 @query(

@@ -17,10 +17,9 @@ from ..scratch import fresh_folder
 from ..sources import tables as src
 from ..streaming import jobs
 from .base import as_stream, query
-from .candidates import CANDIDATES, candidates_of
 from .inventory import PAIRS, pairs_of_runs
 from .scalars import LINES, SERIES
-from .views import named
+from .views import CANDIDATES, candidates_of, named
 
 LINK_SCOPE = "CASE target_id::BIGINT % 4 WHEN 0 THEN 'BOTH' WHEN 1 THEN 'NEW' WHEN 2 THEN 'REMOVED' END"
 
@@ -259,14 +258,26 @@ def s3_read_sitemap_files(spark, sf_dir):
     return parsed.select("target_id", F.explode_outer("locations").alias("url"), "error")
 
 
-@query("WITH " + CANDIDATES + "SELECT id, CASE status WHEN 'pending' THEN 'expired' ELSE status END AS status FROM cand")
+@query(
+    "WITH " + CANDIDATES + """, m AS (SELECT target_id, scope, moved_at FROM (SELECT DISTINCT target_id FROM cand) t,
+  (VALUES (1, TIMESTAMP '1993-01-01'), (2, TIMESTAMP '1995-01-01'), (1, TIMESTAMP '1997-01-01')) v(scope, moved_at) WHERE length(target_id) % 2 = 0),
+c AS (SELECT cand.*, (SELECT min(moved_at) FROM m WHERE m.target_id = cand.target_id AND m.scope <> cand.scope_version AND m.moved_at > cand.observed_at) AS moved_at FROM cand)
+SELECT id, status FROM c WHERE status <> 'pending'
+UNION ALL SELECT id, 'stale' FROM c WHERE status = 'adopted' AND moved_at IS NOT NULL
+UNION ALL SELECT id, CASE WHEN moved_at < expires_at THEN 'stale' ELSE 'expired' END FROM c WHERE status = 'pending'"""
+)
 def r3_stream_candidate_expiry(spark, sf_dir):
-    """All candidates as they come; one that closes years later lets the time of the pending ones run out."""
-    rows = candidates_of(spark, sf_dir).select("id", "status", F.col("observed_at").alias("updated_at"), "expires_at")
+    """All candidates as they come, and some targets' changes of scope, there and back; a row years later lets the time of the
+    pending ones run out."""
+    rows = candidates_of(spark, sf_dir).select("target_id", "id", "status", "scope_version", F.col("observed_at").alias("updated_at"), "expires_at")
+    none = lambda kind: F.lit(None).cast(kind)
+    moves = F.array(*(F.struct(F.lit(k).alias("scope"), F.lit(t).cast("timestamp").alias("at")) for k, t in ((1, "1993-01-01"), (2, "1995-01-01"), (1, "1997-01-01"))))
+    moved = rows.select("target_id").distinct().where(F.length("target_id") % 2 == 0).select("target_id", F.explode(moves).alias("m"))
+    moved = moved.select("target_id", none("string").alias("id"), none("string").alias("status"), F.col("m.scope").alias("scope_version"), F.col("m.at").alias("updated_at"), none("timestamp").alias("expires_at"))
     last = rows.agg(F.max("expires_at")).first()[0]
     closing = spark.range(1).select(
-        F.lit("").alias("id"), F.lit("adopted").alias("status"), (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("updated_at"),
-        (F.lit(last) + F.expr("INTERVAL 2 DAY")).alias("expires_at"),
+        F.lit("").alias("target_id"), F.lit("").alias("id"), F.lit("confirmed").alias("status"), F.lit(1).alias("scope_version"),
+        (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("updated_at"), none("timestamp").alias("expires_at"),
     )
-    stream, folder = as_stream(rows.unionByName(closing), spark, "r3", ["id"], F.unix_seconds("updated_at"))
+    stream, folder = as_stream(rows.unionByName(moved).unionByName(closing), spark, "r3", ["target_id"], F.unix_seconds("updated_at"))
     return jobs.run_to_table(jobs.stream_candidate_expiry(stream), folder).where("id <> ''")

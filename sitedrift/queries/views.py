@@ -110,18 +110,51 @@ def a2_event_counts(spark, sf_dir):
     return su.event_counts(target_of(spark, sf_dir), facts(spark, sf_dir)[1], as_of(), DAYS)
 
 
+#: Candidates made of runs: one each, by number.
+CANDIDATES = """
+cand AS (SELECT id, concat('t_', target_id) AS target_id, 1 + id::BIGINT % 2 AS scope_version,
+  CASE id::BIGINT % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'adopted' ELSE 'confirmed' END AS status, observed_at,
+  observed_at + to_days((id::BIGINT % 400)::INT) AS expires_at, observed_at + to_hours((id::BIGINT % 30)::BIGINT) AS next_confirmation_at,
+  CASE WHEN id::BIGINT % 5 <> 0 THEN concat('t_', target_id, '-base') END AS origin_baseline_run_id FROM {run})
+"""
+
+
+def candidates_of(spark, sf_dir):
+    n, at = F.col("id").cast("long"), F.col("observed_at").cast("timestamp")
+    status = F.when(n % 3 == 0, "pending").when(n % 3 == 1, "adopted").otherwise("confirmed")
+    target = F.concat(F.lit("t_"), "target_id")
+    return table(spark, sf_dir, "run").select(
+        "id", target.alias("target_id"), (n % 2 + 1).cast("int").alias("scope_version"), status.alias("status"),
+        at.alias("observed_at"), F.timestamp_seconds(F.unix_seconds(at) + n % 400 * 86400).alias("expires_at"),
+        F.timestamp_seconds(F.unix_seconds(at) + n % 30 * 3600).alias("next_confirmation_at"),
+        F.when(n % 5 != 0, F.concat(target, F.lit("-base"))).alias("origin_baseline_run_id"),
+    )
+
+
+OPEN = f"(status = 'adopted' OR (status = 'pending' AND expires_at > {MOMENT}))"
+#: Open candidates and the last success of each monitor at its scope, and its active run.
+OPEN_AND_LAST = (
+    CANDIDATES
+    + f""", o1 AS (SELECT target_id, count(*) AS n FROM cand WHERE scope_version = 1 AND {OPEN} GROUP BY 1),
+r1 AS (SELECT concat('t_', target_id) AS target_id, max(observed_at) FILTER (scope_version = 1 AND execution_status = 'succeeded'
+  AND completeness = 'complete') AS last_success_at, max(execution_status) FILTER (execution_status IN ('queued', 'running')) AS active_run FROM {{run}} GROUP BY 1)
+"""
+)
+
+
 GROUP_ROWS = (
     INV
-    + """, r0 AS (SELECT target_id, max(execution_status) AS active_run FROM {run} WHERE execution_status IN ('queued', 'running') GROUP BY 1),
-gw AS (SELECT g2.id AS group_id, w.id, w.name,
+    + ", "
+    + OPEN_AND_LAST.strip()
+    + """, gw AS (SELECT g2.id AS group_id, w.id, w.name, w.domain, t.id AS target_id, t.archived_at, r1.last_success_at, coalesce(o1.n, 0) AS open_candidates,
   CASE WHEN t.id IS NULL THEN 'No monitor' WHEN t.archived_at IS NOT NULL THEN 'Archived' WHEN NOT t.enabled THEN 'Paused'
-    WHEN r0.active_run IS NOT NULL THEN r0.active_run WHEN t.lastError IS NOT NULL THEN 'failed'
+    WHEN r1.active_run IS NOT NULL THEN r1.active_run WHEN t.lastError IS NOT NULL THEN 'failed'
     WHEN t.baseline_run_id IS NULL THEN 'Awaiting baseline' ELSE 'active' END AS status,
   t.baseline_run_id IS NOT NULL AS has_baseline, coalesce(c.current, 0) AS current, coalesce(c.pending, 0) AS pending,
   coalesce(c.removed, 0) AS removed, coalesce(d.n_added, 0) AS n_added, coalesce(d.n_removed, 0) AS n_removed,
   coalesce(d.n_reappeared, 0) AS n_reappeared
   FROM {groups} g2 JOIN {website} w ON w.competitor_group_id = g2.id AND w.userId = g2.owner_user_id
-  LEFT JOIN {target} t ON t.websiteId = w.id LEFT JOIN r0 ON concat('t_', r0.target_id) = t.id
+  LEFT JOIN {target} t ON t.websiteId = w.id LEFT JOIN r1 ON r1.target_id = t.id LEFT JOIN o1 ON o1.target_id = t.id
   LEFT JOIN c ON c.website_id = w.id LEFT JOIN d ON d.website_id = w.id)
 """
 )
@@ -132,7 +165,7 @@ def _group_rows(spark, sf_dir):
     get = lambda n: table(spark, sf_dir, n)
     runs = get("run").withColumn("target_id", F.concat(F.lit("t_"), "target_id"))
     return su.group_websites(
-        get("groups"), get("website"), target_of(spark, sf_dir), site_url, events, runs, as_of(), DAYS, True
+        get("groups"), get("website"), target_of(spark, sf_dir), site_url, events, runs, candidates_of(spark, sf_dir), as_of(), DAYS, True
     )
 
 
@@ -147,7 +180,8 @@ def a6_group_websites(spark, sf_dir):
   count(*) FILTER (has_baseline) AS baseline_websites, (sum(current) FILTER (has_baseline))::BIGINT AS current,
   coalesce(sum(pending) FILTER (has_baseline), 0)::BIGINT AS pending, coalesce(sum(removed) FILTER (has_baseline), 0)::BIGINT AS removed,
   coalesce(sum(n_added), 0)::BIGINT AS n_added, coalesce(sum(n_removed), 0)::BIGINT AS n_removed,
-  coalesce(sum(n_reappeared), 0)::BIGINT AS n_reappeared
+  coalesce(sum(n_reappeared), 0)::BIGINT AS n_reappeared, coalesce(sum(open_candidates), 0)::BIGINT AS open_candidates,
+  max(last_success_at) AS latest_scan_at
 FROM {groups} g2 LEFT JOIN gw ON gw.group_id = g2.id GROUP BY g2.id"""
 )
 def a7_group_overviews(spark, sf_dir):

@@ -5,41 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import adopt
 from ..operators.adopt import SITE
 from ..scratch import stored
-from ..sources.tables import read_state, write_events, write_state
+from ..sources.buckets import BUCKETS, read_buckets, touched, write_buckets
+from ..sources.tables import write_events
+
+
+HELD = "website_id string, target_id string, scope_version int, run_id string, observed_at timestamp, url string, url_hash string"
+
+
+def in_force(runs: DataFrame, scopes: DataFrame) -> DataFrame:
+    """runs with scope_now, the scope of their target at their moment, and archived: by a table of versions (target_id,
+    scope_version, valid_from, perhaps archived). An as-of join: both are marks on a target's line of time, and each run takes
+    the last version before or at it. Null where there is none."""
+    archived = F.col("archived") if "archived" in scopes.columns else F.lit(False)
+    marks = scopes.select("target_id", F.col("valid_from").alias("_at"), F.struct("scope_version", archived.alias("archived")).alias("_version"))
+    both = runs.withColumn("_at", F.col("observed_at")).withColumn("_run", F.lit(1))
+    both = both.unionByName(marks.withColumn("_run", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("target_id").orderBy("_at", "_run").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_version", ignorenulls=True).over(w)
+    found = both.withColumn("_last", last).where("_run = 1")
+    return found.select(*runs.columns, F.col("_last.scope_version").alias("scope_now"), F.coalesce("_last.archived", F.lit(False)).alias("archived"))
 
 
 def stream_adopt(
-    obs: DataFrame, folder: str, checkpoint: str, least: int = 100, ratio: float = 0.3, ttl_hours: float = adopt.TTL_HOURS
-) -> StreamingQuery:
-    """Adopts complete observations (SITE, run_id, observed_at, url, url_hash) as they come; a run that found no URL is one
-    row with a null url_hash.
-
-    Below folder: state, heads (of each target the baseline, the open candidate and the moment of the last run), held
-    (the candidates' URLs), events, decisions, and stale: runs not later than their target's last one, which change
-    nothing. A micro-batch's runs are decided in order and applied in one pass (adopt.apply_runs). Tables are versions
-    by batch id, each made from the version before it, and events are appended by id, so a repeated batch is harmless.
+    obs: DataFrame, folder: str, checkpoint: str, least: int = 100, ratio: float = 0.3, ttl_hours: float = adopt.TTL_HOURS,
+    scopes: DataFrame | None = None, buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Adopts complete observations (SITE, run_id, observed_at, url, url_hash, perhaps origin_baseline_run_id) as they come; a
+    run that found no URL is one row with a null url_hash.
+
+    Below folder, in buckets by SITE: state, heads (of each target the baseline, the open candidate and the moment of the
+    last run) and held (the candidates' URLs); events, decisions; and stale: runs that change nothing, with a reason:
+    late (not later than their target's last one), scope (their target's scope moved on, or it is archived, by scopes:
+    see in_force) or baseline (that in force isn't the one they were made from). A micro-batch's runs are decided in order and
+    applied in one pass (adopt.apply_runs); it reads and writes the buckets of its targets only. Bucket versions are by
+    batch id, and events are appended by id, so a repeated batch is harmless.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = lambda name, empty: (
-            found if (found := read_state(spark, f"{folder}/{name}", batch_id)) is not None else spark.createDataFrame([], empty)
-        )
+        only = touched(batch, SITE, buckets)
+        old = lambda name, schema: read_buckets(spark, f"{folder}/{name}", schema, only, batch_id)
+        put = lambda df, name: write_buckets(df, f"{folder}/{name}", SITE, batch_id, only, buckets)
         state = old("state", adopt.empty_state(batch).schema)
-        heads = old("heads", HEADS)
-        held = old("held", "website_id string, target_id string, scope_version int, run_id string, observed_at timestamp, url string, url_hash string")
-        runs = batch.select(*SITE, "run_id", "observed_at").distinct().join(heads.select(*SITE, "last_at"), SITE, "left")
-        late = F.coalesce(F.col("observed_at") <= F.col("last_at"), F.lit(False))
-        runs.where(late).drop("last_at").write.mode("overwrite").parquet(f"{folder}/stale/b={batch_id}")
-        runs = stored(runs.where(~late).drop("last_at"), "runs")
+        heads, held = old("heads", HEADS), old("held", HELD)
+        made_from = ["origin_baseline_run_id"] if "origin_baseline_run_id" in batch.columns else []
+        runs = batch.select(*SITE, "run_id", "observed_at", *made_from).distinct().join(heads.select(*SITE, "last_at"), SITE, "left")
+        reason = F.when(F.col("observed_at") <= F.col("last_at"), "late")
+        if scopes is not None:
+            runs = in_force(runs, scopes)
+            moved = F.col("archived") | ~F.coalesce(F.col("scope_now") == F.col("scope_version"), F.lit(True))
+            reason = F.when(moved, "scope").otherwise(reason)
+        judged = stored(runs.withColumn("reason", reason), "judged")
+        runs = stored(judged.where("reason IS NULL").select(*SITE, "run_id", "observed_at", *made_from), "runs")
         rows = batch.join(runs.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi").where("url_hash IS NOT NULL")
         # the baseline's URLs are those last seen by it; one that found none is a row without a URL
         base = heads.where("baseline_run_id IS NOT NULL").select(*SITE, F.col("baseline_run_id").alias("run_id"), F.col("baseline_at").alias("observed_at"))
@@ -50,16 +76,19 @@ def stream_adopt(
         decided = adopt.decide_history(rows, runs, least, ratio, ttl_hours, base.unionByName(mine))
         decided = stored(decided, "decisions")
         decided.write.mode("overwrite").parquet(f"{folder}/decisions/b={batch_id}")
+        stale = judged.where("reason IS NOT NULL").select(*SITE, "run_id", "observed_at", "reason")
+        rebased = decided.where("decision = 'stale'").select(*SITE, "run_id", "observed_at", F.lit("baseline").alias("reason"))
+        stale.unionByName(rebased).write.mode("overwrite").parquet(f"{folder}/stale/b={batch_id}")
         taken = adopt.adopted_runs(decided)
         both = rows.select(*held.columns).unionByName(held)
         seen = both.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
         new, events = adopt.apply_runs(state, seen, taken)
-        write_state(new, f"{folder}/state", batch_id)
+        put(new, "state")
         write_events(events, f"{folder}/events")
         after = _heads(heads, decided, runs)
-        write_state(after, f"{folder}/heads", batch_id)
+        put(after, "heads")
         named = after.select(*SITE, F.col("candidate_run_id").alias("run_id")).where("run_id IS NOT NULL")
-        write_state(both.join(named, [*SITE, "run_id"], "left_semi"), f"{folder}/held", batch_id)
+        put(both.join(named, [*SITE, "run_id"], "left_semi"), "held")
 
     return obs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -96,63 +125,137 @@ def _heads(heads: DataFrame, decided: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _fold_url(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One URL's looks in order of time: (present, run_id, observed_at). State: status, first missing run and moment."""
-    status, run0, at0, url = state.get if state.exists else (None,) * 4
-    rows = pd.concat(list(frames)).sort_values(["observed_at", "run_id"])
-    out = []
-    for r in rows.itertuples():
-        kind = None
-        if r.present:
-            kind = "reappeared" if status == "removed" else "added" if status is None and not r.is_baseline else None
-            status, run0, at0, url = "active", None, None, r.url
-        elif status == "active":
-            status, run0, at0 = "pending_removed", r.run_id, r.observed_at
-        elif status == "pending_removed" and r.run_id != run0 and r.observed_at - pd.Timestamp(at0) >= pd.Timedelta(hours=1):
-            status, kind = "removed", "removed"
-        if kind:
-            out.append((*key, kind, url, r.run_id, r.observed_at))
-    state.update((status, run0, pd.Timestamp(at0).to_pydatetime() if at0 is not None else None, url))
-    yield pd.DataFrame(
-        out, columns=["website_id", "scope_version", "url_hash", "kind", "url", "run_id", "observed_at"]
+LIFECYCLE = "website_id string, scope_version int, bucket int, url_hash string, kind string, url string, run_id string, observed_at timestamp"
+URL_STATE = "status string, first_missing_run_id string, first_missing_at timestamp, url string"
+
+
+class UrlLifecycle(StatefulProcessor):
+    """A bucket of a site's URLs. State: of each URL its status and the run that first missed it; how many runs have ended; and
+    the URLs of runs whose end hasn't come yet.
+
+    A run is applied when its end comes: its URLs are present, and every other one of the bucket is absent. Work and memory
+    follow the URLs of the bucket; only what changed is written back.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.urls = handle.getMapState("urls", "url_hash string", URL_STATE)
+        self.waiting = handle.getMapState("waiting", "run_id string, url_hash string", "url string")
+        self.runs = handle.getValueState("runs", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen: dict[str, dict[str, str]] = {}
+        ends: list[tuple] = []
+        for pdf in rows:
+            gone = pdf["url_hash"].isna()
+            ends += [(r.observed_at, r.run_id) for r in pdf[gone].itertuples()]
+            for r in pdf[~gone].itertuples():
+                seen.setdefault(r.run_id, {})[r.url_hash] = r.url
+        ended = {run for _, run in ends}
+        for run, urls in seen.items():
+            if run not in ended:
+                for h, url in urls.items():
+                    self.waiting.updateValue((run, h), (url,))
+        if not ends:
+            return
+        for (run, h), (url,) in list(self.waiting.iterator()):
+            if run in ended:
+                seen.setdefault(run, {})[h] = url
+                self.waiting.removeKey((run, h))
+        state = {h: tuple(v) for (h,), v in self.urls.iterator()}
+        was, n = dict(state), (self.runs.get()[0] if self.runs.exists() else 0)
+        out = []
+        for at, run in sorted(set(ends)):
+            here = seen.get(run, {})
+            for h, url in here.items():
+                status = state[h][0] if h in state else None
+                kind = "reappeared" if status == "removed" else "added" if status is None and n else None
+                state[h] = ("active", None, None, url)
+                if kind:
+                    out.append((*key, h, kind, url, run, at))
+            for h in state.keys() - here.keys():
+                status, first, first_at, url = state[h]
+                if status == "active":
+                    state[h] = ("pending_removed", run, at, url)
+                elif status == "pending_removed" and first != run and at - pd.Timestamp(first_at) >= pd.Timedelta(hours=1):
+                    state[h] = ("removed", first, first_at, url)
+                    out.append((*key, h, "removed", url, run, at))
+            n += 1
+        for h, value in state.items():
+            if was.get(h) != value:
+                self.urls.updateValue((h,), (*value[:2], None if value[2] is None else pd.Timestamp(value[2]).to_pydatetime(), value[3]))
+        self.runs.update((n,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in LIFECYCLE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+#: Where transformWithState keeps its state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_url_lifecycle(obs: DataFrame, buckets: int = 16) -> DataFrame:
+    """Events of a stream of observations (website_id, scope_version, run_id, observed_at, url, url_hash) as a scan gives them:
+    the URLs that were there. A run ends with a row without a URL, which comes with its last rows or after them; that is
+    when the URLs it doesn't have are found absent. Runs of a site end in order of time.
+
+    State is kept for each site, scope and bucket of URLs, in RocksDB: the session's provider must be ROCKSDB. An end goes to
+    every bucket.
+    """
+    bucket = F.pmod(F.xxhash64("url_hash"), F.lit(buckets)).cast("int")
+    ends = F.when(F.col("url_hash").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(bucket))
+    rows = obs.select("website_id", "scope_version", F.explode(ends).alias("bucket"), "run_id", "observed_at", "url", "url_hash")
+    return rows.groupBy("website_id", "scope_version", "bucket").transformWithStateInPandas(
+        UrlLifecycle(), outputStructType=LIFECYCLE, outputMode="append", timeMode="none"
     )
 
 
-def stream_url_lifecycle(looks: DataFrame) -> DataFrame:
-    """Events of a stream of looks (website_id, scope_version, url_hash, url, present, is_baseline, run_id,
-    observed_at), one keyed state of a few fields for each URL."""
-    schema = "website_id string, scope_version int, url_hash string, kind string, url string, run_id string, observed_at timestamp"
-    return looks.groupBy("website_id", "scope_version", "url_hash").applyInPandasWithState(
-        _fold_url, schema, "status string, run0 string, at0 timestamp, url string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def _close(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One target's candidates. State: ids, scopes and deadlines (milliseconds; -1 of adopted ones) of those still open."""
+    open_ = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
+    out: list[tuple[str, str]] = []
 
+    def until(moment: float) -> None:
+        for i in [i for i, (_, end) in open_.items() if 0 <= end <= moment]:
+            del open_[i]
+            out.append((i, "expired"))
 
-def _expire(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    columns = ["id", "status"]
     if state.hasTimedOut:
+        until(state.getCurrentWatermarkMs())
+    else:
+        for r in pd.concat(list(frames)).sort_values(["updated_at", "id"], na_position="first").itertuples():
+            until(r.updated_at.timestamp() * 1000)
+            if r.status is None:
+                for i in [i for i, (scope, _) in open_.items() if scope != r.scope_version]:
+                    del open_[i]
+                    out.append((i, "stale"))
+            elif r.status == "pending":
+                open_[r.id] = (int(r.scope_version), int(r.expires_at.timestamp() * 1000))
+            else:
+                open_.pop(r.id, None)
+                out.append((r.id, r.status))
+                if r.status == "adopted":
+                    open_[r.id] = (int(r.scope_version), -1)
+    if open_:
+        state.update((list(open_), [s for s, _ in open_.values()], [e for _, e in open_.values()]))
+        ends = [e for _, e in open_.values() if e >= 0]
+        if ends:
+            state.setTimeoutTimestamp(max(min(ends), state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame([(key[0], "expired")], columns=columns)
-        return
-    rows = pd.concat(list(frames)).sort_values("updated_at")
-    last = rows.iloc[-1]
-    if last["status"] != "pending":
-        state.remove() if state.exists else None
-        yield pd.DataFrame([(key[0], last["status"])], columns=columns)
-        return
-    state.update(("pending",))
-    at = int(pd.Timestamp(last["expires_at"]).timestamp() * 1000)
-    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([], columns=columns)
+    yield pd.DataFrame(out, columns=["id", "status"])
 
 
 def stream_candidate_expiry(candidates: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """id, status: pending candidates expire when event time passes their deadline; adopted ones never do.
+    """id, status: pending candidates expire when event time passes their deadline, adopted ones never do, and both are stale
+    when their target's scope moves on before that.
 
-    candidates: id, status, updated_at, expires_at.
+    candidates: target_id, id, status, scope_version, updated_at, expires_at; a change of scope is a row without id and status,
+    with the new scope. Keyed by target, as a change closes all of a target's open candidates.
     """
-    return candidates.withWatermark("updated_at", delay).groupBy("id").applyInPandasWithState(
-        _expire, "id string, status string", "status string", "append", GroupStateTimeout.EventTimeTimeout
+    return candidates.withWatermark("updated_at", delay).groupBy("target_id").applyInPandasWithState(
+        _close, "id string, status string", "ids array<string>, scopes array<int>, ends array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -206,8 +309,17 @@ def stream_price_changes(snaps: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it wrote below path."""
+def run_to_table(df: DataFrame, path: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote below path. provider: of the stream's state, if it isn't the
+    session's."""
+    if provider is not None:
+        conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+        before = conf.get(name)
+        conf.set(name, provider)
+        try:
+            return run_to_table(df, path, mode)
+        finally:
+            conf.set(name, before)
     q = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint").outputMode(mode)
     q.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
