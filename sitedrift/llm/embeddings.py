@@ -57,7 +57,9 @@ def passes_for(n_vectors: int) -> int:
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
+    """Vectors of length 1. The largest component is brought to 1 first, so that no square overflows or vanishes."""
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

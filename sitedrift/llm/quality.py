@@ -6,8 +6,8 @@ estimates every rule's cost and selectivity on a bounded random sample and order
 and isn't derived below it, so it is computed only for rows that no earlier rule rejected. The order changes the work
 and which rule is named, never the verdict.
 
-Costs are wall times of the rule over the sample, the least of ``RUNS``, without that of a job that reads the sample
-only, rounded to a power of two, so that noise seldom changes the order; ties go by name.
+Costs are counted, not timed: the passes over characters, words and lines that a rule's features take (``_work``), summed
+over the sample's texts. So they follow what the texts are like and are the same whenever they are estimated; ties go by name.
 
 Defined results: null or empty text has no words and fails ``few_words``; windows that repeat are compared by 64-bit
 hash within one text; repeated rows are judged alike; an empty table gives no rows. ``passing`` returns the columns of
@@ -17,8 +17,6 @@ these names is replaced.
 
 from __future__ import annotations
 
-import math
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -26,15 +24,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
-
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
 #: Rows of the sample on which costs and selectivities are estimated, and its seed.
 SAMPLE_ROWS, SEED = 500, 17
-#: Timed runs of a rule.
-RUNS = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,29 +122,37 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+def _work(name: str) -> Callable[[Column], Column]:
+    """Characters that a feature reads of a text, or steps that take as long."""
+    length, n_words, n_lines = F.length, lambda t: F.size(words(t)), lambda t: F.regexp_count(t, F.lit("\n")) + 1
+    return {
+        # a split copies what it reads
+        "n_words": lambda t: 2 * length(t),
+        "n_lines": lambda t: 2 * length(t) + n_lines(t),
+        "n_dup_lines": lambda t: 2 * length(t) + 3 * n_lines(t),
+        # hashes of words and of their windows; a sort only where a window repeats
+        "n_repeat_words": lambda t: 2 * length(t)
+        + n_words(t) * (1 + WINDOW)
+        + F.when(feature("n_repeat_words", "text") > 0, n_words(t) * F.ceil(F.log2(n_words(t) + F.lit(1)))).otherwise(0),
+    }.get(name, length)
+
+
 def plan_cascade(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> list[tuple[Rule, float, float]]:
-    """Rules with (cost in seconds, share rejected) on a sample of about sample_rows texts, best rejection per cost
-    first. The sample is drawn in all partitions and written to the shared folder; texts don't reach the driver."""
+    """Rules with (cost by row, share rejected) on a sample of about sample_rows texts, best rejection per cost first. The
+    sample is drawn in all partitions and summed there in one job; texts don't reach the driver."""
     total = docs.count()
     share = min(1.0, sample_rows / max(1, total))
-    sample = docs.select(F.col(text).alias("text"))
-    sample = stored(sample.sample(fraction=share, seed=SEED) if share < 1 else sample, "sample")
-
-    def timed(condition: Column) -> tuple[float, int, int]:
-        job, best = sample.agg(F.count(F.lit(1)), F.count_if(condition)), math.inf
-        for _ in range(RUNS):
-            began = time.perf_counter()
-            n, hits = job.first()
-            best = min(best, time.perf_counter() - began)
-        return best, n, hits
-
-    idle, _, _ = timed(F.length("text") < 0)
-    measured = []
-    for rule in rules:
-        seconds, n, rejected = timed(rule.on(lambda f: feature(f, "text")))
-        measured.append((rule, 2.0 ** round(math.log2(max(seconds - idle, 2**-6))), rejected / max(1, n)))
+    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = sample.sample(fraction=share, seed=SEED) if share < 1 else sample
+    sums = [F.count(F.lit(1)).alias("n")]
+    for k, rule in enumerate(rules):
+        cost = reduce(Column.__add__, [_work(f)(F.col("text")) for f in rule.features])
+        sums += [F.sum(cost.cast("long")).alias(f"cost{k}"), F.count_if(rule.on(lambda f: feature(f, "text"))).alias(f"hits{k}")]
+    got = sample.agg(*sums).first()
+    n = max(1, got["n"])
+    measured = [(rule, max(1.0, (got[f"cost{k}"] or 0) / n), got[f"hits{k}"] / n) for k, rule in enumerate(rules)]
     return sorted(measured, key=lambda m: (-m[2] / m[1], m[1], m[0].name))
 
 

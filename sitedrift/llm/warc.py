@@ -7,9 +7,9 @@ equal one. Readers parse the (ZIP64) directories, locate both members and read s
 
 Of pages with equal payloads of at least ``min_bytes``, the one with the largest id is a response and the others are
 revisits that name it. Defined results: null html is the empty payload; a null url is the empty target; control
-characters of a url are percent-escaped; a null page id raises in the task, as a record needs its name; page ids are
-taken as unique, and rows that repeat an id and payload are written again as their own records; an empty table gives
-no rows; other columns are left out.
+characters of a url are percent-escaped; a page without an id is a record named ``none`` and is read back without one: it
+revisits the largest id of its payload, and is a response where no page of that payload has an id; rows that repeat an
+id and payload are written again as their own records; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -44,15 +44,19 @@ RECORD_SCHEMA = (
 )
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:x-page:{page_id}>"
+NAMELESS = "none"
 
 
-def page_of(uri: str) -> int:
-    return int(uri.strip("<>").rpartition(":")[2])
+def record_id(page_id: int | str | None) -> str:
+    return f"<urn:x-page:{NAMELESS if page_id is None else page_id}>"
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_of(uri: str) -> int | None:
+    name = uri.strip("<>").rpartition(":")[2]
+    return None if name == NAMELESS else int(name)
+
+
+def make_record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None) -> bytes:
     """One record as its own gzip member; a revisit has the HTTP header of its payload, not the payload."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -113,9 +117,11 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
         .drop("_n")
+        .where("_last IS NOT NULL")
     )
-    again = rows.select("page_id", "_key").join(repeated, "_key").where(F.col("_last") != F.col("page_id")).distinct()
-    joined = rows.join(again, ["page_id", "_key"], "left")
+    again = rows.select("page_id", "_key").join(repeated, "_key").where(~F.col("_last").eqNullSafe(F.col("page_id"))).distinct()
+    again = again.select(F.col("page_id").alias("_id"), F.col("_key").alias("_same"), "_last")
+    joined = rows.join(again, (F.col("_key") == F.col("_same")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
     return joined.select("page_id", "url", "payload", F.col("_last").alias("refers_to"))
 
 
@@ -146,7 +152,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
 
         for b in batches:
             for page_id, url, payload, refers in zip(b["page_id"], b["url"], b["payload"], b["refers_to"], strict=True):
-                raw = make_record(int(page_id), url, payload, None if pd.isna(refers) else int(refers))
+                raw = make_record(page_id, url, payload, refers)
                 index.append(f"{record_id(page_id)} {data.tell()} {len(raw)}\n")
                 data.write(raw)
                 if data.tell() >= package_bytes:
@@ -155,7 +161,9 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
             close()
         yield pd.DataFrame(made, columns=["path", "n_records"])
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInPandas(run, "path string, n_records long")
+    # as texts: pandas has no whole numbers beside nulls
+    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
+    return records.select(named[0], "url", "payload", named[1]).mapInPandas(run, "path string, n_records long")
 
 
 class _File:
@@ -201,8 +209,7 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = True) -> Da
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows)
-    out["refers_to"] = out["refers_to"].astype("Int64")
-    return out
+    return out.assign(**{c: pd.array([r[c] for r in rows], "Int64") for c in ("page_id", "refers_to")})
 
 
 def archive_and_read(pages: DataFrame, folder: str, min_bytes: int = 0, payloads: bool = True) -> DataFrame:

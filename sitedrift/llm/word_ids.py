@@ -1,15 +1,20 @@
 """Ids of many distinct pieces at once in numpy, and of texts by looking their pieces up.
 
 Pieces of equal length form a matrix; in each round every row merges its leftmost pair of lowest rank, so all rows stay
-equally long, and rows without a pair are done.
+equally long, and rows without a pair are done. A round copies the matrix, so pieces of more than ``LONG`` bytes are
+merged one by one instead, with a heap of pairs over a linked list.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 from .vocab import _JOIN, Vocabulary
 
+#: Bytes of a piece in a matrix.
+LONG = 128
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
 CACHE_PIECES = 1_000_000
 
@@ -22,6 +27,34 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
+def merge_long(sym: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
+    """Ids of one piece of any length from its symbols: lowest rank first, of equal ones the leftmost; n log n steps."""
+    n = len(sym)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def offer(i: int) -> tuple[int, int, int, int, int] | None:
+        j = after[i]
+        found = merges.get(sym[i] * _JOIN + sym[j]) if j < n else None
+        return None if found is None else (found[0], i, sym[i], sym[j], found[1])
+
+    heap = [x for x in map(offer, range(n)) if x is not None]
+    heapify(heap)
+    while heap:
+        _, i, a, b, merged = heappop(heap)
+        j = after[i]
+        if sym[i] != a or j >= n or sym[j] != b:
+            continue  # one of the two has merged since
+        sym[i], sym[j] = merged, -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for at in (before[i], i):
+            if at >= 0 and (x := offer(at)) is not None:
+                heappush(heap, x)
+    return [s for s in sym if s >= 0]
+
+
 class PairTable:
     """rank and merged id of pairs by a hash of 2^19 slots; the few pairs that share a slot are searched for."""
 
@@ -80,7 +113,11 @@ class WordIds:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         length = np.zeros(len(raw), np.int32)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in np.unique(sizes):
+        for i in np.flatnonzero(sizes > LONG):
+            ids = np.array([merge_long(self.v.symbols(pieces[i]), self.v.merges)], np.int32)
+            length[i] = ids.shape[1]
+            done.append((np.array([i]), ids))
+        for size in np.unique(sizes[sizes <= LONG]):
             rows = np.flatnonzero(sizes == size)
             data = np.frombuffer(b"".join(raw[i] for i in rows), np.uint8).reshape(len(rows), size)
             sym = self.first[data]

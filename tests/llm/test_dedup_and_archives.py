@@ -212,6 +212,25 @@ def test_toxicity_learns_sentences(spark, docs):
     assert toxicity.fit(df, labels.limit(0)).weights.sum() == 0
 
 
+def test_vectors_of_extreme_lengths_link(spark):
+    """Cosines don't depend on lengths, however near they come to what a double can hold."""
+    rows = [
+        (1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1.0, 0.0]), (4, [1e-200, 0.0]), (5, [2e-200, 0.0]), (6, [5e-324, 0.0]),
+        (7, [1.7e308, 1.7e308]), (8, [1e-310, 1e-310]), (9, [-1e300, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == {**{i: (5, 1) for i in range(1, 7)}, 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_pages_without_ids(spark):
+    """They are records, revisit the largest id of their payload, and come back without an id; large ids stay exact beside them."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "u", "same"), (3, "u", "same"), (big, "v", "same"), (None, "w", "alone"), (None, "w", "alone"), (5, None, None)], "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_and_read(df, fresh_folder(spark, "warc")).collect()), key=repr)
+    assert got == sorted([(0, "revisit", big, 4), (3, "revisit", big, 4), (big, "response", None, 4), (0, "response", None, 5), (0, "response", None, 5), (5, "response", None, 0)], key=repr)
+
+
 def test_near_vectors_recall_on_planted_pairs(spark):
     """Pairs of cosine 0.9 to 0.92 among random vectors, a third of them in one dense group: at least 0.9 are found (the
     aim is all), and no link that isn't one."""

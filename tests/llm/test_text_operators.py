@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -137,6 +138,31 @@ def test_cascade_orders_by_rejection_per_cost(docs):
     assert ratio == sorted(ratio, reverse=True) and len(plan) == len(quality.RULES)
 
 
+def test_two_plans_agree(docs):
+    """Costs are counted, so an order that is planned again, over other partitions, is the same."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(5 + i % 60)) + "\n" * (i % 3) + "!!" * (i % 5)) for i in range(300)]
+    df = docs(rows)
+    first = quality.plan_cascade(df)
+    assert first == quality.plan_cascade(df) == quality.plan_cascade(df.repartition(7))
+    cost = {m[0].name: m[1] for m in first}
+    assert cost["repeats"] > cost["duplicate_lines"] > cost["few_words"] and cost["shouting"] == cost["few_words"]
+    assert [m[0] for m in quality.plan_cascade(df.limit(0))] == sorted(quality.RULES, key=lambda r: r.name)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_words_take_n_log_n(path):
+    """200,000 letters without a space, in seconds, with the library's ids."""
+    rng = random.Random(11)
+    long = "".join(rng.choices("etaoinshrdlu", k=200_000))
+    v, lib = vocab.parse(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    began = time.perf_counter()
+    (got,) = WordIds(v).texts([long])
+    assert time.perf_counter() - began < 10
+    assert got.tolist() == lib.encode(long, add_special_tokens=False).ids
+    some = ["".join(rng.choices("abcß€ ", k=rng.randrange(1, 400))).replace(" ", "x") for _ in range(50)]
+    assert [x.tolist() for x in WordIds(v).texts(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
 def test_packing_covers_each_token_once(docs):
     texts = [*TEXTS, *(" ".join(f"t{k}w{i % 50}" for i in range(k * 37)) for k in range(1, 40))]
     df = docs(enumerate(texts)).repartition(2)
