@@ -30,7 +30,7 @@ from .word_ids import WordIds
 
 WINDOW = 2048
 #: Tokens after which a shard is closed.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
 BATCH_ROWS = 256
 
