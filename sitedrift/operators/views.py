@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import contains_text, host_of, path_filter
+from .pages import checked, read_page, write_index
 
 SITEMAP = "SITEMAP_LINKS"
 
@@ -113,22 +114,25 @@ def events_in_window(events: DataFrame, as_of: Column, days: int, upper: bool =
 
 
 def page_offset(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset .. offset + limit in this order. Deep pages of large tables are better read by keyset."""
-    if not (1 <= limit <= 200 and 0 <= offset <= 200_000):
-        raise ValueError("limit must be 1..200, offset 0..200000")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """Rows offset .. offset + limit in this order, with total and next_offset (null on the last page), of a small table or the
+    result of a filter: it sorts up to the page's end and counts all. Large tables are paged by pages.read_page."""
+    checked(limit, offset)
+    page = df.orderBy(*order).offset(offset).limit(limit)
+    n = df.agg(F.count(F.lit(1)).alias("total"))
+    n = n.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)).cast("int"))
+    # one row
+    return page.crossJoin(F.broadcast(n))
 
 
-def page_total(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """total rows and the next page's offset, null on the last page."""
-    n = df.agg(F.count(F.lit(1)).alias("total"))
-    return n.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)))
+def write_candidate_urls(missing: DataFrame, path: str) -> None:
+    """The missing URLs of all candidates (candidate_id, normalized_url_hash, url, resolution), indexed by candidate and hash."""
+    write_index(missing, path, [F.col("candidate_id"), F.col("normalized_url_hash")], "candidate_id")
 
 
-def candidate_urls_page(missing: DataFrame, candidate_id: str | None, limit: int, offset: int = 0) -> DataFrame:
-    """url, resolution of a page of a candidate's missing URLs, in order of their hash."""
-    rows = missing.where(F.col("candidate_id") == F.lit(candidate_id))
-    return page_offset(rows, [F.col("normalized_url_hash")], limit, offset).select("url", "resolution")
+def candidate_urls_page(spark: SparkSession, path: str, schema, candidate_id: str, limit: int, offset: int = 0) -> DataFrame:
+    """url, resolution, total, next_offset of a page of a candidate's missing URLs, in order of their hash."""
+    page = read_page(spark, path, schema, [F.col("normalized_url_hash")], limit, offset, "candidate_id", candidate_id)
+    return page.select("url", "resolution", "total", "next_offset")
 
 
 def page_keyset(events: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
@@ -165,6 +169,7 @@ def recent_alerts_per_target(alert: DataFrame, n: int, of_site: int = 100) -> Da
 
 
 def group_listing(groups: DataFrame, q: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the groups by name, with total and next_offset."""
     return page_offset(groups.where(contains_text(F.col("name"), q)), [F.col("name"), F.col("id")], limit, offset)
 
 

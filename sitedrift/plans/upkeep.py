@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timing import retry_delay_ms
 from ..functions.urls import normalize_path_rules
 from ..operators.adopt import SITE, apply_observation
 from ..operators.inventory import same_missing_set
+from ..sources.buckets import by_hash, by_quarter, read_buckets, touched, write_buckets
 
 OPEN = ("pending", "adopted")
 
@@ -173,8 +177,67 @@ def retention(
     }
 
 
-def check_invariants(site_url: DataFrame, candidates: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
-    """rule, key, of every row that breaks a rule of the state tables."""
+#: Stored tables that retention changes: schema, the moment whose quarter is a row's bucket (none: by target), the days after
+#: which a row may change, and the columns that are blanked (none: rows are removed).
+RETAINED = {
+    "sources": ("run_id string, attempt int, source_url string, revision_id string, created_at timestamp", "created_at", 90, ()),
+    "cache": ("target_id string, scope_version int, source_url string, revision_id string", None, 0, ()),
+    "runs": ("id string, execution_status string, result string, error string, finished_at timestamp", "finished_at", 180, ("result", "error")),
+    "attempts": ("run_id string, attempt int, error string, finished_at timestamp", "finished_at", 180, ("error",)),
+    "revisions": ("id string, created_at timestamp", "created_at", 30, ()),
+}
+
+
+def _bucket(moment: str | None) -> Column:
+    return by_quarter(moment) if moment else by_hash(["target_id"])
+
+
+def store_retained(tables: dict[str, DataFrame], folder: str, batch_id: int = 0) -> None:
+    """Writes the tables of RETAINED below folder in buckets."""
+    for name, df in tables.items():
+        bucket = _bucket(RETAINED[name][1])
+        write_buckets(df, f"{folder}/{name}", bucket, batch_id, touched(df, bucket))
+
+
+def read_retained(spark: SparkSession, folder: str, before: int | None = None) -> dict[str, DataFrame]:
+    return {name: read_buckets(spark, f"{folder}/{name}", schema, before=before) for name, (schema, *_) in RETAINED.items()}
+
+
+def retain_stored(
+    spark: SparkSession, folder: str, target: DataFrame, candidates: DataFrame, now: datetime.datetime, batch_id: int
+) -> dict[str, list[int]]:
+    """Removes and blanks what retention gives up in the stored tables, and returns the buckets that were rewritten.
+
+    Only buckets are looked at whose quarter begins before the table's days, and of those only the ones are written in which
+    something changes. New versions are made from the versions before batch_id, so a batch that is repeated writes the
+    same, and a later one finds nothing to do.
+    """
+    before = read_retained(spark, folder, batch_id)
+    after = retention(target, candidates, before["runs"], before["attempts"], before["sources"], before["cache"], before["revisions"], F.lit(now))
+    written = {}
+    for name, (_, moment, days, blanked) in RETAINED.items():
+        bucket = _bucket(moment)
+        last = now - datetime.timedelta(days=days)
+        old = bucket <= last.year * 4 + (last.month + 2) // 3 if moment else F.lit(True)
+        # what a bucket holds: its rows, or those with a value that may be blanked
+        held = F.count(F.lit(1)) if not blanked else sum((F.count(c) for c in blanked[1:]), F.count(blanked[0]))
+        size = lambda df, n: df.where(old).groupBy(bucket.alias("bucket")).agg(held.alias(n))  # noqa: E731, B023
+        both = size(before[name], "n").join(size(after[name], "m"), "bucket", "left")
+        only = sorted(r[0] for r in both.where(~F.col("n").eqNullSafe(F.coalesce("m", F.lit(0)))).select("bucket").collect())
+        rows = after[name].where(bucket.isin(only)) if only else after[name]
+        write_buckets(rows, f"{folder}/{name}", bucket, batch_id, only)
+        written[name] = only
+    return written
+
+
+def check_invariants(
+    site_url: DataFrame, candidates: DataFrame | None = None, runs: DataFrame | None = None, target: DataFrame | None = None,
+    events: DataFrame | None = None,
+) -> DataFrame:
+    """rule, key, of every row that breaks a rule of the state tables. Rules between two tables are tested where both are given:
+    scope_isolation (a URL or event beyond its target's scope, an event of a URL that its scope doesn't have),
+    completeness_gate (an adopted run or a baseline that isn't a complete success), candidate_of_run (one whose run isn't
+    there)."""
     s, none = F.col("status"), lambda c: F.col(c).isNull()
     no_evidence = none("first_missing_run_id") & none("first_missing_observed_at") & none("last_missing_run_id")
     evidence = ~none("first_missing_run_id") & ~none("first_missing_observed_at") & ~none("last_missing_run_id")
@@ -184,16 +247,41 @@ def check_invariants(site_url: DataFrame, candidates: DataFrame | None = None, r
         | ((s == "pending_removed") & (n == 1) & evidence & none("removed_at"))
         | ((s == "removed") & (n == 2) & evidence & ~none("removed_at"))
     )
-    key = F.concat_ws("/", "website_id", F.col("scope_version").cast("string"), "url")
-    out = site_url.where(~F.coalesce(sound, F.lit(False))).select(F.lit("site_url_evidence").alias("rule"), key.alias("key"))
+    parts: list[DataFrame] = []
+
+    def broken(rule: str, df: DataFrame, *key: str) -> None:
+        parts.append(df.select(F.lit(rule).alias("rule"), F.concat_ws("/", *(F.col(c).cast("string") for c in key)).alias("key")))
+
+    broken("site_url_evidence", site_url.where(~F.coalesce(sound, F.lit(False))), "website_id", "scope_version", "url")
     if candidates is not None:
         total = F.col("pending_count") + F.col("recovered_count") + F.col("removed_count")
-        bad = (F.col("original_missing_count") <= 0) | (F.col("original_missing_count") != total)
-        out = out.unionAll(candidates.where(bad).select(F.lit("candidate_counts"), F.col("id").cast("string")))
+        wrong = (F.col("original_missing_count") <= 0) | (F.col("original_missing_count") != total)
+        broken("candidate_counts", candidates.where(wrong), "id")
         twice = candidates.where("status = 'pending'").groupBy("target_id", "scope_version").count().where("count > 1")
-        out = out.unionAll(twice.select(F.lit("one_pending_candidate"), F.concat_ws("/", "target_id", F.col("scope_version").cast("string"))))
+        broken("one_pending_candidate", twice, "target_id", "scope_version")
+        if "expires_at" in candidates.columns:
+            stay = F.col("expires_at") - F.col("observed_at")
+            broken("candidate_expiry", candidates.where(~stay.between(F.expr("INTERVAL 72 HOURS"), F.expr("INTERVAL 14 DAYS"))), "id")
     if runs is not None:
         twice = runs.where(F.col("execution_status").isin("queued", "running")).groupBy("target_id").count().where("count > 1")
-        out = out.unionAll(twice.select(F.lit("one_active_run"), F.col("target_id").cast("string")))
-        out = out.unionAll(runs.where(~F.col("attempt").between(0, 4)).select(F.lit("attempt_range"), F.col("id").cast("string")))
-    return out
+        broken("one_active_run", twice, "target_id")
+        broken("attempt_range", runs.where(~F.col("attempt").between(0, 4)), "id")
+        if "adoption_status" in runs.columns:
+            whole = (F.col("execution_status") == "succeeded") & (F.col("completeness") == "complete")
+            adopted = F.col("adoption_status").isin("baseline", "applied", "first_observation")
+            broken("completeness_gate", runs.where(adopted & ~F.coalesce(whole, F.lit(False))), "id")
+            if target is not None:
+                based = target.where("baseline_run_id IS NOT NULL").select(F.col("id").alias("target"), F.col("baseline_run_id").alias("id"))
+                broken("completeness_gate", based.join(runs.where(whole).select("id"), "id", "left_anti"), "target", "id")
+        if candidates is not None and "candidate_run_id" in candidates.columns:
+            broken("candidate_of_run", candidates.join(runs.select(F.col("id").alias("candidate_run_id")), "candidate_run_id", "left_anti"), "id")
+    if target is not None:
+        scopes = target.groupBy(F.col("websiteId").alias("website_id")).agg(F.max("scope_version").alias("_now"))
+        beyond = lambda df: df.join(scopes, "website_id").where(F.col("scope_version") > F.col("_now"))
+        broken("scope_isolation", beyond(site_url), "website_id", "scope_version", "url")
+        if events is not None:
+            broken("scope_isolation", beyond(events), "id")
+    if events is not None:
+        known = site_url.select("website_id", "scope_version", "url")
+        broken("scope_isolation", events.join(known, ["website_id", "scope_version", "url"], "left_anti"), "id")
+    return reduce(DataFrame.unionAll, parts)

@@ -367,7 +367,7 @@ OWN_EXPIRY = SUSP.replace(
 ).replace(f"INTERVAL {TTL_DAYS} DAY", f"to_hours(least(336, greatest(72, 3 * ({INTERVAL})))::BIGINT)")
 
 
-@query(
+CANDIDATE_ROWS = (
     OWN_EXPIRY
     + f""", met AS (SELECT f.*, list_filter(b.u, lambda y: NOT list_contains(s.u, y)) AS m FROM fold f JOIN sets s USING (run_id) JOIN sets b ON b.run_id = f.base_run),
 ended AS (SELECT met AS run_id, outcome, run_id AS by_run, m FROM met WHERE outcome IN ('confirmed', 'expired', 'missing_set_changed')),
@@ -382,15 +382,22 @@ SELECT o.run_id AS candidate_run_id, o.base_run AS origin_baseline_run_id, o.see
   CASE WHEN e.outcome IN ('confirmed', 'missing_set_changed') THEN e.by_run END AS last_confirmation_run_id
 FROM opened o LEFT JOIN ended e USING (run_id)""".replace("target_id::", "o.target_id::")
 )
+
+
+@query(CANDIDATE_ROWS)
 def p3_candidate_rows(spark, sf_dir):
     """The candidates of all histories as rows, each target's expiring by its own interval (6, 40, 60 or 500 hours)."""
+    return pressed_candidates(spark, sf_dir).drop("website_id", "target_id", "scope_version")
+
+
+def pressed_candidates(spark, sf_dir):
     obs, runs = _obs(spark, sf_dir)
     n = F.col("target_id").cast("long") % 4
     targets = runs.select("target_id").distinct().withColumn("checkIntervalHours", F.when(n == 0, 6).when(n == 1, 40).when(n == 2, 60).otherwise(500))
     month = (F.year("observed_at") - 1990) * 12 + F.month("observed_at")
     pressed = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + month * 72_000)
     timed = adopt.with_expiry(runs.withColumn("observed_at", pressed), targets)
-    return adopt.candidate_rows(adopt.decide_history(obs, timed, LEAST, RATIO)).drop("website_id", "target_id", "scope_version")
+    return adopt.candidate_rows(adopt.decide_history(obs, timed, LEAST, RATIO))
 
 
 #: Each third target's scope moves on in the middle of 1995. Each fourth month's runs after that still come with the old one.

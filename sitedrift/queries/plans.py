@@ -18,6 +18,7 @@ from ..scratch import fresh_folder
 from ..sources import tables as src
 from ..streaming import jobs
 from .base import as_stream, query
+from .inventory import CANDIDATE_ROWS, pressed_candidates
 from .scalars import SERIES
 from .views import INV, ROUTED, facts, named
 
@@ -332,7 +333,44 @@ def q1_check_invariants(spark, sf_dir):
             "execution_status": F.when(F.col("execution_status") == "failed", "running").otherwise(F.col("execution_status")),
         }
     )
-    return upkeep.check_invariants(broken, runs=runs)
+    return upkeep.check_invariants(broken, runs=runs.drop("adoption_status"))
+
+
+@query(
+    INV
+    + f"""SELECT 'candidate_counts' AS rule, candidate_run_id AS key FROM ({CANDIDATE_ROWS}) WHERE candidate_run_id LIKE '%05'
+UNION ALL SELECT 'candidate_expiry', candidate_run_id FROM ({CANDIDATE_ROWS}) WHERE candidate_run_id LIKE '%06'
+UNION ALL SELECT 'candidate_of_run', candidate_run_id FROM ({CANDIDATE_ROWS}) WHERE candidate_run_id LIKE '%08'
+UNION ALL SELECT 'one_pending_candidate', concat(website_id, '/1') FROM (SELECT split_part(candidate_run_id, '-', 1) AS website_id, status,
+  candidate_run_id LIKE '%01' AS late FROM ({CANDIDATE_ROWS})) WHERE status = 'pending' OR late GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT 'completeness_gate', run_id FROM {{runs}} WHERE run_id LIKE '%07'
+UNION ALL SELECT 'completeness_gate', concat(id, '/', baseline_run_id) FROM {{target}} WHERE baseline_run_id IS NOT NULL
+UNION ALL SELECT 'scope_isolation', ev0.id FROM ev0 JOIN {{target}} t ON t.websiteId = ev0.website_id WHERE url LIKE '%3'
+UNION ALL SELECT 'scope_isolation', id FROM ev0 WHERE url LIKE '%3'
+UNION ALL SELECT 'scope_isolation', concat(s0.website_id, '/2/', url) FROM s0 JOIN {{target}} t ON t.websiteId = s0.website_id WHERE url LIKE '%5'"""
+)
+def q1_check_rules(spark, sf_dir):
+    """Candidates of all histories, runs, targets and the inventory with faults of each kind planted: what is found is them."""
+    site_url, events = facts(spark, sf_dir)
+    ends = lambda c, text: F.endswith(c, F.lit(text))
+    scope = lambda text: F.when(ends("url", text), 2).otherwise(F.col("scope_version")).cast("int")
+    c = pressed_candidates(spark, sf_dir).withColumn("id", F.col("candidate_run_id"))
+    candidates = c.withColumns(
+        {
+            "pending_count": F.col("pending_count") + ends("id", "05").cast("int"),
+            "expires_at": F.col("expires_at") + F.when(ends("id", "06"), F.expr("INTERVAL 30 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")),
+            "status": F.when(ends("id", "01"), "pending").otherwise(F.col("status")),
+        }
+    )
+    runs = table(spark, sf_dir, "runs").where(~ends("run_id", "08")).select(
+        F.col("run_id").alias("id"), "target_id", F.lit(1).alias("attempt"), F.lit("succeeded").alias("execution_status"),
+        F.when(ends("run_id", "07"), "partial").otherwise("complete").alias("completeness"), F.lit("applied").alias("adoption_status"),
+    )
+    target = table(spark, sf_dir, "target")
+    # events keep to the inventory as it is, and the inventory's own fault is tested apart
+    found = upkeep.check_invariants(site_url, candidates, runs, target, events.withColumn("scope_version", scope("3")))
+    beyond = upkeep.check_invariants(site_url.withColumn("scope_version", scope("5")), target=target)
+    return found.unionByName(beyond)
 
 
 @query("SELECT id FROM {run} WHERE adoption_status = 'baseline' OR (adoption_status = 'quarantined' AND attempt > 1)")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bindings import table
@@ -110,9 +113,9 @@ def t6_candidate_urls_page(spark, sf_dir):
         F.col("run_id").alias("candidate_id"), "url", F.col("url_hash").alias("normalized_url_hash"), F.lit("pending").alias("resolution")
     )
     most = missing.groupBy("candidate_id").count().orderBy(F.desc("count"), "candidate_id").first()
-    page = vi.candidate_urls_page(missing, most.candidate_id if most else None, 3, 2)
-    total = vi.page_total(missing.where(F.col("candidate_id") == (most.candidate_id if most else None)), 3, 2)
-    return page.crossJoin(F.broadcast(total.withColumn("next_offset", F.col("next_offset").cast("int"))))
+    path = fresh_folder(spark, "t6")
+    vi.write_candidate_urls(missing, path)
+    return vi.candidate_urls_page(spark, path, missing.schema, most.candidate_id if most else "", 3, 2)
 
 
 @query(
@@ -155,15 +158,31 @@ used AS (SELECT id FROM s WHERE NOT gone UNION SELECT id FROM x WHERE live)
 
 
 @query(
-    "WITH " + KEPT + """SELECT 'sources' AS kept, count(*) AS n_rows, sum(n)::BIGINT AS ids FROM s WHERE NOT gone
-UNION ALL SELECT 'cache', count(*), sum(n)::BIGINT FROM x WHERE live
-UNION ALL SELECT 'runs', count(*), sum(n)::BIGINT FROM r WHERE created_at >= TIMESTAMP '1998-01-01' - INTERVAL 180 DAY OR id IN (SELECT id FROM keep) OR execution_status = 'queued'
-UNION ALL SELECT 'attempts', count(*), sum(n)::BIGINT FROM r WHERE created_at >= TIMESTAMP '1998-01-01' - INTERVAL 180 DAY OR id IN (SELECT id FROM keep)
-UNION ALL SELECT 'revisions', count(*), sum(n)::BIGINT FROM r WHERE created_at >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY OR id IN (SELECT id FROM used)"""
+    "WITH " + KEPT + """SELECT 'sources' AS kept, id, true AS whole FROM s WHERE NOT gone
+UNION ALL SELECT 'cache', id, true FROM x WHERE live
+UNION ALL SELECT 'runs', id, created_at >= TIMESTAMP '1998-01-01' - INTERVAL 180 DAY OR id IN (SELECT id FROM keep) OR execution_status = 'queued' FROM r
+UNION ALL SELECT 'attempts', id, created_at >= TIMESTAMP '1998-01-01' - INTERVAL 180 DAY OR id IN (SELECT id FROM keep) FROM r
+UNION ALL SELECT 'revisions', id, true FROM r WHERE created_at >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY OR id IN (SELECT id FROM used)"""
 )
 @named("run")
 def p12_retention(run):
-    """What retention leaves of all five tables on the first of 1998: rows, or their results and errors, by number."""
+    """What retention leaves of five stored tables on the first of 1998, done twice: every row that is still there, and whether its
+    results and errors are."""
+    spark = run.sparkSession
+    target, cand, tables = _to_retain(run)
+    folder = fresh_folder(spark, "p12")
+    upkeep.store_retained(tables, folder)
+    for batch in (1, 2):
+        upkeep.retain_stored(spark, folder, target, cand, datetime.datetime(1998, 1, 1), batch)
+    left = upkeep.read_retained(spark, folder)
+    whole = {"runs": "result IS NOT NULL AND error IS NOT NULL", "attempts": "error IS NOT NULL"}
+    ids = {"sources": "run_id", "cache": "revision_id", "runs": "id", "attempts": "run_id", "revisions": "id"}
+    parts = [df.select(F.lit(k).alias("kept"), F.col(ids[k]).alias("id"), F.expr(whole.get(k, "true")).alias("whole")) for k, df in left.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _to_retain(run):
+    """(targets, candidates, the five tables) out of runs by number."""
     n, none = F.col("id").cast("long"), F.lit(None).cast("string")
     text, at = lambda v: F.lit(v).cast("string"), F.col("created_at").cast("timestamp")
     runs = run.select("id", "execution_status", at.alias("finished_at"), text("{}").alias("result"), text("e").alias("error"))
@@ -176,21 +195,10 @@ def p12_retention(run):
     cache = cached.select(F.concat(F.lit("c"), "id").alias("target_id"), (1 + n % 2).cast("int").alias("scope_version"), F.col("id").alias("revision_id"))
     target = target.unionByName(cached.select(F.concat(F.lit("c"), "id").alias("id"), F.lit(1).alias("scope_version"), none.alias("baseline_run_id")))
     cand = run.where(n % 70 == 1).select(F.lit("pending").alias("status"), F.col("id").alias("candidate_run_id"), none.alias("origin_baseline_run_id"), none.alias("last_confirmation_run_id"))
+    cache = cache.withColumn("source_url", F.lit("u"))
+    attempts = attempts.join(runs.select(F.col("id").alias("run_id"), "finished_at"), "run_id")
     revisions = run.select("id", at.alias("created_at"))
-    out = upkeep.retention(target, cand, runs, attempts, sources, cache, revisions, F.lit("1998-01-01").cast("timestamp"))
-    left = {
-        "sources": out["sources"].select(F.col("run_id").alias("id")),
-        "cache": out["cache"].select(F.col("revision_id").alias("id")),
-        "runs": out["runs"].where("result IS NOT NULL AND error IS NOT NULL").select("id"),
-        "attempts": out["attempts"].where("error IS NOT NULL").select(F.col("run_id").alias("id")),
-        "revisions": out["revisions"].select("id"),
-    }
-    count = lambda k, df: df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("id").cast("long")).alias("ids")).withColumn("kept", F.lit(k))
-    parts = [count(k, df) for k, df in left.items()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    return target, cand, {"sources": sources, "cache": cache, "runs": runs, "attempts": attempts, "revisions": revisions}
 
 
 @query(

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import table
 from ..operators import inventory as inv
+from ..operators import pages
 from ..operators import summaries as su
 from ..operators import views as vi
 from ..scratch import fresh_folder, partitions
@@ -363,17 +366,32 @@ def w7_recent_alerts_per_target(alert):
     return vi.recent_alerts_per_target(alert, 4).select("id", "targetId", "rank")
 
 
-@query("SELECT id, name FROM {groups} WHERE contains(lower(name), 'a') ORDER BY name, id LIMIT 10 OFFSET 3")
+@query(
+    """WITH g AS (SELECT id, name FROM {groups} WHERE contains(lower(name), 'a'))
+SELECT id, name, (SELECT count(*) FROM g) AS total, CASE WHEN (SELECT count(*) FROM g) > 13 THEN 13 END::INT AS next_offset FROM g ORDER BY name, id LIMIT 10 OFFSET 3"""
+)
 @named("groups")
 def t4_group_listing(groups):
-    return vi.group_listing(groups, "A", 10, 3).select("id", "name")
+    return vi.group_listing(groups, "A", 10, 3).select("id", "name", "total", "next_offset")
+
+
+#: Offsets of the pages of fifty that are read: the first, one in between, and deep ones that some tables don't reach.
+OFFSETS = (0, 100, 1_150, 11_930, 199_800)
 
 
-@query(INV + "SELECT website_id, url, status FROM s0 ORDER BY sha256(url), website_id LIMIT 50 OFFSET 100")
+@query(
+    INV
+    + f""", o AS (SELECT website_id, url, status, row_number() OVER (ORDER BY sha256(url), website_id) - 1 AS k, count(*) OVER () AS total FROM s0)
+SELECT page, website_id, url, status, total, CASE WHEN total > page + 50 THEN page + 50 END::INT AS next_offset
+FROM o JOIN (SELECT unnest({list(OFFSETS)})::INT AS page) ON k >= page AND k < page + 50"""
+)
 def t1_page_offset(spark, sf_dir):
-    rows = facts(spark, sf_dir)[0]
-    page = vi.page_offset(rows, [F.col("normalized_url_hash"), F.col("website_id")], 50, 100)
-    return page.select("website_id", "url", "status")
+    """Pages of the whole inventory in order of hash, each from the ranges it lies in."""
+    path, order = fresh_folder(spark, "t1"), [F.col("normalized_url_hash"), F.col("website_id")]
+    rows = facts(spark, sf_dir)[0].select("website_id", "url", "status", "normalized_url_hash")
+    pages.write_index(rows, path, order, range_rows=500)
+    read = lambda k: pages.read_page(spark, path, rows.schema, order, 50, k).withColumn("page", F.lit(k))
+    return reduce(DataFrame.unionByName, map(read, OFFSETS)).drop("normalized_url_hash")
 
 
 @query(INV + "SELECT id, kind FROM ev0 WHERE (observed_at, id) < (TIMESTAMP '1996-01-01', '9') ORDER BY observed_at DESC, id DESC LIMIT 101")

@@ -1,8 +1,9 @@
-"""Tables kept in buckets by a hash of their key, of which a batch reads and writes only those it touches.
+"""Tables kept in buckets, of which a batch reads and writes only those it touches.
 
-Below a table's folder lie versions of buckets, v=<batch>/bucket=<k>, and a manifest that names the last version of each
-bucket. A version's folder is written first, then one manifest file, so readers see a whole batch or none of it. A batch
-that is repeated starts from the versions before it and writes its own again, so it changes nothing.
+A bucket is a whole number made of a row's columns: a hash of its key, or the quarter of a moment. Below a table's folder lie
+versions of buckets, v=<batch>/bucket=<k>, and a manifest that names the last version of each bucket. A version's
+folder is written first, then one manifest file, so readers see a whole batch or none of it. A batch that is repeated
+starts from the versions before it and writes its own again, so it changes nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ BUCKETS = 64
 MANIFEST = "batch_id long, bucket int, n long"
 
 
-def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
+def by_hash(keys: list[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def touched(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> list[int]:
+def by_quarter(moment: str) -> Column:
+    """Quarters since the year 0; 0 for none."""
+    return F.coalesce(F.year(moment) * 4 + F.quarter(moment), F.lit(0)).cast("int")
+
+
+def touched(rows: DataFrame, bucket: Column) -> list[int]:
     """The buckets that rows fall in: as many numbers as there are buckets at most."""
-    return sorted(r[0] for r in rows.select(bucket_of(keys, buckets)).distinct().collect())
+    return sorted(r[0] for r in rows.select(bucket).distinct().collect())
 
 
 def versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
@@ -48,14 +54,17 @@ def read_buckets(spark: SparkSession, path: str, schema, only: Iterable[int] | N
     return spark.read.schema(empty.schema).parquet(*paths) if paths else empty
 
 
-def write_buckets(rows: DataFrame, path: str, keys: list[str], batch_id: int, only: Iterable[int], buckets: int = BUCKETS) -> None:
-    """A new version of the buckets of only, which rows hold whole; a bucket without rows is empty from then on. rows are
+def write_buckets(rows: DataFrame, path: str, bucket: Column, batch_id: int, only: list[int]) -> None:
+    """A new version of the buckets of only, which rows hold whole; a bucket without rows is empty from then on. Rows are
     dealt by bucket, so a bucket is one file."""
+    if not only:
+        return
     spark = rows.sparkSession
     folder = f"{path}/v={batch_id}"
-    named = rows.withColumn("bucket", bucket_of(keys, buckets)).repartition(max(1, min(buckets, len(list(only)))), "bucket")
+    named = rows.withColumn("bucket", bucket).repartition(len(only), "bucket")
     named.write.mode("overwrite").partitionBy("bucket").parquet(folder)
     asked = spark.createDataFrame([(k,) for k in only], "bucket int")
     sizes = spark.read.schema("bucket int").parquet(folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    manifest = asked.join(F.broadcast(sizes), "bucket", "left").select(F.lit(batch_id).cast("long").alias("batch_id"), "bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    manifest = asked.join(F.broadcast(sizes), "bucket", "left")
+    manifest = manifest.select(F.lit(batch_id).cast("long").alias("batch_id"), "bucket", F.coalesce("n", F.lit(0)).alias("n"))
     manifest.coalesce(1).write.mode("append").json(f"{path}/_manifest")

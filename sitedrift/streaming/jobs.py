@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import adopt
 from ..operators.adopt import SITE
 from ..scratch import stored
-from ..sources.buckets import BUCKETS, read_buckets, touched, write_buckets
+from ..sources.buckets import BUCKETS, by_hash, read_buckets, touched, write_buckets
 from ..sources.tables import write_events
 
 
@@ -52,9 +52,10 @@ def stream_adopt(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        only = touched(batch, SITE, buckets)
+        bucket = by_hash(SITE, buckets)
+        only = touched(batch, bucket)
         old = lambda name, schema: read_buckets(spark, f"{folder}/{name}", schema, only, batch_id)
-        put = lambda df, name: write_buckets(df, f"{folder}/{name}", SITE, batch_id, only, buckets)
+        put = lambda df, name: write_buckets(df, f"{folder}/{name}", bucket, batch_id, only)
         state = old("state", adopt.empty_state(batch).schema)
         heads, held = old("heads", HEADS), old("held", HELD)
         made_from = ["origin_baseline_run_id"] if "origin_baseline_run_id" in batch.columns else []
