@@ -68,18 +68,23 @@ def line_diffs(pairs: DataFrame, lines: int = PREVIEW_LINES) -> DataFrame:
     old, new = exploded("before"), exploded("after")
     lacking = lambda a, b: a.join(b.select("id", "line").distinct(), ["id", "line"], "left_anti")
     side = lacking(new, old).withColumn("added", F.lit(True)).unionByName(lacking(old, new).withColumn("added", F.lit(False)))
-    side = stored(side, "lines")
-    counts = side.groupBy("id").agg(F.count_if("added").alias("n_added"), F.count_if(~F.col("added")).alias("n_removed"))
-    w = Window.partitionBy("id", "added").orderBy("pos")
-    first = side.withColumn("k", F.row_number().over(w)).where(F.col("k") <= lines)
-    of = lambda added: F.array_sort(F.collect_list(F.when(F.col("added") == F.lit(added), F.struct("k", "line"))))["line"]
-    tops = first.groupBy("id").agg(of(True).alias("new"), of(False).alias("gone"))
-    whole = long.select("id").join(counts, "id", "left").join(tops, "id", "left").fillna(0, ["n_added", "n_removed"])
+    whole = long.select("id").join(first_and_counts(side, lines), "id", "left").fillna(0, ["n_added", "n_removed"])
     none = F.array().cast("array<string>")
     d = preview_of(F.coalesce("new", none), F.col("n_added"), F.coalesce("gone", none), F.col("n_removed"), lines)
     return near.unionByName(whole.select("id", d.alias("d")))
 
 
+def first_and_counts(side: DataFrame, most: int) -> DataFrame:
+    """id, n_added, n_removed, new, gone of rows (id, pos, line, added): how many there are on each side, and the first most of
+    them in order of pos. No more than those are gathered."""
+    side = stored(side, "sides")
+    counts = side.groupBy("id").agg(F.count_if("added").alias("n_added"), F.count_if(~F.col("added")).alias("n_removed"))
+    w = Window.partitionBy("id", "added").orderBy("pos")
+    first = side.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    of = lambda added: F.array_sort(F.collect_list(F.when(F.col("added") == F.lit(added), F.struct("k", "line"))))["line"]
+    return counts.join(first.groupBy("id").agg(of(True).alias("new"), of(False).alias("gone")), "id")
+
+
 def content_alerts(snap: DataFrame, order: str = "taken") -> DataFrame:
     """PAGE_CONTENT alerts with a line preview; first snapshots never alert."""
     rows = line_diffs(changed_pairs(snap, order))

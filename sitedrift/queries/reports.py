@@ -15,7 +15,7 @@ from ..operators import adopt
 from ..operators import inventory as inv
 from ..operators import snapshots as sn
 from ..operators import views as vi
-from ..plans import upkeep
+from ..plans import alerts, upkeep
 from ..scratch import fresh_folder
 from ..sources import tables as src
 from ..streaming import jobs
@@ -86,6 +86,63 @@ def x34_price_texts(spark, sf_dir):
     return changes.select("id", text.alias("text"))
 
 
+#: The alerts of the three kinds, over one table of snapshots: each has SQL of its own above.
+DETECTED = (
+    PAIRS.strip()
+    + f""", ld AS (SELECT target_id, run_id, url, 'added' AS change FROM b ANTI JOIN a USING (target_id, run_id, url)
+UNION ALL SELECT target_id, run_id, url, 'removed' FROM a ANTI JOIN b USING (target_id, run_id, url)),
+le AS (SELECT target_id, run_id, change, count(*) AS n, list_sort(list(url)) AS urls FROM ld
+  WHERE coalesce({LINK_SCOPE}, 'BOTH') IN ('BOTH', CASE change WHEN 'added' THEN 'NEW' ELSE 'REMOVED' END) GROUP BY ALL),
+"""
+    + LINES.strip().removeprefix("WITH ")
+    + ", "
+    + CHANGED_PRICES.strip().removeprefix("WITH ").replace("c AS (SELECT page::VARCHAR AS page, id,", "pc AS (SELECT page::VARCHAR AS page, createdAt, id,", 1).replace("FROM c)", "FROM pc)").replace("t AS (SELECT", "pt AS (SELECT", 1)
+    + """
+SELECT concat('run-', run_id) AS snapshot_id, CASE change WHEN 'added' THEN 'NEW_LINK' ELSE 'REMOVED_LINK' END AS kind,
+  concat(n, CASE change WHEN 'added' THEN ' new link' ELSE ' link' END, CASE WHEN n <> 1 THEN 's' ELSE '' END,
+    CASE change WHEN 'added' THEN ' on s' ELSE ' removed from s' END, target_id, '.example.com') AS title,
+  concat('{"', change, '":', to_json(urls[1:100])::VARCHAR, '}') AS details FROM le
+UNION ALL SELECT concat('text-', v.id), 'PAGE_CONTENT', concat('Content changed on ', s.targetUrl), concat('{"pageUrl":', to_json(s.targetUrl)::VARCHAR,
+  ',"diffPreview":', to_json(preview)::VARCHAR, ',"totalAdded":', n_a, ',"totalRemoved":', n_r, '}') FROM v JOIN {snap} s ON s.id = v.id
+UNION ALL SELECT concat('price-', page, '/', id, '/', strftime(createdAt, '%Y-%m-%d')), 'PRODUCT_PRICE', concat('Price change: ', page, ' (', old, ' → ', new, ')'),
+  concat('{"pageUrl":"', page, '","productName":null,"previousPrice":', coalesce(previous_price::BIGINT::VARCHAR, 'null'),
+    ',"previousCurrency":', coalesce('"' || previous_currency || '"', 'null'), ',"newPrice":', coalesce(price::BIGINT::VARCHAR, 'null'),
+    ',"newCurrency":', coalesce('"' || currency || '"', 'null'), '}') FROM pt"""
+)
+
+
+@query(DETECTED)
+def p8_detect_alerts(spark, sf_dir):
+    """Link sets of all runs, all texts and all prices as one table of snapshots, and a target for each page."""
+    none = F.lit(None).cast("string")
+    obs = table(spark, sf_dir, "obs").groupBy("target_id", "run_id", "observed_at").agg(F.to_json(F.array_sort(F.collect_list("url"))).alias("payload"))
+    links = obs.select(
+        F.concat(F.lit("run-"), "run_id").alias("id"), F.col("target_id").alias("websiteId"), F.lit("SITEMAP").alias("kind"), none.alias("targetUrl"),
+        "payload", F.unix_seconds("observed_at").alias("taken"), F.lit(0).cast("long").alias("n"),
+    )
+    texts = table(spark, sf_dir, "snap").select(
+        F.concat(F.lit("text-"), "id").alias("id"), F.concat(F.lit("t/"), "websiteId").alias("websiteId"), "kind", "targetUrl", "payload", "taken", F.lit(0).cast("long").alias("n"),
+    )
+    product = F.struct("is_product_page", F.lit(None).cast("string").alias("productName"), "price", "currency")
+    prices = table(spark, sf_dir, "price").select(
+        F.concat(F.lit("price-"), "page", F.lit("/"), "id", F.lit("/"), F.date_format("createdAt", "yyyy-MM-dd")).alias("id"), F.lit("shop").alias("websiteId"), F.lit("PRODUCT").alias("kind"), F.col("page").cast("string").alias("targetUrl"),
+        F.to_json(product).alias("payload"), F.unix_seconds(F.col("createdAt").cast("timestamp")).alias("taken"), F.col("id").alias("n"),
+    )
+    snap = links.unionByName(texts).unionByName(prices)
+    # ids of one moment are in order of their numbers
+    snap = snap.withColumn("hash", F.sha2("payload", 256)).withColumn("taken", F.struct("taken", "n"))
+    sites = links.select("websiteId").distinct()
+    number = F.col("websiteId").cast("long") % 4
+    scope = F.when(number == 0, "BOTH").when(number == 1, "NEW").when(number == 2, "REMOVED")
+    target = sites.select(F.concat(F.lit("l_"), "websiteId").alias("id"), "websiteId", F.lit("SITEMAP_LINKS").alias("kind"), scope.alias("linkScope"), none.alias("pageUrl"))
+    for rows, kind in ((texts, "PAGE_CONTENT"), (prices, "PRODUCT_PRICE")):
+        pages = rows.select("websiteId", "targetUrl").distinct()
+        name = F.concat_ws("/", F.lit(kind), "websiteId", "targetUrl").alias("id")
+        target = target.unionByName(pages.select(name, "websiteId", F.lit(kind).alias("kind"), none.alias("linkScope"), F.col("targetUrl").alias("pageUrl")))
+    website = sites.select(F.col("websiteId").alias("id"), F.concat(F.lit("s"), "websiteId", F.lit(".example.com")).alias("domain"))
+    return alerts.detect_alerts(snap, target, website).select("snapshot_id", "kind", "title", "details")
+
+
 @query(
     LINES
     + """SELECT id, sha256(concat('Page: page ', id, chr(10), 'Lines added: ', n_a, ', removed: ', n_r, chr(10), chr(10), 'Diff:', chr(10),
