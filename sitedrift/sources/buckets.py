@@ -68,3 +68,18 @@ def write_buckets(rows: DataFrame, path: str, bucket: Column, batch_id: int, onl
     manifest = asked.join(F.broadcast(sizes), "bucket", "left")
     manifest = manifest.select(F.lit(batch_id).cast("long").alias("batch_id"), "bucket", F.coalesce("n", F.lit(0)).alias("n"))
     manifest.coalesce(1).write.mode("append").json(f"{path}/_manifest")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes the folders of versions that no bucket is read from any more. Batches can't be repeated from then on, and readers
+    of older versions must be done."""
+    found = versions(spark, path)
+    if found is None:
+        return
+    live = {f"v={r[0]}" for r in found.where("n > 0").select("batch_id").distinct().collect()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("v=") and name not in live:
+            fs.delete(entry.getPath(), True)

@@ -10,7 +10,7 @@ from sitedrift.operators import adopt
 from sitedrift.operators import inventory as inv
 from sitedrift.plans.upkeep import check_invariants
 from sitedrift.scratch import stored
-from sitedrift.sources import tables
+from sitedrift.sources import buckets
 from sitedrift.streaming import jobs
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -165,10 +165,11 @@ def test_adoption_by_micro_batches(spark, tmp_path):
     # a first observation comes to be when its candidate is confirmed, and has its own row then
     decisions = decisions.withColumn("outcome", F.when(F.col("decision") != "first_observation", F.col("outcome")))
     events = spark.read.parquet(f"{out}/events")
-    state = tables.read_state(spark, f"{out}/state")
+    state = buckets.read_buckets(spark, f"{out}/state", closed_schema := adopt.empty_state(obs).schema)
+    assert closed_schema.names == adopt.STATE
     found = {r.run_id: r.decision for r in decisions.collect()}
     assert "late" not in found
-    assert [r.run_id for r in spark.read.parquet(f"{out}/stale/*").collect()] == ["late"]
+    assert [r.run_id for r in spark.read.parquet(f"{out}/stale/*").where("reason = 'late'").collect()] == ["late"]
     for t, (_, want, gone, _) in SCENARIOS.items():
         assert [found[f"{t}-{k}"] for k in range(len(want))] == want, t
         assert state.where((F.col("target_id") == t) & (F.col("status") == "removed")).count() == gone
