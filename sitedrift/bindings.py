@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import fresh_folder
+from .scratch import kept
 
 OBS = """
 SELECT DISTINCT CAST(l_suppkey AS STRING) AS website_id, CAST(l_suppkey AS STRING) AS target_id, 1 AS scope_version,
@@ -105,9 +105,9 @@ BINDINGS = {
 }
 
 
-#: Bindings that are written once for an application and its tables: what a monitor stores rather than derives.
-KEPT = {"obs"}
-_FOLDERS: dict[tuple[str, str, str], str] = {}
+#: Bindings that are written once for an application and its tables, as a monitor stores them rather than derives them, and the
+#: given tables they are made of.
+KEPT = {"obs": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,12 +116,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in KEPT:
         return _derived(spark, sf_dir, name)
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FOLDERS:
-        folder = fresh_folder(spark, name)
-        _derived(spark, sf_dir, name).write.parquet(folder)
-        _FOLDERS[key] = folder
-    return spark.read.parquet(_FOLDERS[key])
+    sources = [f"{sf_dir}/{t}.parquet" for t in KEPT[name]]
+    return spark.read.parquet(kept(spark, name, sources, lambda folder: _derived(spark, sf_dir, name).write.parquet(folder)))
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import snapshots as sn
 from ..operators import summaries as su
 from ..operators import views as vi
 from ..plans import scan, upkeep
+from ..sources import buckets
 from ..sources import tables as src
 from ..streaming import jobs
 from ..scratch import fresh_folder as work_folder
@@ -264,6 +265,18 @@ def s5_write_state(spark, sf_dir):
     return src.read_state(spark, path)
 
 
+@query("SELECT id, n, CASE WHEN n % 7 = 3 THEN 'changed' ELSE 'kept' END AS state FROM {target} WHERE n % 7 <> 5")
+def s5_state_in_buckets(spark, sf_dir):
+    """A table in buckets by n % 7: batches change one bucket, empty another, and come again."""
+    rows, path = table(spark, sf_dir, "target").select("id", "n", F.lit("kept").alias("state")), f"{work_folder(spark, 's5')}/state"
+    bucket = (F.col("n") % 7).cast("int")
+    buckets.write_buckets(rows, path, bucket, 0, list(range(7)))
+    for batch in (1, 1):
+        old = buckets.read_buckets(spark, path, rows.schema, [3, 5], batch)
+        buckets.write_buckets(old.where(bucket == 3).withColumn("state", F.lit("changed")), path, bucket, batch, [3, 5])
+    return buckets.read_buckets(spark, path, rows.schema)
+
+
 @query("SELECT DISTINCT run_id AS id FROM {obs}")
 def s6_append_revisions(spark, sf_dir):
     runs = table(spark, sf_dir, "runs").select(F.col("run_id").alias("id"))

@@ -14,7 +14,7 @@ from ..operators import inventory as inv
 from ..operators import snapshots as sn
 from ..operators import views as vi
 from ..plans import notify, rescan, scan, upkeep
-from ..scratch import fresh_folder
+from ..scratch import fresh_folder, kept
 from ..sources import tables as src
 from ..streaming import jobs
 from .base import as_stream, query
@@ -70,20 +70,16 @@ def x6_public_address(orders):
     return orders.select("o_orderkey", web.public_address(text).alias("public"))
 
 
-#: Folders of the files of (application, tables).
-_FILES: dict[tuple[str, str], str] = {}
-
-
 def scan_files(spark, sf_dir):
     """(files, roots): an index and up to three files of URLs for each run. What a scan fetches, so written once for an
     application and its tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FILES:
-        folder = fresh_folder(spark, "scan")
+
+    def write(folder):
         for name, df in zip(("files", "roots"), _made_files(spark, sf_dir), strict=True):
             df.write.parquet(f"{folder}/{name}")
-        _FILES[key] = folder
-    return tuple(spark.read.parquet(f"{_FILES[key]}/{n}") for n in ("files", "roots"))
+
+    folder = kept(spark, "scan", [f"{sf_dir}/lineitem.parquet"], write)
+    return tuple(spark.read.parquet(f"{folder}/{n}") for n in ("files", "roots"))
 
 
 def _made_files(spark, sf_dir):

@@ -202,21 +202,22 @@ def x17_alert_titles(alert):
 
 
 @query(
-    """SELECT id, s % 3 = 0 AS slack, s % 3 <> 1 AS webhook, CASE WHEN s % 2 = 0 THEN ['a@example.com', 'b.c@x.org'] ELSE ['d@e.fr'] END AS emails
-FROM (SELECT id, split_part(id, '_', 2)::INT AS s FROM {destination})"""
+    """SELECT page_id, site = 0 AS slack, site IN (0, 2) AND page_id % 5 <> 4 AS webhook,
+  CASE WHEN page_id % 4 = 3 THEN '' ELSE concat('p', page_id, '@', host, ' q.r', page_id, '@', host) END AS emails
+FROM (SELECT page_id, page_id % 3 AS site, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages)"""
 )
-@named("destination")
-def x18_addresses(destination):
-    s = F.split_part("id", F.lit("_"), F.lit(2)).cast("int")
-    url = (
-        F.when(s % 3 == 0, F.lit(" https://hooks.slack.com/services/T/B/x"))
-        .when(s % 3 == 1, F.lit("ftp://example.com/x"))
-        .otherwise(F.lit("http://example.com:8080/hook"))
-    )
-    mails = F.when(s % 2 == 0, F.lit("a@example.com, nobody\n b.c@x.org")).otherwise(F.lit("@x.y,d@e.fr,,"))
-    return destination.select(
-        "id", tx.valid_slack_url(url).alias("slack"), tx.valid_webhook_url(url).alias("webhook"), tx.parse_emails(mails).alias("emails")
-    )
+@named("pages")
+def x18_addresses(pages):
+    """Each page's URL as a webhook, in forms of which some are none, and lists of addresses at its host."""
+    k, n = F.col("page_id") % 3, F.col("page_id")
+    host, path = F.regexp_extract("url", "^https?://([^/:?#]+)", 1), F.regexp_extract("url", "^https?://[^/]*(/?[^ ]*)$", 1)
+    slack = F.concat(F.lit(" https://hooks.slack.com/services/T"), n, path)
+    other = F.when(k == 1, F.concat(F.lit("ftp://"), host)).otherwise(F.concat(F.lit("http://"), host, F.lit(":8080/hook?p="), n))
+    url = F.when(k == 0, slack).otherwise(other)
+    hook = F.when(n % 5 == 4, F.concat(url, F.lit(" and more"))).otherwise(url)
+    good = F.concat(F.lit("p"), n, F.lit("@"), host, F.lit(", nobody, @x.y\n q.r"), n, F.lit("@"), host, F.lit(",,"))
+    mails = F.when(n % 4 == 3, F.concat(F.lit("a..b@"), host, F.lit(",@"), host, F.lit(",x@"), host, F.lit("..com"))).otherwise(good)
+    return pages.select("page_id", tx.valid_slack_url(url).alias("slack"), tx.valid_webhook_url(hook).alias("webhook"), F.array_join(tx.parse_emails(mails), " ").alias("emails"))
 
 
 NOW = "1998-06-01 12:00:00"
@@ -338,13 +339,21 @@ def x36_parse_triage(conversations):
 
 
 @query(
-    """SELECT id, CASE WHEN id % 3 = 0 THEN '{"a":1,"aiChangeSummary":"S"}' ELSE '{"aiChangeSummary":"S"}' END AS merged FROM {alert}"""
+    """SELECT id, CASE WHEN id % 5 IN (3, 4) THEN concat('{"aiChangeSummary":', to_json(concat('about ', title))::VARCHAR, '}')
+  ELSE concat('{"kind":', to_json(kind)::VARCHAR, ',"n":', id, ',"title":', to_json(concat('"', title, '"'))::VARCHAR, ',"aiChangeSummary":', to_json(concat('about ', title))::VARCHAR, '}') END AS merged FROM {alert}"""
 )
 @named("alert")
 def x35_merge_details(alert):
-    k = F.col("id") % 3
-    details = F.when(k == 0, F.lit('{"a":1,"aiChangeSummary":"old"}')).when(k == 1, F.lit("[1]")).otherwise(F.lit("{bad"))
-    return alert.select("id", pa.merge_details(details, F.lit("S")).alias("merged"))
+    """Details of each alert's own fields: without a summary, with one that is replaced, with none, as a list, and broken."""
+    k = F.col("id") % 5
+    fields = F.struct("kind", F.col("id").alias("n"), F.concat(F.lit('"'), "title", F.lit('"')).alias("title"))
+    plain = F.to_json(fields)
+    old = F.to_json(F.struct(F.concat(F.lit('an old, "quoted" one of '), "title").alias("aiChangeSummary"), fields.kind.alias("kind"), fields.n.alias("n"), fields.title.alias("title")))
+    details = (
+        F.when(k == 0, plain).when(k == 1, old).when(k == 2, F.regexp_replace(plain, "}$", ',"aiChangeSummary":null}'))
+        .when(k == 3, F.concat(F.lit("["), plain, F.lit("]"))).otherwise(F.substring(plain, 1, 20))
+    )
+    return alert.select("id", pa.merge_details(details, F.concat(F.lit("about "), "title")).alias("merged"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another if the table is written anew."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], write: Callable[[str], None]) -> str:
+    """A folder that write has filled from these tables: the same one within an application, as long as the tables' files
+    are what they were and the folder is still there."""
+    key = (spark.sparkContext.applicationId, name, *((path, version(spark, path)) for path in sources))
+    folder = _KEPT.get(key)
+    if folder is None or not exists(spark, folder):
+        folder = fresh_folder(spark, name)
+        write(folder)
+        _KEPT[key] = folder
+    return folder

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import _exists
+from ..scratch import exists
 
 BUCKETS = 64
 MANIFEST = "batch_id long, bucket int, n long"
@@ -35,7 +35,7 @@ def touched(rows: DataFrame, bucket: Column) -> list[int]:
 
 def versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """bucket, batch_id, n of the last version of each bucket, or of the last before a batch; None if there is no table."""
-    if not _exists(spark, f"{path}/_manifest"):
+    if not exists(spark, f"{path}/_manifest"):
         return None
     rows = spark.read.schema(MANIFEST).json(f"{path}/_manifest")
     rows = rows if before is None else rows.where(F.col("batch_id") < before)

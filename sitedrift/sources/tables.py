@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.payloads import number_text
 from ..functions.web import MAX_FILE_BYTES, inflate
+from ..scratch import exists
 
 #: Fixed schemas of the monitor's tables.
 SCHEMAS = {
@@ -118,11 +119,6 @@ def new_rows(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_events(events: DataFrame, path: str) -> None:
     """Appends events by day; an event id already there is skipped, so a repeated batch changes nothing.
 
@@ -132,7 +128,7 @@ def write_events(events: DataFrame, path: str) -> None:
     spark = events.sparkSession
     day = F.to_date("observed_at")
     rows = events.dropDuplicates(["id"]).withColumn("observed_date", day)
-    if _exists(spark, path):
+    if exists(spark, path):
         stored_ids = T.StructType([*events.select("id").schema.fields, T.StructField("observed_date", T.DateType())])
         days = rows.select("observed_date").distinct()
         # joined with a small table of days, a scan reads their partitions only
@@ -151,7 +147,7 @@ def write_state(df: DataFrame, path: str, batch_id: int) -> None:
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last published version, or the last before a batch, so that a repeated batch starts from the same one; None
     if there is none."""
-    if not _exists(spark, f"{path}/_pointer"):
+    if not exists(spark, f"{path}/_pointer"):
         return None
     versions = spark.read.schema("batch_id long, path string").json(f"{path}/_pointer")
     if before is not None:
@@ -163,7 +159,7 @@ def read_state(spark: SparkSession, path: str, before: int | None = None) -> Dat
 def append_revisions(new: DataFrame, path: str) -> None:
     """Immutable revisions: only ids that aren't there yet."""
     spark = new.sparkSession
-    rows = new_rows(new, spark.read.schema(new.select("id").schema).parquet(path)) if _exists(spark, path) else new.dropDuplicates(["id"])
+    rows = new_rows(new, spark.read.schema(new.select("id").schema).parquet(path)) if exists(spark, path) else new.dropDuplicates(["id"])
     rows.write.mode("append").parquet(path)
 
 
