@@ -264,6 +264,14 @@ def j4_added_urls(spark, sf_dir):
     return found.select("target_id", "run_id", "url", "kind")
 
 
+@query("SELECT target_id, run_id, url, url_hash FROM {obs_hashed}")
+def u4_dedupe_records(spark, sf_dir):
+    """All observations, half of them twice."""
+    obs = table(spark, sf_dir, "obs_hashed")
+    again = obs.where(F.length("url") % 2 == 0)
+    return inv.dedupe_records(obs.unionAll(again)).select("target_id", "run_id", "url", "url_hash")
+
+
 @query(STATE_SQL)
 def p2_adopt_step_by_step(spark, sf_dir):
     """All runs folded by the adoption rules in each URL's row: equals the closed form."""

@@ -293,6 +293,32 @@ def p10_build_notifications(alert, target, website, destination):
     return out.select("destination_id", "websiteId", "n_alerts", "message")
 
 
+@query(
+    "WITH " + ROUTED + """, k AS (SELECT *, row_number() OVER (PARTITION BY destination_id, websiteId ORDER BY createdAt DESC, id DESC) AS k, id % 7 AS m FROM routed),
+l AS (SELECT *, concat(chr(10), CASE WHEN m = 0 THEN '' WHEN m > 3 THEN '~old 1~' || chr(10) || '_new &lt;1&gt;_' ELSE
+  array_to_string(list_transform(range(1, m + 1), lambda j: CASE WHEN j % 2 = 1 THEN '~old ' || ((j + 1) // 2) || '~' ELSE '_new &lt;' || (j // 2) || '&gt;_' END), chr(10)) END) AS lines FROM k)
+SELECT destination_id, websiteId, concat('header: Site monitor: ', count(*), ' new change', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, chr(10), 'section: *', domain, '*', chr(10),
+  string_agg(concat('divider: ', chr(10), 'section: *<https://app/alerts/', id, '|', replace(title, 'https://', ''), '>*', CASE WHEN m = 0 THEN '' ELSE lines END,
+    CASE WHEN m > 3 THEN concat(chr(10), 'actions: View all ', m, ' changes https://app/alerts/', id) ELSE '' END), chr(10) ORDER BY k) FILTER (k <= 5),
+  CASE WHEN count(*) > 5 THEN concat(chr(10), 'divider: ', chr(10), 'section: _… and ', count(*) - 5, ' more change', CASE WHEN count(*) > 6 THEN 's' ELSE '' END, '_') ELSE '' END,
+  chr(10), 'divider: ', chr(10), 'section: <https://app/alerts/', max(CASE WHEN k = 1 THEN id END), '|Open in Site monitor>') AS blocks
+FROM l GROUP BY destination_id, websiteId, domain"""
+)
+@named("alert", "target", "website", "destination")
+def p10_message_blocks(alert, target, website, destination):
+    """Each message's blocks, read back. Alerts have none to six changed lines."""
+    m = (F.col("id") % 7).cast("int")
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda j: F.struct(F.concat(F.lit("- old "), j).alias("old"), F.concat(F.lit("+ new <"), j, F.lit(">")).alias("new")))
+    lines = F.slice(F.flatten(F.transform(pairs, lambda p: F.array(p["old"], p["new"]))), 1, m)
+    preview = F.struct(F.array_join(lines, "\n").alias("diffPreview"), F.floor(m / 2).alias("totalAdded"), F.ceil(m / 2).alias("totalRemoved"))
+    routed = _routed(alert, target, website, destination).withColumn("details", F.when(m > 0, F.to_json(preview)))
+    kind = "array<struct<type: string, text: struct<type: string, text: string>, elements: array<struct<type: string, text: struct<text: string>, url: string>>>>"
+    blocks = F.from_json("blocks", kind)
+    shown = F.transform(blocks, lambda b: F.concat(b["type"], F.lit(": "), F.coalesce(b["text"]["text"], F.concat_ws(" ", b["elements"][0]["text"]["text"], b["elements"][0]["url"]), F.lit(""))))
+    out = notify.message_blocks(routed, "https://app")
+    return out.select("destination_id", "websiteId", F.array_join(shown, "\n").alias("blocks"))
+
+
 @query(
     MESSAGES.replace("SELECT destination_id, websiteId, count(*) AS n_alerts, concat(", "SELECT destination_id, websiteId, domain, 'alerts.new' AS type, 1::BIGINT AS version,"
     " string_agg(concat(id, ' ', kind, ' ', replace(title, 'https://', ''), ' https://app/alerts/', id), chr(10) ORDER BY k) AS alerts, concat(")
