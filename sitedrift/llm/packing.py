@@ -32,7 +32,7 @@ WINDOW = 2048
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 
 #: Remainders that are put together by one task.
 GROUP = 512

@@ -16,7 +16,7 @@ from .vocab import _JOIN, Vocabulary
 #: Bytes of a piece in a matrix.
 LONG = 128
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 
 _CACHE: dict[int, WordIds] = {}
 _NONE = np.int32(2**31 - 1)
