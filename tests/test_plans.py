@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitedrift.operators.inventory import replay_url_lifecycle
-from sitedrift.plans import scan, upkeep
+from sitedrift.operators import pages
+from sitedrift.plans import alerts, scan, upkeep
 from sitedrift.sources import tables
 from sitedrift.streaming import jobs
 from tests.test_inventory import T0, frames
@@ -58,6 +59,78 @@ def test_retention_keeps_what_is_referenced(spark):
     assert {r.id for r in out["revisions"].collect()} == {"rev_base", "rev_y"}
 
 
+def test_stored_retention_repeats(spark, tmp_path):
+    """What goes and what stays is that of the frames; a batch that is repeated and a later one change nothing more, and only
+    old buckets are written."""
+    now, old = T0 + 365 * DAY, T0 - 300 * DAY
+    ids = ["base", "cand", "old", "new"]
+    at = {"base": old, "cand": old, "old": old, "new": now - DAY}
+    runs = spark.createDataFrame([(i, "succeeded", "{}", "e", at[i]) for i in ids], upkeep.RETAINED["runs"][0])
+    attempts = spark.createDataFrame([(i, 1, "e", at[i]) for i in ids], upkeep.RETAINED["attempts"][0])
+    sources = spark.createDataFrame([(i, 1, "u", f"rev_{i}", at[i]) for i in ids], upkeep.RETAINED["sources"][0])
+    cache = spark.createDataFrame([("t", 1, "u", "rev_x"), ("t", 2, "u", "rev_y")], upkeep.RETAINED["cache"][0])
+    revisions = spark.createDataFrame([(f"rev_{i}", old) for i in ("base", "cand", "old", "new", "x", "y")], upkeep.RETAINED["revisions"][0])
+    target = spark.createDataFrame([("t", 2, "base")], "id string, scope_version int, baseline_run_id string")
+    cand = spark.createDataFrame([("pending", "cand", None, None)], "status string, candidate_run_id string, origin_baseline_run_id string, last_confirmation_run_id string")
+    frames_ = {"sources": sources, "cache": cache, "runs": runs, "attempts": attempts, "revisions": revisions}
+    want = upkeep.retention(target, cand, runs, attempts, sources, cache, revisions, F.lit(now).cast("timestamp"))
+    want = {k: sorted(map(repr, v.select(*frames_[k].columns).collect())) for k, v in want.items()}
+    folder = f"file://{tmp_path}/tables"
+    upkeep.store_retained(frames_, folder)
+    written = [upkeep.retain_stored(spark, folder, target, cand, now, batch) for batch in (1, 1, 2)]
+    got = {k: sorted(map(repr, v.collect())) for k, v in upkeep.read_retained(spark, folder).items()}
+    assert got == want
+    assert written[0] == written[1] and all(len(v) == 1 for v in written[0].values()) and not any(written[2].values())
+
+
+def test_pages_read_their_ranges(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("k"), F.concat(F.lit("g"), F.col("id") % 3).alias("g"))
+    order = [F.col("k")]
+    rows = sorted((r.k, r.g) for r in df.collect())
+    pages.write_index(df, path, order, range_rows=300)
+    for offset in (0, 299, 300, 4_990, 5_000, 150_000):
+        page = pages.read_page(spark, path, df.schema, order, 20, offset)
+        got = page.collect()
+        assert [(r.k, r.g) for r in got] == rows[offset : offset + 20]
+        assert all((r.total, r.next_offset) == (5_000, offset + 20 if offset + 20 < 5_000 else None) for r in got)
+        assert len(page.inputFiles()) <= 2
+    pages.write_index(df, f"{path}-g", [F.col("g"), F.col("k")], "g", range_rows=300)
+    own = [r for r in rows if r[1] == "g1"]
+    for offset in (0, 1_600, 1_700):
+        got = pages.read_page(spark, f"{path}-g", df.schema, order, 100, offset, "g", "g1").collect()
+        assert [(r.k, r.g) for r in got] == own[offset : offset + 100] and all(r.total == len(own) for r in got)
+    assert pages.read_page(spark, f"{path}-g", df.schema, order, 10, 0, "g", "none").count() == 0
+    for limit, offset in ((0, 0), (201, 0), (1, -1), (1, 200_001)):
+        with pytest.raises(ValueError, match="limit"):
+            pages.read_page(spark, path, df.schema, order, limit, offset)
+
+
+def test_alerts_of_all_kinds(spark):
+    """First snapshots never alert; a page that two targets watch alerts both; scopes keep link alerts back; links keep their order."""
+    product = lambda price, page=True: f'{{"is_product_page":{str(page).lower()},"productName":"P","price":{price},"currency":"EUR"}}'
+    snaps = [
+        ("s1", "w", "SITEMAP", None, '["u/b","u/a"]', 1), ("s2", "w", "SITEMAP", None, '["u/z","u/b","u/c"]', 2), ("s3", "w", "SITEMAP", None, '["u/z","u/b","u/c"]', 3),
+        ("m1", "w", "MARKDOWN", "p", "a\nb", 1), ("m2", "w", "MARKDOWN", "p", "a\nc\nc", 2), ("m3", "w", "MARKDOWN", "q", "x", 3),
+        ("p1", "w", "PRODUCT", "p", product(9), 1), ("p2", "w", "PRODUCT", "p", product(8.5), 2), ("p3", "w", "PRODUCT", "p", product(7, False), 3), ("p4", "w", "PRODUCT", "p", product(6), 4),
+    ]
+    snap = spark.createDataFrame(snaps, "id string, websiteId string, kind string, targetUrl string, payload string, taken int").withColumn("hash", F.sha2("payload", 256))
+    target = spark.createDataFrame(
+        [("l1", "w", "SITEMAP_LINKS", "NEW", None), ("l2", "w", "SITEMAP_LINKS", None, None), ("c1", "w", "PAGE_CONTENT", None, "p"), ("c2", "w", "PAGE_CONTENT", None, "p"), ("d1", "w", "PRODUCT_PRICE", None, "p")],
+        "id string, websiteId string, kind string, linkScope string, pageUrl string",
+    )
+    website = spark.createDataFrame([("w", "w.example.com")], "id string, domain string")
+    got = {(r.snapshot_id, r.targetId, r.kind, r.title, r.details) for r in alerts.detect_alerts(snap, target, website).collect()}
+    content = '{"pageUrl":"p","diffPreview":"+ c\\n+ c\\n- b","totalAdded":2,"totalRemoved":1}'
+    assert got == {
+        ("s2", "l1", "NEW_LINK", "2 new links on w.example.com", '{"added":["u/z","u/c"]}'), ("s2", "l2", "NEW_LINK", "2 new links on w.example.com", '{"added":["u/z","u/c"]}'),
+        ("s2", "l2", "REMOVED_LINK", "1 link removed from w.example.com", '{"removed":["u/a"]}'),
+        ("m2", "c1", "PAGE_CONTENT", "Content changed on p", content), ("m2", "c2", "PAGE_CONTENT", "Content changed on p", content),
+        ("p2", "d1", "PRODUCT_PRICE", "Price change: P (EUR 9 → EUR 8.5)", '{"pageUrl":"p","productName":"P","previousPrice":9,"previousCurrency":"EUR","newPrice":8.5,"newCurrency":"EUR"}'),
+    }
+    assert alerts.detect_alerts(snap.limit(0), target, website).count() == 0
+
+
 def test_tables_refuse_other_columns(spark, tmp_path):
     path = str(tmp_path / "m")
     spark.createDataFrame([("a", "b", T0)], "ownerUserId string, memberUserId string, createdAt timestamp").write.parquet(path)
@@ -88,8 +161,9 @@ def test_source_graphs(spark):
 
 def test_pending_candidates_expire_in_event_time(spark, tmp_path):
     rows = [("p", "pending", T0, T0 + HOUR), ("q", "pending", T0, T0 + 100 * DAY), ("a", "adopted", T0, T0 + HOUR)]
-    schema = "id string, status string, updated_at timestamp, expires_at timestamp"
+    schema = "id string, status string, updated_at timestamp, expires_at timestamp, target_id string, scope_version int"
     for k, part in enumerate((rows, [("z", "adopted", T0 + 2 * DAY, T0 + 3 * DAY)], [("z", "adopted", T0 + 3 * DAY, T0 + 3 * DAY)])):
+        part = [(*r, f"t{r[0]}", 1) for r in part]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.file_stream(spark, str(tmp_path / "in"), schema, files=1)
     got = jobs.run_to_table(jobs.stream_candidate_expiry(stream), str(tmp_path / "out")).distinct()
