@@ -1,5 +1,6 @@
 import io
 import itertools
+import math
 import random
 import re
 import zipfile
@@ -122,6 +123,15 @@ def test_superminhash_estimates_jaccard():
     assert abs(np.mean(err)) < 0.01 and np.std(err) < (0.25 / minhash.POSITIONS) ** 0.5
 
 
+@pytest.mark.parametrize(("similarity", "most"), [(0.85, 2e-5), (0.8, 1.1e-4), (0.9, 1e-8)])
+def test_chance_that_a_similar_pair_is_not_verified(similarity, most):
+    """Positions agree at least as often as independent ones would: a binomial tail bounds it."""
+    threshold, n = min(similarity, 0.85), minhash.POSITIONS
+    agreeing = math.ceil((threshold - minhash.SLACK) * n - 1e-9)
+    chance = sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(agreeing))
+    assert chance <= most
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((6, 32))
