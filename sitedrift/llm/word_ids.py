@@ -90,6 +90,18 @@ class PairTable:
         return out[..., 0], out[..., 1]
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are asked for; fresh: those not encoded yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class WordIds:
     def __init__(self, v: Vocabulary):
         self.v, self.table = v, PairTable(v.merges)
@@ -97,7 +109,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
@@ -160,18 +172,15 @@ class WordIds:
         """As encode, for pieces that may have been met before."""
         if len(self.at) > CACHE_PIECES:
             self.clear()
-        self.learn(pieces)
         k = list(map(self.at.__getitem__, pieces))
+        self._encode_fresh()
         return self.length[np.array(k, np.int64)], self.gather(k)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Makes all these pieces known."""
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        if not fresh:
+    def _encode_fresh(self) -> None:
+        if not self.at.fresh:
             return
-        length, flat = self.encode(fresh)
-        base = len(self.at)
-        self.at.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        length, flat = self.encode(self.at.fresh)
+        self.at.fresh = []
         start = np.cumsum(length, dtype=np.int64) - length + len(self.flat)
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, flat])
@@ -180,15 +189,13 @@ class WordIds:
         """Ids of each text, null as empty; special strings become their tokens."""
         if len(self.at) > CACHE_PIECES:
             self.clear()
-        split = [list(self.v.segments(t)) if t else [] for t in texts]
-        self.learn([p for s in split for _, pieces in s for p in pieces])
+        number = self.at.__getitem__
+        split = [[(special, list(map(number, pieces))) for special, pieces in self.v.segments(t)] if t else [] for t in texts]
+        self._encode_fresh()
         out = []
         for segments in split:
-            parts = [
-                np.array([special], np.int32) if special >= 0 else self.gather(list(map(self.at.__getitem__, pieces)))
-                for special, pieces in segments
-            ]
-            out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+            parts = [np.array([special], np.int32) if special >= 0 else self.gather(k) for special, k in segments]
+            out.append(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32))
         return out
 
     def gather(self, known: list[int]) -> np.ndarray:
