@@ -103,14 +103,6 @@ def adopt_observation(
     return new, events, decisions
 
 
-def open_quarantined(decisions: DataFrame, baseline: DataFrame, obs: DataFrame) -> DataFrame:
-    """The missing URLs of quarantined runs: what their candidates hold."""
-    key = ["target_id", "scope_version"]
-    held = decisions.where("decision = 'quarantined'").select(*key, F.col("run_id").alias("candidate_run_id"))
-    lost = baseline.join(obs.select(*key, "url_hash"), [*key, "url_hash"], "left_anti")
-    return lost.select(*key, "url", "url_hash").join(held, key)
-
-
 EVENTS = "array<struct<kind: string, run_id: string, observed_at: timestamp>>"
 STEPS = "array<struct<at: timestamp, run: string, is_baseline: boolean>>"
 
