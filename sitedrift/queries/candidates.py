@@ -135,7 +135,7 @@ SELECT target_id AS candidate_id, p AS pending_count, x AS removed_count, v AS r
   CASE WHEN p > 0 THEN 'adopted' WHEN x > 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM k"""
 )
 def j10_a11_candidate_counts(spark, sf_dir):
-    state, _ = inv.replay_url_lifecycle(table(spark, sf_dir, "obs_hashed"), table(spark, sf_dir, "runs"))
+    state, _ = inv.replay_url_lifecycle(table(spark, sf_dir, "obs"), table(spark, sf_dir, "runs"))
     held = state.select(F.col("target_id").alias("candidate_id"), "url", "url_hash")
     cand = state.select(F.col("target_id").alias("id"), "target_id", "scope_version").distinct().withColumn("status", F.lit("adopted"))
     out = adopt.candidate_counts(adopt.candidate_resolution(cand, held, state), as_of())

@@ -295,3 +295,25 @@ def test_digests_add_up(spark):
     assert inv.same_missing_set(obs, moved, key).count() == obs.select("run_id").distinct().count()
     less = inv.same_missing_set(obs, obs.where("url <> 'a'"), key)
     assert less.join(obs.where("url = 'a'"), "run_id", "left_semi").count() == 0
+
+
+def test_urls_tell_observations_apart_where_there_are_no_hashes(spark):
+    obs, runs = frames(spark, histories(12))
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for with_hash, without in zip(inv.replay_url_lifecycle(obs, runs), inv.replay_url_lifecycle(obs.drop("url_hash"), runs), strict=True):
+        assert rows(with_hash) == rows(without)
+
+
+def test_the_replay_is_written_in_one_pass(spark, tmp_path):
+    obs, runs = frames(spark, histories(12))
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for k, o in enumerate((obs, obs.drop("url_hash"))):
+        inv.write_lifecycle(o, runs, f"{tmp_path}/{k}")
+        for read, made in zip(inv.read_lifecycle(spark, f"{tmp_path}/{k}"), inv.replay_url_lifecycle(obs, runs), strict=True):
+            assert rows(read) == rows(made)
+
+
+def test_gaps_are_dealt_into_the_sessions_partitions(spark):
+    """However few bytes a shuffle writes, the rows it brings are sorted in as many tasks as the session asks for."""
+    obs, runs = frames(spark, histories(12))
+    assert inv.url_gaps(obs.drop("url_hash"), runs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
