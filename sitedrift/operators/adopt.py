@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import candidate_expiry, suspicious
-from ..scratch import stored
+from ..scratch import partitions, stored
 from .inventory import HOUR, numbered_runs, replay_url_lifecycle
 
 SITE = ["website_id", "target_id", "scope_version"]
@@ -188,17 +192,19 @@ def change_log(obs: DataFrame, runs: DataFrame) -> DataFrame:
     """SITE, seq, u, added: what each run after the first of its target has that the one before it lacks (added), or lacks.
     u: 64 bits of a URL's hash. runs: SITE, run_id, seq.
 
-    One window over presences by URL. What stays is nowhere in the log, so it is as large as the changes are.
+    One window over presences by URL. What stays is nowhere in the log, so it is as large as the changes are. Only those 64 bits
+    move, and rows are dealt into the session's partitions, never fewer: they are small when shuffled and large when sorted.
     """
-    seen = obs.where("url_hash IS NOT NULL").select(*SITE, "run_id", "url_hash")
-    seen = seen.join(runs.select(*SITE, "run_id", "seq"), [*SITE, "run_id"])
-    w = Window.partitionBy(*SITE, "url_hash").orderBy("seq")
+    n = partitions(obs.sparkSession)
+    seen = obs.where("url_hash IS NOT NULL").select(*SITE, "run_id", F.xxhash64("url_hash").alias("u")).repartition(n, *SITE, "run_id")
+    seen = seen.join(runs.select(*SITE, "run_id", "seq"), [*SITE, "run_id"]).repartition(n, *SITE, "u")
+    w = Window.partitionBy(*SITE, "u").orderBy("seq")
     came = (F.col("seq") > 0) & F.coalesce(F.lag("seq").over(w) < F.col("seq") - 1, F.lit(True))
     went = F.coalesce(F.lead("seq").over(w) > F.col("seq") + 1, F.lit(True))
-    marked = seen.select(*SITE, "seq", "url_hash", came.alias("came"), went.alias("went")).where("came OR went")
+    marked = seen.select(*SITE, "seq", "u", came.alias("came"), went.alias("went")).where("came OR went")
     change = lambda seq, added: F.struct(seq.alias("seq"), F.lit(added).alias("added"))
     both = F.array_compact(F.array(F.when(F.col("came"), change(F.col("seq"), True)), F.when(F.col("went"), change(F.col("seq") + 1, False))))
-    return marked.select(*SITE, F.xxhash64("url_hash").alias("u"), F.explode(both).alias("c")).select(*SITE, "c.seq", "u", "c.added")
+    return marked.select(*SITE, "u", F.explode(both).alias("c")).select(*SITE, "c.seq", "u", "c.added")
 
 
 def decide_history(
@@ -216,8 +222,9 @@ def decide_history(
     the open candidate that targets already have (role base, held).
 
     Each run is compared with the one before it by the log of changes. Targets without a suspicious step and without an
-    open candidate adopt every run, and are done as sets. The runs of the others are folded in order: a group holds the
-    changes of one target's runs, not their sets, and the fold keeps counts and the URLs that differ from the baseline.
+    open candidate adopt every run, and are done as sets. The runs of the others are folded in order: a task reads the
+    changes of one target's runs after the other's, not their sets, and the fold keeps counts and the URLs that differ from the
+    baseline.
     """
     ends = "expires_at" if "expires_at" in runs.columns else None
     until = F.col(ends) if ends else F.timestamp_millis(F.unix_millis("observed_at") + F.lit(int(ttl_hours * 3_600_000)))
@@ -274,12 +281,35 @@ def _in_order(steps: DataFrame, changes: DataFrame, held: DataFrame | None, leas
         rows = rows.select("*", F.lit(None).cast(kinds).alias("h")).select(*rows.columns, "h.*")
     else:
         rows = rows.join(held, SITE, "left")
-    return rows.groupBy(*SITE).applyInPandas(lambda pdf: _fold_runs(pdf, least, ratio), DECIDED)
+    names = [*SITE, "run_id", "observed_at", "expires_at", "known", "made_from", "seq", "n", "came", "went", "held_run", "held_at", "held_until", "held_lost"]
+    ordered = rows.select(*names).repartition(partitions(rows.sparkSession), *SITE).sortWithinPartitions(*SITE, "seq")
+    return ordered.mapInArrow(lambda batches: _fold_targets(batches, least, ratio), DECIDED)
+
+
+#: Arrow types of DECIDED, and the rows of a batch of them.
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC")}
+BATCH = 10_000
+
+
+def _fold_targets(batches: Iterator[pa.RecordBatch], least: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """The decisions on runs that come in order of target and seq: one target is at hand, and many make a batch."""
+    runs = (r for b in batches for k in range(0, b.num_rows, 1_000) for r in b.slice(k, 1_000).to_pylist())
+    done: list[dict] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([row.get(name) for row in done], ARROW[kind]) for name, kind in FIELDS]
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in FIELDS])
+
+    for site, mine in groupby(runs, key=lambda r: tuple(r[c] for c in SITE)):
+        done += [dict(zip(SITE, site, strict=True), run_id=run, **row) for run, row in _fold_runs(mine, least, ratio).items()]
+        if len(done) >= BATCH:
+            yield batch()
+    yield batch()
 
 
-def _fold_runs(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
+def _fold_runs(runs: Iterator[dict], least: int, ratio: float) -> dict[str, dict]:
     """The decisions on one target's runs. lost and gained: what the run at hand lacks of the baseline, and has beyond it."""
-    names = [name for name, _ in FIELDS[3:]]
     made: dict[str, dict] = {}
     base, base_size = None, 0
     lost: set[int] = set()
@@ -297,54 +327,51 @@ def _fold_runs(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
             }
         open_ = None
 
-    for r in pdf.sort_values("seq").itertuples():
-        for u in r.went if r.went is not None else ():
+    for r in runs:
+        run, at = r["run_id"], r["observed_at"]
+        for u in r["went"] or ():
             gained.remove(u) if u in gained else lost.add(u)
-        for u in r.came if r.came is not None else ():
+        for u in r["came"] or ():
             lost.remove(u) if u in lost else gained.add(u)
-        if r.made_from not in (ANY, base):
-            made[r.run_id] = {"observed_at": r.observed_at, "decision": "stale", "baseline_run_id": base}
+        if r["made_from"] not in (ANY, base):
+            made[run] = {"observed_at": at, "decision": "stale", "baseline_run_id": base}
             continue
         if base is None:
-            base, base_size, lost, gained = r.run_id, r.n, set(), set()
-            if not r.known:
-                made[r.run_id] = {"observed_at": r.observed_at, "decision": "baseline"}
-            elif r.held_run is not None:
-                held_lost = set(r.held_lost) if r.held_lost is not None else set()
-                open_ = {"run_id": r.held_run, "at": r.held_at, "until": r.held_until, "lost": held_lost}
+            base, base_size, lost, gained = run, r["n"], set(), set()
+            if not r["known"]:
+                made[run] = {"observed_at": at, "decision": "baseline"}
+            elif r["held_run"] is not None:
+                open_ = {"run_id": r["held_run"], "at": r["held_at"], "until": r["held_until"], "lost": set(r["held_lost"] or ())}
             continue
-        row = made[r.run_id] = {"observed_at": r.observed_at, "baseline_run_id": base, "candidate_run_id": open_ and open_["run_id"]}
-        odd = base_size > 0 and (r.n == 0 or (len(lost) >= least and len(lost) / base_size >= ratio))
-        if open_ and r.observed_at >= open_["until"]:
+        row = made[run] = {"observed_at": at, "baseline_run_id": base, "candidate_run_id": open_ and open_["run_id"]}
+        odd = base_size > 0 and (r["n"] == 0 or (len(lost) >= least and len(lost) / base_size >= ratio))
+        if open_ and open_["until"] is not None and at >= open_["until"]:
             row["outcome"] = "expired"
             close("expired", None, open_["lost"])
         elif open_ and open_["lost"] != lost:
             row["outcome"] = "missing_set_changed"
-            close("rejected", r.run_id, lost)
+            close("rejected", run, lost)
         elif open_:
-            row["outcome"] = "confirmed" if r.observed_at - open_["at"] >= pd.Timedelta(hours=1) else "quarantined"
+            row["outcome"] = "confirmed" if at - open_["at"] >= datetime.timedelta(hours=1) else "quarantined"
         if row.get("outcome") == "confirmed":
             first = made.setdefault(open_["run_id"], {"observed_at": open_["at"], "baseline_run_id": base})
             first["decision"] = "first_observation"
-            close("confirmed", r.run_id, lost)
+            close("confirmed", run, lost)
             row["decision"] = "applied"
         elif row.get("outcome") == "quarantined":
             row["decision"] = "quarantined"
         elif odd:
             row["decision"] = "quarantined"
-            open_ = {"run_id": r.run_id, "at": r.observed_at, "until": r.expires_at, "lost": set(lost)}
+            open_ = {"run_id": run, "at": at, "until": r["expires_at"], "lost": set(lost)}
             row |= {
                 "candidate_status": "pending", "original_missing_count": len(lost), "pending_count": len(lost), "recovered_count": 0,
-                "removed_count": 0, "expires_at": r.expires_at,
+                "removed_count": 0, "expires_at": r["expires_at"],
             }
         else:
             row["decision"] = "applied"
         if row["decision"] == "applied":
-            base, base_size, lost, gained = r.run_id, r.n, set(), set()
-    rows = [{"run_id": run, **row} for run, row in made.items()]
-    kinds = {"long": "Int64", "timestamp": "datetime64[us]"}
-    out = {c: [pdf[c].iloc[0]] * len(rows) for c in SITE} | {name: [row.get(name) for row in rows] for name in names}
-    return pd.DataFrame({name: pd.Series(out[name], dtype=kinds.get(kind, "object")) for name, kind in FIELDS})
+            base, base_size, lost, gained = run, r["n"], set(), set()
+    return made
 
 
 def candidate_rows(decisions: DataFrame) -> DataFrame:

@@ -317,3 +317,31 @@ def test_gaps_are_dealt_into_the_sessions_partitions(spark):
     """However few bytes a shuffle writes, the rows it brings are sorted in as many tasks as the session asks for."""
     obs, runs = frames(spark, histories(12))
     assert inv.url_gaps(obs.drop("url_hash"), runs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_targets_are_folded_one_after_the_other(spark):
+    """The order's fold takes rows of many targets in batches that end anywhere, and gives what each target's rows alone give."""
+    import pyarrow as pa
+
+    names = ("run_id", "n", "went", "held_run", "held_at", "held_until", "held_lost")
+    runs = []
+    for t in range(7):
+        for k in range(4):
+            row = dict.fromkeys(names) | {"website_id": "w", "target_id": f"t{t}", "scope_version": 1, "seq": k, "known": False, "made_from": adopt.ANY}
+            at = T0 + 2 * k * HOUR
+            runs.append(row | {"run_id": f"t{t}-{k}", "observed_at": at, "expires_at": at + 72 * HOUR, "n": 2 if k == 2 and t % 2 else 4,
+                               "went": [1, 2] if k == 2 and t % 2 else [], "came": [1, 2] if k == 3 and t % 2 else []})
+    whole = pa.RecordBatch.from_pylist(runs)
+    one = list(adopt._fold_targets(iter([whole]), 2, 0.3))
+    cut = list(adopt._fold_targets((whole.slice(k, 3) for k in range(0, 28, 3)), 2, 0.3))
+    assert sum(map(lambda b: b.to_pylist(), one), []) == sum(map(lambda b: b.to_pylist(), cut), [])
+    decided = {r["run_id"]: r["decision"] for b in one for r in b.to_pylist()}
+    assert decided["t1-2"] == "quarantined" and decided["t2-2"] == "applied" and len(decided) == 28
+
+
+def test_the_log_of_changes_moves_no_hashes(spark):
+    obs, runs = frames(spark, histories(3))
+    plan = adopt.change_log(obs, inv.numbered_runs(runs))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("url_hash" not in line for line in plan.splitlines() if "RepartitionByExpression" in line or "Window" in line)
+    decided = adopt.decide_history(obs, runs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in decided
