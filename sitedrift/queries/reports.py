@@ -16,7 +16,7 @@ from ..operators import inventory as inv
 from ..operators import snapshots as sn
 from ..operators import views as vi
 from ..plans import alerts, upkeep
-from ..scratch import fresh_folder
+from ..scratch import fresh_folder, partitions
 from ..sources import tables as src
 from ..streaming import jobs
 from .base import as_stream, query
@@ -282,9 +282,10 @@ def s1_read_table(spark, sf_dir):
     line = F.array_join(F.array(*(F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in names)), ",")
     line = F.when(F.col("n") == 4, F.concat(line, F.lit(',"surplus"'))).when(F.col("n") == 5, F.substring(line, 1, 30)).otherwise(line)
     # a header for each file: the first of a partition's lines
-    lines = texts.select(line.alias("value"), F.lit(1).alias("k")).repartition(4).withColumn("p", F.spark_partition_id())
+    parts = partitions(spark)
+    lines = texts.select(line.alias("value"), F.lit(1).alias("k")).repartition(parts).withColumn("p", F.spark_partition_id())
     heads = lines.select("p").distinct().select(F.lit(",".join(names)).alias("value"), F.lit(0).alias("k"), "p")
-    both = lines.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k").withColumn("file", F.col("p"))
+    both = lines.unionByName(heads).repartition(parts, "p").sortWithinPartitions("p", "k").withColumn("file", F.col("p"))
     both.select("value", "file").write.partitionBy("file").text(f"{folder}/csv")
     out = None
     for fmt in ("parquet", "json", "csv"):

@@ -96,3 +96,15 @@ def test_price_csv_is_quoted(spark, tmp_path):
     assert part.read_text().splitlines() == [
         '"timestamp_iso","price","currency"', '"2024-01-01T10:00:00.000Z","9.5","E""UR"', '"2024-01-01T10:00:00.000Z","9",""',
     ]
+
+
+def test_text_files_are_as_many_as_the_sessions_partitions(spark):
+    from sitedrift import registry
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        files = registry.queries()["s1_read_table"](spark, "/root/testdata/sf0.001").inputFiles()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({f.rsplit("/", 2)[1] for f in files if "/csv/" in f}) == 9
