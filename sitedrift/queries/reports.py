@@ -166,8 +166,8 @@ ORDER BY url_hash LIMIT 3 OFFSET 2"""
 )
 def t6_candidate_urls_page(spark, sf_dir):
     """The second page of the candidate that misses most, three to a page, with the total and the next page's offset."""
-    missing = inv.missing_urls(*pairs_of_runs(spark, sf_dir), ["target_id", "scope_version", "run_id"]).select(
-        F.col("run_id").alias("candidate_id"), "url", F.col("url_hash").alias("normalized_url_hash"), F.lit("pending").alias("resolution")
+    missing = inv.missing_urls(*pairs_of_runs(spark, sf_dir, hashed=False), ["target_id", "scope_version", "run_id"]).select(
+        F.col("run_id").alias("candidate_id"), F.col("url_hash").alias("url"), F.sha2("url_hash", 256).alias("normalized_url_hash"), F.lit("pending").alias("resolution")
     )
     most = missing.groupBy("candidate_id").count().orderBy(F.desc("count"), "candidate_id").first()
     path = fresh_folder(spark, "t6")

@@ -345,3 +345,13 @@ def test_the_log_of_changes_moves_no_hashes(spark):
     assert all("url_hash" not in line for line in plan.splitlines() if "RepartitionByExpression" in line or "Window" in line)
     decided = adopt.decide_history(obs, runs)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in decided
+
+
+def test_sets_are_compared_by_any_name_of_their_urls(spark):
+    """URLs in place of their hashes: no hexadecimal digits, and the same long beginning."""
+    rows = lambda key, urls: [(key, f"https://s.example.com/p/{u}") for u in urls]
+    sets = lambda rows: spark.createDataFrame(rows, "run_id string, url_hash string")
+    a, b = sets(rows("same", "xyz") + rows("other", "xy")), sets(rows("same", "zyx") + rows("other", "xz"))
+    digests = {r.digest_a for r in inv.set_digest(a.unionAll(b), ["run_id"], F.sha2("url_hash", 256)).collect()}
+    assert len(digests) == 2 and 0 not in digests
+    assert [r.run_id for r in inv.same_missing_set(a, b, ["run_id"]).collect()] == ["same"]
