@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import candidate_expiry, suspicious
 from ..scratch import partitions, stored
-from .inventory import HOUR, numbered_runs, replay_url_lifecycle
+from .inventory import HOUR, numbered_runs, replay_url_lifecycle, successors
 
 SITE = ["website_id", "target_id", "scope_version"]
 STATE = [
@@ -107,63 +107,93 @@ def adopt_observation(
     return new, events, decisions
 
 
-EVENTS = "array<struct<kind: string, run_id: string, observed_at: timestamp>>"
-STEPS = "array<struct<at: timestamp, run: string, is_baseline: boolean>>"
+def apply_runs(state: DataFrame, obs: DataFrame, runs: DataFrame, write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(new state, events) after any number of adopted runs per target, in order of time: what apply_observation gives run by run.
 
-
-def apply_runs(state: DataFrame, obs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new state, events) after any number of adopted runs per target, in order of time.
-
-    One full outer join of the state and the observations by URL; the rules of apply_observation are then folded over the
-    target's runs in each URL's row, so there is no loop over runs and a giant site is spread by its URLs. runs: SITE,
-    run_id, observed_at, is_baseline; a run without observed URLs is an empty one.
+    In closed form: a URL's presences follow each other in a window, the first being its row of state, as if a run before all
+    others had seen it. What becomes of a URL after a presence depends on the next one, on the run after it and on the first
+    run an hour later (inventory.successors); so rows are as many as presences, and runs that a URL is absent from cost nothing.
+    runs: SITE, run_id, observed_at, is_baseline; a run without observed URLs is an empty one. write: for callers that use
+    both tables, what they are made of is written first.
     """
-    run = F.struct(F.col("observed_at").alias("at"), F.col("run_id").alias("run"), "is_baseline")
-    steps = runs.groupBy(*SITE).agg(F.array_sort(F.collect_list(run)).cast(STEPS).alias("_runs"))
-    seen = obs.where("url_hash IS NOT NULL").groupBy(*SITE, "url_hash")
-    seen = seen.agg(F.min("url").alias("_url"), F.collect_set("run_id").alias("_in"))
-    joined = state.select(*STATE).join(seen, [*SITE, "url_hash"], "full").join(steps, SITE, "left")
-    kinds = {f.name: f.dataType for f in state.select(*STATE[5:]).schema.fields}
-    start = F.struct(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.array().cast(EVENTS).alias("events"))
-
-    def step(s: Column, r: Column) -> Column:
-        here = F.coalesce(F.array_contains("_in", r["run"]), F.lit(False))
-        first = F.coalesce(s["status"] == "active", F.lit(False)) & ~here
-        second = (
-            ~here & (s["status"] == "pending_removed") & (s["first_missing_run_id"] != r["run"])
-            & (s["first_missing_observed_at"] + F.expr(HOUR) <= r["at"])
-        )
-        second = F.coalesce(second, F.lit(False))
-        kind = (
-            F.when(r["is_baseline"], F.lit(None).cast("string"))
-            .when(here & s["status"].isNull(), "added")
-            .when(here & (s["status"] == "removed"), "reappeared")
-            .when(second, "removed")
-        )
-        made = F.array(F.struct(kind.alias("kind"), r["run"].alias("run_id"), r["at"].alias("observed_at")))
-        now = {
-            "status": F.when(here, "active").when(first, "pending_removed").when(second, "removed"),
-            "first_seen_at": F.when(here & s["status"].isNull(), r["at"]),
-            "last_seen_at": F.when(here, r["at"]),
-            "first_missing_run_id": F.when(first, r["run"]),
-            "first_missing_observed_at": F.when(first, r["at"]),
-            "last_missing_run_id": F.when(first | second, r["run"]),
-            "missing_confirmations": F.when(here, 0).when(first, 1).when(second, 2),
-            "removed_at": F.when(second, r["at"]),
+    rows = _applied(state, obs, runs)
+    rows = stored(rows, "applied") if write else rows
+    new = rows.where("_s IS NOT NULL").select(*SITE, "url", "url_hash", *(F.col(f"_s.{c}").alias(c) for c in STATE[5:]))
+    events = rows.select(*SITE, "url", "url_hash", F.explode("_e").alias("e")).select(*SITE, "url", "url_hash", "e.*")
+    return new.select(*STATE), events.withColumn("id", F.concat_ws(":", "run_id", "url_hash", "kind"))
+
+
+def _applied(state: DataFrame, obs: DataFrame, runs: DataFrame) -> DataFrame:
+    """SITE, url, url_hash, _e, _s: the events of each presence, and of the last one the URL's new state."""
+    n, pending = partitions(obs.sparkSession), "pending_removed"
+    start = (F.min("observed_at") - F.expr("INTERVAL 1 DAY")).alias("observed_at")
+    before = runs.groupBy(*SITE).agg(start).withColumns({"run_id": F.lit(""), "is_baseline": F.lit(False)})
+    runs = runs.select(*SITE, "run_id", "observed_at", "is_baseline")
+    after = successors(runs.unionByName(before)).withColumnRenamed("observed_at", "at").drop("website_id")
+    key, now = ["target_id", "scope_version"], [c for c in after.columns if c not in ("target_id", "scope_version", "run_id")]
+    seen = obs.where("url_hash IS NOT NULL").select(*SITE, "run_id", "url", "url_hash").repartition(n, *key, "run_id")
+    seen = seen.join(after.where("run_id <> ''"), [*key, "run_id"])
+
+    # the first run that a URL still pending is absent from an hour after it was first missed
+    kept = state.where("status IS NOT NULL").select(*SITE, "url", "url_hash", F.struct(*STATE[5:]).alias("_old"))
+    since = kept.where(F.col("_old.status") == pending).select(*key, F.col("_old.first_missing_run_id").alias("_run"), F.col("_old.first_missing_observed_at").alias("_since")).distinct()
+    numbered = after.where("run_id <> ''").select(*key, F.struct("seq", F.col("run_id").alias("id"), "at", "is_baseline").alias("r"))
+    late = (F.col("r.id") != F.col("_run")) & (F.col("_since") + F.expr(HOUR) <= F.col("r.at"))
+    second = since.join(numbered, key).where(late).groupBy(*key, "_run", "_since").agg(F.min("r").alias("_second"))
+    kept = kept.withColumns({"_run": F.when(F.col("_old.status") == pending, F.col("_old.first_missing_run_id")), "_since": F.when(F.col("_old.status") == pending, F.col("_old.first_missing_observed_at"))})
+    kept = kept.join(second, [*key, "_run", "_since"], "left").join(after.where("run_id = ''").drop("run_id"), key, "left")
+    again = F.col("_old.status") == pending
+    confirmed = {"confirmed_seq": "seq", "confirmed_run_id": "id", "confirmed_at": "at", "confirmed_is_baseline": "is_baseline"}
+    kept = kept.withColumns(
+        {
+            **{c: F.when(again, F.col(f"_second.{k}")).when(F.col("_old.status") == "active", F.col(c)) for c, k in confirmed.items()},
+            "seq": F.lit(0), "at": F.col("_old.last_seen_at"), "run_id": F.lit(""), "is_baseline": F.lit(False),
+        }
+    )
+    names = [*SITE, "url", "url_hash", "run_id", *now]
+    rows = seen.select(*names).unionByName(kept.select(*names, "_old"), allowMissingColumns=True).repartition(n, *SITE, "url_hash")
+
+    w = Window.partitionBy(*SITE, "url_hash").orderBy("seq")
+    # a URL that a run has twice counts once
+    rows = rows.withColumn("_twice", F.lag("seq").over(w).eqNullSafe(F.col("seq"))).where("NOT _twice")
+    following = {"next_seq": "seq", "next_run_id": "run_id", "next_at": "at", "next_is_baseline": "is_baseline"}
+    rows = rows.withColumns(
+        {
+            "prev_seq": F.lag("seq").over(w),
+            "first_seen_at": F.first(F.coalesce("_old.first_seen_at", "at")).over(w),
+            **{c: F.lead(k).over(w) for c, k in following.items()},
         }
-        cleared = ("first_missing_run_id", "first_missing_observed_at", "last_missing_run_id", "removed_at")
-        fields = [
-            (F.when(here, None).otherwise(F.coalesce(v, s[c])) if c in cleared else F.coalesce(v, s[c])).cast(kinds[c]).alias(c)
-            for c, v in now.items()
-        ]
-        events = F.when(kind.isNull(), s["events"]).otherwise(F.concat(s["events"], made.cast(EVENTS)))
-        return F.struct(*fields, events.alias("events"))
-
-    folded = F.aggregate(F.coalesce("_runs", F.array().cast(STEPS)), start, step)
-    rows = joined.select(*SITE, F.coalesce("url", "_url").alias("url"), "url_hash", folded.alias("_s"))
-    new = rows.select(*SITE, "url", "url_hash", *(F.col(f"_s.{c}").alias(c) for c in STATE[5:]))
-    events = rows.select(*SITE, "url", "url_hash", F.explode("_s.events").alias("e")).select(*SITE, "url", "url_hash", "e.*")
-    return new, events.withColumn("id", F.concat_ws(":", "run_id", "url_hash", "kind"))
+    )
+    was = F.coalesce("_old.status", F.lit("active"))
+    gap = (was != "active") | F.coalesce(F.col("next_seq") > F.col("seq") + 1, F.col("first_missing_at").isNotNull())
+    sure = gap & F.coalesce(F.col("confirmed_seq") < F.col("next_seq"), F.col("confirmed_seq").isNotNull())
+    rows = rows.withColumns({"_was": was, "_gap": gap, "_sure": sure})
+    sure, gap, gone = F.col("_sure"), F.col("_gap"), F.col("_sure") | (F.col("_was") == "removed")
+
+    def event(condition: Column, kind: str, run: str, at: str) -> Column:
+        return F.when(condition, F.struct(F.lit(kind).alias("kind"), F.col(run).alias("run_id"), F.col(at).alias("observed_at")))
+
+    events = F.array_compact(
+        F.array(
+            event(F.col("prev_seq").isNull() & F.col("_old").isNull() & ~F.col("is_baseline"), "added", "run_id", "at"),
+            event(sure & ~F.col("confirmed_is_baseline"), "removed", "confirmed_run_id", "confirmed_at"),
+            event(gone & F.col("next_seq").isNotNull() & ~F.col("next_is_baseline"), "reappeared", "next_run_id", "next_at"),
+        )
+    )
+    missed = gap & (F.col("_was") == "active")
+    last = {
+        "status": F.when(gone, "removed").when(gap, pending).otherwise("active"),
+        "first_seen_at": F.col("first_seen_at"),
+        "last_seen_at": F.col("at"),
+        "first_missing_run_id": F.when(missed, F.col("first_missing_run_id")).otherwise(F.col("_old.first_missing_run_id")),
+        "first_missing_observed_at": F.when(missed, F.col("first_missing_at")).otherwise(F.col("_old.first_missing_observed_at")),
+        "last_missing_run_id": F.when(sure, F.col("confirmed_run_id")).when(missed, F.col("first_missing_run_id")).otherwise(F.col("_old.last_missing_run_id")),
+        "missing_confirmations": F.when(sure, 2).when(missed, 1).otherwise(F.coalesce("_old.missing_confirmations", F.lit(0))),
+        "removed_at": F.when(sure, F.col("confirmed_at")).otherwise(F.col("_old.removed_at")),
+    }
+    kinds = {f.name: f.dataType for f in state.select(*STATE[5:]).schema.fields}
+    made = F.struct(*(last[c].cast(kinds[c]).alias(c) for c in STATE[5:]))
+    return rows.select(*SITE, "url", "url_hash", events.alias("_e"), F.when(F.col("next_seq").isNull(), made).alias("_s"))
 
 
 DECIDED = (

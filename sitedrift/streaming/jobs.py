@@ -83,7 +83,7 @@ def stream_adopt(
         taken = adopt.adopted_runs(decided)
         both = rows.select(*held.columns).unionByName(held)
         seen = both.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
-        new, events = adopt.apply_runs(state, seen, taken)
+        new, events = adopt.apply_runs(state, seen, taken, write=True)
         put(new, "state")
         write_events(events, f"{folder}/events")
         after = _heads(heads, decided, runs)

@@ -355,3 +355,16 @@ def test_sets_are_compared_by_any_name_of_their_urls(spark):
     digests = {r.digest_a for r in inv.set_digest(a.unionAll(b), ["run_id"], F.sha2("url_hash", 256)).collect()}
     assert len(digests) == 2 and 0 not in digests
     assert [r.run_id for r in inv.same_missing_set(a, b, ["run_id"]).collect()] == ["same"]
+
+
+def test_apply_runs_makes_rows_of_presences_alone(spark):
+    """URLs that only other runs saw get no row, a URL that a run has twice counts once, and no step folds runs within rows."""
+    hist = {"t0": [("t0-0", T0, {"a"}), ("t0-1", T0 + 2 * HOUR, {"b"}), ("t0-2", T0 + 4 * HOUR, {"c"})]}
+    obs, runs = frames(spark, hist)
+    marked = inv.numbered_runs(runs).withColumn("is_baseline", F.col("seq") == 0)
+    state, events = adopt.apply_runs(adopt.empty_state(obs), obs.unionAll(obs), marked.where("seq < 2"))
+    assert {(r.url, r.status, r.missing_confirmations) for r in state.collect()} == {("a", "pending_removed", 1), ("b", "active", 0)}
+    state, events = adopt.apply_runs(stored(state, "state"), obs, marked.where("seq = 2"))
+    assert {(r.url, r.status, r.first_missing_run_id) for r in state.collect()} == {("a", "removed", "t0-1"), ("b", "pending_removed", "t0-2"), ("c", "active", None)}
+    assert {(r.url, r.kind, r.run_id) for r in events.collect()} == {("a", "removed", "t0-2"), ("c", "added", "t0-2")}
+    assert "lambdafunction" not in state._jdf.queryExecution().optimizedPlan().toString()
