@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -215,11 +216,30 @@ def _close(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     """One target's candidates. State: ids, scopes and deadlines (milliseconds; -1 of adopted ones) of those still open."""
     open_ = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
     out: list[tuple[str, str]] = []
+    # ids by deadline and by scope, so that a row meets only the candidates it closes; a deadline that was replaced is passed over
+    due = [(end, i) for i, (_, end) in open_.items() if end >= 0]
+    heapq.heapify(due)
+    by_scope: dict[int, set] = {}
+    for i, (scope, _) in open_.items():
+        by_scope.setdefault(scope, set()).add(i)
+
+    def put(i: str, scope: int, end: int) -> None:
+        drop(i)
+        open_[i] = (scope, end)
+        by_scope.setdefault(scope, set()).add(i)
+        if end >= 0:
+            heapq.heappush(due, (end, i))
+
+    def drop(i: str) -> None:
+        if (was := open_.pop(i, None)) is not None:
+            by_scope[was[0]].discard(i)
 
     def until(moment: float) -> None:
-        for i in [i for i, (_, end) in open_.items() if 0 <= end <= moment]:
-            del open_[i]
-            out.append((i, "expired"))
+        while due and due[0][0] <= moment:
+            end, i = heapq.heappop(due)
+            if i in open_ and open_[i][1] == end:
+                drop(i)
+                out.append((i, "expired"))
 
     if state.hasTimedOut:
         until(state.getCurrentWatermarkMs())
@@ -227,16 +247,17 @@ def _close(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         for r in pd.concat(list(frames)).sort_values(["updated_at", "id"], na_position="first").itertuples():
             until(r.updated_at.timestamp() * 1000)
             if r.status is None:
-                for i in [i for i, (scope, _) in open_.items() if scope != r.scope_version]:
-                    del open_[i]
-                    out.append((i, "stale"))
+                for scope in [s for s in by_scope if s != r.scope_version]:
+                    for i in by_scope.pop(scope):
+                        del open_[i]
+                        out.append((i, "stale"))
             elif r.status == "pending":
-                open_[r.id] = (int(r.scope_version), int(r.expires_at.timestamp() * 1000))
+                put(r.id, int(r.scope_version), int(r.expires_at.timestamp() * 1000))
             else:
-                open_.pop(r.id, None)
+                drop(r.id)
                 out.append((r.id, r.status))
                 if r.status == "adopted":
-                    open_[r.id] = (int(r.scope_version), -1)
+                    put(r.id, int(r.scope_version), -1)
     if open_:
         state.update((list(open_), [s for s, _ in open_.values()], [e for _, e in open_.values()]))
         ends = [e for _, e in open_.values() if e >= 0]

@@ -116,3 +116,28 @@ def test_candidates_close_once(spark, tmp_path):
     stream = jobs.stream_candidate_expiry(in_batches(spark, df, str(tmp_path), "batch"))
     got = sorted((r.id, r.status) for r in jobs.run_to_table(stream, str(tmp_path)).collect())
     assert got == sorted([("a", "expired"), ("b", "stale"), ("c", "adopted"), ("c", "stale"), ("d", "expired"), ("e", "confirmed"), ("f", "expired"), ("z", "rejected"), ("y", "rejected")])
+
+
+def test_closings_follow_the_candidates_not_their_square():
+    """One target with 20,000 candidates, two thirds of them open for years."""
+    import time
+
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+        getCurrentWatermarkMs = setTimeoutTimestamp = staticmethod(lambda *_: 0)
+
+        def update(self, value):
+            self.value = value
+
+    n, kinds = 20_000, ("pending", "adopted", "confirmed")
+    rows = [(f"c{k}", kinds[k % 3], 1 + k % 2, T0 + k * HOUR, T0 + (k + 24 * 4_000) * HOUR) for k in range(n)]
+    rows.append((None, None, 2, T0 + n * HOUR, None))
+    df = pd.DataFrame(rows, columns=["id", "status", "scope_version", "updated_at", "expires_at"])
+    state, start = State(), time.time()
+    (out,) = jobs._close(("t",), iter([df]), state)
+    assert time.time() - start < 5
+    opened = {k for k in range(n) if k % 3 < 2}
+    assert set(out.id[out.status == "stale"]) == {f"c{k}" for k in opened if k % 2 == 0}
+    assert set(state.value[0]) == {f"c{k}" for k in opened if k % 2 == 1}
