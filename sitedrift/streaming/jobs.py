@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import adopt
 from ..operators.adopt import SITE
@@ -127,89 +126,99 @@ def _heads(heads: DataFrame, decided: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-LIFECYCLE = "website_id string, scope_version int, bucket int, url_hash string, kind string, url string, run_id string, observed_at timestamp"
-URL_STATE = "status string, first_missing_run_id string, first_missing_at timestamp, url string"
+#: Moments are microseconds.
+LIFECYCLE = "website_id string, scope_version int, bucket int, url_hash string, kind string, url string, run_id string, at long"
+HOUR_MICROS = 3_600_000_000
+#: Buckets of sites and how many of their runs have ended; their URLs (_site: the number of the bucket in the lists before):
+#: hash, status, first missing run and its moment (0: none), text; and those of runs without an end: run, hash, text.
+URL_STATE = (
+    "websites array<string>, scopes array<int>, buckets array<int>, ended array<long>,"
+    " url_site array<int>, hashes array<string>, statuses array<string>, firsts array<string>, first_ats array<long>, urls array<string>,"
+    " waiting_site array<int>, waiting_runs array<string>, waiting_hashes array<string>, waiting_urls array<string>"
+)
 
 
-class UrlLifecycle(StatefulProcessor):
-    """A bucket of a site's URLs. State: of each URL its status and the run that first missed it; how many runs have ended; and
-    the URLs of runs whose end hasn't come yet.
+class _Bucket:
+    """A bucket of a site's URLs: n, how many runs have ended; urls, of each its status, the run that first missed it, that
+    one's moment, and its text; seen, the URLs of runs whose end hasn't come yet."""
 
-    A run is applied when its end comes: its URLs are present, and every other one of the bucket is absent. Work and memory
-    follow the URLs of the bucket; only what changed is written back.
-    """
+    def __init__(self, n: int = 0):
+        self.n, self.urls, self.seen, self.ends = n, {}, {}, set()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.urls = handle.getMapState("urls", "url_hash string", URL_STATE)
-        self.waiting = handle.getMapState("waiting", "run_id string, url_hash string", "url string")
-        self.runs = handle.getValueState("runs", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen: dict[str, dict[str, str]] = {}
-        ends: list[tuple] = []
-        for pdf in rows:
-            gone = pdf["url_hash"].isna()
-            ends += [(r.observed_at, r.run_id) for r in pdf[gone].itertuples()]
-            for r in pdf[~gone].itertuples():
-                seen.setdefault(r.run_id, {})[r.url_hash] = r.url
-        ended = {run for _, run in ends}
-        for run, urls in seen.items():
-            if run not in ended:
-                for h, url in urls.items():
-                    self.waiting.updateValue((run, h), (url,))
-        if not ends:
-            return
-        for (run, h), (url,) in list(self.waiting.iterator()):
-            if run in ended:
-                seen.setdefault(run, {})[h] = url
-                self.waiting.removeKey((run, h))
-        state = {h: tuple(v) for (h,), v in self.urls.iterator()}
-        was, n = dict(state), (self.runs.get()[0] if self.runs.exists() else 0)
-        out = []
-        for at, run in sorted(set(ends)):
-            here = seen.get(run, {})
+    def apply(self) -> Iterator[tuple]:
+        """The events of runs whose end has come: their URLs are present, and every other one of the bucket is absent."""
+        urls = self.urls
+        for at, run in sorted(self.ends):
+            here = self.seen.pop(run, {})
             for h, url in here.items():
-                status = state[h][0] if h in state else None
-                kind = "reappeared" if status == "removed" else "added" if status is None and n else None
-                state[h] = ("active", None, None, url)
+                status = urls[h][0] if h in urls else None
+                kind = "reappeared" if status == "removed" else "added" if status is None and self.n else None
+                urls[h] = ("active", "", 0, url)
                 if kind:
-                    out.append((*key, h, kind, url, run, at))
-            for h in state.keys() - here.keys():
-                status, first, first_at, url = state[h]
+                    yield h, kind, url, run, at
+            for h in urls.keys() - here.keys():
+                status, first, first_at, url = urls[h]
                 if status == "active":
-                    state[h] = ("pending_removed", run, at, url)
-                elif status == "pending_removed" and first != run and at - pd.Timestamp(first_at) >= pd.Timedelta(hours=1):
-                    state[h] = ("removed", first, first_at, url)
-                    out.append((*key, h, "removed", url, run, at))
-            n += 1
-        for h, value in state.items():
-            if was.get(h) != value:
-                self.urls.updateValue((h,), (*value[:2], None if value[2] is None else pd.Timestamp(value[2]).to_pydatetime(), value[3]))
-        self.runs.update((n,))
+                    urls[h] = ("pending_removed", run, at, url)
+                elif status == "pending_removed" and first != run and at - first_at >= HOUR_MICROS:
+                    urls[h] = ("removed", first, first_at, url)
+                    yield h, "removed", url, run, at
+            self.n += 1
+
+
+def _lifecycle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The buckets of a shard. Their state comes and goes as one row, so neither a site nor a URL costs a call of its own."""
+    found: dict[tuple, _Bucket] = {}
+    if state.exists:
+        columns = state.get
+        for *site, n in zip(*columns[:4], strict=True):
+            found[tuple(site)] = _Bucket(n)
+        order = list(found.values())
+        for k, h, *value in zip(*columns[4:10], strict=True):
+            order[k].urls[h] = tuple(value)
+        for k, run, h, url in zip(*columns[10:], strict=True):
+            order[k].seen.setdefault(run, {})[h] = url
+    for pdf in frames:
+        rows = (pdf[c].tolist() for c in ("website_id", "scope_version", "bucket", "run_id", "at", "url", "url_hash"))
+        for website, scope, bucket, run, at, url, h, end in zip(*rows, pdf["url_hash"].isna().tolist(), strict=True):
+            mine = found.get((website, scope, bucket))
+            if mine is None:
+                mine = found[website, scope, bucket] = _Bucket()
+            if end:
+                mine.ends.add((at, run))
+            else:
+                mine.seen.setdefault(run, {})[h] = url
+    out = [(*site, *event) for site, mine in found.items() for event in mine.apply()]
+    turned = lambda rows, width: map(list, zip(*rows, strict=True)) if rows else ([] for _ in range(width))
+    known = [(k, h, *value) for k, mine in enumerate(found.values()) for h, value in mine.urls.items()]
+    waiting = [(k, run, h, url) for k, mine in enumerate(found.values()) for run, there in mine.seen.items() for h, url in there.items()]
+    sites = [(*site, mine.n) for site, mine in found.items()]
+    state.update((*turned(sites, 4), *turned(known, 6), *turned(waiting, 4)))
+    if out:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LIFECYCLE.split(", ")])
 
-    def close(self) -> None:
-        pass
-
 
-#: Where transformWithState keeps its state.
+#: A provider of state that keeps it on disk, for states larger than the executors' memory.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_url_lifecycle(obs: DataFrame, buckets: int = 16) -> DataFrame:
+def stream_url_lifecycle(obs: DataFrame, buckets: int = 16, shards: int = 1_024) -> DataFrame:
     """Events of a stream of observations (website_id, scope_version, run_id, observed_at, url, url_hash) as a scan gives them:
     the URLs that were there. A run ends with a row without a URL, which comes with its last rows or after them; that is
     when the URLs it doesn't have are found absent. Runs of a site end in order of time.
 
-    State is kept for each site, scope and bucket of URLs, in RocksDB: the session's provider must be ROCKSDB. An end goes to
-    every bucket.
+    The URLs of each site and scope are spread over buckets, and an end goes to every bucket. State is a row for each shard of
+    all these buckets: a batch reads and writes the shards of its sites whole, in memory one at a time for a task, so more URLs
+    than some hundred millions need more shards.
     """
     bucket = F.pmod(F.xxhash64("url_hash"), F.lit(buckets)).cast("int")
     ends = F.when(F.col("url_hash").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(bucket))
-    rows = obs.select("website_id", "scope_version", F.explode(ends).alias("bucket"), "run_id", "observed_at", "url", "url_hash")
-    return rows.groupBy("website_id", "scope_version", "bucket").transformWithStateInPandas(
-        UrlLifecycle(), outputStructType=LIFECYCLE, outputMode="append", timeMode="none"
+    rows = obs.select("website_id", "scope_version", F.explode(ends).alias("bucket"), "run_id", F.unix_micros("observed_at").alias("at"), "url", "url_hash")
+    shard = F.pmod(F.xxhash64("website_id", "scope_version", "bucket"), F.lit(shards)).cast("int")
+    events = rows.withColumn("shard", shard).groupBy("shard").applyInPandasWithState(
+        _lifecycle, LIFECYCLE, URL_STATE, "append", GroupStateTimeout.NoTimeout
     )
+    return events.select(*events.columns[:-1], F.timestamp_micros("at").alias("observed_at"))
 
 
 def _close(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

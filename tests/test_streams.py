@@ -141,3 +141,17 @@ def test_closings_follow_the_candidates_not_their_square():
     opened = {k for k in range(n) if k % 3 < 2}
     assert set(out.id[out.status == "stale"]) == {f"c{k}" for k in opened if k % 2 == 0}
     assert set(state.value[0]) == {f"c{k}" for k in opened if k % 2 == 1}
+
+
+def test_lifecycle_state_has_a_row_for_a_shard(spark, tmp_path):
+    """However many sites there are; what they find is what the replay finds."""
+    runs = [(f"s{t}", 1, f"s{t}-{k}", 2 * k, {u for u in "uvw" if (t + k + ord(u)) % 3}) for t in range(60) for k in range(3)]
+    obs = observations(spark, runs)
+    known = obs.select("website_id", "target_id", "scope_version", "run_id", "observed_at").distinct()
+    none = F.lit(None).cast("string")
+    rows = obs.unionByName(known.withColumns({"url": none, "url_hash": none}))
+    stream = in_batches(spark, rows.withColumn("batch", F.hour("observed_at")), str(tmp_path), "batch")
+    out = jobs.run_to_table(jobs.stream_url_lifecycle(stream, buckets=4, shards=8), str(tmp_path), provider=jobs.ROCKSDB)
+    _, events = inv.replay_url_lifecycle(obs, known)
+    assert sorted((r.url, r.kind, r.run_id) for r in out.collect()) == sorted((r.url, r.kind, r.run_id) for r in events.collect())
+    assert spark.read.format("statestore").load(f"{tmp_path}/_checkpoint").count() == 8
