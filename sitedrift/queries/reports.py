@@ -314,10 +314,12 @@ def s3_read_sitemap_files(spark, sf_dir):
     # of random digits, so that gzip can't make it small
     blown = F.when(large, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.sha2(F.concat("target_id", k.cast("string")), 256)), ""))
     body = F.concat(F.lit("<urlset>"), F.array_join(entries, ""), F.lit("<!--"), F.coalesce(blown, F.lit("")), F.lit("--></urlset>"))
-    files = obs.groupBy("target_id").agg(body.alias("body")).repartition("target_id")
+    files = obs.groupBy("target_id").agg(body.alias("body")).repartition(partitions(spark))
     folder, odd = fresh_folder(spark, "s3"), F.col("target_id").cast("long") % 2 == 1
     for name, half, kind in (("plain", ~odd, "none"), ("packed", odd, "gzip")):
-        files.where(half).write.partitionBy("target_id").option("compression", kind).text(f"{folder}/{name}")
+        # a file for each target: tasks move their own into place, or the driver would move all of them one after the other
+        out = files.where(half).write.partitionBy("target_id").option("compression", kind)
+        out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{folder}/{name}")
     found = src.read_sitemap_files(spark, folder, max_file_bytes=4_000)
     target = F.regexp_extract("path", "target_id=([0-9]+)/", 1)
     parsed = web.parse_sitemaps(found.select(target.alias("target_id"), F.lit("r").alias("run_id"), F.col("path").alias("source_url"), "body", "error"))

@@ -59,3 +59,12 @@ def test_token_diff_query_equals_the_plain_rule(spark):
         mark = lambda s: [("*" if f else "=") + t for t, f in s]
         assert (r.removed, r.added) == (mark(left), mark(right))
         assert all(r.removed) and "".join(x[1:] for x in r.removed if x[0] == "=") == "".join(x[1:] for x in r.added if x[0] == "=")
+
+
+def test_sitemap_files_are_written_by_several_tasks(spark):
+    """s3_read_sitemap_files: many small files are little data, and would be dealt to one task."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    old = set(glob.glob(f"{shared}/s3-*"))
+    registry.queries()["s3_read_sitemap_files"](spark, SF)
+    (folder,) = set(glob.glob(f"{shared}/s3-*")) - old
+    assert len({os.path.basename(f)[:10] for f in glob.glob(f"{folder}/plain/*/part-*")}) > 1
