@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitedrift.operators.inventory import replay_url_lifecycle
-from sitedrift.operators import pages
+from sitedrift.operators import pages, views
 from sitedrift.plans import alerts, scan, upkeep
 from sitedrift.sources import tables
 from sitedrift.streaming import jobs
@@ -176,3 +176,18 @@ def test_rules_read_candidates_that_are_decided_once(spark):
 
     plan = registry.queries()["q1_check_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_sites_without_a_list_get_all_destinations_in_all_tasks(spark):
+    lists = [None, "not json", "[]", '["d1","d1",null,"d5"]', '["d2","gone"]']
+    rows = [(f"w{k}", "u1" if k % 2 else "u0", lists[k % 5]) for k in range(200)]
+    website = spark.createDataFrame(rows, "id string, userId string, notificationDestinationIds string").coalesce(1)
+    owned = [(f"d{k}", f"u{k % 2}") for k in range(150)]
+    destinations = spark.createDataFrame(owned, "id string, userId string")
+    found = views.filter_destinations(website, destinations)
+    listed = {0: None, 1: None, 2: (), 3: ("d1", "d5"), 4: ("d2", "gone")}
+    want = sorted((w, d) for k, (w, u, _) in enumerate(rows) for d, o in owned if o == u and (listed[k % 5] is None or d in listed[k % 5]))
+    assert sorted(map(tuple, found.collect())) == want
+    # one file of sites is worked on by more than one task
+    pairs = found.withColumn("task", F.spark_partition_id())
+    assert pairs.groupBy("task").count().where("count > 500").count() > 1
