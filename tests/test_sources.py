@@ -85,6 +85,18 @@ def test_events_are_compared_with_their_days_only(spark, tmp_path):
     assert got.where(F.col("observed_date") == F.to_date("observed_at")).count() == 6
 
 
+def test_new_events_are_dealt_and_sorted_once(spark, tmp_path):
+    path, at = f"file://{tmp_path}/events", datetime.datetime(2024, 1, 1)
+    rows = [(f"r{k % 5}", at + datetime.timedelta(days=k % 3), k) for k in range(12)]
+    df = spark.createDataFrame(rows, "id string, observed_at timestamp, n int")
+    tables.write_events(df.where("n = 0"), path)
+    new = tables.new_events(df, path)
+    # an id that is there, on whatever of the batch's days, isn't written again
+    assert sorted(r.id for r in new.collect()) == ["r1", "r2", "r3", "r4"]
+    plan = new._jdf.queryExecution().optimizedPlan().toString() + new._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate [id" not in plan and "SortAggregate" not in plan
+
+
 def test_price_csv_is_quoted(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1, 10)
     points = spark.createDataFrame(
