@@ -113,8 +113,8 @@ def apply_runs(state: DataFrame, obs: DataFrame, runs: DataFrame, write: bool =
     In closed form: a URL's presences follow each other in a window, the first being its row of state, as if a run before all
     others had seen it. What becomes of a URL after a presence depends on the next one, on the run after it and on the first
     run an hour later (inventory.successors); so rows are as many as presences, and runs that a URL is absent from cost nothing.
-    runs: SITE, run_id, observed_at, is_baseline; a run without observed URLs is an empty one. write: for callers that use
-    both tables, what they are made of is written first.
+    runs: SITE, run_id, observed_at, is_baseline; a run without observed URLs is an empty one, and observations of other runs are
+    left out. write: for callers that use both tables, what they are made of is written first.
     """
     rows = _applied(state, obs, runs)
     rows = stored(rows, "applied") if write else rows
@@ -129,7 +129,7 @@ def _applied(state: DataFrame, obs: DataFrame, runs: DataFrame) -> DataFrame:
     start = (F.min("observed_at") - F.expr("INTERVAL 1 DAY")).alias("observed_at")
     before = runs.groupBy(*SITE).agg(start).withColumns({"run_id": F.lit(""), "is_baseline": F.lit(False)})
     runs = runs.select(*SITE, "run_id", "observed_at", "is_baseline")
-    after = successors(runs.unionByName(before)).withColumnRenamed("observed_at", "at").drop("website_id")
+    after = stored(successors(runs.unionByName(before)).withColumnRenamed("observed_at", "at").drop("website_id"), "successors")
     key, now = ["target_id", "scope_version"], [c for c in after.columns if c not in ("target_id", "scope_version", "run_id")]
     seen = obs.where("url_hash IS NOT NULL").select(*SITE, "run_id", "url", "url_hash").repartition(n, *key, "run_id")
     seen = seen.join(after.where("run_id <> ''"), [*key, "run_id"])
@@ -263,13 +263,13 @@ def decide_history(
     rows = obs.select(*SITE, "run_id", "url_hash")
     held = None
     if prior is not None:
-        prior = prior.join(runs.select(*SITE).distinct(), SITE, "left_semi")
+        prior = stored(prior.join(runs.select(*SITE).distinct(), SITE, "left_semi"), "prior")
         base = prior.where("role = 'base'")
         none = F.lit(None).cast("timestamp").alias("expires_at")
         asked = asked.unionByName(base.select(*SITE, "run_id", "observed_at", none, F.lit(True).alias("known"), F.lit(ANY).alias("made_from")).distinct())
         rows = rows.unionByName(base.select(*SITE, "run_id", "url_hash"))
         held = _held_losses(prior, until)
-    numbered = numbered_runs(asked)
+    numbered = stored(numbered_runs(asked), "numbered")
     changes = stored(change_log(rows, numbered), "changes")
     sizes = rows.where("url_hash IS NOT NULL").groupBy(*SITE, "run_id").agg(F.count(F.lit(1)).alias("n"))
     moved = changes.groupBy(*SITE, "seq").agg(F.count_if(~F.col("added")).alias("missing"))
@@ -312,7 +312,9 @@ def _in_order(steps: DataFrame, changes: DataFrame, held: DataFrame | None, leas
     else:
         rows = rows.join(held, SITE, "left")
     names = [*SITE, "run_id", "observed_at", "expires_at", "known", "made_from", "seq", "n", "came", "went", "held_run", "held_at", "held_until", "held_lost"]
-    ordered = rows.select(*names).repartition(partitions(rows.sparkSession), *SITE).sortWithinPartitions(*SITE, "seq")
+    # by a hash of the target: dealt by its columns, as the join above, rows would stay in the join's partitions, and those are
+    # merged where they are small, however long the folds in them take
+    ordered = rows.select(*names).repartition(partitions(rows.sparkSession), F.xxhash64(*SITE)).sortWithinPartitions(*SITE, "seq")
     return ordered.mapInArrow(lambda batches: _fold_targets(batches, least, ratio), DECIDED)
 
 

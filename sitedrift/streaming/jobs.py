@@ -67,7 +67,10 @@ def stream_adopt(
             reason = F.when(moved, "scope").otherwise(reason)
         judged = stored(runs.withColumn("reason", reason), "judged")
         runs = stored(judged.where("reason IS NULL").select(*SITE, "run_id", "observed_at", *made_from), "runs")
-        rows = batch.join(runs.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi").where("url_hash IS NOT NULL")
+        # refused runs are few and their table is broadcast then, so observations aren't dealt by run to be told apart
+        refused = judged.where("reason IS NOT NULL").select(*SITE, "run_id").distinct()
+        refused = stored(refused.join(runs.select(*SITE, "run_id"), [*SITE, "run_id"], "left_anti"), "refused")
+        rows = batch.where("url_hash IS NOT NULL").join(refused, [*SITE, "run_id"], "left_anti")
         # the baseline's URLs are those last seen by it; one that found none is a row without a URL
         base = heads.where("baseline_run_id IS NOT NULL").select(*SITE, F.col("baseline_run_id").alias("run_id"), F.col("baseline_at").alias("observed_at"))
         there = state.select(*SITE, "url_hash", F.col("last_seen_at").alias("observed_at"))
@@ -75,18 +78,18 @@ def stream_adopt(
         open_ = heads.where("candidate_run_id IS NOT NULL").select(*SITE, F.col("candidate_run_id").alias("run_id"), F.col("candidate_at").alias("observed_at"))
         mine = open_.join(held.select(*SITE, "run_id", "url_hash"), [*SITE, "run_id"], "left").withColumn("role", F.lit("held"))
         decided = adopt.decide_history(rows, runs, least, ratio, ttl_hours, base.unionByName(mine))
-        decided = stored(decided, "decisions")
+        kinds = decided.schema
         decided.write.mode("overwrite").parquet(f"{folder}/decisions/b={batch_id}")
+        decided = spark.read.schema(kinds).parquet(f"{folder}/decisions/b={batch_id}")
         stale = judged.where("reason IS NOT NULL").select(*SITE, "run_id", "observed_at", "reason")
         rebased = decided.where("decision = 'stale'").select(*SITE, "run_id", "observed_at", F.lit("baseline").alias("reason"))
         stale.unionByName(rebased).write.mode("overwrite").parquet(f"{folder}/stale/b={batch_id}")
         taken = adopt.adopted_runs(decided)
         both = rows.select(*held.columns).unionByName(held)
-        seen = both.join(taken.select(*SITE, "run_id"), [*SITE, "run_id"], "left_semi")
-        new, events = adopt.apply_runs(state, seen, taken, write=True)
+        new, events = adopt.apply_runs(state, both, taken, write=True)
         put(new, "state")
         write_events(events, f"{folder}/events")
-        after = _heads(heads, decided, runs)
+        after = stored(_heads(heads, decided, runs), "heads")
         put(after, "heads")
         named = after.select(*SITE, F.col("candidate_run_id").alias("run_id")).where("run_id IS NOT NULL")
         put(both.join(named, [*SITE, "run_id"], "left_semi"), "held")

@@ -339,6 +339,22 @@ def test_targets_are_folded_one_after_the_other(spark):
     assert decided["t1-2"] == "quarantined" and decided["t2-2"] == "applied" and len(decided) == 28
 
 
+def test_folds_are_dealt_to_all_partitions(spark):
+    """However small the targets with an open candidate are, one task doesn't fold them all."""
+    targets = spark.range(40).selectExpr("concat('w', id) AS website_id", "concat('t', id) AS target_id", "1 AS scope_version")
+    run = lambda name, hours, sets: targets.select("*", F.lit(name).alias("run_id"), F.lit(T0 + hours * HOUR).alias("observed_at"), F.explode(F.array(*map(F.lit, sets))).alias("url_hash"))
+    prior = run("base", 0, "abcd").withColumn("role", F.lit("base")).unionByName(run("open", 1, "ab").withColumn("role", F.lit("held")))
+    obs = run("next", 3, "ab")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = adopt.decide_history(obs, obs.select(*adopt.SITE, "run_id", "observed_at").distinct(), 2, 0.3, 30, prior)
+        found = decided.select("run_id", "outcome", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.run_id for r in found} == {"next", "open"} and {r.outcome for r in found if r.run_id == "next"} == {"confirmed"}
+    assert len(found) == 80 and len({r.task for r in found}) > 2
+
+
 def test_the_log_of_changes_moves_no_hashes(spark):
     obs, runs = frames(spark, histories(3))
     plan = adopt.change_log(obs, inv.numbered_runs(runs))._jdf.queryExecution().optimizedPlan().toString()
