@@ -116,9 +116,13 @@ def plottable_points(series: DataFrame) -> DataFrame:
     return series.where(F.col("is_product_page") & F.col("price").isNotNull())
 
 
+#: What orders prices of a page that share both moment and id, nulls first, so that a result doesn't hang on how rows arrive.
+PRICE_TIES = ("is_product_page", "currency", "price")
+
+
 def price_changes(series: DataFrame, page: str = "page") -> DataFrame:
     """Neighbours in time that are both product pages and differ in currency or price (null is a price of its own)."""
-    w = Window.partitionBy(page).orderBy("createdAt", "id")
+    w = Window.partitionBy(page).orderBy("createdAt", "id", *PRICE_TIES)
     now = F.struct("id", "price", "currency", "is_product_page")
     rows = series.withColumn("p", F.lag(now).over(w))
     same = price_change_key(F.col("price"), F.col("currency")) == price_change_key(F.col("p.price"), F.col("p.currency"))
@@ -150,7 +154,7 @@ def price_alerts(changes: DataFrame, page: str = "page", name: str | None = None
 
 def price_series(series: DataFrame, page: str = "page") -> DataFrame:
     """Points of each page numbered oldest first."""
-    w = Window.partitionBy(page).orderBy("createdAt", "id")
+    w = Window.partitionBy(page).orderBy("createdAt", "id", *PRICE_TIES)
     return series.withColumn("point", F.row_number().over(w))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import adopt
 from ..operators.adopt import SITE
+from ..operators.snapshots import PRICE_TIES
 from ..scratch import stored
 from ..sources.buckets import BUCKETS, by_hash, read_buckets, touched, write_buckets
 from ..sources.tables import write_events
@@ -308,7 +309,8 @@ def stream_dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def _on_change(fields: tuple[str, ...], emits: Callable[[tuple, tuple], bool]):
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["taken", "id"])
+        # rows that share moment and id are in order of what is compared, not of how they arrive
+        rows = pd.concat(list(frames)).sort_values(["taken", "id", *fields], na_position="first")
         out = []
         for r in rows.itertuples():
             now = tuple(None if pd.isna(x) else x for x in (getattr(r, f) for f in fields))
@@ -336,7 +338,7 @@ def stream_price_changes(snaps: DataFrame) -> DataFrame:
     def emits(a: tuple, b: tuple) -> bool:
         return bool(a[0] and b[0]) and ((a[1] or "") != (b[1] or "") or a[2] != b[2])
 
-    fold = _on_change(("is_product_page", "currency", "price"), emits)
+    fold = _on_change(PRICE_TIES, emits)
     return snaps.groupBy("page").applyInPandasWithState(
         fold, "page string, id long", "is_product_page boolean, currency string, price double", "append",
         GroupStateTimeout.NoTimeout,

@@ -3,7 +3,10 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from sitedrift.operators import snapshots
+from sitedrift.streaming import jobs
 
 
 def plain(before, after, most):
@@ -40,3 +43,17 @@ def test_time_is_linear_in_lines(spark):
     got = diffs(spark, [(before, after)], 3)
     assert got[0][1:] == (20_000, 20_000) and got[0][0].startswith("+ new line 0\n+ new line 2\n+ new line 4\n- old line 0")
     assert time.perf_counter() - began < 20
+
+
+def test_prices_that_share_moment_and_id_are_in_a_fixed_order(spark, tmp_path):
+    """In whatever order rows come, by windows and by a stream."""
+    rows = [(1, "p", 10, price, currency, page) for price, currency, page in [(5.0, "EUR", True), (None, "EUR", True), (5.0, None, False), (7.0, "USD", True), (5.0, None, True)]]
+    got = []
+    for k, mine in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(mine, "id long, page string, taken long, price double, currency string, is_product_page boolean").coalesce(1)
+        series = df.withColumn("createdAt", F.timestamp_seconds("taken"))
+        df.write.parquet(f"{tmp_path}/{k}/in")
+        stream = jobs.stream_price_changes(jobs.file_stream(spark, f"{tmp_path}/{k}/in", df.schema))
+        found = (snapshots.price_changes(series), snapshots.price_series(series).select("point", "price", "currency"), jobs.run_to_table(stream, f"{tmp_path}/{k}"))
+        got.append([sorted(map(repr, x.collect())) for x in found])
+    assert got[0] == got[1] and [len(x) for x in got[0]] == [3, 5, 3]
