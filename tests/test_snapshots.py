@@ -3,8 +3,10 @@
 import random
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+from sitedrift import registry
 from sitedrift.operators import snapshots
 from sitedrift.streaming import jobs
 
@@ -57,3 +59,18 @@ def test_prices_that_share_moment_and_id_are_in_a_fixed_order(spark, tmp_path):
         found = (snapshots.price_changes(series), snapshots.price_series(series).select("point", "price", "currency"), jobs.run_to_table(stream, f"{tmp_path}/{k}"))
         got.append([sorted(map(repr, x.collect())) for x in found])
     assert got[0] == got[1] and [len(x) for x in got[0]] == [3, 5, 3]
+
+
+def test_alerts_count_prices_that_share_their_id_once(spark, tmp_path):
+    """An alert for each change, as the SQL has them, where several prices of a page have the same day and id."""
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/documents.parquet").limit(5).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    # each row three times, so that their order is no matter
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linestatus = 'O' AND l_linenumber < 7").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(40)
+    rows.unionAll(rows).unionAll(rows).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["p8_detect_alerts"](spark, str(tmp_path)).where("kind = 'PRODUCT_PRICE'")
+    con = duckdb.connect()
+    for name in ("documents", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT snapshot_id, title FROM ({registry.oracle_sql()['p8_detect_alerts']}) WHERE kind = 'PRODUCT_PRICE'").fetchall()
+    assert sorted((r.snapshot_id, r.title) for r in got.collect()) == sorted(want)
