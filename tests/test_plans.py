@@ -191,3 +191,13 @@ def test_sites_without_a_list_get_all_destinations_in_all_tasks(spark):
     # one file of sites is worked on by more than one task
     pairs = found.withColumn("task", F.spark_partition_id())
     assert pairs.groupBy("task").count().where("count > 500").count() > 1
+
+
+def test_pairs_of_sites_and_destinations_are_small_on_disk(spark, tmp_path, monkeypatch):
+    """j13_filter_destinations: a few destinations are repeated for many sites, so files hold much less than a byte for a pair."""
+    monkeypatch.setattr(views, "SITE_GROUPS", 4, raising=False)
+    website = spark.range(500).selectExpr("concat('w', id) AS id", "cast(id % 5 AS string) AS userId", "cast(NULL AS string) AS notificationDestinationIds")
+    destinations = spark.range(20_005).selectExpr("concat('dst_', id) AS id", "cast(id % 5 AS string) AS userId")
+    views.filter_destinations(website, destinations).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 500 * 4_001
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 500 * 4_001 / 2
