@@ -137,19 +137,22 @@ def price_alert_title(name: Column, old: Column, old_currency: Column, new: Colu
     return F.concat(F.lit("Price change: "), name, F.lit(" ("), was, F.lit(" → "), now, F.lit(")"))
 
 
+def price_alert_texts(page: Column, product: Column, old: Column, old_currency: Column, new: Column, new_currency: Column) -> tuple[Column, Column]:
+    """title and details of a PRODUCT_PRICE alert."""
+    number = lambda c: F.try_parse_json(number_text(c))
+    details = F.struct(
+        page.alias("pageUrl"), product.alias("productName"), number(old).alias("previousPrice"),
+        old_currency.alias("previousCurrency"), number(new).alias("newPrice"), new_currency.alias("newCurrency"),
+    )
+    title = price_alert_title(F.coalesce(F.when(product != "", product), page), old, old_currency, new, new_currency)
+    return title, F.to_json(details, {"ignoreNullFields": "false"})
+
+
 def price_alerts(changes: DataFrame, page: str = "page", name: str | None = None) -> DataFrame:
     """id, kind, title, details of PRODUCT_PRICE alerts from price_changes; name: a column with the product's name."""
-    number = lambda c: F.try_parse_json(number_text(F.col(c)))
     product = F.lit(None).cast("string") if name is None else F.col(name)
-    details = F.struct(
-        F.col(page).alias("pageUrl"), product.alias("productName"), number("previous_price").alias("previousPrice"),
-        F.col("previous_currency").alias("previousCurrency"), number("price").alias("newPrice"), F.col("currency").alias("newCurrency"),
-    )
-    title = price_alert_title(
-        F.coalesce(F.when(product != "", product), F.col(page)), F.col("previous_price"), F.col("previous_currency"), F.col("price"), F.col("currency")
-    )
-    shown = F.to_json(details, {"ignoreNullFields": "false"})
-    return changes.select("id", F.lit("PRODUCT_PRICE").alias("kind"), title.alias("title"), shown.alias("details"))
+    title, details = price_alert_texts(F.col(page), product, F.col("previous_price"), F.col("previous_currency"), F.col("price"), F.col("currency"))
+    return changes.select("id", F.lit("PRODUCT_PRICE").alias("kind"), title.alias("title"), details.alias("details"))
 
 
 def price_series(series: DataFrame, page: str = "page") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import table
@@ -116,24 +116,23 @@ def p8_detect_alerts(spark, sf_dir):
     """Link sets of all runs, all texts and all prices as one table of snapshots, and a target for each page."""
     none = F.lit(None).cast("string")
     obs = table(spark, sf_dir, "obs").groupBy("target_id", "run_id", "observed_at").agg(F.to_json(F.array_sort(F.collect_list("url"))).alias("payload"))
+    obs = stored(obs, "runs")
+    # ids of one moment are in order of their numbers, prices that share these too as elsewhere
+    ties = ("boolean", "string", "double")
+    moment = lambda t, n=None: F.struct(t.alias("taken"), *([F.lit(0).cast("long").alias("n"), *(F.lit(None).cast(k).alias(c) for c, k in zip(sn.PRICE_TIES, ties, strict=True))] if n is None else [n.alias("n"), *sn.PRICE_TIES])).alias("taken")
     links = obs.select(
         F.concat(F.lit("run-"), "run_id").alias("id"), F.col("target_id").alias("websiteId"), F.lit("SITEMAP").alias("kind"), none.alias("targetUrl"),
-        "payload", F.unix_seconds("observed_at").alias("taken"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("k"),
+        "payload", moment(F.unix_seconds("observed_at")),
     )
     texts = table(spark, sf_dir, "snap").select(
-        F.concat(F.lit("text-"), "id").alias("id"), F.concat(F.lit("t/"), "websiteId").alias("websiteId"), "kind", "targetUrl", "payload", "taken", F.lit(0).cast("long").alias("n"), F.lit(1).alias("k"),
+        F.concat(F.lit("text-"), "id").alias("id"), F.concat(F.lit("t/"), "websiteId").alias("websiteId"), "kind", "targetUrl", "payload", moment(F.col("taken").cast("long")),
     )
     product = F.struct("is_product_page", F.lit(None).cast("string").alias("productName"), "price", "currency")
-    # prices that share page, moment and id are told apart by a number behind a tab
-    again = Window.partitionBy("page", F.to_date("createdAt"), "id").orderBy("createdAt", *sn.PRICE_TIES)
-    numbered = stored(table(spark, sf_dir, "price").withColumn("k", F.row_number().over(again)), "prices")
-    prices = numbered.select(
-        F.concat(F.lit("price-"), "page", F.lit("/"), "id", F.lit("/"), F.date_format("createdAt", "yyyy-MM-dd"), F.when(F.col("k") > 1, F.concat(F.lit("\t"), "k")).otherwise("")).alias("id"), F.lit("shop").alias("websiteId"), F.lit("PRODUCT").alias("kind"), F.col("page").cast("string").alias("targetUrl"),
-        F.to_json(product).alias("payload"), F.unix_seconds(F.col("createdAt").cast("timestamp")).alias("taken"), F.col("id").alias("n"), "k",
+    prices = table(spark, sf_dir, "price").select(
+        F.concat(F.lit("price-"), "page", F.lit("/"), "id", F.lit("/"), F.date_format("createdAt", "yyyy-MM-dd")).alias("id"), F.lit("shop").alias("websiteId"), F.lit("PRODUCT").alias("kind"), F.col("page").cast("string").alias("targetUrl"),
+        F.to_json(product).alias("payload"), moment(F.unix_seconds(F.col("createdAt").cast("timestamp")), F.col("id")),
     )
-    snap = links.unionByName(texts).unionByName(prices)
-    # ids of one moment are in order of their numbers
-    snap = snap.withColumn("hash", F.sha2("payload", 256)).withColumn("taken", F.struct("taken", "n", "k"))
+    snap = links.unionByName(texts).unionByName(prices).withColumn("hash", F.sha2("payload", 256))
     sites = links.select("websiteId").distinct()
     number = F.col("websiteId").cast("long") % 4
     scope = F.when(number == 0, "BOTH").when(number == 1, "NEW").when(number == 2, "REMOVED")
@@ -143,8 +142,7 @@ def p8_detect_alerts(spark, sf_dir):
         name = F.concat_ws("/", F.lit(kind), "websiteId", "targetUrl").alias("id")
         target = target.unionByName(pages.select(name, "websiteId", F.lit(kind).alias("kind"), none.alias("linkScope"), F.col("targetUrl").alias("pageUrl")))
     website = sites.select(F.col("websiteId").alias("id"), F.concat(F.lit("s"), "websiteId", F.lit(".example.com")).alias("domain"))
-    found = alerts.detect_alerts(snap, target, website)
-    return found.select(F.substring_index("snapshot_id", "\t", 1).alias("snapshot_id"), "kind", "title", "details")
+    return alerts.detect_alerts(snap, target, website).select("snapshot_id", "kind", "title", "details")
 
 
 @query(

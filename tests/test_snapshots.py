@@ -1,5 +1,6 @@
 """Line diffs of texts of any length against plain lists."""
 
+import json
 import random
 import time
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitedrift import registry
 from sitedrift.operators import snapshots
+from sitedrift.plans import alerts
 from sitedrift.streaming import jobs
 
 
@@ -74,3 +76,30 @@ def test_alerts_count_prices_that_share_their_id_once(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     want = con.execute(f"SELECT snapshot_id, title FROM ({registry.oracle_sql()['p8_detect_alerts']}) WHERE kind = 'PRODUCT_PRICE'").fetchall()
     assert sorted((r.snapshot_id, r.title) for r in got.collect()) == sorted(want)
+
+
+def _alerts(spark, snaps):
+    snap = spark.createDataFrame(snaps, "id string, websiteId string, kind string, targetUrl string, payload string, taken int").withColumn("hash", F.sha2("payload", 256))
+    watched = [("l", "w", "SITEMAP_LINKS", None, None), ("c", "w", "PAGE_CONTENT", None, "p"), ("d", "w", "PRODUCT_PRICE", None, "p")]
+    target = spark.createDataFrame(watched, "id string, websiteId string, kind string, linkScope string, pageUrl string")
+    website = spark.createDataFrame([("w", "w.example.com")], "id string, domain string")
+    return alerts.detect_alerts(snap, target, website)
+
+
+def test_short_and_long_snapshots_alert_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    urls = lambda n: json.dumps([f"u/{rng.randrange(30)}" for _ in range(n)] + [None] * (n % 2))
+    snaps = [(f"s{k}", "w", "SITEMAP", None, rng.choice([urls(rng.randrange(9)), urls(150), "no list", None]), k) for k in range(14)]
+    snaps += [(f"m{k}", "w", "MARKDOWN", "p", rng.choice(["a\nb", "b\n" * 700, "a", "", None]), k) for k in range(14)]
+    snaps += [(f"p{k}", "w", "PRODUCT", "p", f'{{"is_product_page":true,"productName":"{"P" * rng.choice([1, 1_200])}","price":{rng.randrange(3)}}}', k) for k in range(14)]
+    want = sorted(map(repr, _alerts(spark, snaps).collect()))
+    assert len(want) > 15
+    monkeypatch.setattr(alerts, "CARRIED", 0)
+    monkeypatch.setattr(alerts, "SHORT", 0)
+    assert sorted(map(repr, _alerts(spark, snaps).collect())) == want
+
+
+def test_short_payloads_are_not_joined_by_their_ids(spark):
+    """Three prices with one id make two changes."""
+    prices = [("p", "w", "PRODUCT", "p", f'{{"is_product_page":true,"price":{9 - k}}}', k) for k in range(3)]
+    assert sorted(r.title for r in _alerts(spark, prices).collect()) == ["Price change: p (8 → 7)", "Price change: p (9 → 8)"]
